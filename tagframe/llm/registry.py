@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import url_filters
+from . import minhash_dedup, url_filters
 
 QUERIES = {
     "op3_url_filters": url_filters.query,
+    "op4_minhash_dedup": minhash_dedup.query,
 }
 
 ORACLE_SQL = {
