@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, url_filters
+from . import media_avi, minhash_dedup, quality, url_filters
 
 QUERIES = {
     "op3_url_filters": url_filters.query,
     "op4_minhash_dedup": minhash_dedup.query,
+    "op5_quality": quality.query,
+    "op8_media_avi": media_avi.query,
 }
 
 ORACLE_SQL = {
