@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import media_avi, minhash_dedup, quality, url_filters
+from . import language_id, media_avi, minhash_dedup, mixing, quality, url_filters
 
 QUERIES = {
+    "op1_mixing": mixing.query,
     "op3_url_filters": url_filters.query,
     "op4_minhash_dedup": minhash_dedup.query,
     "op5_quality": quality.query,
+    "op6_language_id": language_id.query,
     "op8_media_avi": media_avi.query,
 }
 
