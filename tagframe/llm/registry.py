@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, media_avi, minhash_dedup, mixing, quality, url_filters
+from . import language_id, media_avi, minhash_dedup, mixing, quality, sentencepieces, token_counts, url_filters
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_quality": quality.query,
     "op6_language_id": language_id.query,
     "op8_media_avi": media_avi.query,
+    "op9_sentencepieces": sentencepieces.query,
+    "op10_token_counts": token_counts.query,
 }
 
 ORACLE_SQL = {
