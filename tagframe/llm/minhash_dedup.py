@@ -5,8 +5,8 @@
    all sets (optimal densification). BANDS groups of ROWS bins are the bucket keys.
 2. Texts with equal sets are one class from here on, so copies never meet pairwise.
 3. In each bucket one class is the centre and gets an edge to each other member: as many edges as members, not pairs.
-   Edges are confirmed on the full sets. Members that lie in several components after that get new centres in further
-   rounds, and what is still apart is compared in full (see `rest`), so that stars lose no link of a bucket.
+   Edges are confirmed on the full sets. Members of a bucket that lie in several components after that are compared in
+   full (see `rest`), so that stars lose no link of a bucket.
 4. Components of the confirmed links give each document the least doc_id it can reach.
 """
 
@@ -24,7 +24,6 @@ from .common import mixed, saved, slices, table, utf8, word_hashes
 from .components import components
 
 BINS, BANDS, ROWS = 128, 25, 5
-ROUNDS = 2
 #: Members of a block in `rest`.
 BLOCK = 1024
 
@@ -125,10 +124,8 @@ def _compared(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs(u, v), those whose full sets are alike enough. texts(node, text): one text per class."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = saved(texts.join(ends, "node", "left_semi").mapInArrow(_sets(width), "node binary, shingles binary"), "sets")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(u, v), those whose full sets are alike enough. sets(node, shingles)."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     return both.mapInArrow(_compared(percent), "u binary, v binary, linked boolean").where("linked").select("u", "v")
 
@@ -143,7 +140,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = docs.select("doc_id", "text")
     sketches = saved(docs.mapInArrow(_sketch(width), "doc_id bigint, n_shingles bigint, node binary, buckets array<bigint>"), "sketches")
     classes = saved(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets")), "classes")
-    texts = docs.join(classes.select("doc_id", "node"), "doc_id")
 
     member = classes.select("node", "n", F.explode("buckets").alias("bucket"))
     # buckets with two members or more, and one of those with the same members
@@ -151,42 +147,45 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     one = shared.groupBy("members", "x", "s").agg(F.min("bucket").alias("bucket"), F.count("*").alias("alike"))
     member = saved(member.join(one.select("bucket", (F.col("members") * F.col("alike")).alias("weight")), "bucket"), "members")
     # the class that meets the most others stands nearest the middle of its group
-    node = saved(member.groupBy("node").agg(F.sum("weight").alias("weight")), "nodes")
-    part = node.select("node", F.col("node").alias("component"))
-    links, tried = None, None
-    for turn in range(ROUNDS):
-        placed = member.drop("weight").join(part, "node").join(node, "node")
-        rank = F.struct(F.col("weight") if turn == 0 else F.xxhash64("node", F.lit(turn)), "node")
-        centre = placed.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "component"), rank).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        pairs = placed.join(centre.select("bucket", "c"), "bucket").where((F.col("component") != F.col("c.component")) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")))
-        pairs = pairs.select(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v")).distinct()
-        pairs = saved(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = confirmed(pairs, texts, width, percent)
-        links = saved(found if links is None else links.unionByName(found), "links")
-        part = joined_up(node, links)
-    links = saved(links.unionByName(rest(member, part, texts, width, percent)), "links")
-    return with_components(sketches, joined_up(node, links))
-
-
-def rest(member: DataFrame, part: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    weight = member.groupBy("node").agg(F.sum("weight").alias("weight"))
+    texts = docs.join(classes.join(weight, "node", "left_semi").select("doc_id", "node"), "doc_id")
+    sets = saved(texts.mapInArrow(_sets(width), "node binary, shingles binary"), "sets")
+    ranked = member.drop("weight").join(weight, "node")
+    centre = ranked.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "weight"), F.struct("weight", "node")).alias("c"))
+    pairs = ranked.join(centre, "bucket").where((F.col("node") != F.col("c.node")) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")))
+    pairs = pairs.groupBy(F.col("node").alias("u"), F.col("c.node").alias("v")).agg(F.first("c.weight").alias("weight"))
+    stars = saved(confirmed(pairs.select("u", "v"), sets, percent).join(weight.withColumnRenamed("node", "v"), "v"), "stars")
+    # a first idea of the components: each class with the foremost centre that it is linked to
+    part = stars.groupBy(F.col("u").alias("node")).agg(F.max_by("v", F.struct("weight", "v")).alias("component"))
+    links = stars.select("u", "v").unionByName(rest(member, part, sets, percent))
+
+    found = components(links)
+    least = found.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    moved = classes.select("node", "doc_id").join(found.join(least, "component").select("node", "component_id"), "node", "left")
+    out = sketches.select("doc_id", "n_shingles", "node").join(moved.select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "node", "left")
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def rest(member: DataFrame, part: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between classes of one bucket that the stars left in different components.
 
     Members outside a bucket's largest component are asked against all its members, in blocks of BLOCK by BLOCK; a block
     gives back one link for each asked member and component, so neither pairs nor a whole bucket are ever laid out.
+    part(node, component) may leave classes out, and may be any part of what is known to be linked.
     """
-    placed = member.select("bucket", "node", "n").join(part, "node")
+    placed = member.select("bucket", "node", "n").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     count = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = placed.join(count, "bucket")
-    open_ = open_.withColumn("rows", F.ceil(F.col("all") / BLOCK).cast("int")).withColumn("asks", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
+    open_ = open_.withColumn("rows", F.ceil(F.col("all") / BLOCK).cast("int")).withColumn("blocks", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    kept = ["bucket", "node", "component"]
-    asked = open_.where("component <> main").select(*kept, F.lit(True).alias("asks"), at("asks").alias("i"), F.explode(F.expr("sequence(0, rows - 1)")).alias("j"))
-    there = open_.select(*kept, F.lit(False).alias("asks"), at("rows").alias("j"), F.explode(F.expr("sequence(0, asks - 1)")).alias("i"))
-    laid = asked.unionByName(there)
-    sets = saved(texts.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_sets(width), "node binary, shingles binary"), "sets")
-    blocks = laid.join(sets, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "node", "component", "asks", "shingles")
-    return blocks.mapInArrow(_blocks(percent), "u binary, v binary").distinct()
+    both = F.expr("component <> main")
+    # every member is there for each block that asks; one outside the largest component also asks each block that is there
+    there = F.transform(F.expr("sequence(0, blocks - 1)"), lambda i: F.struct(i.alias("i"), at("rows").alias("j"), F.lit(False).alias("asks")))
+    asks = F.transform(F.expr("sequence(0, rows - 1)"), lambda j: F.struct(at("blocks").alias("i"), j.alias("j"), F.lit(True).alias("asks")))
+    laid = open_.select("bucket", "node", "component", F.inline(F.when(both, F.concat(there, asks)).otherwise(there)))
+    blocks = laid.join(sets, "node").select("bucket", "i", "j", "node", "component", "asks", "shingles").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return blocks.mapInArrow(_blocks(percent), "u binary, v binary")
 
 
 def linked(asked: list[np.ndarray], there: list[np.ndarray], percent: int) -> np.ndarray:
@@ -240,17 +239,5 @@ def _blocks(percent: int):
     return run
 
 
-def joined_up(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component) of all nodes."""
-    return saved(nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "parts")
-
-
-def with_components(sketches: DataFrame, part: DataFrame) -> DataFrame:
-    named = sketches.select("doc_id", "n_shingles", "node").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "component", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
