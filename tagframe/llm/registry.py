@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, media_avi, minhash_dedup, mixing, quality, sentencepieces, token_counts, url_filters
+from . import html_text, language_id, media_avi, minhash_dedup, mixing, quality, sentencepieces, token_counts, url_filters
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_html_text": html_text.query,
     "op3_url_filters": url_filters.query,
     "op4_minhash_dedup": minhash_dedup.query,
     "op5_quality": quality.query,
