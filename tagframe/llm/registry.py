@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, language_id, media_avi, minhash_dedup, mixing, quality, sentencepieces, token_counts, url_filters
+from . import embedding_dedup, html_text, language_id, media_avi, minhash_dedup, mixing, quality, sentencepieces, token_counts, url_filters
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_minhash_dedup": minhash_dedup.query,
     "op5_quality": quality.query,
     "op6_language_id": language_id.query,
+    "op7_embedding_dedup": embedding_dedup.query,
     "op8_media_avi": media_avi.query,
     "op9_sentencepieces": sentencepieces.query,
     "op10_token_counts": token_counts.query,
