@@ -146,7 +146,7 @@ def from_store(stored: DataFrame) -> DataFrame:
         .when(k == "bool", F.when(flag.isNotNull(), kinds.value("bool", flag.cast("string"), num=flag.cast("double"))))
         .when(k == "marker", kinds.marker(flag))
         .when(k == "na", F.when(flag, kinds.value("na", F.lit("NA"))))
-        .when(k == "remove", F.when(flag, kinds.REMOVE))
+        .when(k == "remove", F.when(flag, kinds.removed()))
         .when(k == "date", F.when(whole.isNotNull(), kinds.value("date", F.date_add(F.lit("1970-01-01").cast("date"), (whole - _ORDINAL).cast("int")).cast("string"))))
         .when(k == "time", F.when(whole.isNotNull(), kinds.value("time", clock)))
         .when(k == "datetime", kinds.datetime(F.timestamp_seconds(whole)))
@@ -226,7 +226,7 @@ def last_per_level(writes: DataFrame, now: Column | str) -> DataFrame:
     """
     at = F.lit(now).cast("timestamp") if isinstance(now, str) else now
     last = writes.groupBy("id", "level").agg(F.max_by(F.struct("val", "who", "at", "duration_s"), "at").alias("w"))
-    ends = F.timestamp_micros(F.unix_micros(F.col("w.at")) + F.col("w.duration_s") * 1_000_000)
+    ends = F.timestamp_micros(F.unix_micros(F.col("w.at")) + F.col("w.duration_s").cast("bigint") * 1_000_000)
     held = last.where(F.col("w.val").isNotNull() & (F.col("w.duration_s").isNull() | (ends >= at)))
     lowest = F.min("level").over(Window.partitionBy("id"))
     return held.select("id", "level", F.concat(F.lit("level "), F.col("level").cast("string")).alias("levelDis"), F.col("w.val").alias("val"), F.col("w.who").alias("who"), (F.col("level") == lowest).alias("in_force"))

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..operators.grid import tag_hash
 
 END = "9999-12-31 23:59:59"
-TICK = F.expr("INTERVAL 1 MICROSECOND")
+def tick() -> Column:
+    return F.expr("INTERVAL 1 MICROSECOND")
+
 KEYS = ("customer_id", "id")
 
 
@@ -34,7 +36,7 @@ def normal_version_column(version: Column) -> Column:
 def closed(starts: DataFrame, keys: tuple[str, ...] = KEYS, start: str = "start_datetime", end: str = "end_datetime") -> DataFrame:
     """Adds the end of each version: a tick before the next start of the same key."""
     following = F.lead(start).over(Window.partitionBy(*keys).orderBy(start))
-    return starts.withColumn(end, F.coalesce(following - TICK, F.lit(END).cast("timestamp")))
+    return starts.withColumn(end, F.coalesce(following - tick(), F.lit(END).cast("timestamp")))
 
 
 def as_of(versions: DataFrame, when: dt.datetime | dt.date | str, tenant: str | None = None) -> DataFrame:
@@ -67,7 +69,7 @@ def history(snapshots: DataFrame, state: Column, keys: tuple[str, ...] = KEYS, t
     first = rows.groupBy(*keys, "_run").agg(F.min(taken).alias("start_datetime"), F.max_by("_next", taken).alias("_gone"))
     kept = rows.where(fresh).drop("_state", "_next", "_before", taken)
     out = kept.join(first, [*keys, "_run"]).drop("_run")
-    return out.withColumn("end_datetime", F.coalesce(F.col("_gone") - TICK, F.lit(END).cast("timestamp"))).drop("_gone")
+    return out.withColumn("end_datetime", F.coalesce(F.col("_gone") - tick(), F.lit(END).cast("timestamp"))).drop("_gone")
 
 
 def tag_history(snapshots: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def changed(versions: DataFrame, patch: DataFrame, now: dt.datetime | str, gone:
     # one pass over the versions: a changed open row becomes the closed one and, unless it goes, the new one
     both = versions.join(p, list(KEYS), "left")
     hit = is_open & F.col("_p").isNotNull()
-    old = F.struct(F.col("start_datetime").alias("s"), F.when(hit, at - TICK).otherwise(F.col("end_datetime")).alias("e"), F.struct(*values).alias("v"))
+    old = F.struct(F.col("start_datetime").alias("s"), F.when(hit, at - tick()).otherwise(F.col("end_datetime")).alias("e"), F.struct(*values).alias("v"))
     new = F.struct(at.alias("s"), F.lit(END).cast("timestamp").alias("e"), F.struct(*[F.coalesce(F.col(f"_p.{v}"), F.col(v)).alias(v) for v in values]).alias("v"))
     rows = both.select(*KEYS, F.explode(F.when(hit & ~F.col("_gone"), F.array(old, new)).otherwise(F.array(old))).alias("r")).select(*KEYS, F.col("r.s").alias("start_datetime"), F.col("r.e").alias("end_datetime"), *[F.col(f"r.v.{v}").alias(v) for v in values])
     open_keys = versions.where(is_open).select(*KEYS)

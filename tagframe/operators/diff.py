@@ -33,8 +33,8 @@ def patch_of(left: DataFrame, right: DataFrame) -> DataFrame:
     """The patch that turns left into right; entities that are the same give no row."""
     a, b = left.select("id", F.col("tags").alias("a")), right.select("id", F.col("tags").alias("b"))
     both = a.join(b, "id", "full_outer").where(F.col("a").isNull() | F.col("b").isNull() | (tag_hash(F.col("a")) != tag_hash(F.col("b"))))
-    changed = F.map_filter(F.map_zip_with("a", "b", lambda k, x, y: F.when(y.isNull(), kinds.REMOVE).when(~kinds.same(x, y), y)), lambda k, v: v.isNotNull())
-    gone = F.create_map(F.lit(GONE), kinds.REMOVE)
+    changed = F.map_filter(F.map_zip_with("a", "b", lambda k, x, y: F.when(y.isNull(), kinds.removed()).when(~kinds.same(x, y), y)), lambda k, v: v.isNotNull())
+    gone = F.create_map(F.lit(GONE), kinds.removed())
     return both.select("id", F.when(F.col("b").isNull(), gone).when(F.col("a").isNull(), F.col("b")).otherwise(changed).cast(kinds.TAGS).alias("tags"))
 
 

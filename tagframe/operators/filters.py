@@ -143,11 +143,12 @@ class _Plan:
             name = "__" + "_".join(prefix)
             source = self.column(prefix)
             keys = ["customer_id"] if self.tenant is None and "customer_id" in self.targets.columns and "customer_id" in self.df.columns else []
+            needed = sorted(self.needed[prefix])
             if self.mapped:
-                found = self.targets.select(F.col("id").alias(f"{name}_id"), F.map_filter("tags", lambda k, v, p=prefix: k.isin(*self.needed[p])).alias(name), *[F.col(k).alias(f"{name}_{k}") for k in keys])
+                found = self.targets.select(F.col("id").alias(f"{name}_id"), F.map_filter("tags", lambda k, v: k.isin(needed)).alias(name), *[F.col(k).alias(f"{name}_{k}") for k in keys])
                 source = F.when(source["kind"] == "ref", source["str"])
             else:
-                tags = sorted(t for t in self.needed[prefix] if t in self.targets.columns)
+                tags = [t for t in needed if t in self.targets.columns]
                 found = self.targets.select(F.col("id").alias(f"{name}_id"), F.struct(F.lit(True).alias("__there"), *[F.col(f"`{t}`") for t in tags]).alias(name), *[F.col(k).alias(f"{name}_{k}") for k in keys])
             held = source.cast("string") == F.col(f"{name}_id")
             for k in keys:
