@@ -88,9 +88,11 @@ class Parser:
             symbols = self.squeezed([text])[0][:SAMPLE_LETTERS]
             t = suffix_automaton(symbols.tolist())
             begin = t[0]
-            restart = np.where(begin >= 0, begin | (1 << 28), 2 << 28)  # an unknown symbol is a phrase of its own
+            # an unknown symbol is a phrase of its own: it ends the open one, if that has begun, and opens the next
+            restart = np.where(begin >= 0, begin | (1 << 28), 2 << 28)
             first = sum(map(len, tables))
             t = np.where(t >= 0, t, restart[None, :])
+            t[0] = np.where(begin >= 0, begin, 1 << 28)
             tables.append(t + first)
             self.start.append(first)
             self.bits.append(np.log2(len(symbols) + 2))
@@ -127,6 +129,7 @@ class Parser:
             got = self.step[state[:, :m] * SYMBOLS + s[start[:m] + k]]
             count[:, :m] += got >> 28
             state[:, :m] = got & _STATE
+        count -= state == np.array(self.start, np.int32)[:, None]  # opened, but not begun
         return np.stack([np.bincount(owner, c, len(texts)) for c in count], 1) if n else np.zeros((len(texts), 0)), size
 
     def best(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -148,7 +148,8 @@ def train(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> tuple[byte
     order = F.xxhash64("doc_id"), F.col("doc_id")
     chosen = known.where("label IN (0, 1)").orderBy(*order).limit(sample)
     part = docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").orderBy(*order, F.xxhash64("text")).limit(sample)
-    return tuple(part.select("text", "label").coalesce(1).mapInArrow(_fit, "weight binary, bias double, offset double").first())
+    fitted = part.select("text", "label").coalesce(1).mapInArrow(_fit, "weight binary, bias double, offset double").first()
+    return tuple(fitted) if fitted else (np.zeros(FEATURES, np.float32).tobytes(), 0.0, 0.0)
 
 
 def scored(docs: DataFrame, model: tuple[bytes, float, float]) -> DataFrame:
