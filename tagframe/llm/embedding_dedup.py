@@ -6,7 +6,7 @@
    class: any two of them are linked, so the class is counted, not laid out.
 3. Leaders get neighbour lists from a forest of their own; rounds of NN-descent join the neighbours (both ways) of each leader with one another and keep
    the best. Lists whose last entry could still be linked are saturated: they are enlarged and refined again. An audit of
-   AUDIT leaders against all others in blocks measures recall; below TARGET there is another round with longer lists.
+   AUDIT leaders against all others in blocks measures recall; below TARGET another forest and round are added.
 4. Two classes whose leaders' angle, plus or minus both radii, settles the matter are linked as a whole or not at all;
    the others are compared member by member in blocks, in double precision.
 """
@@ -28,7 +28,7 @@ from .components import components
 #: Cosine of a link; hyperplane trees; nodes of a block; neighbours kept from a block; length of lists at first.
 LINK, TREES, BLOCK, NEAR, LENGTH = 0.9, 8, 256, 4, 8
 #: Leaders that are audited, recall that ends the search, and rounds of NN-descent at least and at most.
-AUDIT, TARGET, ROUNDS, MOST_ROUNDS = 256, 0.99, 2, 6
+AUDIT, TARGET, ROUNDS, MOST_ROUNDS = 256, 1.0, 2, 6
 _LEADERS = 3
 
 Block = Callable[[pa.Table], pa.Table | None]
@@ -81,27 +81,23 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array(node, pa.binary()), pa.array(unit, pa.binary())], ["vec_id", "node", "unit"])
 
 
-def _near(names: tuple[str, str, str]) -> Block:
+def _near(names: tuple[str, str, str], floor: float = 2.0) -> Block:
     def work(t: pa.Table) -> pa.Table | None:
-        """The NEAR best neighbours of each row of a block."""
+        """For each row of a block its NEAR best neighbours there, and all whose cosine is at least floor."""
         nodes, x = t[names[0]].to_pylist(), vectors(t["unit"])
         if len(nodes) < 2:
             return None
-        return best(nodes, x, NEAR, names)
+        near = x @ x.T
+        np.fill_diagonal(near, -2)
+        k = min(NEAR, len(nodes) - 1)
+        keep = near >= floor
+        keep[np.arange(len(nodes))[:, None], np.argpartition(-near, k - 1, 1)[:, :k]] = True
+        u, v = np.nonzero(keep)
+        return pa.table({names[0]: pa.array([nodes[i] for i in u], pa.binary()), names[1]: pa.array([nodes[i] for i in v], pa.binary()), names[2]: near[u, v]})
 
     return work
 
 
-def best(nodes: list[bytes], x: np.ndarray, k: int, names=("u", "v", "cos")) -> pa.Table:
-    near = x @ x.T
-    np.fill_diagonal(near, -2)
-    k = min(k, len(nodes) - 1)
-    top = np.argpartition(-near, k - 1, 1)[:, :k]
-    u = np.repeat(np.arange(len(nodes)), k)
-    v = top.ravel()
-    return pa.table({names[0]: pa.array([nodes[i] for i in u], pa.binary()), names[1]: pa.array([nodes[i] for i in v], pa.binary()), names[2]: near[u, v]})
-
-
 def forest(nodes: DataFrame, seed: int, trees: int = TREES) -> DataFrame:
     """nodes(node, unit) -> (u, v, cos): near neighbours within the blocks of random hyperplane trees."""
     n = nodes.count()
@@ -134,7 +130,7 @@ def lists(edges: DataFrame, length: int) -> DataFrame:
     return each.select("u", F.slice(F.sort_array("near", asc=False), 1, length).alias("near"))
 
 
-def descended(near: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
+def descended(near: DataFrame, nodes: DataFrame, length: int, floor: float) -> DataFrame:
     """One round: neighbours of neighbours, through forward and reverse lists, that are better than what a list holds."""
     forward = near.select("u", F.explode("near.v").alias("v"))
     # a node that very many list takes as many of them as its own list is long; they reach it by their other neighbours
@@ -142,7 +138,7 @@ def descended(near: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
     back = forward.withColumn("rank", rank).where(F.col("rank") <= length).select(F.col("v").alias("hub"), F.col("u").alias("node"))
     around = forward.select(F.col("u").alias("hub"), F.col("v").alias("node")).unionByName(back).unionByName(near.select(F.col("u").alias("hub"), F.col("u").alias("node"))).distinct()
     met = around.join(nodes.select("node", "unit"), "node").select("hub", "node", "unit").repartition("hub").sortWithinPartitions("hub")
-    found = met.mapInArrow(runs(["hub"], _near(("node", "v", "cos"))), "node binary, v binary, cos double").withColumnRenamed("node", "u")
+    found = met.mapInArrow(runs(["hub"], _near(("node", "v", "cos"), floor)), "node binary, v binary, cos double").withColumnRenamed("node", "u")
     return saved(lists(found.unionByName(near.select("u", F.inline("near")).select("u", "v", "cos")), length), "near")
 
 
@@ -170,22 +166,25 @@ def recall(near: DataFrame, nodes: DataFrame, least: float) -> tuple[float, int]
     return (got.held / got.n if got.n else 1.0), got.n
 
 
-def neighbour_lists(nodes: DataFrame, least: float = LINK) -> DataFrame:
+def neighbour_lists(nodes: DataFrame, floor: float) -> DataFrame:
     """nodes(node, unit, wide) -> (u, near): refined until no list is saturated and the audit holds.
 
-    A list is saturated if its last entry's cosine is at least the node's `wide`, so that one more might matter.
+    A list is saturated if its last entry's cosine is at least the node's `wide`, so that one more might matter; no pair
+    below floor ever does.
     """
     length, turn = LENGTH, 0
     near = saved(lists(forest(nodes, 1), length), "near")
     while True:
         turn += 1
-        near = descended(near, nodes, length)
+        near = descended(near, nodes, length, floor)
         if turn < ROUNDS:
             continue
-        full = near.join(nodes.select(F.col("node").alias("u"), "wide"), "u").where((F.size("near") >= length) & (F.element_at("near", -1).cos >= F.col("wide"))).count()
-        if turn >= MOST_ROUNDS and not full or not full and recall(near, nodes, least)[0] >= TARGET:
+        if not near.join(nodes.select(F.col("node").alias("u"), "wide"), "u").where((F.size("near") >= length) & (F.element_at("near", -1).cos >= F.col("wide"))).isEmpty():
+            length *= 2
+        elif turn >= MOST_ROUNDS or recall(near, nodes, floor)[0] >= TARGET:
             return near
-        length *= 2
+        else:
+            near = saved(lists(near.select("u", F.inline("near")).select("u", "v", "cos").unionByName(forest(nodes, turn + 1)), length), "near")
 
 
 def classes(nodes: DataFrame, edges: DataFrame, link: float) -> DataFrame:
@@ -248,7 +247,7 @@ def linked_vectors(rows: DataFrame, link: float = LINK) -> DataFrame:
     leaders = saved(leaders.select(F.col("leader").alias("node"), "unit", "radius", "size", F.cos(F.least(F.lit(math.pi), theta + F.col("radius") + widest)).alias("wide")), "leaders")
     # a leader of radius 0 whose neighbours all have radius 0 is settled by the threshold alone, so `wide` asks only of those
     leaders = leaders.withColumn("wide", F.when(F.col("radius") > 0, F.col("wide")).otherwise(F.lit(math.cos(min(math.pi, theta)))))
-    near = neighbour_lists(leaders, least=link)
+    near = neighbour_lists(leaders, math.cos(min(math.pi, theta + 2 * widest)))
 
     # classes that may be linked, from either side's list
     pairs = near.select("u", F.inline("near")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "cos"))).alias("angle")).groupBy("u", "v").agg(F.min("angle").alias("angle"))
