@@ -96,8 +96,8 @@ def encode_csv(v: Column) -> Column:
     kind = v["kind"]
     out = F.when(v.isNull(), "").when(kind == "marker", "✓").when(kind == "bool", v["str"])
     out = out.when(kind == "ref", F.concat(F.lit("@"), v["str"], F.coalesce(F.concat(F.lit(" "), v["dis"]), F.lit(""))))
-    # plain text stays plain unless it would be read as something else
-    plain = decode_csv(v["str"])["kind"] == "str"
+    # text that could be read as something else is quoted
+    plain = ~v["str"].rlike(r'^$|^[\s"`@\[{<✓\d-]|\s$|^(M|N|R|NA|T|F|INF|NaN|true|false)$|^\w+\(')
     return out.when((kind == "str") & plain, v["str"]).otherwise(encode_zinc(v))
 
 

@@ -11,6 +11,9 @@ from .jobs import series as ts
 from .jobs import versions as ver
 from .model import ENTITIES_SQL, SECOND_SQL, SERIES_SQL, SNAPSHOTS_SQL, STATES_SQL, tags_sql
 from .operators import diff, filters, graph, grid
+from .sources import formats
+from .sources.shared import shared_path
+from .streaming import live
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -425,8 +428,8 @@ def series_sources(spark, d):
 
 @query(
     "point_levels",
-    """WITH w AS (SELECT user_id AS id, event_id % 17 + 1 AS level, arg_max(CASE WHEN event_id % 9 <> 0 THEN value END, ts) FILTER (WHERE event_id % 9 <> 0) AS v0, arg_max(event_id, ts) AS last, max(ts) AS at FROM events GROUP BY 1, 2),
-h AS (SELECT id, level, value AS val FROM w JOIN events e ON e.event_id = last WHERE last % 9 <> 0 AND (last % 4 <> 0 OR at + INTERVAL 5 DAY >= TIMESTAMP '2024-01-25'))
+    """WITH w AS (SELECT user_id AS id, event_id % 17 + 1 AS level, arg_max(event_id, ts) AS last, max(ts) AS last_at FROM events GROUP BY 1, 2),
+h AS (SELECT id, level, value AS val FROM w JOIN events e ON e.event_id = last WHERE last % 9 <> 0 AND (last % 4 <> 0 OR last_at + INTERVAL 5 DAY >= TIMESTAMP '2024-01-25'))
 SELECT id, level, val, level = min(level) OVER (PARTITION BY id) AS in_force FROM h""",
 )
 def point_levels(spark, d):
@@ -522,3 +525,64 @@ def graph_site_edges(spark, d):
     li = model.table(spark, d, "lineitem")
     wide = li.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("supplier-"), "l_suppkey").alias("siteRef"), F.when(F.col("l_partkey") % 4 == 0, F.concat(F.lit("part-"), "l_partkey")).alias("partRef"))
     return graph.without_site_edges(graph.wide_edges(wide, ["siteRef", "partRef"]))
+
+
+# files and streams
+
+
+def _file_round_trip(name: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        path, tags = shared_path(spark, f"grids-{name}"), ["id", "dis", "customer", "supplier", "nationRef", "acctbal", "mktsegment"]
+        e = model.entities(spark, d).where("customer OR supplier")
+        rows = grid.to_tags(filters.of_kind(e.withColumn("key", F.col("id")).withColumn("id", F.col("id")), id="ref"), "key", values={"id": kinds.ref(F.col("id"), F.col("dis"))})
+        formats.write_grids(rows, path, name, tags)
+        back = formats.READERS[name](spark, path, all_files=True)
+        return back.select("id", F.col("tags")["id"]["dis"].alias("dis"), F.col("tags")["nationRef"]["str"].alias("nation"), F.col("tags")["acctbal"]["num"].alias("acctbal"), F.col("tags")["mktsegment"]["str"].alias("segment"), F.size("tags").alias("tags"))
+
+    QUERIES[f"files_{name}"] = run
+    SQL[f"files_{name}"] = f"WITH {ENTITIES_SQL} SELECT id, dis, \"nationRef\" AS nation, acctbal, mktsegment AS segment, 4 + (\"nationRef\" IS NOT NULL)::INT + (mktsegment IS NOT NULL)::INT AS tags FROM entities WHERE customer OR supplier"
+
+
+for _name in ("zinc", "trio", "json", "hayson", "csv"):
+    _file_round_trip(_name)
+
+
+@query("lake_read", "SELECT DISTINCT epoch_us(date_trunc('second', ts)) AS ts, value AS val FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND date_trunc('second', ts) < TIMESTAMP '2024-01-12'")
+def lake_read(spark, d):
+    import datetime as dt
+
+    path = shared_path(spark, "lake")
+    e = model.table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), "value", F.year("ts").alias("year"), F.month("ts").alias("month"), F.dayofmonth("ts").alias("day"))
+    e.repartition("year", "month", "day").write.partitionBy("year", "month", "day").parquet(path)
+    spec = {"date_part_keys": {"year_col": "year", "month_col": "month", "day_col": "day"}, "hs_value_column": {"value": "float"}, "hs_date_column": {"time": "%Y-%m-%d %H:%M:%S"}}
+    return ts.read_lake(spark, path, spec, dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 12)).select(us("ts"), "val")
+
+
+def _stream(spark, d):
+    """events as a stream of points."""
+    files = f"{d}/events.parquet"
+    schema = spark.read.parquet(files).schema
+    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(files.replace("events.parquet", "[e]vents.parquet"))
+    return e.select(F.concat(F.lit("point-"), F.col("user_id").cast("string")).alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("val"))
+
+
+def _ran(df: DataFrame, name: str, mode: str) -> DataFrame:
+    """Runs a stream over what is there now, into a table that keeps every row given out."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    store = lambda batch, n: batch.write.mode("append").parquet(f"{path}/rows")
+    q = df.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+@query("stream_his_write", "SELECT 'point-' || user_id AS id, epoch_us(ts) AS ts, arg_max(value, value) AS val FROM events GROUP BY user_id, ts")
+def stream_his_write(spark, d):
+    return _ran(live.his_write(_stream(spark, d), "3650 days"), "his", "append").select("id", us("ts"), "val")
+
+
+@query("stream_watch", "SELECT 'w' || (user_id % 2) AS watch, 'point-' || user_id AS id, arg_max(value, ts) AS val FROM events WHERE user_id IN (SELECT c_custkey FROM customer) GROUP BY user_id")
+def stream_watch(spark, d):
+    c = model.table(spark, d, "customer")
+    subs = c.select(F.concat(F.lit("w"), (F.col("c_custkey") % 2).cast("string")).alias("watch"), F.concat(F.lit("point-"), F.col("c_custkey").cast("string")).alias("id"), F.lit(3600.0).alias("lease_s"))
+    out = _ran(live.watch(_stream(spark, d), subs), "watch", "update")
+    return out.groupBy("watch", "id").agg(F.max_by("val", "ts").alias("val"))

@@ -30,10 +30,10 @@ def format_of(path: Column) -> Column:
     return out
 
 
-def _texts(spark: SparkSession, path: str, name: str) -> DataFrame:
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", _GLOBS[name]).text(path)
+def _texts(spark: SparkSession, path: str, name: str, all_files: bool = False) -> DataFrame:
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*" if all_files else _GLOBS[name])
     rows = rows.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace(F.ltrim("value"), f"^{BOM}", "").alias("text"))
-    return rows.where(format_of(F.col("file")) == name)
+    return rows if all_files else rows.where(format_of(F.col("file")) == name)
 
 
 def _entities(rows: DataFrame) -> DataFrame:
@@ -42,9 +42,9 @@ def _entities(rows: DataFrame) -> DataFrame:
     return rows.select("file", tags.alias("tags")).select("file", F.col("tags")["id"]["str"].alias("id"), "tags")
 
 
-def read_json(spark: SparkSession, path: str, hayson: bool = False) -> DataFrame:
-    """Tagged JSON, or Hayson: {meta, cols, rows: [{tag: value}]}."""
-    rows = _texts(spark, path, "hayson" if hayson else "json")
+def read_json(spark: SparkSession, path: str, all_files: bool = False, hayson: bool = False) -> DataFrame:
+    """Tagged JSON, or Hayson: {meta, cols, rows: [{tag: value}]}. all_files: whatever their suffix, here and below."""
+    rows = _texts(spark, path, "hayson" if hayson else "json", all_files)
     parsed = rows.select("file", F.explode(F.from_json("text", "rows ARRAY<MAP<STRING, STRING>>").rows).alias("row"))
     decode = (lambda k, v: zinc.decode_hayson(_requoted(v))) if hayson else (lambda k, v: kinds.decode_tagged(v))
     return _entities(parsed.select("file", F.transform_values("row", decode).alias("tags")))
@@ -66,14 +66,20 @@ def grid_metadata(spark: SparkSession, path: str, name: str = "json") -> DataFra
     return rows.select("file", meta["ver"].alias("ver"), F.to_json(meta).alias("meta"))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header of tags; files may have other columns, each is read by its own header."""
+def _csv(spark: SparkSession, path: str, file: Column) -> DataFrame:
+    raw = spark.read.option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"').csv(path)
+    cells = F.map_from_arrays(F.array(*[F.lit(c.lstrip(BOM)) for c in raw.columns]), F.array(*[F.col(f"`{c}`") for c in raw.columns]))
+    return _entities(raw.select(file.alias("file"), F.transform_values(cells, lambda k, v: zinc.decode_csv(v)).alias("tags")))
+
+
+def read_csv(spark: SparkSession, path: str, all_files: bool = False) -> DataFrame:
+    """CSV with a header of tags. Files are told apart by their header and read one by one; all_files: one header, one scan."""
+    if all_files:
+        return _csv(spark, path, F.col("_metadata.file_path"))
     files = [r.file for r in _texts(spark, path, "csv").select("file").distinct().collect()]  # names alone
     out = None
     for file in sorted(files):
-        raw = spark.read.option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"').csv(file)
-        cells = F.map_from_arrays(F.array(*[F.lit(c.lstrip(BOM)) for c in raw.columns]), F.array(*[F.col(f"`{c}`") for c in raw.columns]))
-        one = _entities(raw.select(F.lit(file).alias("file"), F.transform_values(cells, lambda k, v: zinc.decode_csv(v)).alias("tags")))
+        one = _csv(spark, file, F.lit(file))
         out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], "file string, id string").withColumn("tags", F.create_map().cast(kinds.TAGS))
 
@@ -113,15 +119,15 @@ def _zinc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(tags, strings), pa.array(values, strings)], ["file", "tags", "cells"])
 
 
-def read_zinc(spark: SparkSession, path: str) -> DataFrame:
-    rows = _texts(spark, path, "zinc").mapInArrow(_zinc_rows, "file string, tags array<string>, cells array<string>")
+def read_zinc(spark: SparkSession, path: str, all_files: bool = False) -> DataFrame:
+    rows = _texts(spark, path, "zinc", all_files).mapInArrow(_zinc_rows, "file string, tags array<string>, cells array<string>")
     return _entities(rows.select("file", F.transform_values(F.map_from_arrays("tags", "cells"), lambda k, v: zinc.decode_zinc(v)).alias("tags")))
 
 
-def read_trio(spark: SparkSession, path: str) -> DataFrame:
+def read_trio(spark: SparkSession, path: str, all_files: bool = False) -> DataFrame:
     """Trio: `tag: value` lines, records between lines of dashes, bare tags as markers, indented lines continue a value."""
     text = F.regexp_replace(F.regexp_replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), r"(?m)^//.*$", ""), r"\n[ \t]+", "\u0001")
-    records = _texts(spark, path, "trio").select("file", F.posexplode(F.split(text, r"(?m)^-+\s*$")).alias("record", "text")).where(F.trim("text") != "")
+    records = _texts(spark, path, "trio", all_files).select("file", F.posexplode(F.split(text, r"(?m)^-+\s*$")).alias("record", "text")).where(F.col("text").rlike(r"\S"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     name = lambda x: F.trim(F.split(x, ":", 2)[0])
     rest = lambda x: F.when(x.contains(":"), F.trim(F.split(x, ":", 2)[1])).otherwise("M")
@@ -130,7 +136,7 @@ def read_trio(spark: SparkSession, path: str) -> DataFrame:
     return _entities(records.select("file", F.transform_values(tags, lambda k, v: F.when(v.contains("\n") & ~v.startswith("Zinc:"), kinds.value("str", v)).otherwise(zinc.decode_zinc(v))).alias("tags")))
 
 
-READERS = {"zinc": read_zinc, "trio": read_trio, "csv": read_csv, "json": read_json, "hayson": lambda spark, path: read_json(spark, path, hayson=True)}
+READERS = {"zinc": read_zinc, "trio": read_trio, "csv": read_csv, "json": read_json, "hayson": lambda spark, path, all_files=False: read_json(spark, path, all_files, hayson=True)}
 
 
 def read_grids(spark: SparkSession, path: str) -> DataFrame:
@@ -162,18 +168,22 @@ def _framed(lines: DataFrame, head: str, foot: str, joint: str) -> DataFrame:
 
 def lines(entities: DataFrame, name: str, tags: list[str]) -> DataFrame:
     """One text line (or record) for each entity."""
-    v = {t: F.col("tags")[t] for t in tags}
+    # one expression for all tags: a scalar's encoder is long, and must not be repeated for each of them
+    pairs = F.array(*[F.struct(F.lit(t).alias("tag"), F.col("tags")[t].alias("value")) for t in tags])
+    there = F.filter(pairs, lambda e: e["value"].isNotNull())
     if name == "zinc":
-        return entities.select(F.concat_ws(",", *[F.when(c.isNull(), "").otherwise(zinc.encode_zinc(c)) for c in v.values()]).alias("value"))
+        return entities.select(F.array_join(F.transform(pairs, lambda e: F.when(e["value"].isNull(), "").otherwise(zinc.encode_zinc(e["value"]))), ",").alias("value"))
     if name == "csv":
         quoted = lambda c: F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
-        return entities.select(F.concat_ws(",", *[quoted(zinc.encode_csv(c)) for c in v.values()]).alias("value"))
+        cells_ = F.transform(pairs, lambda e: zinc.encode_csv(e["value"]))
+        return entities.select(F.array_join(F.transform(cells_, quoted), ",").alias("value"))
     if name == "trio":
-        line = lambda t, c: F.when(c.isNull(), F.lit(None)).when(c["kind"] == "marker", t).otherwise(F.concat(F.lit(f"{t}: "), zinc.encode_zinc(c)))
-        return entities.select(F.concat_ws("\n", *[line(t, c) for t, c in v.items()], F.lit("---")).alias("value"))
-    encode = zinc.encode_hayson if name == "hayson" else lambda c: F.when(c["kind"].isin("bool", "list", "dict", "grid"), c["str"]).otherwise(F.concat(F.lit('"'), zinc.escape(kinds.encode_tagged(c)), F.lit('"')))
-    pair = lambda t, c: F.when(c.isNotNull(), F.concat(F.lit(f'"{t}":'), encode(c)))
-    return entities.select(F.concat(F.lit("{"), F.concat_ws(",", *[pair(t, c) for t, c in v.items()]), F.lit("}")).alias("value"))
+        line = lambda e: F.when(e["value"]["kind"] == "marker", e["tag"]).otherwise(F.concat(e["tag"], F.lit(": "), zinc.encode_zinc(e["value"])))
+        return entities.select(F.concat(F.array_join(F.transform(there, line), "\n"), F.lit("\n---")).alias("value"))
+    plain = lambda c: F.when(c["kind"].isin("bool", "list", "dict", "grid"), c["str"]).otherwise(F.concat(F.lit('"'), zinc.escape(kinds.encode_tagged(c)), F.lit('"')))
+    encode = zinc.encode_hayson if name == "hayson" else plain
+    pair = lambda e: F.concat(F.lit('"'), e["tag"], F.lit('":'), encode(e["value"]))
+    return entities.select(F.concat(F.lit("{"), F.array_join(F.transform(there, pair), ","), F.lit("}")).alias("value"))
 
 
 def write_grids(entities: DataFrame, path: str, name: str, tags: list[str], mode: str = "errorifexists") -> None:

@@ -31,21 +31,22 @@ def _changes(refresh: bool) -> Callable:
             if ts is None or at > pd.Timestamp(ts):
                 ts, val = at, float(last["val"])
         state.update((ts, val))
-        state.setTimeoutDuration(max(1, int(lease * 1000)))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(pd.Timestamp(ts).timestamp() * 1000 + lease * 1000)))
         if refresh or old_ts is None or val != old_val:
             yield pd.DataFrame({"watch": [key[0]], "id": [key[1]], "ts": [ts], "val": [val]})
 
     return run
 
 
-def watch(points: DataFrame, subscriptions: DataFrame, refresh: bool = False) -> DataFrame:
+def watch(points: DataFrame, subscriptions: DataFrame, refresh: bool = False, delay: str = "1 hour") -> DataFrame:
     """For each watch and subscribed id the newest value, given out where it differs from what was given out before.
 
-    subscriptions(watch, id, lease_s) is static; a watch's state goes when its lease passes without points. refresh gives
-    out every newest value. State holds one value for each (watch, id), and ids are dealt over all tasks.
+    subscriptions(watch, id, lease_s) is static; a watch's state goes when its lease passes in the points' time without
+    points. refresh gives out every newest value. State holds one value for each (watch, id), and ids are dealt over all
+    tasks.
     """
-    met = points.select("id", "ts", "val").join(subscriptions, "id")
-    return met.groupBy("watch", "id").applyInPandasWithState(_changes(refresh), "watch string, id string, ts timestamp, val double", "ts timestamp, val double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    met = points.select("id", "ts", "val").withWatermark("ts", delay).join(subscriptions, "id")
+    return met.groupBy("watch", "id").applyInPandasWithState(_changes(refresh), "watch string, id string, ts timestamp, val double", "ts timestamp, val double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def point_write_batch(table: Callable[[], DataFrame], store: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:

@@ -16,14 +16,14 @@ def run(df, name, tmp_path, mode):
 
 def test_his_write_drops_repeats(spark, tmp_path):
     schema = "id string, ts timestamp, val double"
-    rows = spark.range(20).select(F.lit("p").alias("id"), F.timestamp_seconds(F.col("id") % 10).alias("ts"), F.lit(1.0).alias("val")).collect()
+    rows = spark.range(20).select(F.lit("p").alias("id"), F.timestamp_seconds(F.col("id") % 10 + 1000).alias("ts"), F.lit(1.0).alias("val")).collect()
     assert run(live.his_write(stream(spark, tmp_path, "w", rows, schema)), "w", tmp_path, "append").count() == 10
 
 
 def test_watch_gives_changes_of_subscribed_ids(spark, tmp_path):
     schema = "id string, ts timestamp, val double"
     rows = spark.range(30).select(F.concat(F.lit("p"), F.col("id") % 3).alias("id"), F.timestamp_seconds("id").alias("ts"), F.col("id").cast("double").alias("val")).collect()
-    subs = spark.createDataFrame([("w1", "p0", 60.0), ("w1", "p1", 60.0), ("w2", "p0", 60.0)], "watch string, id string, lease_s double")
+    subs = spark.createDataFrame([("w1", "p0", 1.0), ("w1", "p1", 1.0), ("w2", "p0", 1.0)], "watch string, id string, lease_s double")
     got = {(r.watch, r.id): r.val for r in run(live.watch(stream(spark, tmp_path, "v", rows, schema), subs), "v", tmp_path, "update").collect()}
     assert got == {("w1", "p0"): 27.0, ("w1", "p1"): 28.0, ("w2", "p0"): 27.0}
 
