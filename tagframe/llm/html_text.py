@@ -36,20 +36,20 @@ NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "svg", "c
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "toolbar", "alert", "dialog", "alertdialog", "status"}
 #: Words of class and id that mark what is not the article.
 WORDS = {
-    "ad", "ads", "adsbygoogle", "adsense", "advert", "advertisement", "advertisements", "advertising", "adverts", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "commentlist", "comments", "consent", "cookie", "cookies",
-    "disclaimer", "discussion", "disqus", "dropdown", "footer", "gdpr", "hidden", "login", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification",
-    "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "respond", "responses", "share", "sharing", "sidebar", "signup", "sitemap", "skip", "social", "sponsor", "sponsored", "subscribe",
-    "subscription", "toolbar", "topbar", "widget", "widgets",
+    "ad", "adbox", "ads", "adsbygoogle", "adsense", "adslot", "advert", "advertisement", "advertisements", "advertising", "adverts", "alert", "announcement", "banner", "banners", "breadcrumb", "breadcrumbs", "colophon", "comment", "commentlist", "comments", "consent", "cookie", "cookiebar", "cookies", "copyright",
+    "disclaimer", "discussion", "disqus", "dropdown", "footer", "gdpr", "hidden", "leaderboard", "login", "mainmenu", "mainnav", "masthead", "menu", "menubar", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "notifications",
+    "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "respond", "responses", "share", "sharing", "sidebar", "sidebars", "sidenav", "signup", "sitemap", "skip", "social", "sponsor", "sponsored", "subscribe",
+    "subscription", "teaser", "teasers", "toolbar", "topbar", "topnav", "trending", "widget", "widgets",
 }
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_SPLIT = re.compile(r"[^a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
-    """inside: whether an article or main element is open."""
+def _unwanted(tag: str, attributes: str, inside: bool, named: bool = True) -> bool:
+    """inside: whether an article or main element is open. named: whether words of class and id count."""
     if tag in NEVER or tag == "header" and not inside:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -58,19 +58,24 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
-        if name in ("class", "id"):
+        if named and name in ("class", "id"):
             words = _SPLIT.split(value)
+            if not {"has", "with", "no"}.isdisjoint(words):  # says what is beside it
+                continue
             if not WORDS.isdisjoint(words) or "header" in words and not inside:
                 return True
     return False
 
 
-def text_nodes(page: str) -> tuple[list[tuple[int, str, int]], list[int], list[str]]:
-    """(element, text, block) of each wanted piece of text; the parent, and the tag path, of each element."""
+def text_nodes(page: str, named: bool = True) -> tuple[list[tuple[int, str, int]], list[int], list[str]]:
+    """(element, text, block) of each wanted piece of text; the parent, and the tag path, of each element.
+
+    Where words of class and id would take every article and main element away, the page is read without them.
+    """
     parents, paths, out = [-1], [""], []
     stack = [("", 0, False)]  # tag, element, unwanted
     block, at, articles = 0, 0, 0
-    size = len(page)
+    size, seen = len(page), set()  # whether article elements were unwanted
 
     def pop() -> None:
         nonlocal articles
@@ -101,7 +106,9 @@ def text_nodes(page: str) -> tuple[list[tuple[int, str, int]], list[int], list[s
             at = page.find(">", close.start()) + 1 if close else size
             at = at or size
             continue
-        unwanted = stack[-1][2] or _unwanted(tag, m[3], articles > 0)
+        unwanted = stack[-1][2] or _unwanted(tag, m[3], articles > 0, named)
+        if tag in ("article", "main"):
+            seen.add(unwanted)
         if tag in INLINE:
             if unwanted and not stack[-1][2] and tag not in VOID:  # an unwanted inline element ends where it is closed
                 close = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
@@ -127,14 +134,14 @@ def text_nodes(page: str) -> tuple[list[tuple[int, str, int]], list[int], list[s
                     while len(stack) > k:
                         pop()
                     break
-        unwanted = stack[-1][2] or _unwanted(tag, m[3], articles > 0)
+        unwanted = stack[-1][2] or _unwanted(tag, m[3], articles > 0, named)
         if tag in VOID or m[3].endswith("/") and tag not in ENDS_P:
             continue
         parents.append(stack[-1][1])
         paths.append(f"{paths[stack[-1][1]]}/{tag}")
         stack.append((tag, len(parents) - 1, unwanted))
         articles += tag in ("article", "main")
-    return out, parents, paths
+    return text_nodes(page, False) if named and seen == {True} else (out, parents, paths)
 
 
 def smoothed(values: np.ndarray) -> np.ndarray:

@@ -21,6 +21,11 @@ def page(article, extra=""):
         (page(f"<p>{BODY}</p><!-- no <p>x</p> --><ul><li>a<li>b</ul>"), f"{BODY}\na\nb"),
         (page(f"<p>{BODY}</p>")[:-30], BODY),
         (page(f"<p>one <em>two</em><a href='x>y'>three</a> {BODY}</p>"), f"one twothree {BODY}"),
+        (page(f"<p>{BODY}</p><div class='ad2'>Buy, buy now.</div>"), BODY),
+        (page(f"<p>{BODY}</p>").replace("<article>", "<div class='sidebar-left main'><article>"), BODY),
+        (page(f"<p>{BODY}</p>").replace("<body>", "<body><div class='page has-sidebar'>"), BODY),
+        (page(f"<p>{BODY}</p>", "<aside><article><p>Other, other. More of it, here.</p></article></aside><div class=related><article><p>Third, third.</p></article></div>"), BODY),
+        ("<div class=ad>Buy, buy now.</div>", ""),
         ("", ""),
         (None, ""),
         ("plain text", "plain text"),
