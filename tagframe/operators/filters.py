@@ -95,7 +95,7 @@ def _compare_column(c: Column, kind: str, data: T.DataType, op: str, x: lang.Lit
         other = F.unhex(F.lit(x.text))
     else:
         other = F.lit(x.text)
-    return F.coalesce(_order(op, c, other), F.lit(False))
+    return _order(op, c, other)  # null counts as false under and / or; the bare comparison reaches the scan
 
 
 class _Plan:
@@ -183,7 +183,7 @@ def compile_filter(text: str, entities: DataFrame) -> Column:
     plan.need(lang.paths(node))
     if any(not plan.nested(p) for p in plan.needed):
         raise lang.FilterError("reference paths need joins: use where()")
-    return plan.condition(node)
+    return F.coalesce(plan.condition(node), F.lit(False))
 
 
 def where(entities: DataFrame, text: str, limit: int = 0, targets: DataFrame | None = None, tenant: str | None = None) -> DataFrame:
