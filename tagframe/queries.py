@@ -58,7 +58,7 @@ _filter("filter_ref", "nationRef == @nation-3 or regionRef == @region-2", "e.\"n
 _filter("filter_kind_mismatch", 'acctbal != "x" and dis != 3', "e.acctbal IS NOT NULL AND e.dis IS NOT NULL")
 _filter("filter_limit", "acctbal >= 1000", "e.acctbal >= 1000", limit=25)
 _filter("filter_all", "", "true")
-_filter("filter_or_paths", 'nationRef->dis == "CHINA" or nationRef->regionRef->dis == "EUROPE" or regionRef->dis == "EUROPE"', "coalesce(n.dis = 'CHINA', false) OR coalesce(r.dis = 'EUROPE', false) OR coalesce(x.dis = 'EUROPE', false)", joins=_TWO + ' LEFT JOIN entities x ON e."regionRef" = x.id')
+_filter("filter_or_paths", 'nationRef->dis == "NATION_7" or nationRef->regionRef->dis == "EUROPE" or regionRef->dis == "EUROPE"', "coalesce(n.dis = 'NATION_7', false) OR coalesce(r.dis = 'EUROPE', false) OR coalesce(x.dis = 'EUROPE', false)", joins=_TWO + ' LEFT JOIN entities x ON e."regionRef" = x.id')
 
 
 @query("filter_nested", "SELECT event_id, user_id FROM events WHERE (props::JSON ->> '$.k')::DOUBLE > 50")
@@ -260,11 +260,11 @@ def version_as_of(spark, d):
     return ver.as_of(_versions(spark, d), dt.date(1996, 6, 1)).select("id", "status", "priority")
 
 
-@query("version_filter", f"WITH {ENTITIES_SQL}, {STATES_SQL}, v AS (SELECT * FROM versions WHERE start_datetime <= TIMESTAMP '1997-01-01 12:00:00' AND end_datetime >= TIMESTAMP '1997-01-01 12:00:00') SELECT v.id FROM v JOIN entities e ON v.id = e.id LEFT JOIN entities n ON e.\"nationRef\" = n.id WHERE v.status = 'O' AND n.dis = 'CHINA'")
+@query("version_filter", f"WITH {ENTITIES_SQL}, {STATES_SQL}, v AS (SELECT * FROM versions WHERE start_datetime <= TIMESTAMP '1997-01-01 12:00:00' AND end_datetime >= TIMESTAMP '1997-01-01 12:00:00') SELECT v.id FROM v JOIN entities e ON v.id = e.id LEFT JOIN entities n ON e.\"nationRef\" = n.id WHERE v.status = 'O' AND n.dis = 'NATION_7'")
 def version_filter(spark, d):
     rows = ver.as_of(_versions(spark, d), "1997-01-01 12:00:00").select("id", "status")
     e = model.entities(spark, d)
-    return filters.where(rows.join(e.drop("status"), "id"), 'status == "O" and nationRef->dis == "CHINA"', targets=e).select("id")
+    return filters.where(rows.join(e.drop("status"), "id"), 'status == "O" and nationRef->dis == "NATION_7"', targets=e).select("id")
 
 
 @query("version_dates", f"WITH {STATES_SQL} SELECT DISTINCT epoch_us(start_datetime) AS start_datetime FROM versions")
