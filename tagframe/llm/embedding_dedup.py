@@ -6,7 +6,8 @@
    class: any two of them are linked, so the class is counted, not laid out.
 3. Leaders get neighbour lists from a forest of their own; rounds of NN-descent join the neighbours (both ways) of each leader with one another and keep
    the best. Lists whose last entry could still be linked are saturated: they are enlarged and refined again. An audit of
-   AUDIT leaders against all others in blocks measures recall; below TARGET another forest and round are added.
+   AUDIT leaders against all others measures recall of the pairs that may matter; below TARGET another forest and round
+   are added, and after MOST_ROUNDS of these all leaders are compared.
 4. Two classes whose leaders' angle, plus or minus both radii, settles the matter are linked as a whole or not at all;
    the others are compared member by member in blocks, in double precision.
 """
@@ -27,8 +28,9 @@ from .components import components
 
 #: Cosine of a link; hyperplane trees; nodes of a block; neighbours kept from a block; length of lists at first.
 LINK, TREES, BLOCK, NEAR, LENGTH = 0.9, 8, 256, 4, 8
-#: Leaders that are audited, recall that ends the search, and rounds of NN-descent at least and at most.
-AUDIT, TARGET, ROUNDS, MOST_ROUNDS = 256, 1.0, 2, 6
+#: Leaders that are audited, recall that ends the search, rounds of NN-descent at least, and at most with lists of one
+#: length; leaders that are compared with all others at once where these rounds were not enough.
+AUDIT, TARGET, ROUNDS, MOST_ROUNDS, WHOLE = 256, 1.0, 2, 6, 4096
 _LEADERS = 3
 
 Block = Callable[[pa.Table], pa.Table | None]
@@ -142,47 +144,81 @@ def descended(near: DataFrame, nodes: DataFrame, length: int, floor: float) -> D
     return saved(lists(found.unionByName(near.select("u", F.inline("near")).select("u", "v", "cos")), length), "near")
 
 
-def recall(near: DataFrame, nodes: DataFrame, least: float) -> tuple[float, int]:
-    """(share of the links of AUDIT nodes that their lists hold, number of these links), by comparing them with all nodes."""
-    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "unit").collect()  # a bounded number
-    shared = nodes.sparkSession.sparkContext.broadcast([(bytes(r.node), np.frombuffer(r.unit, np.float64)) for r in asked])
+def _needed(asked: list[tuple[bytes, np.ndarray, float]], slack: float = 0.0):
+    """A mapInArrow function over (node, unit, wide): the pairs with an asked node that either node's `wide` lets matter."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = {len(q) for _, q, _ in asked}
+        chosen = {d: [x for x in asked if len(x[1]) == d] for d in sizes}
+        others = {d: np.stack([q for _, q, _ in chosen[d]]).T for d in sizes}
+        least = {d: np.array([w for _, _, w in chosen[d]]) for d in sizes}
         for batch in batches:
-            u, v = [], []
+            u, v, cos = [], [], []
             units = [np.frombuffer(b.as_buffer(), np.float64) for b in batch["unit"]]
-            for d in {len(x) for x in units}:
-                ids = [n for n, q in shared.value if len(q) == d]
+            node, wide = batch["node"].to_pylist(), np.array(batch["wide"])
+            for d in {len(x) for x in units} & sizes:
                 rows = [k for k, x in enumerate(units) if len(x) == d]
-                if ids:
-                    close = np.stack([units[k] for k in rows]) @ np.stack([q for _, q in shared.value if len(q) == d]).T >= least
-                    for i, j in zip(*np.nonzero(close), strict=True):
-                        u.append(ids[j]), v.append(batch["node"][rows[i]].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
-
-    true = nodes.mapInArrow(compare, "u binary, v binary").where("u <> v")
-    held = near.select("u", F.explode("near.v").alias("v")).withColumn("held", F.lit(1))
+                near = np.stack([units[k] for k in rows]) @ others[d]
+                for i, j in zip(*np.nonzero(near >= np.minimum(wide[rows][:, None], least[d]) - slack), strict=True):
+                    if node[rows[i]] != chosen[d][j][0]:
+                        u.append(chosen[d][j][0]), v.append(node[rows[i]]), cos.append(float(near[i, j]))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(cos, pa.float64())], ["u", "v", "cos"])
+
+    return run
+
+
+def _shared(rows: DataFrame):
+    """A bounded number of nodes, for all executors."""
+    return rows.sparkSession.sparkContext.broadcast([(bytes(r.node), np.frombuffer(r.unit, np.float64), r.wide) for r in rows.select("node", "unit", "wide").collect()])
+
+
+def recall(near: DataFrame, nodes: DataFrame) -> tuple[float, int]:
+    """(share of the pairs of AUDIT nodes that may matter which either list holds, number of these), by comparing them with all nodes."""
+    shared = _shared(nodes.orderBy(F.xxhash64("node"), "node").limit(AUDIT))
+    true = nodes.select("node", "unit", "wide").mapInArrow(lambda batches: _needed(shared.value)(batches), "u binary, v binary, cos double").select("u", "v")
+    one = near.select("u", F.explode("near.v").alias("v"))
+    held = one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().withColumn("held", F.lit(1))
     got = true.join(held, ["u", "v"], "left").agg(F.count("*").alias("n"), F.count("held").alias("held")).first()
     return (got.held / got.n if got.n else 1.0), got.n
 
 
+def compared(nodes: DataFrame) -> DataFrame:
+    """nodes(node, unit, wide) -> (u, near): every pair that may matter, in the list of one of its nodes.
+
+    WHOLE nodes at a time are compared with all nodes, so this takes a time quadratic in the nodes, but neither a
+    shuffle nor more memory.
+    """
+    parts = max(1, math.ceil(nodes.count() / WHOLE))
+    nodes = nodes.select("node", "unit", "wide")
+    found = None
+    for k in range(parts):
+        shared = _shared(nodes.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == k))
+        pairs = saved(nodes.mapInArrow(lambda batches, s=shared: _needed(s.value, 1e-9)(batches), "u binary, v binary, cos double").where("u < v"), "compared")
+        shared.unpersist()
+        found = pairs if found is None else found.unionByName(pairs)
+    return saved(found.groupBy("u").agg(F.collect_list(F.struct("cos", "v")).alias("near")), "near")
+
+
 def neighbour_lists(nodes: DataFrame, floor: float) -> DataFrame:
     """nodes(node, unit, wide) -> (u, near): refined until no list is saturated and the audit holds.
 
     A list is saturated if its last entry's cosine is at least the node's `wide`, so that one more might matter; no pair
-    below floor ever does.
+    below floor ever does. Lists are never given back without an audit that holds: where MOST_ROUNDS rounds after the
+    last enlargement have not brought that about, all nodes are compared.
     """
-    length, turn = LENGTH, 0
+    length, turn, since = LENGTH, 0, 0
     near = saved(lists(forest(nodes, 1), length), "near")
     while True:
-        turn += 1
+        turn, since = turn + 1, since + 1
         near = descended(near, nodes, length, floor)
         if turn < ROUNDS:
             continue
         if not near.join(nodes.select(F.col("node").alias("u"), "wide"), "u").where((F.size("near") >= length) & (F.element_at("near", -1).cos >= F.col("wide"))).isEmpty():
-            length *= 2
-        elif turn >= MOST_ROUNDS or recall(near, nodes, floor)[0] >= TARGET:
+            length, since = 2 * length, 0
+        elif recall(near, nodes)[0] >= TARGET:
             return near
+        elif since >= MOST_ROUNDS:
+            return compared(nodes)
         else:
             near = saved(lists(near.select("u", F.inline("near")).select("u", "v", "cos").unionByName(forest(nodes, turn + 1)), length), "near")
 

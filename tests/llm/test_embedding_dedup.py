@@ -62,3 +62,27 @@ def test_recall_of_the_lists(spark, n):
     u /= np.linalg.norm(u, axis=1)[:, None]
     true = (u @ u.T >= 0.9).sum(1) - 1
     assert sum(min(got[i], t) for i, t in enumerate(true)) >= 0.99 * true.sum()
+
+
+def test_lists_that_grew_are_audited(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.ones(16) + 0.2 * rng.standard_normal((150, 16))  # all within `wide`, so lists grow beyond 128 entries
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    nodes = spark.createDataFrame([(bytes([k]), v.tobytes(), 0.5) for k, v in enumerate(x)], "node binary, unit binary, wide double")
+    audits, audit = [], e.recall
+    monkeypatch.setattr(e, "recall", lambda *a: audits.append(audit(*a)) or audits[-1])
+    near = {r.u: len(r.near) for r in e.neighbour_lists(nodes, 0.5).collect()}
+    assert audits and audits[-1][0] == 1.0
+    assert set(near.values()) == {149}
+
+
+def test_all_are_compared_where_rounds_do_not_end_in_an_audit_that_holds(spark, monkeypatch):
+    monkeypatch.setattr(e, "MOST_ROUNDS", 2)
+    monkeypatch.setattr(e, "WHOLE", 16)
+    # lists that always miss their best entries
+    lost = e.descended
+    monkeypatch.setattr(e, "descended", lambda *a: lost(*a).select("u", F.slice("near", 4, 100).alias("near")))
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((12, 16))
+    x = np.concatenate([base + 0.35 * rng.standard_normal(base.shape) for _ in range(4)])
+    check(spark, [(k, v.tolist()) for k, v in enumerate(x)] + [(100, [1.0, 0.0]), (101, [1.0, 0.1])])
