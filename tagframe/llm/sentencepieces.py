@@ -142,8 +142,10 @@ class Pieces:
                 if "\n" in word and "\n" not in self.id:
                     line = np.array([self.byte[10]], np.int32).tobytes()
                     return line.join([self.word(w) if w else b"" for w in word.split("\n")])
-                if len(word) > 2 and word[-2:] not in self.within:  # no piece holds both: all paths meet between them
-                    found = self.word(word[:-1]) + self.word(word[-1])
+                # where no piece holds two neighbours, all paths meet between them
+                cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.within]
+                if cuts:  # parts have no cuts
+                    found = b"".join([self.word(word[a:b]) for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
                 elif len(word) <= LOOK:
                     back, last = [0], [""]
                     self.extend(word, back, last, 0)

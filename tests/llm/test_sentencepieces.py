@@ -26,6 +26,12 @@ def test_equal_to_the_public_library(both):
         assert ours.decode(ids) == theirs.decode(ids)
 
 
+@pytest.mark.parametrize("text", ["漢字的人是一" * 834, "漢" * 5_000, "🎉" * 5_000, "☃" * 5_000, "漢字的人是一\n" * 800, "한국어" * 1_700, "ภาษาไทย" * 800, "a漢the字ing🎉" * 600])
+def test_long_texts_without_spaces(both, text):
+    ours, theirs = both
+    assert ours.encode(text).tolist() == theirs.encode(text)
+
+
 def test_streams_commit_before_the_end(both):
     ours, theirs = both
     text = "thequickbrownfoxjumpsoverthelazydog" * 200
