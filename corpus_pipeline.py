@@ -1,7 +1,7 @@
 """From documents to training input: quality, language, near-duplicates, mixing order, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the
-columns of documents.
+columns of documents; the last gives each document's slot and place in the mixing order, and is sorted by them.
 """
 
 from __future__ import annotations
@@ -42,8 +42,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes the documents."""
-    return sentencepieces.encoded(docs, sentencepieces.model_bytes()).select("doc_id", "lang", "source", "n_tokens", "ids")
+    """Encodes the documents, sorted by slot and place of the schedule.
+
+    Rows read back from files have no order, so the schedule is asked again; the same documents get the same one.
+    """
+    order = mixing.mixed_order(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", "text", "slot", "place")
+    return sentencepieces.encoded(order.orderBy("slot", "place"), sentencepieces.model_bytes()).select("doc_id", "lang", "source", "slot", "place", "n_tokens", "ids")
 
 
 STAGES = [
