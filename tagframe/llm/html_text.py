@@ -3,7 +3,9 @@
 Every text node has a tag path: the block elements from the root down to it. For each path the characters and the
 punctuation of its nodes are added up and divided by the number of its nodes. Along the page these two ratios are
 smoothed over neighbouring nodes and fused into one value; nodes whose value reaches THRESHOLD standard deviations are
-content. The deepest element that holds most of the content's characters is the article; its blocks are the text.
+content. The article is the deepest element that holds most of the content's characters, or the article or main element
+around it. The text is all blocks of the article, all other content whose own path reaches the threshold too, and the
+headings right before these.
 
 Elements that are never article (navigation, scripts, forms and so on, by tag, role or words of class and id) are left
 out before the ratios are taken.
@@ -32,6 +34,7 @@ INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "
 ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "table", "ul"}
 #: What an opening tag closes when it is the innermost open one of these, and where looking for it stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "svg", "canvas", "object", "audio", "video", "menu", "dialog", "search", "fieldset", "label", "input"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "toolbar", "alert", "dialog", "alertdialog", "status"}
 #: Words of class and id that mark what is not the article.
@@ -67,13 +70,15 @@ def _unwanted(tag: str, attributes: str, inside: bool, named: bool = True) -> bo
     return False
 
 
-def text_nodes(page: str, named: bool = True) -> tuple[list[tuple[int, str, int]], list[int], list[str]]:
+def text_nodes(page: str, named: bool = True, wanted: frozenset[int] = frozenset()) -> tuple[list[tuple[int, str, int]], list[int], list[str]]:
     """(element, text, block) of each wanted piece of text; the parent, and the tag path, of each element.
 
-    Where words of class and id would take every article and main element away, the page is read without them.
+    Where words of class and id would take every article and main element away, the page is read without them. A form
+    that holds an article or main element, or MOST of the text, is read like a div; wanted: the numbers of these forms.
     """
     parents, paths, out = [-1], [""], []
-    stack = [("", 0, False)]  # tag, element, unwanted
+    stack = [("", 0, 0)]  # tag, element, unwanted: 0 no, 1 yes, -k only as it is in the page's form k
+    forms, inner, around = 0, defaultdict(int), set()  # forms so far, characters in each, and those around an article
     block, at, articles = 0, 0, 0
     size, seen = len(page), set()  # whether article elements were unwanted
 
@@ -81,11 +86,21 @@ def text_nodes(page: str, named: bool = True) -> tuple[list[tuple[int, str, int]
         nonlocal articles
         articles -= stack.pop()[0] in ("article", "main")
 
+    def refused(tag: str, attributes: str) -> int:
+        outer = stack[-1][2]
+        if outer > 0:
+            return outer
+        if tag == "form":
+            return 1 if _unwanted("div", attributes, articles > 0, named) else outer or (0 if forms in wanted else -forms)
+        return 1 if _unwanted(tag, attributes, articles > 0, named) else outer
+
     while at <= size:
         m = _TOKEN.search(page, at)
         end = m.start() if m else size
         if end > at and not stack[-1][2]:
             out.append((stack[-1][1], page[at:end], block))
+        elif end > at and stack[-1][2] < 0:
+            inner[-stack[-1][2]] += len(page[at:end].strip())
         if not m:
             break
         at = m.end()
@@ -106,9 +121,11 @@ def text_nodes(page: str, named: bool = True) -> tuple[list[tuple[int, str, int]
             at = page.find(">", close.start()) + 1 if close else size
             at = at or size
             continue
-        unwanted = stack[-1][2] or _unwanted(tag, m[3], articles > 0, named)
+        forms += tag == "form"
+        unwanted = refused(tag, m[3])
         if tag in ("article", "main"):
-            seen.add(unwanted)
+            seen.add(unwanted != 0)
+            around.add(-unwanted)
         if tag in INLINE:
             if unwanted and not stack[-1][2] and tag not in VOID:  # an unwanted inline element ends where it is closed
                 close = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
@@ -134,13 +151,17 @@ def text_nodes(page: str, named: bool = True) -> tuple[list[tuple[int, str, int]
                     while len(stack) > k:
                         pop()
                     break
-        unwanted = stack[-1][2] or _unwanted(tag, m[3], articles > 0, named)
+        unwanted = refused(tag, m[3])
         if tag in VOID or m[3].endswith("/") and tag not in ENDS_P:
             continue
         parents.append(stack[-1][1])
         paths.append(f"{paths[stack[-1][1]]}/{tag}")
         stack.append((tag, len(parents) - 1, unwanted))
         articles += tag in ("article", "main")
+    whole = sum(len(text.strip()) for _, text, _ in out) + sum(inner.values()) if inner else 0
+    more = {k for k in inner if inner[k] >= MOST * whole > 0} | {k for k in around if k > 0}
+    if more - wanted:
+        return text_nodes(page, named, wanted | more)
     return text_nodes(page, False) if named and seen == {True} else (out, parents, paths)
 
 
@@ -185,13 +206,21 @@ def main_text(page: str | None) -> tuple[str, int, float]:
     for k in range(len(parents) - 1, 0, -1):
         held[parents[k]] += held[k]
     article = max((k for k in range(len(parents)) if held[k] >= MOST * held[0]), key=lambda k: (paths[k].count("/"), held[k]))
-    if paths[article].rsplit("/", 1)[-1] in ("p", "li", "td", "th", "dd", "dt", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"):
-        while article and paths[article].rsplit("/", 1)[-1] not in ("article", "main", "section", "div", "body"):
-            article = parents[article]
+    tags = [path.rsplit("/", 1)[-1] for path in paths]
+    while article and tags[article] not in ("article", "main", "section", "div", "body"):
+        article = parents[article]
+    above = article
+    while above and tags[above] not in ("article", "main"):
+        above = parents[above]
+    article = above or article
     inside = [k == article for k in range(len(parents))]
     for k in range(1, len(parents)):
         inside[k] |= inside[parents[k]]
-    kept = [text for element, text in found if inside[element]]
+    own = np.sqrt(ratio * dots) >= threshold  # beyond the article, not only by what its neighbours lend it
+    keep = [inside[element] or bool(yes) for (element, _), yes in zip(found, content & own, strict=True)]
+    for k in range(len(found) - 2, -1, -1):  # headings of what is kept
+        keep[k] = keep[k] or keep[k + 1] and tags[found[k][0]] in HEADINGS
+    kept = [text for (_, text), yes in zip(found, keep, strict=True) if yes]
     return "\n".join(kept), len(kept), threshold
 
 

@@ -44,6 +44,22 @@ def test_ratios_choose_the_article_without_semantic_tags():
     assert html_text.main_text(html)[0] == f"{BODY}\n{BODY}\nYes."
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (page(f"<h1>Head</h1><div class=body><p>{BODY}</p><p>{BODY}</p><p>{BODY}</p><p>{BODY}</p><p>{BODY}</p><p>{BODY}</p></div><div class=more><p>{BODY}</p></div>"), "\n".join(["Head", *[BODY] * 7])),
+        (page(f"<h1>Head</h1><p>Intro, here.</p><ul>{f'<li>{BODY}' * 6}</ul>"), "\n".join(["Head", "Intro, here.", *[BODY] * 6])),
+        (f"<body><div><h1>Head</h1><p>Intro, here.</p><table>{f'<tr><td>{BODY}' * 6}</table></div></body>", "\n".join(["Head", "Intro, here.", *[BODY] * 6])),
+        (f"<body><div><div>{f'<p>{BODY}' * 6}</div></div><div><h2>More</h2><p>{BODY}</p></div></body>", "\n".join([*[BODY] * 6, "More", BODY])),
+        (f"<body><main><article>{f'<p>{BODY}' * 6}</article><article><h2>More</h2><p>{BODY}</p></article></main></body>", "\n".join([*[BODY] * 6, "More", BODY])),
+        (page(f"<p>{BODY}</p><form><p>Mail, please.</p></form>").replace("<body>", "<body><form id=aspnet>").replace("</body>", "</form></body>"), BODY),
+        (f"<body><form><div><p>{BODY}</p><p>{BODY}</p></div></form><div>Short</div></body>", f"{BODY}\n{BODY}"),
+    ],
+)
+def test_all_content_of_nested_layouts(html, text):
+    assert html_text.main_text(html)[0] == text
+
+
 def test_frames(spark):
     rows = [(1, "u", page(f"<p>{BODY}</p>"), 5), (1, "u", None, 5), (2, None, "<p>" + "word, " * 50_000, 5)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, n_chars int")
