@@ -8,6 +8,10 @@ Weights are whole numbers, so a schedule repeats after as many slots as they add
 (a table of that many rows, a bound that does not depend on the documents); a block's slot follows by arithmetic. Where
 a source has no block left, a new phase begins in which the others share the slots by their weights. Numbering a
 source's documents takes one count per (source, shard), so no source is ever sorted or numbered in one task.
+
+Sources beyond the SOURCES largest are the leaves of a binary tree, in which two neighbours share the slots of their
+node by the same rule, with periods as long as their weights add up to; so do the tree and the SOURCES largest at the
+top. With two streams the slots follow by arithmetic alone, so nothing of this is laid out, and Spark holds the tree.
 """
 
 from __future__ import annotations
@@ -15,15 +19,16 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import table
+from .common import saved, table
 
 BLOCK_DOCS = 8
-#: Documents a shard holds about; sources that get weights of their own when none are given; the others share one.
+#: Documents a shard holds about; sources that one period is laid out for when no weights are given, the others are
+#: nested; the stream of null sources, and of sources without a given weight; steps of weights.
 SHARD_DOCS, SOURCES, OTHERS, STEPS = 2_000, 256, "\0others", 20
 
 
@@ -71,6 +76,32 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, int]) -> list[dict]:
     return out
 
 
+_PATH = "array<struct<level: int, right: boolean, weight: bigint, total: bigint, others: bigint>>"
+
+
+def nested(per: DataFrame) -> DataFrame:
+    """per(stream, weight, blocks) -> stream, blocks, path: at each node above a stream, from the lowest, what it shares it with."""
+    leaf = per.withColumn("leaf", F.row_number().over(Window.orderBy(F.desc("blocks"), "stream")) - 1)  # one row per source
+    depth = max(1, (per.count() - 1).bit_length())
+    each = leaf.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))).withColumn("node", F.expr("shiftright(leaf, level)"))
+    node = each.groupBy("level", "node").agg(F.sum("weight").alias("w"), F.sum("blocks").alias("b"))
+    beside = node.select("level", F.col("node").bitwiseXOR(F.lit(1)).alias("node"), F.col("w").alias("ow"), F.col("b").alias("others"))
+    shares = node.join(beside, ["level", "node"], "left").select(
+        "level", "node", F.struct("level", (F.col("node") % 2 == 1).alias("right"), F.col("w").alias("weight"), (F.col("w") + F.coalesce("ow", F.lit(0))).alias("total"), F.coalesce("others", F.lit(0)).alias("others")).alias("p")
+    )
+    return each.join(shares, ["level", "node"]).groupBy("stream", "blocks").agg(F.array_sort(F.collect_list("p")).cast(_PATH).alias("path"))
+
+
+def shared_slot(at: Column, path: str) -> Column:
+    """The slot, at the end of path, of what is `at` a slot of its own stream.
+
+    Of two streams the left takes the first slot of each of its windows, the right the last, which are all slots; where
+    one has run out, the other takes all that are left.
+    """
+    first = lambda k, p: F.when(p.right, F.call_function("div", (k + 1) * p.total - 1, p.weight)).otherwise(F.call_function("div", k * p.total, p.weight))
+    return F.aggregate(path, at.cast("bigint"), lambda k, p: k + F.least(p.others, first(k, p) - k))
+
+
 _PHASES = T.StructType([T.StructField(n, T.LongType()) for n in ("phase", "start", "size", "before", "count", "weight")] + [T.StructField("stream", T.StringType()), T.StructField("slots", T.ArrayType(T.LongType()))])
 
 
@@ -78,37 +109,60 @@ def mixed_order(docs: DataFrame, weights: Mapping[str, int] | None = None, block
     """docs(doc_id, source, ...) with stream, block, phase, release, due, slot and place added.
 
     weights: whole numbers by source; sources without one (null source included) form one further stream of weight 1.
-    Without weights, the SOURCES sources with most documents get weights by the square root of their documents, in
-    steps up to STEPS, and the others share one stream.
+    Without weights, every source, and null, gets a weight by the square root of its documents, in steps up to STEPS.
+    The SOURCES sources with most documents and null are laid out, the others nested, each in blocks of its own.
     Every row is kept and gets a slot of its block and a place in it; the order of rows within a source is by hash of
-    doc_id. release and due count slots of the phase. Columns of docs that clash are replaced; no rows give no rows.
+    doc_id. release and due count slots of the phase; those of a nested source count slots that it shares with its
+    neighbour, and its phase is 0. Columns of docs that clash are replaced; no rows give no rows.
     """
     new = ("stream", "block", "phase", "release", "due", "slot", "place")
     docs = docs.drop(*new)
+    spark, others, pool = docs.sparkSession, 1, None
     if weights is None:
-        counts = docs.where("source IS NOT NULL").groupBy("source").count().orderBy(F.desc("count"), "source").limit(SOURCES).collect()
-        weights = {r.source: max(1, round(STEPS * (r["count"] / counts[0]["count"]) ** 0.5)) for r in counts}
+        per = docs.groupBy("source").count()
+        top = per.where("source IS NOT NULL").orderBy(F.desc("count"), "source").limit(SOURCES + 1).collect()
+        none = per.where("source IS NULL").collect()
+        most = max((r["count"] for r in top + none), default=1)
+        weights = {r.source: max(1, round(STEPS * (r["count"] / most) ** 0.5)) for r in top[:SOURCES]}
+        others = max([1, *(round(STEPS * (r["count"] / most) ** 0.5) for r in none)])
+        if len(top) > SOURCES:
+            left = per.where(F.col("source").isNotNull()).join(F.broadcast(spark.createDataFrame([(x,) for x in weights], "source string")), "source", "left_anti")
+            weight = F.greatest(F.lit(1), F.round(STEPS * F.sqrt(F.col("count") / most))).cast("bigint")
+            pool = saved(left.select(F.col("source").alias("stream"), F.col("count").alias("n"), weight.alias("weight"), F.ceil(F.col("count") / block_docs).alias("blocks")), "pool")
     weights = {s: w for s, w in weights.items() if w > 0}
-    spark = docs.sparkSession
     listed = spark.createDataFrame([(s,) for s in sorted(weights)], "source string")
-    named = docs.join(F.broadcast(listed.withColumn("stream", F.col("source"))), "source", "left").withColumn("stream", F.coalesce("stream", F.lit(OTHERS)))
+    named = docs.join(F.broadcast(listed.withColumn("stream", F.col("source"))), "source", "left")
+    named = named.withColumn("stream", F.coalesce("stream", F.lit(OTHERS)) if pool is None else F.coalesce("source", F.lit(OTHERS)))
     named = named.select(*docs.columns, "stream", F.xxhash64(*[F.col(c).cast("string") for c in docs.columns if c == "doc_id"]).alias("_h"))
 
-    counts = {r.stream: r["count"] for r in named.groupBy("stream").count().collect()}  # one row per stream
+    known = named.groupBy("stream").count()
+    known = known if pool is None else known.join(pool, "stream", "left_anti")
+    counts = {r.stream: r["count"] for r in known.collect()}  # one row per stream that is laid out
     shards = {s: max(1, -(-n // SHARD_DOCS)) for s, n in counts.items()}
-    plan = phases({s: -(-n // block_docs) for s, n in counts.items()}, {**weights, OTHERS: 1})
+    blocks = {s: -(-n // block_docs) for s, n in counts.items()}
+    plan = phases(blocks, {**weights, OTHERS: others})
     laid = [(k, p["start"], p["size"], before, count, len(slots), s, slots) for k, p in enumerate(plan) for s, (slots, before, count) in p["sources"].items()]
-    sizes = spark.createDataFrame(list(shards.items()), "stream string, shards bigint")
+    sizes = F.broadcast(spark.createDataFrame(list(shards.items()), "stream string, shards bigint"))
     steps = spark.createDataFrame(laid, _PHASES)
-
-    placed = named.join(F.broadcast(sizes), "stream").withColumn("_shard", F.pmod("_h", "shards"))
+    if pool is None:
+        steps = F.broadcast(steps.withColumn("path", F.array().cast(_PATH)))
+    else:
+        a, n = sum(w for s, w in {**weights, OTHERS: others}.items() if s in counts), sum(blocks.values())
+        b, m = pool.agg(F.sum("weight"), F.sum("blocks")).first()
+        last = lambda right, w, left: F.array(F.struct(F.lit(0), F.lit(right), F.lit(w), F.lit(a + b), F.lit(left))).cast(_PATH)
+        tree = nested(pool.select("stream", "weight", "blocks"))
+        tree = tree.select(*(F.lit(0).cast("bigint").alias(c) for c in ("phase", "start")), F.col("path")[0].total.alias("size"), F.lit(0).cast("bigint").alias("before"), F.col("blocks").alias("count"), F.col("path")[0].weight.alias("weight"), "stream", F.lit(None).cast("array<bigint>").alias("slots"), F.concat("path", last(True, b, n)).alias("path"))
+        steps = steps.withColumn("path", last(False, a, m)).unionByName(saved(tree, "tree"))
+        sizes = sizes.unionByName(pool.select("stream", F.ceil(F.col("n") / SHARD_DOCS).alias("shards")))
+
+    placed = named.join(sizes, "stream").withColumn("_shard", F.pmod("_h", "shards"))
     each = placed.groupBy("stream", "_shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("stream").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     offset = each.select("stream", "_shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = F.row_number().over(Window.partitionBy("stream", "_shard").orderBy("_h", "doc_id"))
     nth = placed.withColumn("_n", within).join(offset, ["stream", "_shard"]).withColumn("_n", F.col("_n") + F.col("offset") - 1)
     nth = nth.withColumn("block", F.floor(F.col("_n") / block_docs)).withColumn("place", (F.col("_n") % block_docs).cast("int"))
-    slot = nth.join(F.broadcast(steps), "stream").where("block >= before AND block < before + count")
+    slot = nth.join(steps, "stream").where("block >= before AND block < before + count")
     j = F.col("block") - F.col("before")
     return slot.select(
         *docs.columns,
@@ -117,7 +171,7 @@ def mixed_order(docs: DataFrame, weights: Mapping[str, int] | None = None, block
         F.col("phase"),
         F.floor(j * F.col("size") / F.col("weight")).alias("release"),
         F.ceil((j + 1) * F.col("size") / F.col("weight")).alias("due"),
-        (F.col("start") + F.floor(j / F.col("weight")) * F.col("size") + F.expr("slots[cast((block - before) % weight AS int)]")).alias("slot"),
+        shared_slot(F.coalesce(F.col("start") + F.floor(j / F.col("weight")) * F.col("size") + F.expr("slots[cast((block - before) % weight AS int)]"), F.col("block")), "path").alias("slot"),
         "place",
     )
 

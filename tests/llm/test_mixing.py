@@ -47,6 +47,26 @@ def test_rows_are_all_kept_and_shares_hold(spark):
     assert ((first["release"] <= first["slot"]) & (first["slot"] < first["due"])).all()
 
 
+def test_sources_beyond_those_laid_out_keep_shares_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 3)
+    sizes = {"a": 400, "b": 400, "c": 300, **{f"d{k}": 40 + 10 * k for k in range(11)}, None: 500}
+    rows = [(k * 1000 + i, x) for k, (x, n) in enumerate(sizes.items()) for i in range(n)]
+    out = mixing.mixed_order(spark.createDataFrame(rows, "doc_id bigint, source string"), block_docs=4).toPandas()
+    out["source"] = out["source"].astype(object).where(out["source"].notna(), None)
+    assert sorted(out["doc_id"]) == [i for i, _ in rows]
+    one = out.drop_duplicates("slot").sort_values("slot")
+    assert out.groupby("slot")["source"].nunique(dropna=False).eq(1).all()
+    assert list(one["slot"]) == list(range(sum(-(-n // 4) for n in sizes.values())))
+    weight = {x: round(20 * (n / 500) ** 0.5) for x, n in sizes.items()}
+    total, order = sum(weight.values()), one["source"].tolist()
+    until = min(max(k for k, y in enumerate(order) if y == x) for x in sizes)  # all sources have blocks up to here
+    assert until > 100
+    count = dict.fromkeys(sizes, 0)
+    for k, x in enumerate(order[:until]):
+        count[x] += 1
+        assert all(abs(count[y] - (k + 1) * weight[y] / total) < 3 for y in sizes)
+
+
 def test_odd_tables(docs, no_docs):
     assert mixing.mixed_order(docs).count() == docs.count()
     assert mixing.mixed_order(no_docs).count() == 0
