@@ -1,106 +1,162 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node has a tag path: the block elements from the root down to it. For each path the characters and the
-punctuation of its nodes are added up and divided by the number of its nodes. Along the page these two ratios are
-smoothed over neighbouring nodes and fused into one value; nodes whose value reaches THRESHOLD standard deviations are
-content. The article is the deepest element that holds most of the content's characters, or the article or main element
-around it. The text is all blocks of the article, all other content whose own path reaches the threshold too, and the
-headings right before these.
-
-Elements that are never article (navigation, scripts, forms and so on, by tag, role or words of class and id) are left
-out before the ratios are taken.
+Every block of text has a tag path: the block elements from the root down to it, containers by tag and class. For each
+path the characters and the punctuation of its blocks are added up and divided by their number. Along the page these two
+ratios are smoothed over neighbouring blocks and fused into one value; a path's value is the mean of those of its blocks.
+Words of class and id, links and article elements only weigh: they multiply the value. Paths whose value reaches the
+page's threshold (`threshold_of`) are content, and their blocks are content blocks.
+
+The text is all content blocks, the headings right before them, and what else lies in the element that holds most of
+the content without a mark against it (short items of a list, say). Elements that are never article by tag or role
+(navigation, scripts, forms and so on) are left out before the ratios are taken.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table
 
-#: Share of the content's characters that the article's element holds, weights of a node's neighbours, and threshold.
-MOST, KERNEL, THRESHOLD = 0.8, (0.25, 0.5, 0.25), 0.5
+#: Share of the content's characters that the article's element holds, and weight of a block's own ratios beside those of
+#: its two neighbours.
+MOST, OWN = 0.8, 0.5
+#: What a value is multiplied by inside article or main elements, and under telling words of class or id.
+INSIDE, TELLING = 4.0, 0.1
+#: The least value of content, and the share of link text from which a path is a list of links.
+LEAST, LINKS = 1.0, 0.8
 
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "table", "ul"}
+#: Where looking for an open p stops.
+KEEPS_P = {"button", "td", "th", "table", "li", "div", "article", "section", "main", "body"}
 #: What an opening tag closes when it is the innermost open one of these, and where looking for it stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Containers, whose class or id is part of the path.
+NAMED = {"div", "section", "table", "td", "ul", "ol", "dl"}
+#: Elements that can be the article.
+HOLDERS = {"article", "main", "section", "div", "body"}
 NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "svg", "canvas", "object", "audio", "video", "menu", "dialog", "search", "fieldset", "label", "input"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "toolbar", "alert", "dialog", "alertdialog", "status"}
-#: Words of class and id that mark what is not the article.
+#: Words of class and id that speak against an article.
 WORDS = {
-    "ad", "adbox", "ads", "adsbygoogle", "adsense", "adslot", "advert", "advertisement", "advertisements", "advertising", "adverts", "alert", "announcement", "banner", "banners", "breadcrumb", "breadcrumbs", "colophon", "comment", "commentlist", "comments", "consent", "cookie", "cookiebar", "cookies", "copyright",
-    "disclaimer", "discussion", "disqus", "dropdown", "footer", "gdpr", "hidden", "leaderboard", "login", "mainmenu", "mainnav", "masthead", "menu", "menubar", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "notifications",
-    "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "respond", "responses", "share", "sharing", "sidebar", "sidebars", "sidenav", "signup", "sitemap", "skip", "social", "sponsor", "sponsored", "subscribe",
-    "subscription", "teaser", "teasers", "toolbar", "topbar", "topnav", "trending", "widget", "widgets",
+    "ad", "ads", "advert", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disclaimer", "footer", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
+    "notice", "overlay", "pagination", "popup", "promo", "recommended", "related", "replies", "share", "sidebar", "social", "sponsor", "sponsored", "subscribe", "teaser", "toolbar", "trending", "widget",
 }
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S)
-_NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 
 
-def _unwanted(tag: str, attributes: str, inside: bool, named: bool = True) -> bool:
-    """inside: whether an article or main element is open. named: whether words of class and id count."""
+def attributes_of(text: str) -> dict[str, str]:
+    return {name.lower(): value.strip("\"'").lower() for name, value in _ATTRIBUTE.findall(text)} if text.strip() else {}
+
+
+def refused(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether tag, role or hiding say that an element is no article. inside: whether an article or main is open."""
     if tag in NEVER or tag == "header" and not inside:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for name, value in _NAMED.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in ROLES
+
+
+def telling(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether words of class or id speak against an element."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    for name in ("class", "id"):
+        words = set(_SPLIT.split(attributes.get(name, "")))
+        if {"has", "with", "no"} & words:  # says what is beside it
+            continue
+        if words & WORDS or "header" in words and not inside:
             return True
-        if named and name in ("class", "id"):
-            words = _SPLIT.split(value)
-            if not {"has", "with", "no"}.isdisjoint(words):  # says what is beside it
-                continue
-            if not WORDS.isdisjoint(words) or "header" in words and not inside:
-                return True
     return False
 
 
-def text_nodes(page: str, named: bool = True, wanted: frozenset[int] = frozenset()) -> tuple[list[tuple[int, str, int]], list[int], list[str]]:
-    """(element, text, block) of each wanted piece of text; the parent, and the tag path, of each element.
+@dataclass
+class Page:
+    """The block elements of a page, each with its parent and path, and its blocks of text in order.
 
-    Where words of class and id would take every article and main element away, the page is read without them. A form
-    that holds an article or main element, or MOST of the text, is read like a div; wanted: the numbers of these forms.
+    A path is a number; its parent, tag, depth and marks stand in lists, so deep nesting takes memory in proportion.
     """
-    parents, paths, out = [-1], [""], []
+
+    parent: list[int] = field(default_factory=lambda: [-1])
+    path: list[int] = field(default_factory=lambda: [0])
+    tag: list[str] = field(default_factory=lambda: [""])
+    depth: list[int] = field(default_factory=lambda: [0])  # of paths, as are the next two
+    against: list[int] = field(default_factory=lambda: [0])  # elements on it with telling words
+    inside: list[bool] = field(default_factory=lambda: [False])  # article or main on it
+    known: dict[tuple[int, str], int] = field(default_factory=dict)
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)  # element, text, characters in links
+
+    def step(self, path: int, tag: str, attributes: dict[str, str]) -> int:
+        marked = telling(tag, attributes, self.inside[path])
+        name = re.sub(r"\d+", "", attributes.get("class") or attributes.get("id") or "") if tag in NAMED else ""
+        key = path, f"{tag}.{name}{'!' * marked}"
+        if key not in self.known:
+            self.known[key] = len(self.depth)
+            self.depth.append(self.depth[path] + 1)
+            self.against.append(self.against[path] + marked)
+            self.inside.append(self.inside[path] or tag in ("article", "main"))
+        return self.known[key]
+
+
+def read(source: str, wanted: frozenset[int] = frozenset()) -> Page:
+    """A page's blocks. A form that holds an article or main element, or MOST of the text, is read like a div (wanted)."""
+    page = Page()
     stack = [("", 0, 0)]  # tag, element, unwanted: 0 no, 1 yes, -k only as it is in the page's form k
+    open_: Counter[str] = Counter()
     forms, inner, around = 0, defaultdict(int), set()  # forms so far, characters in each, and those around an article
-    block, at, articles = 0, 0, 0
-    size, seen = len(page), set()  # whether article elements were unwanted
+    pieces: list[tuple[int, str, int, bool]] = []  # element, text, block, in a link
+    block, at, size, link = 0, 0, len(source), 0  # link: height of the stack where an a was opened
 
     def pop() -> None:
-        nonlocal articles
-        articles -= stack.pop()[0] in ("article", "main")
+        nonlocal link
+        open_[stack.pop()[0]] -= 1
+        if link > len(stack):
+            link = 0
 
-    def refused(tag: str, attributes: str) -> int:
+    def close(tags: set[str], stops: set[str]) -> None:
+        if not any(open_[t] for t in tags):
+            return
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] in tags:
+                while len(stack) > k:
+                    pop()
+                return
+            if stack[k][0] in stops:
+                return
+
+    def judged(tag: str, attributes: dict[str, str]) -> int:
         outer = stack[-1][2]
         if outer > 0:
             return outer
+        inside = open_["article"] + open_["main"] > 0
         if tag == "form":
-            return 1 if _unwanted("div", attributes, articles > 0, named) else outer or (0 if forms in wanted else -forms)
-        return 1 if _unwanted(tag, attributes, articles > 0, named) else outer
+            return 1 if refused("div", attributes, inside) else outer or (0 if forms in wanted else -forms)
+        return 1 if refused(tag, attributes, inside) else outer
 
     while at <= size:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(source, at)
         end = m.start() if m else size
         if end > at and not stack[-1][2]:
-            out.append((stack[-1][1], page[at:end], block))
+            pieces.append((stack[-1][1], source[at:end], block, link > 0))
         elif end > at and stack[-1][2] < 0:
-            inner[-stack[-1][2]] += len(page[at:end].strip())
+            inner[-stack[-1][2]] += len(source[at:end].strip())
         if not m:
             break
         at = m.end()
@@ -108,119 +164,126 @@ def text_nodes(page: str, named: bool = True, wanted: frozenset[int] = frozenset
         if not tag:
             continue
         if m[1]:
-            if tag not in INLINE:
+            if tag == "a":
+                link = 0
+            elif tag not in INLINE:
                 block += 1
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        while len(stack) > k:
-                            pop()
-                        break
+                close({tag}, set())
             continue
         if tag in RAW:
-            close = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
-            at = page.find(">", close.start()) + 1 if close else size
+            ends = re.compile(f"</{tag}[\\s/>]", re.I).search(source, at)
+            at = source.find(">", ends.start()) + 1 if ends else size
             at = at or size
             continue
         forms += tag == "form"
-        unwanted = refused(tag, m[3])
-        if tag in ("article", "main"):
-            seen.add(unwanted != 0)
-            around.add(-unwanted)
+        attributes = attributes_of(m[3])
         if tag in INLINE:
-            if unwanted and not stack[-1][2] and tag not in VOID:  # an unwanted inline element ends where it is closed
-                close = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-                at = close.end() if close else at
-            elif tag == "br":
-                out.append((stack[-1][1], " ", block)) if not stack[-1][2] else None
+            if tag == "br":
+                pieces.append((stack[-1][1], " ", block, False)) if not stack[-1][2] else None
+            elif tag not in VOID and not stack[-1][2] and judged(tag, attributes):  # ends where it is closed
+                ends = re.compile(f"</{tag}\\s*>", re.I).search(source, at)
+                at = ends.end() if ends else at
+            elif tag == "a":
+                link = len(stack)
             continue
         block += 1
         if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] in ("button", "td", "th", "table", "li", "div", "article", "section", "main", "body"):
-                    break
+            close({"p"}, KEEPS_P)
         elif tag in CLOSES:
-            closed, stops = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in stops:
-                    break
-                if stack[k][0] in closed:
-                    while len(stack) > k:
-                        pop()
-                    break
-        unwanted = refused(tag, m[3])
+            close(*CLOSES[tag])
+        unwanted = judged(tag, attributes)
+        if tag in ("article", "main"):
+            around.add(-unwanted)
         if tag in VOID or m[3].endswith("/") and tag not in ENDS_P:
             continue
-        parents.append(stack[-1][1])
-        paths.append(f"{paths[stack[-1][1]]}/{tag}")
-        stack.append((tag, len(parents) - 1, unwanted))
-        articles += tag in ("article", "main")
-    whole = sum(len(text.strip()) for _, text, _ in out) + sum(inner.values()) if inner else 0
+        page.parent.append(stack[-1][1])
+        page.path.append(page.step(page.path[stack[-1][1]], tag, attributes))
+        page.tag.append(tag)
+        stack.append((tag, len(page.parent) - 1, unwanted))
+        open_[tag] += 1
+    whole = sum(len(text.strip()) for _, text, _, _ in pieces) + sum(inner.values()) if inner else 0
     more = {k for k in inner if inner[k] >= MOST * whole > 0} | {k for k in around if k > 0}
     if more - wanted:
-        return text_nodes(page, named, wanted | more)
-    return text_nodes(page, False) if named and seen == {True} else (out, parents, paths)
+        return read(source, wanted | more)
+
+    start = 0
+    for k in range(1, len(pieces) + 1):
+        if k == len(pieces) or pieces[k][2] != pieces[start][2]:
+            text = " ".join(html.unescape("".join(p[1] for p in pieces[start:k])).split())
+            if text:
+                page.blocks.append((pieces[start][0], text, min(len(text), sum(len(p[1].strip()) for p in pieces[start:k] if p[3]))))
+            start = k
+    return page
 
 
-def smoothed(values: np.ndarray) -> np.ndarray:
-    side, middle, _ = KERNEL
-    padded = np.pad(values, 1, mode="edge")
-    return side * padded[:-2] + middle * padded[1:-1] + side * padded[2:]
+def smoothed(values: list[float]) -> list[float]:
+    side, last = (1 - OWN) / 2, len(values) - 1
+    return [side * values[max(0, k - 1)] + OWN * x + side * values[min(last, k + 1)] for k, x in enumerate(values)]
 
 
-def main_text(page: str | None) -> tuple[str, int, float]:
+def threshold_of(values: list[float], masses: list[float]) -> float:
+    """From the paths' values, each counted by the mass of its characters: the mean less half a deviation, but between a quarter and 0.6 of the mean."""
+    whole = sum(masses)
+    mean = sum(v * m for v, m in zip(values, masses, strict=True)) / whole
+    spread = math.sqrt(sum(m * (v - mean) ** 2 for v, m in zip(values, masses, strict=True)) / whole)
+    return max(LEAST, mean / 4, min(0.6 * mean, mean - spread / 2))
+
+
+def content_paths(page: Page) -> tuple[set[int], set[int], float]:
+    """(paths of content, paths of links, threshold)."""
+    chars, marks, count, links = (defaultdict(int) for _ in range(4))
+    paths = [page.path[element] for element, _, _ in page.blocks]
+    for p, (_, text, linked) in zip(paths, page.blocks, strict=True):
+        chars[p] += len(text)
+        marks[p] += len(_PUNCTUATION.findall(text))
+        count[p] += 1
+        links[p] += linked
+    length = smoothed([chars[p] / count[p] for p in paths])
+    dots = smoothed([1 + marks[p] / count[p] for p in paths])
+    total = defaultdict(float)
+    for p, a, b in zip(paths, length, dots, strict=True):
+        total[p] += math.sqrt(a * b)
+    weight = {p: (INSIDE if page.inside[p] else 1.0) * (TELLING if page.against[p] else 1.0) * max(0.05, 1 - links[p] / chars[p]) for p in count}
+    value = {p: weight[p] * total[p] / count[p] for p in count}
+    threshold = threshold_of(list(value.values()), [chars[p] * weight[p] for p in value])
+    return {p for p in value if value[p] >= threshold}, {p for p in count if links[p] > LINKS * chars[p]}, threshold
+
+
+def main_text(source: str | None) -> tuple[str, int, float]:
     """(text, number of blocks, threshold) of one page."""
-    nodes, parents, paths = text_nodes(page or "")
-    blocks: dict[int, list] = {}
-    for element, text, block in nodes:
-        if block in blocks:
-            blocks[block][1].append(text)
-        else:
-            blocks[block] = [element, [text]]
-    found = []
-    for element, parts in blocks.values():
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            found.append((element, text))
-    if not found:
+    page = read(source or "")
+    if not page.blocks:
         return "", 0, 0.0
-    chars, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for element, text in found:
-        path = paths[element]
-        chars[path] += len(text)
-        marks[path] += len(_PUNCTUATION.findall(text))
-        count[path] += 1
-    ratio = np.array([chars[paths[e]] / count[paths[e]] for e, _ in found])
-    dots = np.array([(1 + marks[paths[e]]) / count[paths[e]] for e, _ in found])
-    fused = np.sqrt(smoothed(ratio) * smoothed(dots))
-    threshold = THRESHOLD * float(fused.std())
-    content = fused >= min(threshold, float(fused.max()))
-    # characters of content below each element; the deepest element with most of them is the article
-    held = [0] * len(parents)
-    for (element, text), yes in zip(found, content, strict=True):
-        if yes:
+    content, links, threshold = content_paths(page)
+    # characters of content below each element; the deepest element with most of them, or the article around it
+    held = [0] * len(page.parent)
+    for element, text, _ in page.blocks:
+        if page.path[element] in content:
             held[element] += len(text)
-    for k in range(len(parents) - 1, 0, -1):
-        held[parents[k]] += held[k]
-    article = max((k for k in range(len(parents)) if held[k] >= MOST * held[0]), key=lambda k: (paths[k].count("/"), held[k]))
-    tags = [path.rsplit("/", 1)[-1] for path in paths]
-    while article and tags[article] not in ("article", "main", "section", "div", "body"):
-        article = parents[article]
+    for k in range(len(held) - 1, 0, -1):
+        held[page.parent[k]] += held[k]
+    if not held[0]:
+        return "", 0, threshold
+    article = max((k for k in range(len(held)) if held[k] >= MOST * held[0]), key=lambda k: (page.depth[page.path[k]], held[k]))
+    while article and page.tag[article] not in HOLDERS:
+        article = page.parent[article]
     above = article
-    while above and tags[above] not in ("article", "main"):
-        above = parents[above]
+    while above and page.tag[above] not in ("article", "main"):
+        above = page.parent[above]
     article = above or article
-    inside = [k == article for k in range(len(parents))]
-    for k in range(1, len(parents)):
-        inside[k] |= inside[parents[k]]
-    own = np.sqrt(ratio * dots) >= threshold  # beyond the article, not only by what its neighbours lend it
-    keep = [inside[element] or bool(yes) for (element, _), yes in zip(found, content & own, strict=True)]
-    for k in range(len(found) - 2, -1, -1):  # headings of what is kept
-        keep[k] = keep[k] or keep[k + 1] and tags[found[k][0]] in HEADINGS
-    kept = [text for (_, text), yes in zip(found, keep, strict=True) if yes]
+    within = [k == article for k in range(len(held))]
+    for k in range(1, len(held)):
+        within[k] |= within[page.parent[k]]
+    against = page.against[page.path[article]]
+
+    keep = []
+    for element, _, _ in page.blocks:
+        p = page.path[element]
+        keep.append(p in content or within[element] and page.against[p] == against and p not in links)
+    for k in range(len(keep) - 2, -1, -1):  # headings of what is kept
+        p = page.path[page.blocks[k][0]]
+        keep[k] = keep[k] or keep[k + 1] and page.tag[page.blocks[k][0]] in HEADINGS and not page.against[p]
+    kept = [text for (_, text, _), yes in zip(page.blocks, keep, strict=True) if yes]
     return "\n".join(kept), len(kept), threshold
 
 

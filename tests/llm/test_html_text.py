@@ -1,3 +1,8 @@
+import random
+import re
+import tracemalloc
+from html.parser import HTMLParser
+
 import pytest
 
 from tagframe.llm import html_text
@@ -66,3 +71,103 @@ def test_frames(spark):
     got = html_text.extracted(df).orderBy("n_chars").collect()
     assert [r.n_chars for r in got] == [0, len(BODY), 6 * 50_000 - 1]
     assert html_text.extracted(df.limit(0)).count() == 0
+
+
+class Tree(HTMLParser):
+    """A plain reading of well-formed pages: (full path as text, text, marked by class) of each p, li or div text."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.open, self.blocks = [], []
+        self.feed(source)
+
+    def handle_starttag(self, tag, attrs):
+        name = re.sub(r"\d+", "", dict(attrs).get("class") or "") if tag == "div" else ""
+        self.open.append((f"{tag}.{name}", name in ("ad", "sidebar")))
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        if data.strip():
+            self.blocks.append(("/".join(x for x, _ in self.open), " ".join(data.split()), any(y for _, y in self.open)))
+
+
+def content_by_brute_force(source):
+    """Texts of the blocks whose paths' smoothed and fused ratios reach the threshold, straight from the definition."""
+    blocks = Tree(source).blocks
+    same = {p: [t for q, t, _ in blocks if q == p] for p, _, _ in blocks}
+    dots = lambda t: sum(t.count(c) for c in ".,;:!?")
+    length = [sum(map(len, same[p])) / len(same[p]) for p, _, _ in blocks]
+    marks = [1 + sum(map(dots, same[p])) / len(same[p]) for p, _, _ in blocks]
+    near = lambda x, k: 0.25 * x[max(0, k - 1)] + 0.5 * x[k] + 0.25 * x[min(len(x) - 1, k + 1)]
+    value, mass = {}, {}
+    for p in same:
+        at = [k for k, b in enumerate(blocks) if b[0] == p]
+        weight = 0.1 if blocks[at[0]][2] else 1.0
+        value[p] = weight * sum((near(length, k) * near(marks, k)) ** 0.5 for k in at) / len(at)
+        mass[p] = weight * sum(map(len, same[p]))
+    mean = sum(value[p] * mass[p] for p in same) / sum(mass.values())
+    spread = (sum(mass[p] * (value[p] - mean) ** 2 for p in same) / sum(mass.values())) ** 0.5
+    threshold = max(1.0, mean / 4, min(0.6 * mean, mean - spread / 2))
+    return [t for p, t, _ in blocks if value[p] >= threshold - 1e-12], threshold
+
+
+def test_content_nodes_against_brute_force():
+    rnd = random.Random(8)
+    words = "alpha beta, gamma delta. epsilon zeta; eta theta! iota kappa".split()
+    sizes = set()
+    for _ in range(300):
+        text = lambda n: " ".join(rnd.choice(words) for _ in range(rnd.randint(1, n)))
+        part = lambda depth: "".join(
+            f"<div{rnd.choice(['', '', ' class=\"ad\"', ' class=\"body7\"'])}>{part(depth - 1)}</div>" if depth and rnd.random() < 0.5 else f"<p>{text(rnd.choice([3, 60]))}</p>" for _ in range(rnd.randint(1, 4))
+        )
+        source = f"<body>{part(4)}</body>"
+        want, threshold = content_by_brute_force(source)
+        page_ = html_text.read(source)
+        paths, links, got = html_text.content_paths(page_)
+        assert got == pytest.approx(threshold) and not links
+        assert [t for e, t, _ in page_.blocks if page_.path[e] in paths] == want
+        sizes.add(len(want) == len(page_.blocks))
+    assert sizes == {True, False}
+
+
+SIDE = "".join(f"<div class=x{k}><p>Side item {k}</p></div>" for k in range(4))
+LONG = f"{BODY} {BODY} {BODY}"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # neither telling tags nor classes: only the ratios can tell
+        (f"<body><div><div>Home</div><div>About us</div></div><div class=x><p>{LONG}</p><p>Yes.</p><p>{LONG}</p></div><div class=y><div>Terms</div><div>Contact</div></div></body>", f"{LONG}\nYes.\n{LONG}"),
+        (f"<body><div class=q>{SIDE}</div><div class=r><h2>Head</h2><p>{LONG}</p><ul><li>one</li><li>two</li></ul><p>{LONG}</p></div></body>", f"Head\n{LONG}\none\ntwo\n{LONG}"),
+        # lists of links inside the article's element
+        (f"<body><div class=r><p>{LONG}</p><div class=s><a href=/1>More of it here</a></div><div class=s><a href=/2>And of that</a></div><p>{LONG}</p></div></body>", f"{LONG}\n{LONG}"),
+        # words of a class weigh, but do not decide
+        (f"<body><div class='ad share'><p>{LONG}</p><p>{LONG}</p></div></body>", f"{LONG}\n{LONG}"),
+        (f"<body><div class=x><p>{LONG}</p><div class=share>Tell all your friends.</div><p>{LONG}</p></div></body>", f"{LONG}\n{LONG}"),
+    ],
+)
+def test_ratios_decide(html, text):
+    assert html_text.main_text(html)[0] == text
+
+
+def test_the_ratios_change_what_tags_leave():
+    html = f"<body><div><div>Home</div></div><div class=x><p>{LONG}</p></div></body>"
+    left = [t for _, t, _ in html_text.read(html).blocks]
+    assert left == ["Home", LONG] and html_text.main_text(html)[0] == LONG
+
+
+@pytest.mark.parametrize("tag", ["div", "blockquote", "x", "p><ul><li"])
+def test_deep_nesting_takes_memory_in_proportion(tag):
+    def peak(n):
+        tracemalloc.start()
+        text = html_text.main_text(f"<{tag}>" * n + BODY + "</x></y>" * n)[0]
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert text == BODY
+        return top
+
+    small, large = peak(10_000), peak(100_000)
+    assert large < 14 * small and large < 200 << 20
