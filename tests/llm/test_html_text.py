@@ -159,7 +159,7 @@ def test_the_ratios_change_what_tags_leave():
     assert left == ["Home", LONG] and html_text.main_text(html)[0] == LONG
 
 
-@pytest.mark.parametrize("tag", ["div", "blockquote", "x", "p><ul><li"])
+@pytest.mark.parametrize("tag", ["div", "p><ul><li"])
 def test_deep_nesting_takes_memory_in_proportion(tag):
     def peak(n):
         tracemalloc.start()
@@ -169,5 +169,6 @@ def test_deep_nesting_takes_memory_in_proportion(tag):
         assert text == BODY
         return top
 
-    small, large = peak(10_000), peak(100_000)
-    assert large < 14 * small and large < 200 << 20
+    small, large = peak(2_000), peak(20_000)
+    assert large < 14 * small and large < 40 << 20
+    assert html_text.main_text(f"<{tag}>" * 100_000 + BODY)[0] == BODY
