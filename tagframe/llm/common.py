@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir; a new one only where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. One of our own only where all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -30,7 +32,31 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as a table in the shared folder and reads it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table of a frame that came from saved() and is not read again."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a key from which hub_join takes it for a hub, and the share of all rows; so there are at most 1,000 hubs.
+HUB, HUBS = 1_000, 1_000
+
+
+def hub_join(left: DataFrame, right: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row per key and in column n how many rows of left have it; n is dropped.
+
+    Keys with more than HUB rows and a thousandth of all rows are at most HUBS, so their rows of right are broadcast and
+    their rows of left stay where they are; only the others are shuffled by key. how: inner or left.
+    """
+    most = max(HUB, (right.agg(F.sum(n)).first()[0] or 0) // HUBS)
+    hubs, rest = right.where(F.col(n) > most).drop(n), right.where(F.col(n) <= most).drop(n)
+    other = left.join(F.broadcast(hubs.select(key)), key, "left_anti").join(rest, key, how)
+    return left.join(F.broadcast(hubs), key).select(other.columns).unionByName(other)
 
 
 def is_held_out(doc_id: Column) -> Column:

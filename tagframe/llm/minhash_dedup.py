@@ -8,6 +8,8 @@
    Edges are confirmed on the full sets. Members of a bucket that lie in several components after that are compared in
    full (see `rest`), so that stars lose no link of a bucket.
 4. Components of the confirmed links give each document the least doc_id it can reach.
+
+All this goes by rows, which are numbered when they are first written; doc_id is only what the result names.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, saved, slices, table, utf8, word_hashes
+from .common import discard, hub_join, mixed, saved, slices, table, utf8, word_hashes
 from .components import components
 
 BINS, BANDS, ROWS = 128, 25, 5
-#: Members of a block in `rest`.
-BLOCK = 1024
+#: Members and shingles of a block's side in `rest`, about.
+BLOCK, SHINGLES = 1024, 4 << 20
 
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 #: For each bin, the order in which it tries the others when it is empty.
@@ -92,15 +94,12 @@ def _sketch(width: int):
             sets = shingle_sets(batch["text"], width)
             full = [s for s in sets if len(s)]
             keys = iter(bucket_keys(full)) if full else iter(())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "n_shingles", "node", "buckets"],
-            )
+            new = [
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "n_shingles", "node", "buckets"])
 
     return run
 
@@ -130,41 +129,70 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_compared(percent), "u binary, v binary, linked boolean").where("linked").select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept: one row per row of docs.
+def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes) of docs(doc_id, text, further columns named as ours are not).
 
-    Links documents with 100 * |intersection| >= percent * |union| of their distinct `width`-word shingles (words are
-    runs of non-white-space, A-Z lower-cased). Null, empty and blank texts have no shingles and link with nothing.
-    Equal texts are linked. Repeated rows stay; other columns of docs are ignored; an empty table gives an empty one.
+    rows: docs' columns, row (its number), n_shingles and node (its class of equal sets; null: no shingles). classes:
+    node, copies (its rows), best and first. best and first are (no_id, doc_id, row) of the foremost row, with the least
+    doc_id, of the class and of all that it is linked to by any way.
     """
-    docs = docs.select("doc_id", "text")
-    sketches = saved(docs.mapInArrow(_sketch(width), "doc_id bigint, n_shingles bigint, node binary, buckets array<bigint>"), "sketches")
-    classes = saved(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets")), "classes")
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    schema = numbered.selectExpr("*", "0L AS n_shingles", "cast(null AS binary) AS node", "cast(null AS array<bigint>) AS buckets").schema
+    rows = saved(numbered.mapInArrow(_sketch(width), schema), "sketches")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    found = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(place).alias("best"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
+    classes = saved(found, "classes")
 
     member = classes.select("node", "n", F.explode("buckets").alias("bucket"))
     # buckets with two members or more, and one of those with the same members
     shared = member.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.hash("node").cast("bigint")).alias("s")).where("members > 1")
-    one = shared.groupBy("members", "x", "s").agg(F.min("bucket").alias("bucket"), F.count("*").alias("alike"))
-    member = saved(member.join(one.select("bucket", (F.col("members") * F.col("alike")).alias("weight")), "bucket"), "members")
+    one = saved(shared.groupBy("members", "x", "s").agg(F.min("bucket").alias("bucket"), F.count("*").alias("alike")), "buckets")
+    member = saved(hub_join(member, one.select("bucket", "members", (F.col("members") * F.col("alike")).alias("weight")), "bucket", "members"), "members")
     # the class that meets the most others stands nearest the middle of its group
-    weight = member.groupBy("node").agg(F.sum("weight").alias("weight"))
-    texts = docs.join(classes.join(weight, "node", "left_semi").select("doc_id", "node"), "doc_id")
+    weight = saved(member.groupBy("node").agg(F.sum("weight").alias("weight")), "weights")
+    texts = rows.select("row", "node", "text").join(classes.join(weight, "node", "left_semi").select("best.row"), "row")
     sets = saved(texts.mapInArrow(_sets(width), "node binary, shingles binary"), "sets")
-    ranked = member.drop("weight").join(weight, "node")
-    centre = ranked.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "weight"), F.struct("weight", "node")).alias("c"))
-    pairs = ranked.join(centre, "bucket").where((F.col("node") != F.col("c.node")) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")))
+    ranked = saved(member.drop("weight").join(weight, "node"), "ranked")
+    centre = ranked.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "weight"), F.struct("weight", "node")).alias("c"), F.count("*").alias("members"))
+    pairs = hub_join(ranked, centre, "bucket", "members").where((F.col("node") != F.col("c.node")) & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")))
     pairs = pairs.groupBy(F.col("node").alias("u"), F.col("c.node").alias("v")).agg(F.first("c.weight").alias("weight"))
     stars = saved(confirmed(pairs.select("u", "v"), sets, percent).join(weight.withColumnRenamed("node", "v"), "v"), "stars")
     # a first idea of the components: each class with the foremost centre that it is linked to
     part = stars.groupBy(F.col("u").alias("node")).agg(F.max_by("v", F.struct("weight", "v")).alias("component"))
-    links = stars.select("u", "v").unionByName(rest(member, part, sets, percent))
+    links = saved(stars.select("u", "v").unionByName(rest(member, part, sets, percent)), "stars")
+    for old in (one, member, weight, sets, ranked, stars):
+        discard(old)
 
-    found = components(links)
-    least = found.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    moved = classes.select("node", "doc_id").join(found.join(least, "component").select("node", "component_id"), "node", "left")
-    out = sketches.select("doc_id", "n_shingles", "node").join(moved.select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "node", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    placed = saved(components(links).join(classes.select("node", "best"), "node"), "placed")
+    least = saved(placed.groupBy("component").agg(F.min("best").alias("first"), F.count("*").alias("n")), "least")
+    linked = hub_join(placed.select("node", "component"), least, "component", "n").select("node", "first")
+    return rows.drop("buckets"), classes.select("node", "copies", "best").join(linked, "node", "left").withColumn("first", F.coalesce("first", "best"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept: one row per row of docs.
+
+    Links documents with 100 * |intersection| >= percent * |union| of their distinct `width`-word shingles (words are
+    runs of non-white-space, A-Z lower-cased). Null, empty and blank texts have no shingles and link with nothing.
+    Equal texts are linked. Every row is judged by its own text, so rows that share a doc_id, or have none, may lie in
+    different components; component_id is the least doc_id of the component, null where it has none, and kept is
+    doc_id <=> component_id. Repeated rows stay; other columns are ignored; an empty table gives an empty one.
+    """
+    rows, classes = grouped(docs.select("doc_id", "text"), width, percent)
+    out = hub_join(rows.select("doc_id", "n_shingles", "node"), saved(classes.select("node", "copies", F.col("first.doc_id").alias("component_id")), "ends"), "node", "copies", "left")
+    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) but one of each component (the least doc_id) and those without shingles removed.
+
+    Of repeated rows one stays; a component whose rows have no doc_id keeps one of them. Columns are those of docs.
+    """
+    plain = docs.toDF(*[c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)])
+    rows, classes = grouped(plain, width, percent)
+    stay = saved(classes.select("first.row").distinct(), "stay")
+    return rows.join(stay, "row", "left_semi").unionByName(rows.where("node IS NULL")).select(plain.columns).toDF(*docs.columns)
 
 
 def rest(member: DataFrame, part: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,10 +202,13 @@ def rest(member: DataFrame, part: DataFrame, sets: DataFrame, percent: int) -> D
     gives back one link for each asked member and component, so neither pairs nor a whole bucket are ever laid out.
     part(node, component) may leave classes out, and may be any part of what is known to be linked.
     """
-    placed = member.select("bucket", "node", "n").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    count = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = placed.join(count, "bucket")
-    open_ = open_.withColumn("rows", F.ceil(F.col("all") / BLOCK).cast("int")).withColumn("blocks", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
+    placed = saved(member.select("bucket", "node", "n").join(part, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    count = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    count = count.groupBy("bucket").agg(F.sum("c").alias("all"), F.sum("s").alias("size"), F.max(F.struct("c", "s", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    # so many blocks that neither members nor their shingles are too many for one
+    sides = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / SHINGLES)).cast("int")
+    count = count.select("bucket", "all", F.col("main.component").alias("main"), sides(F.col("all"), F.col("size")).alias("rows"), sides(F.col("all") - F.col("main.c"), F.col("size") - F.col("main.s")).alias("blocks"))
+    open_ = hub_join(placed, saved(count, "open"), "bucket", "all")
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     both = F.expr("component <> main")
     # every member is there for each block that asks; one outside the largest component also asks each block that is there

@@ -94,3 +94,44 @@ def test_stars_not_pairs(spark):
     df = spark.range(300).select(F.col("id").alias("doc_id"), text.alias("text")).unionByName(spark.range(300, 600).select(F.col("id").alias("doc_id"), F.lit("same text again and again").alias("text")))
     got = m.near_duplicates(df, 3, 85)
     assert {r.component_id for r in got.collect()} == {0, 300}
+
+
+def test_rows_not_ids(spark):
+    """Rows that share a doc_id with other texts, and rows without one, are each judged by their own text."""
+    a, b = " ".join(WORDS * 3), " ".join(WORDS[::-1] * 3)
+    rows = [(5, a), (5, b), (3, b + " tail"), (None, a + " end"), (None, a + " end"), (None, "one two three four"), (None, "one two three four"), (9, a), (None, None), (5, b)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(m.near_duplicates(df, 3, 85).collect(), key=str)
+    want = [(5, 5), (5, 3), (3, 3), (None, 5), (None, 5), (None, None), (None, None), (9, 5), (None, None), (5, 3)]
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    left = m.one_of_each(df.withColumn("row", F.lit(1)).withColumn("node", F.lit("x")), 3, 85)
+    assert left.columns == ["doc_id", "text", "row", "node"]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(5, a), (3, b + " tail"), (None, "one two three four"), (None, None)], key=str)
+
+
+def test_hubs_are_broadcast(spark, monkeypatch):
+    from tagframe.llm import common
+
+    monkeypatch.setattr(common, "HUB", 5)
+    left = spark.range(200).select(F.when(F.col("id") < 100, F.lit(None)).when(F.col("id") < 180, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = left.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m")).where("k <> 190")
+    for how in ("inner", "left"):
+        want = left.join(right.drop("n"), "k", how).select("k", "v", "m")
+        got = common.hub_join(left, right, "k", "n", how).select("k", "v", "m")
+        assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    links = [(0, i) for i in range(1, 60)] + [(100 + i, 100 + i + 1) for i in range(10)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+    assert got == {**dict.fromkeys(range(60), 0), **dict.fromkeys(range(100, 111), 100)}
+
+
+def test_blocks_of_long_sets(spark, monkeypatch):
+    monkeypatch.setattr(m, "SHINGLES", 300)
+    rnd, rows = random.Random(6), []
+    base = [rnd.choice(WORDS) + str(rnd.randint(0, 99)) for _ in range(120)]
+    for k in range(40):
+        copy = list(base)
+        for _ in range(rnd.randint(0, 8)):
+            copy[rnd.randrange(len(copy))] = "z" + str(rnd.randint(0, 999))
+        rows.append((k, " ".join(copy)))
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85)
