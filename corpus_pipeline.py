@@ -20,20 +20,21 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that some learned language explains; texts without letters or beyond MOST_BITS go."""
-    named = language_id.languages(docs.withColumnsRenamed({c: f"_{k}" for k, c in enumerate(docs.columns) if c in ("lang_pred", "score", "bits")}), language_id.learn(docs))
-    kept = named.where((F.col("lang_pred") != "und") & (F.col("bits") <= language_id.MOST_BITS)).drop("lang_pred", "score", "bits")
+    """Keeps the documents that some learned language explains; texts without letters or beyond MOST_BITS go.
+
+    A text of one or two phrases is too short to be judged by its bits, and stays.
+    """
+    named = language_id.languages(docs.withColumnsRenamed({c: f"_{k}" for k, c in enumerate(docs.columns) if c in language_id.NEW}), language_id.learn(docs))
+    kept = named.where((F.col("lang_pred") != "und") & ((F.col("bits") <= language_id.MOST_BITS) | (F.col("phrases") <= 2))).drop(*language_id.NEW)
     return kept.toDF(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group of near-duplicates (five words, similarity 0.8).
+    """Keeps one row of each group of near-duplicates (five words, similarity 0.8): the one with the least doc_id.
 
-    Rows that share a doc_id are one document; rows without one go.
+    Every row is judged by its own text, whatever its doc_id; of groups without any doc_id one row stays too.
     """
-    kept = saved(minhash_dedup.near_duplicates(docs).where("kept").select("doc_id"), "kept")
-    left = docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
-    return left if kept.groupBy("doc_id").count().where("count > 1").isEmpty() else left.dropDuplicates(["doc_id"])
+    return minhash_dedup.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
