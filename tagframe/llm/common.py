@@ -38,7 +38,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Removes the table of a frame that came from saved() and is not read again."""
+    """Removes the table of a frame that came from saved() and is not read again; other frames have none."""
+    if "saved_path" not in vars(df):
+        return
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_path)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,7 +27,9 @@ def brute(rows):
 def check(spark, rows):
     df = spark.createDataFrame([(*r, 0, "x") for r in rows], SCHEMA)
     got = e.linked_vectors(df)
-    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == brute(rows)
+    out = got.collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == brute(rows)
+    assert all(r.recall == 1.0 and r.kept == (r.vec_id == r.component_id) for r in out)
 
 
 def test_groups_chains_and_odd_vectors(spark, monkeypatch):
@@ -66,12 +69,12 @@ def test_recall_of_the_lists(spark, n):
 
 def test_lists_that_grew_are_audited(spark, monkeypatch):
     rng = np.random.default_rng(5)
-    x = np.ones(16) + 0.2 * rng.standard_normal((150, 16))  # all within `wide`, so lists grow beyond 128 entries
+    x = np.ones(16) + 0.2 * rng.standard_normal((150, 16))  # all may matter, so lists grow beyond 128 entries
     x /= np.linalg.norm(x, axis=1)[:, None]
-    nodes = spark.createDataFrame([(bytes([k]), v.tobytes(), 0.5) for k, v in enumerate(x)], "node binary, unit binary, wide double")
+    nodes = spark.createDataFrame([(bytes([k]), v.tobytes(), e.code_of(v), 0.1) for k, v in enumerate(x)], "node binary, unit binary, code binary, radius double")
     audits, audit = [], e.recall
     monkeypatch.setattr(e, "recall", lambda *a: audits.append(audit(*a)) or audits[-1])
-    near = {r.u: len(r.near) for r in e.neighbour_lists(nodes, 0.5).collect()}
+    near = {r.u: len(r.near) for r in e.neighbour_lists(nodes, 1.2).collect()}
     assert audits and audits[-1][0] == 1.0
     assert set(near.values()) == {149}
 
@@ -86,3 +89,25 @@ def test_all_are_compared_where_rounds_do_not_end_in_an_audit_that_holds(spark,
     base = rng.standard_normal((12, 16))
     x = np.concatenate([base + 0.35 * rng.standard_normal(base.shape) for _ in range(4)])
     check(spark, [(k, v.tolist()) for k, v in enumerate(x)] + [(100, [1.0, 0.0]), (101, [1.0, 0.1])])
+
+
+def test_codes_never_take_an_angle_too_large():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, 48)) * rng.exponential(1, (60, 48))
+    x = np.concatenate([x, x + 0.05 * rng.standard_normal(x.shape)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = e.least_angles(*e.decoded(pa.array([e.code_of(v) for v in x])))
+    true = np.arccos(np.clip(x @ x.T, -1, 1))
+    off = ~np.eye(len(x), dtype=bool)
+    assert (got[off] <= true[off] + 1e-9).all() and np.median((true - got)[off]) < 0.05
+
+
+def test_lost_links_are_noticed(spark, monkeypatch):
+    """Lists that lose what they should hold, and an audit of leaders that does not look: the audit of links sees it."""
+    monkeypatch.setattr(e, "recall", lambda *a: (1.0, 1))
+    lost = e.descended
+    monkeypatch.setattr(e, "descended", lambda *a: lost(*a).select("u", F.slice("near", 5, 100).alias("near")))
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((20, 16))
+    x = np.concatenate([base + 0.3 * rng.standard_normal(base.shape) for _ in range(4)])
+    check(spark, [(k, v.tolist()) for k, v in enumerate(x)])
