@@ -132,3 +132,34 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     h = (run[ends] - run[starts]) * powers(UNDO, n)[starts]
     rows = np.searchsorted(offsets, starts, "right") - 1
     return mixed(h + (ends - starts).astype(np.uint64)), rows, starts, ends
+
+
+def combed(steps: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(base, table): the step from state s with symbol c is in table[base[s] + c], as s << 32 | next, if there is one.
+
+    The rows of the states lie in one another's gaps, so the table has about as many places as there are steps. States
+    without steps have the base 0, where nothing names them.
+    """
+    width = max((c for row in steps for c in row), default=0) + 1
+    used = bytearray(2 * width + sum(map(len, steps)) * 2)
+    base, free, entries = np.zeros(len(steps), np.int64), {}, []
+    for s in sorted(range(len(steps)), key=lambda s: -len(steps[s])):
+        row = sorted(steps[s])
+        if not row:
+            continue
+        at = free.get(len(row), width)  # rows of one length are tried at ever later places
+        while True:
+            begin = at - row[0]
+            if begin + row[-1] >= len(used):
+                used.extend(bytes(len(used)))
+            if not used[at] and not any(used[begin + c] for c in row):
+                break
+            at += 1
+        base[s], free[len(row)] = begin, at
+        for c in row:
+            used[begin + c] = 1
+            entries.append((begin + c, s << 32 | steps[s][c]))
+    out = np.full(max((k for k, _ in entries), default=0) + width + 1, -1, np.int64)
+    for k, x in entries:
+        out[k] = x
+    return base, out

@@ -108,16 +108,22 @@ _PHASES = T.StructType([T.StructField(n, T.LongType()) for n in ("phase", "start
 def mixed_order(docs: DataFrame, weights: Mapping[str, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """docs(doc_id, source, ...) with stream, block, phase, release, due, slot and place added.
 
-    weights: whole numbers by source; sources without one (null source included) form one further stream of weight 1.
+    weights: whole numbers from 1 on by source (others are an error); sources without one (null source included) form
+    one further stream of weight 1.
     Without weights, every source, and null, gets a weight by the square root of its documents, in steps up to STEPS.
     The SOURCES sources with most documents and null are laid out, the others nested, each in blocks of its own.
     Every row is kept and gets a slot of its block and a place in it; the order of rows within a source is by hash of
-    doc_id. release and due count slots of the phase; those of a nested source count slots that it shares with its
+    doc_id, of those without one by that of their place in docs. release and due count slots of the phase; those of a nested source count slots that it shares with its
     neighbour, and its phase is 0. Columns of docs that clash are replaced; no rows give no rows.
     """
     new = ("stream", "block", "phase", "release", "due", "slot", "place")
     docs = docs.drop(*new)
     spark, others, pool = docs.sparkSession, 1, None
+    if weights is not None and any(w != int(w) or w < 1 for w in weights.values()):
+        raise ValueError("weights are whole numbers from 1 on; leave out the rows of a source that is to have no share")
+    numbered = not docs.where("doc_id IS NULL").isEmpty()
+    if numbered:  # rows without doc_id are dealt over shards by a number of their own, written down so that it stays
+        docs = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     if weights is None:
         per = docs.groupBy("source").count()
         top = per.where("source IS NOT NULL").orderBy(F.desc("count"), "source").limit(SOURCES + 1).collect()
@@ -129,11 +135,11 @@ def mixed_order(docs: DataFrame, weights: Mapping[str, int] | None = None, block
             left = per.where(F.col("source").isNotNull()).join(F.broadcast(spark.createDataFrame([(x,) for x in weights], "source string")), "source", "left_anti")
             weight = F.greatest(F.lit(1), F.round(STEPS * F.sqrt(F.col("count") / most))).cast("bigint")
             pool = saved(left.select(F.col("source").alias("stream"), F.col("count").alias("n"), weight.alias("weight"), F.ceil(F.col("count") / block_docs).alias("blocks")), "pool")
-    weights = {s: w for s, w in weights.items() if w > 0}
     listed = spark.createDataFrame([(s,) for s in sorted(weights)], "source string")
     named = docs.join(F.broadcast(listed.withColumn("stream", F.col("source"))), "source", "left")
     named = named.withColumn("stream", F.coalesce("stream", F.lit(OTHERS)) if pool is None else F.coalesce("source", F.lit(OTHERS)))
-    named = named.select(*docs.columns, "stream", F.xxhash64(*[F.col(c).cast("string") for c in docs.columns if c == "doc_id"]).alias("_h"))
+    key = F.xxhash64(F.col("doc_id").cast("string"))
+    named = named.withColumn("_h", F.when(F.col("doc_id").isNull(), F.xxhash64("_row")).otherwise(key) if numbered else key)
 
     known = named.groupBy("stream").count()
     known = known if pool is None else known.join(pool, "stream", "left_anti")
@@ -165,7 +171,7 @@ def mixed_order(docs: DataFrame, weights: Mapping[str, int] | None = None, block
     slot = nth.join(steps, "stream").where("block >= before AND block < before + count")
     j = F.col("block") - F.col("before")
     return slot.select(
-        *docs.columns,
+        *[c for c in docs.columns if c != "_row"],
         "stream",
         "block",
         F.col("phase"),

@@ -6,8 +6,9 @@ piece survives at each boundary, and its backpointer is the boundary before it.
 piece's length back, so only that many paths survive; what they share is committed and let go, and a text of any length
 takes a window of memory. Ids equal those of the public library; scores rank merges here and are not summed.
 
-No piece has a space mark behind another character, so all paths meet there: texts are taken apart at such places and
-words seen before are looked up. A character that the model does not have becomes its UTF-8 bytes' pieces.
+No piece has a space mark behind another character, so all paths meet there: texts are taken apart at such places, and
+words seen before are looked up. New words of a slice take the pass side by side, one boundary of all of them at a time;
+words longer than the window take it as a stream. A character that the model does not have becomes its UTF-8 bytes' pieces.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import combed, slices, table
 
 MODEL = os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
 #: Words and pairs of pieces that a worker remembers; the older half goes first. It changes speed alone.
@@ -62,6 +63,114 @@ class Pieces:
         self.within = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.piece = [m.id_to_piece(i) for i in ids]
+        size = np.array([len(b) for b in self.back])
+        self.flat = np.frombuffer(b"".join(self.back), np.uint8), np.cumsum(size) - size, size
+        # the pieces read backwards, as a tree in one table
+        self.symbol = np.zeros(0x110000, np.int32)
+        self.symbol[[ord(c) for c in sorted({c for p in self.id for c in p})]] = np.arange(1, len({c for p in self.id for c in p}) + 1)
+        steps, ends = [{}], [-1]
+        for p, i in self.id.items():
+            node = 0
+            for c in reversed(p):
+                c = int(self.symbol[ord(c)])
+                if c not in steps[node]:
+                    steps[node][c] = len(steps)
+                    steps.append({}), ends.append(-1)
+                node = steps[node][c]
+            ends[node] = i
+        self.base, self.table = combed(steps)
+        self.ends = np.array(ends, np.int32)
+        self.keys, self.met, self.held = np.full(1 << 16, -1, np.int64), np.zeros(1 << 16, bool), 0
+
+    def many_meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """may_meet for many pairs of ids, from a table of what was asked before."""
+        key = a.astype(np.int64) * len(self.piece) + b
+        at = self.places(key)
+        new = np.unique(key[self.keys[at] < 0])
+        if len(new):
+            if self.held + len(new) > PAIRS:
+                self.keys, self.met, self.held = np.full(1 << 16, -1, np.int64), np.zeros(1 << 16, bool), 0
+                new = np.unique(key)
+            while 2 * (self.held + len(new)) > len(self.keys):
+                old, met = self.keys[self.keys >= 0], self.met[self.keys >= 0]
+                self.keys, self.met = np.full(2 * len(self.keys), -1, np.int64), np.zeros(2 * len(self.keys), bool)
+                self.put(old, met)
+            found = []
+            for x, y in zip((new // len(self.piece)).tolist(), (new % len(self.piece)).tolist(), strict=True):
+                x, y = self.piece[x], self.piece[y]
+                found.append(x + y not in self.rank and self.merged(x + y) == [x, y])
+            self.put(new, np.array(found))
+            self.held += len(new)
+            at = self.places(key)
+        return self.met[at]
+
+    def places(self, key: np.ndarray) -> np.ndarray:
+        """Where each key is in the table, or the free place where it would be."""
+        mask = len(self.keys) - 1
+        at = (key * 0x9E3779B1 >> 15) & mask
+        go = np.arange(len(key))
+        while len(go):
+            there = self.keys[at[go]]
+            go = go[(there >= 0) & (there != key[go])]
+            at[go] = (at[go] + 1) & mask
+        return at
+
+    def put(self, key: np.ndarray, value: np.ndarray) -> None:
+        """Adds keys that are not in the table."""
+        go = np.arange(len(key))
+        while len(go):
+            at = self.places(key[go])
+            self.keys[at] = key[go]  # of keys that meet at one place the last stays
+            stay = self.keys[at] == key[go]
+            self.met[at[stay]] = value[go[stay]]
+            go = go[~stay]
+
+    def side_by_side(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each of some words of at most LOOK characters, as int32 bytes."""
+        words = sorted(words, key=len, reverse=True)
+        size = np.array([len(w) for w in words])
+        code = np.zeros((len(words), size[0]), np.int32)
+        code[np.arange(size[0]) < size[:, None]] = self.symbol[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        last, back = (np.full((len(words), size[0] + 1), -1, np.int32) for _ in range(2))
+        for i in range(size[0]):
+            go = np.arange(np.searchsorted(-size, -i, "left"))
+            piece, start = np.full(len(go), -1, np.int32), np.full(len(go), i, np.int32)
+            node = np.zeros(len(go), np.int64)
+            for j in range(i, -1, -1):
+                got = self.table[self.base[node] + code[go, j]]
+                on = got >> 32 == node
+                go, node = go[on], got[on] & 0xFFFFFFFF
+                if not len(go):
+                    break
+                end = self.ends[node]
+                some = np.flatnonzero(end >= 0)
+                before = last[go[some], j]
+                ok = before < 0
+                ask = np.flatnonzero(~ok)
+                ok[ask] = self.many_meet(before[ask], end[some[ask]])
+                won = some[ok]
+                piece[go[won]], start[go[won]] = end[won], j
+                stay = np.ones(len(go), bool)
+                stay[won] = False
+                go, node = go[stay], node[stay]
+            last[: len(piece), i + 1], back[: len(piece), i + 1] = piece, start
+        rows, at, parts = np.arange(len(words)), size.copy(), []
+        while len(rows):
+            parts.append((rows, at, last[rows, at]))
+            at = back[rows, at].astype(np.int64)
+            rows, at = rows[at > 0], at[at > 0]
+        rows, at, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((at, rows))
+        rows, at, ids = rows[order], at[order], ids[order]
+        ends = np.searchsorted(rows, np.arange(len(words) + 1)).tolist()
+        odd = set(rows[ids < 0].tolist())
+        data = ids.tobytes()
+        out = [data[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)]
+        for k in odd:  # with characters that become bytes
+            each = [(int(i),) if i >= 0 else [self.byte[b] for b in words[k][e - 1].encode("utf-8", "surrogatepass")] for i, e in zip(ids[ends[k] : ends[k + 1]], at[ends[k] : ends[k + 1]], strict=True)]
+            out[k] = array("i", [i for x in each for i in x]).tobytes()
+        return dict(zip(words, out, strict=True))
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a few characters by merging: best score first, leftmost of equals."""
@@ -133,45 +242,62 @@ class Pieces:
             end = back[end]
         return out[::-1]
 
+    def cut(self, word: str) -> list[str]:
+        """A word's parts: where no piece holds two neighbours, all paths meet between them."""
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.within]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
     def word(self, word: str) -> bytes:
         """The ids of a part that begins and ends where all paths meet, as int32 bytes."""
         found = self.words.get(word)
         if found is None:
             found = self.older.get(word)
-            if found is None:
-                if "\n" in word and "\n" not in self.id:
-                    line = np.array([self.byte[10]], np.int32).tobytes()
-                    return line.join([self.word(w) if w else b"" for w in word.split("\n")])
-                # where no piece holds two neighbours, all paths meet between them
-                cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.within]
-                if cuts:  # parts have no cuts
-                    found = b"".join([self.word(word[a:b]) for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
-                elif len(word) <= LOOK:
-                    back, last = [0], [""]
-                    self.extend(word, back, last, 0)
-                    found = array("i", self.path(word, back, last, len(word))).tobytes()
-                else:
-                    found = array("i", self.stream((word,))).tobytes()
-            if len(word) <= LOOK:
-                if len(self.words) >= WORDS // 2:
-                    self.words, self.older = {}, self.words
-                self.words[word] = found
+        if found is None:
+            parts = self.cut(word)
+            found = b"".join(map(self.word, parts)) if len(parts) > 1 else array("i", self.stream((word,))).tobytes()
         return found
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def apart(self, text: str | None) -> list[str]:
+        """The words of a text."""
         if not text:
-            return np.zeros(0, np.int32)
+            return []
         marked = MARK + text.replace(" ", MARK)
-        words = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked) if MARK * 2 in marked or marked[-1] == MARK else [MARK + w for w in marked[1:].split(MARK)]
-        get, word = self.words.get, self.word
-        return np.frombuffer(b"".join([get(w) or word(w) for w in words]), np.int32)
+        return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked) if MARK * 2 in marked or marked[-1] == MARK else [MARK + w for w in marked[1:].split(MARK)]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        words = [self.apart(t) for t in texts]
+        found = [list(map(self.words.get, ws)) for ws in words]
+        new = {w for ws, ids in zip(words, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}
+        short = {p for w in new for p in ([w] if len(w) <= LOOK else self.cut(w)) if len(p) <= LOOK}
+        kept = {w: x for w in short if (x := self.older.get(w)) is not None}
+        if len(self.words) + len(short) > WORDS // 2:
+            self.words, self.older = {}, self.words
+        self.words.update(kept)
+        short = list(short - kept.keys())
+        for k in range(0, len(short), 1 << 16):
+            self.words.update(self.side_by_side(short[k : k + (1 << 16)]))
+        word = self.word
+        return [np.frombuffer(b"".join(ids if None not in ids else [x or word(w) for w, x in zip(ws, ids, strict=True)]), np.int32) for ws, ids in zip(words, found, strict=True)]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        data = b"".join(map(self.back.__getitem__, ids))
+        """The text of ids; bytes that are no UTF-8 become U+FFFD, nulls and ids that the model does not have give nothing."""
+        data = b"".join([self.back[i] for i in ids if i is not None and 0 <= i < len(self.back)])
         return data[data[:1] == b" " :].decode("utf-8", "replace")
 
 
+    def given_back(self, ids: list[np.ndarray], texts: list[str | None]) -> list[bool]:
+        """For each text whether its ids decode to it; the bytes of all are laid side by side first."""
+        flat, first, size = self.flat
+        every = np.concatenate([*ids, np.zeros(0, np.int32)])
+        ends = np.cumsum(size[every])
+        begin = np.concatenate(([0], ends))[np.cumsum([0, *map(len, ids)])].tolist()
+        got = flat[np.repeat(first[every] - (ends - size[every]), size[every]) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        return [got[a:b] == (b" " + t.encode("utf-8", "surrogatepass") if t else b"") for t, a, b in zip(texts, begin, begin[1:], strict=False)]
+
+
 @lru_cache(2)
 def pieces(model: bytes) -> Pieces:
     return Pieces(model)
@@ -202,15 +328,15 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
         p = pieces(shared.value)
         for batch in slices(batches, "text"):
             texts = batch["text"].to_pylist()
-            ids = [p.encode(t) for t in texts]
-            same = [p.decode(i.tolist()) == (t or "") for t, i in zip(texts, ids, strict=True)]
+            ids = p.encode_all(texts)
+            same = p.given_back(ids, texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids), pa.array([len(i) for i in ids], pa.int64()), pa.array(same)], [*batch.schema.names, "ids", "n_tokens", "round_trip"])
 
     return docs.mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, model: bytes) -> DataFrame:
-    """rows(ids, ...) with text added (null where ids is null)."""
+    """rows(ids, ...) with text added (null where ids is null); ids that the model does not have give nothing."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     rows = rows.drop("text")
 
@@ -220,7 +346,7 @@ def decoded(rows: DataFrame, model: bytes) -> DataFrame:
             texts = [None if x is None else p.decode(x) for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
-    return rows.mapInArrow(run, rows.selectExpr("*", "'' AS text").schema)
+    return rows.mapInArrow(run, rows.selectExpr("*", "cast(null AS string) AS text").schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

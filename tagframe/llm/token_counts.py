@@ -199,7 +199,10 @@ def token_counts(docs: DataFrame, ranks: bytes) -> DataFrame:
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """docs(doc_id, ...) with the rows of edits(doc_id, seq, start, removed, inserted) of each as its column edits."""
+    """docs(doc_id, ...) with the rows of edits(doc_id, seq, start, removed, inserted) of each as its column edits.
+
+    They are in the order of seq; those of equal seq (null first) in that of start, removed and inserted.
+    """
     each = edits.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "start", "removed", "inserted"))), lambda e: F.struct(e.start.alias("start"), e.removed.alias("removed"), e.inserted.alias("inserted"))).alias("edits"))
     return docs.drop("edits").join(each, "doc_id", "left")
 

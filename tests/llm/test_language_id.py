@@ -4,6 +4,7 @@ import zlib
 import pytest
 
 from tagframe.llm import language_id as lid
+from tagframe.llm.common import combed
 
 ALPHA = {"aa": "tra lom pin dus kel".split(), "bb": "öst gräv ubor nij wex".split(), "cc": "ção niña jeul quê vro".split()}
 #: First letters and number of letters of eight scripts.
@@ -23,7 +24,7 @@ def scripted(name, rnd, n=60):
 def test_automaton_accepts_exactly_the_substrings():
     s = [1, 2, 1, 1, 3, 2, 1, 2, 1, 1, 0, 3]
     t = lid.suffix_automaton(s)
-    base, table = lid.combed(t)
+    base, table = combed(t)
     found, todo = set(), [(0, ())]
     while todo:
         state, word = todo.pop()

@@ -71,3 +71,43 @@ def test_odd_tables(docs, no_docs):
     assert mixing.mixed_order(docs).count() == docs.count()
     assert mixing.mixed_order(no_docs).count() == 0
     assert set(mixing.mixed_order(docs).columns) >= set(docs.columns)
+
+
+@pytest.mark.parametrize("weight", [0, -1, 0.5])
+def test_weights_must_be_whole_and_positive(docs, weight):
+    with pytest.raises(ValueError, match="whole numbers"):
+        mixing.mixed_order(docs, {"s": weight, "t": 1})
+
+
+def scheduled(sources, hashes, weight=None, size=8):
+    """doc_ids with slot and place, by choosing the block for each slot in turn; sources: by doc_id."""
+    by = {x: sorted((i for i in sources if sources[i] == x), key=lambda i: (hashes[i], i)) for x in set(sources.values())}
+    most = max(map(len, by.values()))
+    weight = weight or {x: max(1, round(20 * (len(d) / most) ** 0.5)) for x, d in by.items()}
+    blocks = {x: [d[k : k + size] for k in range(0, len(d), size)] for x, d in by.items()}
+    out, slot = [], 0
+    while blocks:
+        total, t, done = sum(weight[x] for x in blocks), 0, dict.fromkeys(blocks, 0)
+        while all(blocks.values()):
+            ready = [x for x in blocks if done[x] * total // weight[x] <= t]
+            x = min(ready, key=lambda x: (-(-(done[x] + 1) * total // weight[x]), x))
+            out += [(i, slot, k) for k, i in enumerate(blocks[x].pop(0))]
+            slot, t, done[x] = slot + 1, t + 1, done[x] + 1
+        blocks = {x: b for x, b in blocks.items() if b}
+    return out
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 5, "b": 2, "c": 1}])
+def test_rows_against_a_simulated_schedule(spark, weights):
+    df = spark.range(1700).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 < 4, "a").when(F.col("id") % 7 < 6, "b").otherwise("c").alias("source"))
+    rows = mixing.mixed_order(df, weights).orderBy("slot", "place").collect()
+    hashes = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64(CAST(doc_id AS STRING)) AS h").collect()}
+    assert [(r.doc_id, r.slot, r.place) for r in rows] == scheduled({r.doc_id: r.source for r in rows}, hashes, weights)
+
+
+def test_rows_without_id_are_dealt_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 50)
+    df = spark.range(1000).select(F.when(F.col("id") < 30, F.col("id")).alias("doc_id"), F.lit("a").alias("source"))
+    out = mixing.mixed_order(df)
+    assert out.columns[:2] == ["doc_id", "source"] and "_row" not in out.columns
+    assert sorted((r.slot, r.place) for r in out.collect()) == [(k // 8, k % 8) for k in range(1000)]

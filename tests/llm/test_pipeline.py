@@ -7,6 +7,7 @@ from tagframe.llm import minhash_dedup, sentencepieces
 
 from .conftest import DOCS, doc
 from .test_minhash_dedup import brute
+from .test_mixing import scheduled
 from .test_quality import text
 
 import os
@@ -45,24 +46,6 @@ def test_each_stage_on_what_the_one_before_kept(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == len(kept[4])
 
 
-def scheduled(sources, hashes):
-    """doc_ids with slot and place, by choosing the block for each slot in turn; sources: by doc_id."""
-    by = {x: sorted((i for i in sources if sources[i] == x), key=lambda i: (hashes[i], i)) for x in set(sources.values())}
-    most = max(map(len, by.values()))
-    weight = {x: max(1, round(20 * (len(d) / most) ** 0.5)) for x, d in by.items()}
-    blocks = {x: [d[k : k + 8] for k in range(0, len(d), 8)] for x, d in by.items()}
-    out, slot = [], 0
-    while blocks:
-        total, t, done = sum(weight[x] for x in blocks), 0, dict.fromkeys(blocks, 0)
-        while all(blocks.values()):
-            ready = [x for x in blocks if done[x] * total // weight[x] <= t]
-            x = min(ready, key=lambda x: (-(-(done[x] + 1) * total // weight[x]), x))
-            out += [(i, slot, k) for k, i in enumerate(blocks[x].pop(0))]
-            slot, t, done[x] = slot + 1, t + 1, done[x] + 1
-        blocks = {x: b for x, b in blocks.items() if b}
-    return out
-
-
 def test_the_order_reaches_the_end(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).select("doc_id", "source", "slot", "place").collect()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

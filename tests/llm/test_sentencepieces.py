@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from tagframe.llm import sentencepieces as s
@@ -58,3 +59,29 @@ def test_frames(docs, no_docs):
     back = {r.doc_id: r.text for r in s.decoded(out, model).collect()}
     assert all(back[r.doc_id] == (r.text or "") for r in rows)
     assert s.encoded(no_docs, model).count() == 0
+
+
+def test_odd_ids(both, spark):
+    ours, _ = both
+    ids = ours.encode("one two").tolist()
+    rows = spark.createDataFrame([(1, ids), (2, None), (3, [-1, *ids, 10**9, None]), (4, [])], "k int, ids array<int>").coalesce(1)
+    assert {r.k: r.text for r in s.decoded(rows, s.model_bytes()).collect()} == {1: "one two", 2: None, 3: "one two", 4: ""}
+
+
+def test_given_back_is_what_decoding_says(both):
+    ours, _ = both
+    texts = ["hello  world", " a", "a ", "", None, "\n", "é漢字🎉", "▁a", "a▁", "\x00a", "x" * 300]
+    ids = [ours.encode(t) for t in texts]
+    assert ours.given_back(ids, texts) == [ours.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]
+    assert ours.given_back([ids[1], ids[0]], texts[:2]) == [False, False]
+
+
+def test_words_side_by_side_are_those_of_the_stream(both, monkeypatch):
+    ours, theirs = both
+    rnd = random.Random(4)
+    words = list({s.MARK + "".join(rnd.choice(["a", "th", "ing", "é", "漢", "\n", "=", "zz", "1", "T", "er"]) for _ in range(rnd.randint(1, 14))) for _ in range(2000)})
+    words = [w for w in words if len(w) <= s.LOOK]
+    got = ours.side_by_side(words)
+    assert all(np.frombuffer(got[w], np.int32).tolist() == list(ours.stream((w,))) == theirs.encode(w[1:]) for w in words)
+    monkeypatch.setattr(s, "PAIRS", 200)
+    assert ours.side_by_side(words) == got
