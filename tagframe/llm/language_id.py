@@ -204,7 +204,7 @@ class Parser:
         entry = np.where(real >= 0, real, entry)
         over = entry >= end
         count[over], leave[over] = 0, entry[over]
-        count[a, b] = np.where(met, more + count[a, b] - begins[a, at] + 1, more)
+        count[a, b] = np.where(met, more + count[a, b] - begins[a, np.minimum(at, len(s) - 1)] + 1, more)
         leave[a, b] = np.where(met, leave[a, b], at)
         # what still does not begin where the lane before ends, one lane after the other
         real = np.concatenate((entry[:, :1], leave[:, :-1]), 1)

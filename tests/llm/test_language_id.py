@@ -57,6 +57,8 @@ def test_phrases_against_brute_force(monkeypatch, lane):
     p = lid.Parser(tuple(samples))
     texts = [text(k, rnd, n) + " Ωx" for k in ALPHA for n in (1, 30, 200)] + ["", None, "123 !?", "A.", "a" * 300, "aaaaa " * 90, "tralomx" * 60, samples[0][1], samples[1][1] + samples[0][1][7:]]
     texts += [scripted(k, rnd, 30) for k in SCRIPTS] + ["Գարուն է"]
+    for k in range(len(texts)):  # whichever text comes last
+        p.phrases(texts[k:] + texts[:k])
     count, size, none = p.phrases(texts)
     code = lambda t: "".join(chr(0x20 + c) for c in p.squeezed([t])[0])
     known = [code(s) for _, s in samples]
