@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import calendar
 import datetime as dt
 from zoneinfo import ZoneInfo
 
@@ -67,18 +66,10 @@ def range_columns(text: Column, now: Column) -> tuple[Column, Column]:
 
 
 def period_lists(start: dt.date, end: dt.date) -> tuple[list[int], list[int], list[int]]:
-    """(years, months, days) that a period can touch, for lists of partitions."""
-    years = list(range(start.year, end.year + 1))
-    apart = 12 * (end.year - start.year) + end.month - start.month
-    months = sorted({(start.month - 1 + k) % 12 + 1 for k in range(min(apart, 11) + 1)})
-    length = lambda m: calendar.monthrange(start.year, m)[1]
-    if apart == 0:
-        days = list(range(start.day, end.day + 1))
-    elif apart == 1 and start.day > end.day:
-        days = list(range(1, end.day + 1)) + list(range(start.day, length(start.month) + 1))
-    else:
-        days = list(range(1, (31 if apart >= 12 else max(length(m) for m in months)) + 1))
-    return years, months, days
+    """(years, months, days of the month) that the days of a period have, for lists of partitions."""
+    first, last = dt.date(start.year, start.month, start.day), dt.date(end.year, end.month, end.day)
+    some = [first + k * _DAY for k in range(min((last - first).days, 2 * 366) + 1)]  # two years have all months and days
+    return list(range(first.year, last.year + 1)), sorted({d.month for d in some}), sorted({d.day for d in some})
 
 
 def days_between(start: Column, end: Column) -> Column:

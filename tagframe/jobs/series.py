@@ -191,11 +191,14 @@ def read_lake(spark: SparkSession, path: str, spec: Mapping, start: dt.datetime,
     for part in filter(None, spec.get("partition_keys", "").split("/")):
         k, v = part.split("=", 1)
         df = df.where(F.col(k) == F.lit(v.strip("'")).cast(df.schema[k].dataType))
-    lists = period_lists(start, end)
-    for name, values in zip(("year_col", "month_col", "day_col"), lists, strict=True):
-        column = spec.get("date_part_keys", {}).get(name)
-        if column:
-            df = df.where(F.col(column).cast("int").isin(values) if df.schema[column].dataType.typeName() == "string" else F.col(column).isin(values))
+    keys = spec.get("date_part_keys", {})
+    parts = {n: F.col(keys[n]).cast("int") if df.schema[keys[n]].dataType.typeName() == "string" else F.col(keys[n]) for n in ("year_col", "month_col", "day_col") if keys.get(n)}
+    for name, values in zip(("year_col", "month_col", "day_col"), period_lists(start, end), strict=True):
+        if name in parts:
+            df = df.where(parts[name].isin(values))
+    if len(parts) == 3:  # of the days that the lists make together, those of the period
+        number = parts["year_col"] * 10_000 + parts["month_col"] * 100 + parts["day_col"]
+        df = df.where(number.between(int(start.strftime("%Y%m%d")), int(end.strftime("%Y%m%d"))))
     return lake_values(df, spec).where((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp"))).distinct()
 
 

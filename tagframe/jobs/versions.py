@@ -11,12 +11,17 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import kinds
+from ..operators.diff import GONE, tags_patched
 from ..operators.grid import tag_hash
 
 END = "9999-12-31 23:59:59"
+
+
 def tick() -> Column:
     return F.expr("INTERVAL 1 MICROSECOND")
 
+
 KEYS = ("customer_id", "id")
 
 
@@ -81,23 +86,37 @@ def changed(versions: DataFrame, patch: DataFrame, now: dt.datetime | str, gone:
     """Applies a patch at a time: the open version of each changed key ends a tick before, and new ones begin.
 
     versions: keys, start_datetime, end_datetime and value columns; patch: keys and value columns. Rows of the patch for
-    which `gone` holds only close. Value columns of the patch replace those of the open version where they are not null.
+    which `gone` holds, or whose tags have `remove_`, only close. Columns of the patch replace those of the open version
+    where they are not null; tag maps are patched tag by tag, and tags whose new value is REMOVE go. Only open versions
+    are joined; closed ones pass as they are.
     """
-    at = F.lit(now).cast("timestamp")
+    at, last = F.lit(now).cast("timestamp"), F.lit(END).cast("timestamp")
     values = [c for c in versions.columns if c not in (*KEYS, "start_datetime", "end_datetime")]
-    marked = patch.withColumn("_gone", F.lit(False) if gone is None else F.coalesce(gone, F.lit(False)))
-    p = marked.select(*KEYS, F.col("_gone"), F.struct(*[F.col(v) if v in patch.columns else F.lit(None).cast(versions.schema[v].dataType).alias(v) for v in values]).alias("_p"))
-    is_open = F.col("end_datetime") == F.lit(END).cast("timestamp")
-    # one pass over the versions: a changed open row becomes the closed one and, unless it goes, the new one
-    both = versions.join(p, list(KEYS), "left")
-    hit = is_open & F.col("_p").isNotNull()
-    old = F.struct(F.col("start_datetime").alias("s"), F.when(hit, at - tick()).otherwise(F.col("end_datetime")).alias("e"), F.struct(*values).alias("v"))
-    new = F.struct(at.alias("s"), F.lit(END).cast("timestamp").alias("e"), F.struct(*[F.coalesce(F.col(f"_p.{v}"), F.col(v)).alias(v) for v in values]).alias("v"))
-    rows = both.select(*KEYS, F.explode(F.when(hit & ~F.col("_gone"), F.array(old, new)).otherwise(F.array(old))).alias("r")).select(*KEYS, F.col("r.s").alias("start_datetime"), F.col("r.e").alias("end_datetime"), *[F.col(f"r.v.{v}").alias(v) for v in values])
-    open_keys = versions.where(is_open).select(*KEYS)
-    fresh = marked.where(~F.col("_gone")).join(open_keys, list(KEYS), "left_anti")
-    fresh = fresh.select(*KEYS, at.alias("start_datetime"), F.lit(END).cast("timestamp").alias("end_datetime"), *[F.col(v) if v in patch.columns else F.lit(None).cast(versions.schema[v].dataType).alias(v) for v in values])
-    return rows.unionByName(fresh)
+    empty = F.create_map().cast(kinds.TAGS)
+    tagged = [v for v in values if versions.schema[v].dataType == kinds.TAGS and v in patch.columns]
+    leaves = F.lit(False) if gone is None else F.coalesce(gone, F.lit(False))
+    for v in tagged:
+        leaves = leaves | F.coalesce(F.map_contains_key(v, F.lit(GONE)), F.lit(False))
+    p = patch.select(*KEYS, leaves.alias("_gone"), F.struct(*[(F.col(v) if v in patch.columns else F.lit(None)).cast(versions.schema[v].dataType).alias(v) for v in values]).alias("_p"))
+
+    def merged(v: str) -> Column:
+        if v not in tagged:
+            return F.coalesce(F.col(f"_p.{v}"), F.col(f"_v.{v}"))
+        return tags_patched(F.coalesce(f"_v.{v}", empty), F.coalesce(f"_p.{v}", empty))
+
+    is_open = F.col("end_datetime") == last
+    both = versions.where(is_open).select(*KEYS, F.col("start_datetime").alias("_s"), F.struct(*values).alias("_v")).join(p, list(KEYS), "full_outer")
+    hit = F.col("_p").isNotNull()
+    old = F.when(F.col("_v").isNotNull(), F.struct(F.col("_s").alias("s"), F.when(hit, at - tick()).otherwise(last).alias("e"), F.struct(*[F.col(f"_v.{v}").alias(v) for v in values]).alias("v")))
+    new = F.when(hit & ~F.col("_gone"), F.struct(at.alias("s"), last.alias("e"), F.struct(*[merged(v).alias(v) for v in values]).alias("v")))
+    rows = both.select(*KEYS, F.explode(F.filter(F.array(old, new), lambda r: r.isNotNull())).alias("r"))
+    rows = rows.select(*KEYS, F.col("r.s").alias("start_datetime"), F.col("r.e").alias("end_datetime"), *[F.col(f"r.v.{v}").alias(v) for v in values])
+    return versions.where(~is_open).select(*rows.columns).unionByName(rows)
+
+
+def metadata_history(snapshots: DataFrame) -> DataFrame:
+    """Intervals of grid metadata from (customer_id, taken, metadata, cols): a new one only where either changed."""
+    return history(snapshots, F.struct(*[F.col(c) if snapshots.schema[c].dataType.typeName() != "map" else F.array_sort(F.map_entries(c)) for c in ("metadata", "cols")]), ("customer_id",))
 
 
 def at_each_time(events: DataFrame, versions: DataFrame, time: str = "ts", keys: tuple[str, ...] = ("id",)) -> DataFrame:

@@ -6,12 +6,12 @@ Tag-map form has `id, tags`. A patch has one row per changed id: tags hold new v
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kinds
-from .grid import exploded, regrouped, tag_hash
+from .grid import tag_hash
 
 GONE = "remove_"
 
@@ -43,8 +43,12 @@ def patched(left: DataFrame, patch: DataFrame) -> DataFrame:
     a, p = left.select("id", F.col("tags").alias("a")), patch.select("id", F.col("tags").alias("p"))
     both = a.join(p, "id", "full_outer").where(F.coalesce(~F.map_contains_key("p", F.lit(GONE)), F.lit(True)))
     empty = F.create_map().cast(kinds.TAGS)
-    merged = F.map_zip_with(F.coalesce("a", empty), F.coalesce("p", empty), lambda k, x, y: F.coalesce(y, x))
-    return both.select("id", F.map_filter(merged, lambda k, v: v["kind"] != "remove").alias("tags"))
+    return both.select("id", tags_patched(F.coalesce("a", empty), F.coalesce("p", empty)).alias("tags"))
+
+
+def tags_patched(tags: Column, patch: Column) -> Column:
+    """One tag map with the tags of another in their place; those that are REMOVE there go."""
+    return F.map_filter(F.map_zip_with(tags, patch, lambda k, x, y: F.coalesce(y, x)), lambda k, v: v["kind"] != "remove")
 
 
 def row_patch(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -101,20 +105,65 @@ def mismatches(left: DataFrame, right: DataFrame, tolerance: float = 1e-6) -> Da
     return rows.where(F.col("lone") | ~alike(F.col("e.value.x"), F.col("e.value.y"), tolerance)).select("id", F.col("e.key").alias("tag"))
 
 
-def same_rows(left: DataFrame, right: DataFrame, digits: int = 6) -> DataFrame:
-    """Rows of either side without an equal row on the other, numbers rounded to so many digits; for rows without id."""
-    rounded = lambda df: df.select(*[F.round(c, digits).alias(c) if isinstance(df.schema[c].dataType, T.FractionalType) else F.date_trunc("second", c).alias(c) if isinstance(df.schema[c].dataType, T.TimestampType) else F.col(c) for c in right.columns])
-    a, b = rounded(left), rounded(right)
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+def _each_with(lists: Column, items: Column) -> Column:
+    """Each list with each of the items at its end."""
+    return F.flatten(F.transform(lists, lambda done: F.transform(items, lambda c: F.concat(done, F.array(c)))))
+
+
+def same_rows(left: DataFrame, right: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Rows of either side without a partner on the other, for rows without id: (columns of right, side).
+
+    Partners have equal columns, but fractions may differ by the tolerance, and timestamps count by the second. Equal rows
+    match first, one to one. Of the others, those that are one another's nearest within the tolerance match;
+    candidates come from equal and neighbouring cells of that size, never from all pairs.
+    """
+    fractions = [c for c in right.columns if isinstance(right.schema[c].dataType, T.FractionalType)]
+    plain = lambda df: df.select(*[F.date_trunc("second", c).alias(c) if isinstance(df.schema[c].dataType, T.TimestampType) else F.col(c) for c in right.columns])
+    a, b = plain(left), plain(right)
+    a, b = a.exceptAll(b), b.exceptAll(a)
+    if not fractions:
+        return a.withColumn("side", F.lit("left")).unionByName(b.withColumn("side", F.lit("right")))
+    others = [c for c in right.columns if c not in fractions]
+
+    def counted(df: DataFrame, side: str) -> DataFrame:
+        """(key of what must be equal, x of fractions, cells, n), a row for each different one."""
+        x = F.array(*[F.col(c).cast("double") for c in fractions])
+        each = df.groupBy(*right.columns).agg(F.count("*").alias("n")).select(F.struct(*others).alias("k") if others else F.lit(0).alias("k"), F.struct(*fractions).alias("f"), x.alias("x"), "n")
+        # nulls, infinities and NaN are in cells of their own
+        cell = F.transform("x", lambda v: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.coalesce(v.cast("string"), F.lit("null"))).otherwise(F.floor(v / (2 * tolerance)).cast("string")))
+        return each.withColumn("cell", cell).withColumn("side", F.lit(side))
+
+    la, rb = counted(a, "left"), counted(b, "right")
+    # a left row is asked in its own cells and the neighbouring ones of each fraction
+    step = lambda c, d: F.when(c.rlike(r"^-?\d+$"), (c.cast("bigint") + d).cast("string"))
+    cells = F.array(F.array().cast("array<string>"))
+    for k in range(len(fractions)):
+        near = F.filter(F.array(F.col("cell")[k], step(F.col("cell")[k], -1), step(F.col("cell")[k], 1)), lambda c: c.isNotNull())
+        cells = _each_with(cells, near)
+    close = F.forall(F.zip_with("x", "y", lambda p, q: p.eqNullSafe(q) | (F.abs(p - q) <= tolerance)), lambda ok: F.coalesce(ok, F.lit(False)))
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.coalesce(F.when(p == q, 0.0).otherwise(F.abs(p - q)), F.lit(0.0))), F.lit(0.0), lambda s, v: F.greatest(s, F.when(F.isnan(v), 0.0).otherwise(v)))
+    met = la.select("k", F.col("f").alias("lf"), "x", F.col("n").alias("ln"), F.explode(cells).alias("cell")).join(rb.select("k", "cell", F.col("f").alias("rf"), F.col("x").alias("y"), F.col("n").alias("rn")), ["k", "cell"]).where(close)
+    met = met.select("k", "lf", "rf", "ln", "rn", apart.alias("d"))
+    best = lambda by, other: F.row_number().over(Window.partitionBy("k", by).orderBy("d", other))
+    pairs = met.withColumn("bl", best("lf", "rf")).withColumn("br", best("rf", "lf")).where("bl = 1 AND br = 1")
+    taken = pairs.select("k", F.col("lf").alias("f"), F.lit("left").alias("side"), F.least("ln", "rn").alias("m")).unionByName(pairs.select("k", F.col("rf").alias("f"), F.lit("right").alias("side"), F.least("ln", "rn").alias("m")))
+    both = la.select("k", "f", "n", "side").unionByName(rb.select("k", "f", "n", "side"))
+    left_ = both.join(taken, (both["k"].eqNullSafe(taken["k"])) & (both["f"].eqNullSafe(taken["f"])) & (both["side"] == taken["side"]), "left").select(both["k"], both["f"], both["side"], (both["n"] - F.coalesce(taken["m"], F.lit(0))).alias("n"))
+    out = left_.where("n > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return out.select(*[F.col(f"f.{c}").alias(c) if c in fractions else F.col(f"k.{c}").alias(c) for c in right.columns], "side")
 
 
 def merged_sources(rows: DataFrame) -> DataFrame:
-    """(source, id, tags) of several sources -> (id, tags, sources): equal tags once, conflicting ones as `tag^source`."""
-    each = exploded(rows, "source", "id")
-    key = F.struct(F.col("value.kind").alias("kind"), F.col("value.str").alias("str"))
-    by_tag = each.groupBy("id", "tag").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.collect_list(F.struct("source", "value")).alias("all"))
-    one = F.array(F.struct(F.col("tag").alias("tag"), F.array_min(F.col("all")).value.alias("value")))
-    many = F.transform("all", lambda x: F.struct(F.concat(F.col("tag"), F.lit("^"), x.source).alias("tag"), x.value.alias("value")))
-    named = by_tag.select("id", F.inline(F.when(F.col("lo") == F.col("hi"), one).otherwise(many)))
-    sources = rows.groupBy("id").agg(F.array_sort(F.collect_set("source")).alias("sources"))
-    return regrouped(named).join(sources, "id", "right").select("id", F.coalesce("tags", F.create_map().cast(kinds.TAGS)).alias("tags"), "sources")
+    """(source, id, tags) of several sources -> (id, tags, sources): equal tags once, conflicting ones as `tag^source`.
+
+    One shuffle, by id: an id has as many rows as there are sources, and its tags are compared where these meet.
+    """
+    found = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("source", F.map_entries("tags").alias("entries")))).alias("all"))
+    key = lambda v: F.struct(v.kind.alias("kind"), v.str.alias("str"))
+    tags = F.array_distinct(F.flatten(F.transform("all", lambda s: F.transform(s.entries, lambda e: e.key))))
+    having = lambda t: F.filter(F.transform("all", lambda s: F.struct(s.source.alias("source"), F.get(F.filter(s.entries, lambda e: e.key == t), F.lit(0)).value.alias("value"))), lambda x: x.value.isNotNull())
+    entry = lambda name, v: F.struct(name.alias("key"), v.alias("value"))
+    split = lambda t, h: F.when(F.size(F.array_distinct(F.transform(h, lambda x: key(x.value)))) == 1, F.array(entry(t, F.get(h, F.lit(0)).value))).otherwise(F.transform(h, lambda x: entry(F.concat(t, F.lit("^"), x.source), x.value)))
+    kept = found.select("id", F.transform(tags, lambda t: F.struct(t.alias("tag"), having(t).alias("having"))).alias("each"), F.array_distinct(F.transform("all", lambda s: s.source)).alias("sources"))
+    entries = F.flatten(F.transform(F.filter("each", lambda x: F.size(x.having) > 0), lambda x: split(x.tag, x.having)))
+    return kept.select("id", F.map_from_entries(entries).alias("tags"), "sources")
