@@ -33,7 +33,7 @@ def _part(text: Column, pattern: str, k: int) -> Column:
 
 
 def decode_zinc(raw: Column) -> Column:
-    """A Zinc literal; empty and N are null, unreadable text is a plain string. Lists, dicts and grids keep their text."""
+    """A Zinc literal; empty and N are null, unreadable text is a plain string. Lists, dicts and grids keep their text, which readers make JSON first."""
     text = F.trim(raw)
     num = F.replace(F.regexp_extract(text, _NUMBER, 1), F.lit("_"), F.lit("")).try_cast("double")
     special = F.when(text == "INF", float("inf")).when(text == "-INF", float("-inf")).when(text == "NaN", float("nan"))
@@ -58,8 +58,8 @@ def decode_zinc(raw: Column) -> Column:
         .when(text.rlike(_XSTR) & (encoding == "bin"), value("bin", F.regexp_extract(text, _XSTR, 2)))
         .when(num.isNotNull(), kinds.number(num, _part(text, _NUMBER, 2)))
         .when(text.startswith("["), value("list", text))
+        .when(text.rlike(kinds.GRID_JSON), value("grid", text))
         .when(text.startswith("{"), value("dict", text))
-        .when(text.startswith("<<"), value("grid", text))
         .otherwise(value("str", text))
     )
 
@@ -110,6 +110,7 @@ def decode_hayson(json: Column) -> Column:
     encoding = F.lower(get("type"))
     return (
         F.when(json.isNull() | (json == "null"), F.lit(None).cast(TAG_VALUE))
+        .when(json.rlike(kinds.GRID_JSON), value("grid", json))
         .when(json.startswith("{") & kind.isNull(), value("dict", json))
         .when(json.startswith("["), value("list", json))
         .when(kind == "marker", value("marker", F.lit("M")))

@@ -217,9 +217,25 @@ def import_files(entities: DataFrame, files: DataFrame) -> DataFrame:
     return files.withColumn("hisURI", name).join(entities.select("id", "hisURI").where("hisURI IS NOT NULL"), "hisURI").select("id", "ts", "val")
 
 
+def import_all(entities: DataFrame, grids: DataFrame, tenant: str = "", stored: DataFrame | None = None) -> DataFrame:
+    """Bulk import: (customer_id, id, ts, val) of the points of all entities(id, tags), in one job.
+
+    Points are rows with ts and val in the grids(file, tags) that the entities' `hisURI` tags name, or lie in nested grids
+    of their `history` tags. stored: points that are there already; those of a period that is imported give way.
+    """
+    named = entities.select("id", F.col("tags")["hisURI"]["str"].alias("hisURI"))
+    rows = grids.select(F.col("file").alias("path"), F.col("tags")["ts"]["ts"].alias("ts"), F.col("tags")["val"].alias("val")).where("ts IS NOT NULL")
+    points = import_files(named, rows).unionByName(import_nested(entities)).select(F.lit(tenant).alias("customer_id"), "id", "ts", "val")
+    return points if stored is None else period_replaced(stored, points)
+
+
 def import_nested(entities: DataFrame, column: str = "history") -> DataFrame:
-    """Points of entities that hold them as an array of (ts, val)."""
-    return entities.select("id", F.inline(column))
+    """(id, ts, val) of entities that hold their points: an array column of (ts, val), or a tag whose value is a nested grid."""
+    if column in entities.columns:
+        return entities.select("id", F.inline(column))
+    held = entities.select("id", F.col("tags")[column].alias("v")).where("v.kind = 'grid'")
+    rows = held.select("id", F.explode(F.from_json("v.str", "rows ARRAY<MAP<STRING, STRING>>").rows).alias("row"))
+    return rows.select("id", kinds.decode_tagged(F.col("row")["ts"])["ts"].alias("ts"), kinds.decode_tagged(F.col("row")["val"]).alias("val"))
 
 
 def last_per_level(writes: DataFrame, now: Column | str) -> DataFrame:

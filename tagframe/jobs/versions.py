@@ -155,7 +155,7 @@ SNAPSHOT_NAME = r"^(.*?)(?:-(\d{4}-\d\d-\d\d(?:T\d\d[:_]?\d\d(?:[:_]?\d\d)?)?))?
 
 def snapshot_files(files: DataFrame) -> DataFrame:
     """(path, modified) -> name, version, suffix: what a file's name says of its version; an undated one has its file's time."""
-    base = F.element_at(F.split("path", "/"), -1)
+    base = F.element_at(F.split(F.regexp_replace("path", r"/part-[^/]*$", ""), "/"), -1)
     dated = F.nullif(F.regexp_extract(base, SNAPSHOT_NAME, 2), F.lit(""))
     time = F.regexp_replace(F.regexp_replace(dated, "_", ":"), r"T(\d\d)(\d\d)", "T$1:$2").try_cast("timestamp")
     return files.select("path", F.regexp_extract(base, SNAPSHOT_NAME, 1).alias("name"), F.coalesce(time, F.col("modified")).alias("version"), F.regexp_extract(base, SNAPSHOT_NAME, 3).alias("suffix"))
@@ -177,3 +177,16 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, modified) of the files below a path; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return files.select("path", F.col("modificationTime").alias("modified"))
+
+
+def import_snapshots(entities: DataFrame, files: DataFrame, tenant: str = "") -> DataFrame:
+    """Intervals of all entities from all snapshot files: entities(file, id, tags) as read, files(path, modified) as listed.
+
+    The files of one name are snapshots of one ontology; an entity gets a new version where its tags changed, and ends
+    where a snapshot lacks it. Parts of one file count as one snapshot.
+    """
+    path = lambda c: F.regexp_replace(F.regexp_replace(c, "^file:/+", "/"), r"/part-[^/]*$", "")
+    named = snapshot_files(files.groupBy(path(F.col("path")).alias("path")).agg(F.max("modified").alias("modified")))
+    rows = entities.withColumn("path", path(F.col("file"))).join(named.select("path", "name", F.col("version").alias("taken")), "path")
+    rows = rows.select(F.lit(tenant).alias("customer_id"), "name", "id", "taken", "tags")
+    return history(rows, tag_hash(F.col("tags")), ("customer_id", "name", "id"), scope=("customer_id", "name"))

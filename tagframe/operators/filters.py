@@ -7,17 +7,20 @@ included; kinds that differ are unequal and have no order.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import filterlang as lang
+from ..functions import kinds
 from ..functions.filterlang import And, Compare, Has, Missing, Node, Or
 
 
-def of_kind(df: DataFrame, **kinds: str) -> DataFrame:
+def of_kind(df: DataFrame, **named: str) -> DataFrame:
     """Notes the kind of wide columns that their type does not tell (ref, uri, marker, time, coord, xstr, bin)."""
-    for name, kind in kinds.items():
+    for name, kind in named.items():
         df = df.withMetadata(name, {**(df.schema[name].metadata or {}), "kind": kind})
     return df
 
@@ -89,6 +92,10 @@ def _compare_column(c: Column, kind: str, data: T.DataType, op: str, x: lang.Lit
         other = F.lit(x.text == "true")
     elif kind in ("date", "datetime"):
         other = F.lit(x.text).cast(data)
+    elif kind == "list" and isinstance(data, T.ArrayType):
+        if op not in ("==", "!="):
+            return F.lit(False)
+        other = F.array(*[F.lit(v) for v in plain_values(x.text)]).cast(data)
     elif kind == "marker":
         return F.coalesce(c, F.lit(False)) if op == "==" else F.lit(False)
     elif kind == "xstr" and isinstance(data, T.BinaryType):
@@ -98,6 +105,18 @@ def _compare_column(c: Column, kind: str, data: T.DataType, op: str, x: lang.Lit
     return _order(op, c, other)  # null counts as false under and / or; the bare comparison reaches the scan
 
 
+def plain_values(text: str) -> list:
+    """The values of a list literal as an array column holds them: numbers, flags, and the text of everything else."""
+    out = []
+    for v in json.loads(text):
+        if isinstance(v, str) and v[:2] == "n:":
+            v = float(v[2:].split(" ")[0])
+        elif isinstance(v, str):
+            v = v[2:].split(" ")[0] if v[:2] == "r:" else v[2:]
+        out.append(v)
+    return out
+
+
 class _Plan:
     """The joins and columns that a filter needs on one table."""
 
@@ -128,7 +147,11 @@ class _Plan:
 
     def column(self, path: tuple[str, ...]) -> Column:
         if self.mapped:
-            return F.col("tags")[path[0]] if len(path) == 1 else F.col(self.steps[path[:-1]])[path[-1]]
+            if len(path) == 1:
+                return F.col("tags")[path[0]]
+            # another entity's tag, or where the step before is a dict, what that holds
+            held = self.column(path[:-1])
+            return F.coalesce(F.col(self.steps[path[:-1]])[path[-1]], kinds.decode_tagged(F.when(held["kind"] == "dict", F.get_json_object(held["str"], f"$.{path[-1]}"))))
         if len(path) > 1 and self.nested(path[:-1]):
             return self.column(path[:-1])[path[-1]]
         if self.field(path) is None:

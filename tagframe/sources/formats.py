@@ -1,29 +1,38 @@
 """Grid files: Zinc, Trio, tagged JSON, Hayson and CSV, read in one scan per format and written in parallel.
 
-Readers give (file, id, tags). Scalars are decoded by expressions; the only Python is the splitting of Zinc rows into
-cells. Writers give every part its own header, so each part is a grid file of its own.
+Readers give (file, id, tags). Scalars are decoded by expressions; Python splits Zinc and CSV files into cells and makes
+JSON of nested values. Writers give every part its own header, so each part is a grid file of its own, and a folder that
+is named like a grid file counts as one file, whose parts are in it.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import csv
+import io
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import kinds, zinc
+from ..functions import kinds, nested, zinc
 
 #: What a file's suffix says of its format.
 SUFFIXES = {".hayson.json": "hayson", ".zinc": "zinc", ".trio": "trio", ".json": "json", ".csv": "csv"}
-_GLOBS = {"zinc": "*.zinc*", "trio": "*.trio*", "csv": "*.csv*", "json": "*.json*", "hayson": "*.hayson.json*"}
 BOM = "\ufeff"
 
 
+def grid_file(path: Column) -> Column:
+    """The file that a path belongs to: the folder of a part that Spark wrote, else the path itself."""
+    return F.regexp_replace(path, r"/part-[^/]*$", "")
+
+
 def format_of(path: Column) -> Column:
     """The format that a path's suffix names, with or without .gz; null if none."""
-    bare = F.regexp_replace(path, r"\.gz$", "")
+    bare = F.regexp_replace(grid_file(path), r"\.gz$", "")
     out = F.lit(None).cast("string")
     for suffix, name in reversed(SUFFIXES.items()):
         out = F.when(bare.endswith(suffix), name).otherwise(out)
@@ -31,9 +40,10 @@ def format_of(path: Column) -> Column:
 
 
 def _texts(spark: SparkSession, path: str, name: str, all_files: bool = False) -> DataFrame:
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*" if all_files else _GLOBS[name])
-    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace(F.ltrim("value"), f"^{BOM}", "").alias("text"))
-    return rows if all_files else rows.where(format_of(F.col("file")) == name)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    if not all_files:  # decided by the names, before any content is read
+        rows = rows.where(format_of(F.col("_metadata.file_path")) == name)
+    return rows.select(grid_file(F.col("_metadata.file_path")).alias("file"), F.regexp_replace(F.ltrim("value"), f"^{BOM}", "").alias("text"))
 
 
 def _entities(rows: DataFrame) -> DataFrame:
@@ -72,68 +82,84 @@ def _csv(spark: SparkSession, path: str, file: Column) -> DataFrame:
     return _entities(raw.select(file.alias("file"), F.transform_values(cells, lambda k, v: zinc.decode_csv(v)).alias("tags")))
 
 
-def read_csv(spark: SparkSession, path: str, all_files: bool = False) -> DataFrame:
-    """CSV with a header of tags. Files are told apart by their header and read one by one; all_files: one header, one scan."""
-    if all_files:
-        return _csv(spark, path, F.col("_metadata.file_path"))
-    files = [r.file for r in _texts(spark, path, "csv").select("file").distinct().collect()]  # names alone
-    out = None
-    for file in sorted(files):
-        one = _csv(spark, file, F.lit(file))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], "file string, id string").withColumn("tags", F.create_map().cast(kinds.TAGS))
+_CELLS = "file string, tags array<string>, cells array<string>"
+
 
+def _celled(split: Callable[[str], Iterator[tuple[list[str], list[str]]]]):
+    """A mapInArrow function over (file, text): (file, tags, cells) of each row that split gives of a text."""
 
-_CELL = re.compile(r'"(?:[^"\\]|\\.)*"|`(?:[^`\\]|\\.)*`|<<|>>|[\[\](){},]|[^"`\[\](){},<>]+|[<>]', re.S)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = pa.list_(pa.string())
+        for batch in batches:
+            for file, text in zip(batch["file"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                rows = list(split(text))
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array([t for t, _ in rows], strings), pa.array([c for _, c in rows], strings)], ["file", "tags", "cells"])
 
+    return run
 
-def cells(line: str) -> list[str]:
-    """A row of Zinc at its outer commas."""
-    out, depth, now = [], 0, []
-    for part in _CELL.findall(line):
-        if part == "," and not depth:
-            out.append("".join(now))
-            now = []
-            continue
-        depth += part in ("[", "(", "{", "<<")
-        depth -= part in ("]", ")", "}", ">>")
-        now.append(part)
-    return [*out, "".join(now)]
 
+def _csv_rows(text: str) -> Iterator[tuple[list[str], list[str]]]:
+    rows = csv.reader(io.StringIO(text, newline=""))
+    names = [c.strip() for c in next(rows, [])]
+    for row in rows:
+        if row:
+            cells_ = [*row, *[""] * len(names)][: len(names)]
+            yield names, [nested.nested_json(c) if c[:1] in ("[", "{") or c.startswith("<<") else c for c in cells_]
+
+
+def _zinc_rows(text: str) -> Iterator[tuple[list[str], list[str]]]:
+    for _, columns, rows in nested.grids(text):
+        names = [c["name"] for c in columns]
+        for row in rows:
+            yield names, [*row, *[""] * len(names)][: len(names)]
 
-def _zinc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        files, tags, values = [], [], []
-        for file, text in zip(batch["file"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            lines = [x for x in text.replace("\r\n", "\n").split("\n")]
-            if len(lines) < 2:
-                continue
-            names = [c.strip().split(" ")[0] for c in cells(lines[1])]
-            for line in lines[2:]:
-                if not line.strip():
-                    break  # a blank line ends a grid
-                files.append(file)
-                tags.append(names)
-                values.append([*cells(line), *[""] * len(names)][: len(names)])
-        strings = pa.list_(pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(tags, strings), pa.array(values, strings)], ["file", "tags", "cells"])
+
+def read_csv(spark: SparkSession, path: str, all_files: bool = False) -> DataFrame:
+    """CSV, each file with its own header of tags, all in one scan. all_files: one header for all, read by Spark itself."""
+    if all_files:
+        return _csv(spark, path, grid_file(F.col("_metadata.file_path")))
+    rows = _texts(spark, path, "csv").mapInArrow(_celled(_csv_rows), _CELLS)
+    return _entities(rows.select("file", F.transform_values(F.map_from_arrays("tags", "cells"), lambda k, v: zinc.decode_csv(v)).alias("tags")))
 
 
 def read_zinc(spark: SparkSession, path: str, all_files: bool = False) -> DataFrame:
-    rows = _texts(spark, path, "zinc", all_files).mapInArrow(_zinc_rows, "file string, tags array<string>, cells array<string>")
+    """Zinc: all grids of each file; nested lists, dicts and grids may go over lines."""
+    rows = _texts(spark, path, "zinc", all_files).mapInArrow(_celled(_zinc_rows), _CELLS)
     return _entities(rows.select("file", F.transform_values(F.map_from_arrays("tags", "cells"), lambda k, v: zinc.decode_zinc(v)).alias("tags")))
 
 
+def zinc_columns(spark: SparkSession, path: str) -> DataFrame:
+    """(file, tag, meta): the columns of each grid of Zinc files, with their metadata as JSON."""
+
+    def split(text: str) -> Iterator[tuple[list[str], list[str]]]:
+        for _, columns, _ in nested.grids(text):
+            yield [c["name"] for c in columns], [json.dumps({k: v for k, v in c.items() if k != "name"}, ensure_ascii=False, separators=(",", ":")) for c in columns]
+
+    rows = _texts(spark, path, "zinc").mapInArrow(_celled(split), _CELLS)
+    return rows.select("file", F.explode(F.map_from_arrays("tags", "cells")).alias("tag", "meta"))
+
+
+def _trio_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch["file"], pa.array([nested.trio_lines(t) for t in batch["text"].to_pylist()], pa.string())], ["file", "text"])
+
+
 def read_trio(spark: SparkSession, path: str, all_files: bool = False) -> DataFrame:
-    """Trio: `tag: value` lines, records between lines of dashes, bare tags as markers, indented lines continue a value."""
+    """Trio: `tag: value` lines, records between lines of dashes, bare tags as markers, indented lines continue a value.
+
+    Only files that hold nested values (`Zinc:` blocks, lists, dicts) go through Python, which makes JSON of these.
+    """
+    texts = _texts(spark, path, "trio", all_files)
+    has = F.col("text").rlike(r"(?m)^\w+:\s*(Zinc:\s*$|[\[{<])")
+    texts = texts.where(~has).unionByName(texts.where(has).mapInArrow(_trio_texts, "file string, text string"))
     text = F.regexp_replace(F.regexp_replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), r"(?m)^//.*$", ""), r"\n[ \t]+", "\u0001")
-    records = _texts(spark, path, "trio", all_files).select("file", F.posexplode(F.split(text, r"(?m)^-+\s*$")).alias("record", "text")).where(F.col("text").rlike(r"\S"))
+    records = texts.select("file", F.posexplode(F.split(text, r"(?m)^-+\s*$")).alias("record", "text")).where(F.col("text").rlike(r"\S"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     name = lambda x: F.trim(F.split(x, ":", 2)[0])
     rest = lambda x: F.when(x.contains(":"), F.trim(F.split(x, ":", 2)[1])).otherwise("M")
     joined = lambda v: F.replace(F.regexp_replace(v, "^\u0001", ""), F.lit("\u0001"), F.lit("\n"))
     tags = F.map_from_arrays(F.transform(lines, name), F.transform(lines, lambda x: joined(rest(x))))
-    return _entities(records.select("file", F.transform_values(tags, lambda k, v: F.when(v.contains("\n") & ~v.startswith("Zinc:"), kinds.value("str", v)).otherwise(zinc.decode_zinc(v))).alias("tags")))
+    return _entities(records.select("file", F.transform_values(tags, lambda k, v: F.when(v.contains("\n"), kinds.value("str", v)).otherwise(zinc.decode_zinc(v))).alias("tags")))
 
 
 READERS = {"zinc": read_zinc, "trio": read_trio, "csv": read_csv, "json": read_json, "hayson": lambda spark, path, all_files=False: read_json(spark, path, all_files, hayson=True)}
@@ -166,10 +192,20 @@ def _framed(lines: DataFrame, head: str, foot: str, joint: str) -> DataFrame:
     return lines.mapInArrow(run, "value string")
 
 
-def lines(entities: DataFrame, name: str, tags: list[str]) -> DataFrame:
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _literals(values: pd.Series) -> pd.Series:
+    return values.map(lambda row: nested.zinc_literals(list(row)))
+
+
+def lines(entities: DataFrame, name: str, tags: list[str], with_nested: bool = False) -> DataFrame:
     """One text line (or record) for each entity."""
     # one expression for all tags: a scalar's encoder is long, and must not be repeated for each of them
     pairs = F.array(*[F.struct(F.lit(t).alias("tag"), F.col("tags")[t].alias("value")) for t in tags])
+    if with_nested and name in ("zinc", "csv", "trio"):  # what lists, dicts and grids are in Zinc
+        texts = _literals(F.transform(pairs, lambda e: F.when(e["value"]["kind"].isin("list", "dict", "grid"), e["value"]["str"])))
+        entities = entities.withColumn("_literals", texts)
+        shown = lambda e, i: F.when(F.get("_literals", i).isNotNull(), e["value"].withField("str", F.get("_literals", i))).otherwise(e["value"])
+        pairs = F.transform(pairs, lambda e, i: F.struct(e["tag"].alias("tag"), shown(e, i).alias("value")))
     there = F.filter(pairs, lambda e: e["value"].isNotNull())
     if name == "zinc":
         return entities.select(F.array_join(F.transform(pairs, lambda e: F.when(e["value"].isNull(), "").otherwise(zinc.encode_zinc(e["value"]))), ",").alias("value"))
@@ -178,7 +214,8 @@ def lines(entities: DataFrame, name: str, tags: list[str]) -> DataFrame:
         cells_ = F.transform(pairs, lambda e: zinc.encode_csv(e["value"]))
         return entities.select(F.array_join(F.transform(cells_, quoted), ",").alias("value"))
     if name == "trio":
-        line = lambda e: F.when(e["value"]["kind"] == "marker", e["tag"]).otherwise(F.concat(e["tag"], F.lit(": "), zinc.encode_zinc(e["value"])))
+        block = lambda e: F.concat(e["tag"], F.lit(": Zinc:\n  "), F.regexp_replace(F.regexp_replace(e["value"]["str"], r"^<<\n|\n>>$", ""), "\n", "\n  "))
+        line = lambda e: F.when(e["value"]["kind"] == "marker", e["tag"]).when(e["value"]["str"].startswith("<<\n"), block(e)).otherwise(F.concat(e["tag"], F.lit(": "), zinc.encode_zinc(e["value"])))
         return entities.select(F.concat(F.array_join(F.transform(there, line), "\n"), F.lit("\n---")).alias("value"))
     plain = lambda c: F.when(c["kind"].isin("bool", "list", "dict", "grid"), c["str"]).otherwise(F.concat(F.lit('"'), zinc.escape(kinds.encode_tagged(c)), F.lit('"')))
     encode = zinc.encode_hayson if name == "hayson" else plain
@@ -186,8 +223,11 @@ def lines(entities: DataFrame, name: str, tags: list[str]) -> DataFrame:
     return entities.select(F.concat(F.lit("{"), F.array_join(F.transform(there, pair), ","), F.lit("}")).alias("value"))
 
 
-def write_grids(entities: DataFrame, path: str, name: str, tags: list[str], mode: str = "errorifexists") -> None:
-    """Writes entities as files of one format, a grid in each part; rename parts by `SUFFIXES` to read them again."""
+def write_grids(entities: DataFrame, path: str, name: str, tags: list[str], mode: str = "errorifexists", with_nested: bool = False) -> None:
+    """Writes entities as files of one format, a grid in each part. A path that ends in the format's suffix reads as one file.
+
+    with_nested: there may be lists, dicts or grids among the values, whose Zinc takes a step in Python.
+    """
     heads = {
         "zinc": ('ver:"3.0"\n' + ",".join(tags), "", ""),
         "csv": (",".join(tags), "", ""),
@@ -195,7 +235,7 @@ def write_grids(entities: DataFrame, path: str, name: str, tags: list[str], mode
     }
     columns = ",".join(f'{{"name":"{t}"}}' for t in tags)
     head, foot, joint = heads.get(name, (f'{{"meta":{{"ver":"3.0"}},"cols":[{columns}],"rows":[', "]}", ","))
-    _framed(lines(entities, name, tags), head, foot, joint).write.mode(mode).text(path)
+    _framed(lines(entities, name, tags, with_nested), head, foot, joint).write.mode(mode).text(path)
 
 
 def write_tables(path: str, entities: DataFrame | None = None, metadata: DataFrame | None = None, series: DataFrame | None = None, mode: str = "overwrite") -> None:

@@ -1,7 +1,11 @@
+import gzip
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from tagframe.functions import kinds, zinc
+from tagframe.functions import kinds, nested, zinc
+from tagframe.jobs import series
 from tagframe.sources import formats
 
 TEXTS = ["m:", "z:", "-:", "true", "n:1.500000 kW", "n:-2.000000", "n:INF", "s:a: b", "u:http://x", "r:a.b c d", "d:2021-02-03", "h:10:20:30", "t:2021-02-03T04:05:06.000000Z UTC", "c:1.500000,-2.000000", "b:text/plain"]
@@ -35,8 +39,65 @@ def test_zinc_literals(spark, text, want):
     assert (v and (v.kind, v.str)) == want
 
 
-def test_cells():
-    assert formats.cells('1,"a,b",[1,2],{x:"]"},C(1,2),<<a,b>>,,`u,v`,@r "d,e"') == ["1", '"a,b"', "[1,2]", '{x:"]"}', "C(1,2)", "<<a,b>>", "", "`u,v`", '@r "d,e"']
+def test_split():
+    assert nested.split('1,"a,b",[1,2],{x:"]"},C(1,2),<<a,b>>,,`u,v`,@r "d,e"', ",") == ["1", '"a,b"', "[1,2]", '{x:"]"}', "C(1,2)", "<<a,b>>", "", "`u,v`", '@r "d,e"']
+
+
+NESTED = [
+    ("[1, 2]", '["n:1.000000","n:2.000000"]'),
+    ('[1kW,"a, b",[T,N],{x:"]"}]', '["n:1.000000 kW","s:a, b",[true,null],{"x":"s:]"}]'),
+    ('{a b:2 c:"x y", d:@r "D d" e:@q f}', '{"a":"m:","b":"n:2.000000","c":"s:x y","d":"r:r D d","e":"r:q","f":"m:"}'),
+    ("{a:{b:1 c:[1,2]} d}", '{"a":{"b":"n:1.000000","c":["n:1.000000","n:2.000000"]},"d":"m:"}'),
+    ("[]", "[]"),
+    ("{}", "{}"),
+    ('<<\nver:"3.0" dis:"g"\nts,val unit:"kW"\n2021-01-01T00:00:00Z UTC,1\n>>', '{"meta":{"ver":"3.0","dis":"s:g"},"cols":[{"name":"ts"},{"name":"val","unit":"s:kW"}],"rows":[{"ts":"t:2021-01-01T00:00:00.000000Z UTC","val":"n:1.000000"}]}'),
+    ('[C(1,2),hex("DEAD"),b64("3q0="),`u`,2021-01-01,10:20,NA,R,M,-INF]', '["c:1.000000,2.000000","x:hex:dead","x:hex:dead","u:u","d:2021-01-01","h:10:20:00","z:","-:","m:","n:-INF"]'),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), NESTED)
+def test_nested_literals(text, want):
+    assert nested.nested_json(text) == want
+    assert nested.nested_json(nested.literal(json.loads(want))) == want
+
+
+def test_grids_over_lines_and_blank_lines(spark, tmp_path):
+    text = 'ver:"3.0" x:1\nid dis:"I",his\n@a "A",<<\nver:"3.0"\nts,val\n2021-01-01T00:00:00Z UTC,1\n\n>>\n@b,[1, 2]\n\nver:"3.0"\nid,q\n@c,3\n'
+    (tmp_path / "x.zinc").write_text(text)
+    got = {r.id: {k: (v.kind, v.str) for k, v in r.tags.items() if k != "id"} for r in formats.read_zinc(spark, str(tmp_path)).collect()}
+    assert got["b"] == {"his": ("list", '["n:1.000000","n:2.000000"]')} and got["c"] == {"q": ("number", "3.0")}
+    assert got["a"]["his"][0] == "grid" and set(got) == {"a", "b", "c"}
+    points = series.import_nested(formats.read_zinc(spark, str(tmp_path)), "his").collect()
+    assert [(p.id, p.ts.isoformat(), p.val.num) for p in points] == [("a", "2021-01-01T00:00:00", 1.0)]
+    assert {(r.tag, r.meta) for r in formats.zinc_columns(spark, str(tmp_path)).collect()} == {("id", '{"dis":"s:I"}'), ("his", "{}"), ("id", "{}"), ("q", "{}")}
+
+
+def test_trio_zinc_block(spark, tmp_path):
+    (tmp_path / "x.trio").write_text('id: @a\nhistory: Zinc:\n  ver:"3.0"\n  ts,val\n  2021-01-01T00:00:00Z UTC,1\nlist: [1, 2]\nsite\n---\n')
+    row = formats.read_trio(spark, str(tmp_path)).first()
+    assert row.tags["history"].kind == "grid" and row.tags["list"].str == '["n:1.000000","n:2.000000"]' and row.tags["site"].kind == "marker"
+
+
+@pytest.mark.parametrize("name", ["zinc", "trio", "csv", "json"])
+def test_nested_values_round_trip(spark, tmp_path, name):
+    rows = [(str(k), kind, want) for k, (_, want) in enumerate(NESTED) for kind in [{"[": "list", "{": "dict"}[want[0]] if "rows" not in want else "grid"]]
+    df = spark.createDataFrame(rows, "id string, kind string, text string")
+    tags = F.create_map(F.lit("id"), kinds.ref(F.col("id")), F.lit("v"), kinds.value(F.col("kind"), F.col("text")))
+    suffix = next(s for s, n in formats.SUFFIXES.items() if n == name)
+    formats.write_grids(df.select("id", tags.cast(kinds.TAGS).alias("tags")), f"{tmp_path}/all{suffix}", name, ["id", "v"], with_nested=True)
+    got = {(r.id, r.tags["v"].kind, r.tags["v"].str) for r in formats.read_grids(spark, str(tmp_path)).collect()}
+    assert got == set(rows)
+
+
+def test_a_folder_of_all_kinds_of_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,x\n@a,1\n")
+    (tmp_path / "b.csv").write_text('\ufeffy,id\n"two, 2",@b\n')
+    with gzip.open(tmp_path / "c.zinc.gz", "wt") as f:
+        f.write('ver:"3.0"\nid,z\n@c,3\n')
+    (tmp_path / "d.hayson.json").write_text('{"meta":{"ver":"3.0"},"cols":[{"name":"id"}],"rows":[{"id":{"_kind":"Ref","val":"d"}}]}')
+    (tmp_path / "readme.md").write_text("no grid")
+    got = {r.id: (r.file.rsplit("/", 1)[-1], {k: v.str for k, v in r.tags.items() if k != "id"}) for r in formats.read_grids(spark, str(tmp_path)).collect()}
+    assert got == {"a": ("a.csv", {"x": "1.0"}), "b": ("b.csv", {"y": "two, 2"}), "c": ("c.zinc.gz", {"z": "3.0"}), "d": ("d.hayson.json", {})}
 
 
 @pytest.fixture(scope="module")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tagframe.functions import kinds, ranges, tz, units
 from tagframe.jobs import series as ts
 from tagframe.jobs import versions as ver
+from tagframe.operators import diff
 
 UTC = dt.timezone.utc
 
@@ -120,3 +121,24 @@ def test_priority_levels(spark):
     w = spark.createDataFrame([("p", 8, 1.0, "u", at("2020-01-01T00:00"), 60), ("p", 8, None, "u", at("2020-01-01T00:01"), None), ("p", 10, 3.0, "v", at("2020-01-01T00:00"), None), ("p", 12, 4.0, "v", at("2020-01-01T00:00"), 30)], "id string, level int, val double, who string, at timestamp, duration_s int")
     got = [(r.level, r.val, r.in_force) for r in ts.last_per_level(w, "2020-01-01 00:05:00").collect()]
     assert got == [(10, 3.0, True)]
+
+
+def test_tag_maps_are_patched_tag_by_tag(spark):
+    n = lambda x: kinds.number(F.lit(x))
+    tags = lambda *pairs: F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)]).cast(kinds.TAGS)
+    one = lambda i, t: spark.range(1).select(F.lit("c").alias("customer_id"), F.lit(i).alias("id"), t.alias("tags"))
+    start = one("x", tags(("acctbal", n(1.0)), ("dis", kinds.string(F.lit("X"))))).unionByName(one("y", tags(("dis", kinds.string(F.lit("Y"))), ("area", n(2.0))))).unionByName(one("z", tags(("dis", kinds.string(F.lit("Z"))))))
+    versions = ver.closed(start.withColumn("start_datetime", F.lit("2020-01-01").cast("timestamp")))
+    patch = one("x", tags(("acctbal", n(5.0)))).unionByName(one("y", tags(("dis", kinds.removed())))).unionByName(one("z", tags((diff.GONE, kinds.removed())))).unionByName(one("n", tags(("dis", kinds.string(F.lit("N"))))))
+    got = {(r.id, r.start_datetime.year, r.end_datetime.year): {k: v.str for k, v in r.tags.items()} for r in ver.changed(versions, patch, "2021-06-01 00:00:00").collect()}
+    assert got == {
+        ("x", 2020, 2021): {"acctbal": "1.0", "dis": "X"}, ("x", 2021, 9999): {"acctbal": "5.0", "dis": "X"}, ("y", 2020, 2021): {"dis": "Y", "area": "2.0"}, ("y", 2021, 9999): {"area": "2.0"},
+        ("z", 2020, 2021): {"dis": "Z"}, ("n", 2021, 9999): {"dis": "N"},
+    }
+
+
+def test_rows_within_a_tolerance(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v double, w double")
+    left = rows(("a", 4.999e-7, 1.0), ("a", 1.0, float("nan")), ("b", 2.0, None), (None, None, None), ("c", 5.0, 1.0), ("c", 5.0, 1.0), ("d", float("inf"), 0.0))
+    right = rows(("a", 5.001e-7, 1.0000009), ("a", 1.0000005, float("nan")), ("b", 2.1, None), (None, None, None), ("c", 5.0000001, 1.0), ("d", float("inf"), 5e-7))
+    assert sorted((r.k, r.v, r.side) for r in diff.same_rows(left, right).collect()) == [("b", 2.0, "left"), ("b", 2.1, "right"), ("c", 5.0, "left")]
