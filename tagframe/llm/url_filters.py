@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import hub_join
+
 #: Urls of one host prefix that one sweep takes before a further one is opened.
 URLS_A_SWEEP = 2_000
 
@@ -66,9 +68,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
     nested = known.join(around.withColumnRenamed("inner", "path"), ["prefix", "path"], "left")
 
     labels = rules.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 0  # one number
-    keys = pages.where("host <> ''").select("host", "path").distinct()
+    keys = pages.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("urls"))
     parts = F.reverse(F.split("host", r"\.", -1))
-    under = keys.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.greatest(F.lit(labels), F.lit(1)))), lambda n: F.array_join(F.slice(parts, 1, n), "."))).alias("prefix"))
+    under = keys.select("host", "path", "urls", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.greatest(F.lit(labels), F.lit(1)))), lambda n: F.array_join(F.slice(parts, 1, n), "."))).alias("prefix"))
     under = under.join(known.select("prefix").distinct(), "prefix", "left_semi")
 
     most = 4 * int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -76,14 +78,18 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
     dealt = nested.join(sweeps, "prefix").withColumn("salt", F.explode(F.expr("sequence(0, sweeps - 1)")))
     point = F.col("path").cast("binary")
     none = _top(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("int"))
-    nothing = F.lit(None).cast("string")
-    marks = dealt.select("prefix", "salt", point.alias("at"), F.lit(0).alias("kind"), nothing.alias("host"), nothing.alias("path"), _top(F.col("rule"), F.col("verdict"), F.col("size")).alias("top"))
-    marks = marks.unionByName(dealt.select("prefix", "salt", F.concat(point, F.unhex(F.lit("FF"))).alias("at"), F.lit(0).alias("kind"), nothing.alias("host"), nothing.alias("path"), F.coalesce("outer", none).alias("top")))
-    asked = under.join(sweeps, "prefix").select("prefix", F.pmod(F.xxhash64("host", "path"), F.col("sweeps")).cast("int").alias("salt"), point.alias("at"), F.lit(1).alias("kind"), "host", "path", F.lit(None).cast(marks.schema["top"].dataType).alias("top"))
+    nothing, none_ = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    marks = dealt.select("prefix", "salt", point.alias("at"), F.lit(0).alias("kind"), nothing.alias("host"), nothing.alias("path"), none_.alias("urls"), _top(F.col("rule"), F.col("verdict"), F.col("size")).alias("top"))
+    marks = marks.unionByName(dealt.select("prefix", "salt", F.concat(point, F.unhex(F.lit("FF"))).alias("at"), F.lit(0).alias("kind"), nothing.alias("host"), nothing.alias("path"), none_.alias("urls"), F.coalesce("outer", none).alias("top")))
+    asked = under.join(sweeps, "prefix").select("prefix", F.pmod(F.xxhash64("host", "path"), F.col("sweeps")).cast("int").alias("salt"), point.alias("at"), F.lit(1).alias("kind"), "host", "path", "urls", F.lit(None).cast(marks.schema["top"].dataType).alias("top"))
     sweep = Window.partitionBy("prefix", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     met = marks.unionByName(asked).withColumn("top", F.last("top", ignorenulls=True).over(sweep)).where("kind = 1 AND top.rule IS NOT NULL")
-    best = met.groupBy("host", "path").agg(F.max_by("top", F.struct(F.col("top.size"), F.length("prefix"))).alias("top"))
-    return pages.join(best, ["host", "path"], "left").select(*keep, "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict"))
+    best = met.groupBy("host", "path").agg(F.max_by("top", F.struct(F.col("top.size"), F.length("prefix"))).alias("top"), F.first("urls").alias("urls"))
+    # urls that very many rows have, and rows without a host, are never gathered by their key
+    key = F.struct("host", "path").alias("key")
+    judged = hub_join(pages.where("host <> ''").select("*", key), best.select(key, "top", "urls"), "key", "urls", "left")
+    out = (*keep, "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict"))
+    return judged.select(*out).unionByName(pages.where("host = ''").select(*keep, "host", "path", nothing.alias("rule"), F.lit(default).alias("verdict")))
 
 
 #: The rules of the registered query: host, path, verdict.
