@@ -192,7 +192,7 @@ class Parser:
         entry = np.repeat(start[None, :], n, 0)
         grid = lambda x: np.broadcast_to(x, (n, len(owner))).ravel()
         language = np.repeat(np.arange(n), len(owner))
-        begins = np.zeros((n, len(s)), np.int32)
+        begins = np.zeros((n, len(s)), np.int16)  # at most LANE
         count = self.lanes(s, language, grid(start), grid(end), begins).reshape(n, -1).astype(np.int64)
         _, leave, _ = self.onward(s, language, self.states, grid(end), grid(end), grid(stop))
         leave = leave.reshape(n, -1)
@@ -275,7 +275,7 @@ def languages(docs: DataFrame, samples: tuple[tuple[str, str], ...]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(known.value)
-        for batch in slices(batches, "text", (8 << 20) // max(4, len(p.languages))):
+        for batch in slices(batches, "text", (4 << 20) // max(4, len(p.languages))):
             name, score, bits, phrases = p.best(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.string()), pa.array(score), pa.array(bits), pa.array(phrases)], [*batch.schema.names, *NEW])
 
