@@ -23,6 +23,8 @@ def tick() -> Column:
 
 
 KEYS = ("customer_id", "id")
+#: Rows up to which a table of snapshot times is copied to every task.
+TIMES = 100_000
 
 
 def normal_version(version: dt.datetime | dt.date) -> dt.datetime:
@@ -57,14 +59,18 @@ def version_dates(versions: DataFrame, tenant: str | None = None) -> DataFrame:
     return rows.select("start_datetime").distinct().orderBy("start_datetime")
 
 
-def history(snapshots: DataFrame, state: Column, keys: tuple[str, ...] = KEYS, taken: str = "taken", scope: tuple[str, ...] = ("customer_id",)) -> DataFrame:
+def history(snapshots: DataFrame, state: Column, keys: tuple[str, ...] = KEYS, taken: str = "taken", scope: tuple[str, ...] = ("customer_id",), times: DataFrame | None = None) -> DataFrame:
     """Intervals from full snapshots: a key gets a new one only where its state changed, and ends where it is missing.
 
     snapshots has one row per key and time `taken`; state is what a change is judged by (a hash, or a struct). scope: the
-    columns that say which snapshots belong together. The times of a scope are a small table.
+    columns that say which snapshots belong together. times: scope and `taken` of all snapshots, empty ones too (by
+    default those of the rows). They are counted, and where they are few, copied to the tasks, as the rows of a snapshot
+    would all meet in one; more of them are joined by shuffle.
     """
-    times = snapshots.select(*scope, taken).distinct()
+    times = (snapshots if times is None else times).select(*scope, taken).distinct()
     next_time = times.withColumn("_next", F.lead(taken).over(Window.partitionBy(*scope).orderBy(taken)))
+    if times.limit(TIMES + 1).count() <= TIMES:
+        next_time = F.broadcast(next_time)
     own = Window.partitionBy(*keys).orderBy(taken)
     rows = snapshots.withColumn("_state", state).join(next_time, [*scope, taken])
     before = F.lag(F.struct("_state", "_next")).over(own)
@@ -147,7 +153,7 @@ def latest(df: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
 
 def purged(versions: DataFrame, tenant: str) -> DataFrame:
     """Everything but one tenant's rows, as before an import that resets it."""
-    return versions.where(F.col("customer_id") != tenant)
+    return versions.where(~F.col("customer_id").eqNullSafe(F.lit(tenant)))
 
 
 SNAPSHOT_NAME = r"^(.*?)(?:-(\d{4}-\d\d-\d\d(?:T\d\d[:_]?\d\d(?:[:_]?\d\d)?)?))?\.(hayson\.json|zinc|trio|json|csv)(?:\.gz)?$"
@@ -189,4 +195,5 @@ def import_snapshots(entities: DataFrame, files: DataFrame, tenant: str = "") ->
     named = snapshot_files(files.groupBy(path(F.col("path")).alias("path")).agg(F.max("modified").alias("modified")))
     rows = entities.withColumn("path", path(F.col("file"))).join(named.select("path", "name", F.col("version").alias("taken")), "path")
     rows = rows.select(F.lit(tenant).alias("customer_id"), "name", "id", "taken", "tags")
-    return history(rows, tag_hash(F.col("tags")), ("customer_id", "name", "id"), scope=("customer_id", "name"))
+    times = named.select(F.lit(tenant).alias("customer_id"), "name", F.col("version").alias("taken"))
+    return history(rows, tag_hash(F.col("tags")), ("customer_id", "name", "id"), scope=("customer_id", "name"), times=times)

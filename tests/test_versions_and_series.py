@@ -113,6 +113,10 @@ def test_units_and_zones(spark):
     df = spark.createDataFrame([(212.0, "°F", "°C"), (1.5, "kW", "W"), (100.0, "ft²", "m²"), (1.0, "kW", "°C"), (3.0, "??", "??")], "v double, u string, t string")
     got = [r.converted for r in units.converted(df, "v", "u", "t").orderBy("v").collect()]
     assert got == [None, 1500.0, 3.0, pytest.approx(9.290304), pytest.approx(100.0)]
+    same = (("kBTU/h/ft²", "W/m²", 3154.590745), ("m³/h", "gal/min", 4.402867539), ("kWh/ft²", "J/m²", 38750077.5), ("°C/h", "K/s", 1 / 3600), ("btus_per_hour", "W", 0.29307107), ("kW/gal/min", "W/m³/s", 15850323.14), ("t", "short_ton", 1.0), ("MΩ", "ohm", 1e6), ("°F", "Δ°F", None))
+    df = spark.createDataFrame([(1.0, a, b, x) for a, b, x in same], "v double, u string, t string, x double")
+    for r in units.converted(df, "v", "u", "t").collect():
+        assert r.converted == (None if r.x is None else pytest.approx(r.x)), r
     z = tz.with_full_zone(spark.createDataFrame([("New_York",), ("Paris",), ("Europe/Paris",), ("UTC",), ("Nowhere",)], "tz string"), "tz")
     assert {r.tz: r.tz_full for r in z.collect()} == {"New_York": "America/New_York", "Paris": "Europe/Paris", "Europe/Paris": "Europe/Paris", "UTC": "UTC", "Nowhere": None}
 
@@ -142,3 +146,19 @@ def test_rows_within_a_tolerance(spark):
     left = rows(("a", 4.999e-7, 1.0), ("a", 1.0, float("nan")), ("b", 2.0, None), (None, None, None), ("c", 5.0, 1.0), ("c", 5.0, 1.0), ("d", float("inf"), 0.0))
     right = rows(("a", 5.001e-7, 1.0000009), ("a", 1.0000005, float("nan")), ("b", 2.1, None), (None, None, None), ("c", 5.0000001, 1.0), ("d", float("inf"), 5e-7))
     assert sorted((r.k, r.v, r.side) for r in diff.same_rows(left, right).collect()) == [("b", 2.0, "left"), ("b", 2.1, "right"), ("c", 5.0, "left")]
+
+
+def test_snapshot_times_few_or_many(spark, monkeypatch):
+    rows = [("", "a", "2024-01-01", 1), ("", "a", "2024-01-02", 1), ("", "a", "2024-01-04", 1), ("", "b", "2024-01-01", 1), (None, "a", "2024-01-03", 1)]
+    df = spark.createDataFrame(rows, "customer_id string, id string, taken string, v int").withColumn("taken", F.col("taken").cast("timestamp"))
+    few = sorted(map(str, ver.history(df, F.col("v")).collect()))
+    monkeypatch.setattr(ver, "TIMES", 0)
+    assert sorted(map(str, ver.history(df, F.col("v")).collect())) == few
+    empty = spark.sql("SELECT '' AS customer_id, timestamp'2024-01-05' AS taken")
+    last = ver.history(df, F.col("v"), times=df.select("customer_id", "taken").unionByName(empty)).where("id = 'a'").agg(F.max("end_datetime")).first()[0]
+    assert str(last) == "2024-01-04 23:59:59.999999"
+
+
+def test_purge_keeps_rows_without_tenant(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "customer_id string")
+    assert {r.customer_id for r in ver.purged(df, "a").collect()} == {"b", None}
