@@ -59,6 +59,15 @@ def version_dates(versions: DataFrame, tenant: str | None = None) -> DataFrame:
     return rows.select("start_datetime").distinct().orderBy("start_datetime")
 
 
+def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join in which nulls of a key meet, too."""
+    other = right.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns])
+    held = F.lit(True)
+    for c in on:
+        held = held & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return left.join(other, held).drop(*[f"_on_{c}" for c in on])
+
+
 def history(snapshots: DataFrame, state: Column, keys: tuple[str, ...] = KEYS, taken: str = "taken", scope: tuple[str, ...] = ("customer_id",), times: DataFrame | None = None) -> DataFrame:
     """Intervals from full snapshots: a key gets a new one only where its state changed, and ends where it is missing.
 
@@ -72,14 +81,16 @@ def history(snapshots: DataFrame, state: Column, keys: tuple[str, ...] = KEYS, t
     if times.limit(TIMES + 1).count() <= TIMES:
         next_time = F.broadcast(next_time)
     own = Window.partitionBy(*keys).orderBy(taken)
-    rows = snapshots.withColumn("_state", state).join(next_time, [*scope, taken])
+    rows = snapshots.withColumn("_state", state)
+    rows = _met(rows, next_time, [*scope, taken])
     before = F.lag(F.struct("_state", "_next")).over(own)
     rows = rows.withColumn("_before", before)
     fresh = F.col("_before").isNull() | (F.col("_before._next") != F.col(taken)) | ~F.col("_before._state").eqNullSafe(F.col("_state"))
     rows = rows.withColumn("_run", F.sum(fresh.cast("int")).over(own))
-    first = rows.groupBy(*keys, "_run").agg(F.min(taken).alias("start_datetime"), F.max_by("_next", taken).alias("_gone"))
-    kept = rows.where(fresh).drop("_state", "_next", "_before", taken)
-    out = kept.join(first, [*keys, "_run"]).drop("_run")
+    others = [c for c in snapshots.columns if c not in (*keys, taken)]
+    held = F.struct(F.lit(True).alias("_there"), *[F.col(f"`{c}`") for c in others])
+    runs = rows.groupBy(*keys, "_run").agg(F.min_by(held, taken).alias("_row"), F.min(taken).alias("start_datetime"), F.max_by("_next", taken).alias("_gone"))
+    out = runs.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in others], "start_datetime", "_gone")
     return out.withColumn("end_datetime", F.coalesce(F.col("_gone") - tick(), F.lit(END).cast("timestamp"))).drop("_gone")
 
 

@@ -152,10 +152,11 @@ def test_snapshot_times_few_or_many(spark, monkeypatch):
     rows = [("", "a", "2024-01-01", 1), ("", "a", "2024-01-02", 1), ("", "a", "2024-01-04", 1), ("", "b", "2024-01-01", 1), (None, "a", "2024-01-03", 1)]
     df = spark.createDataFrame(rows, "customer_id string, id string, taken string, v int").withColumn("taken", F.col("taken").cast("timestamp"))
     few = sorted(map(str, ver.history(df, F.col("v")).collect()))
+    assert len(few) == 3  # a and b of one tenant, whose snapshots lack no a, and a without tenant
     monkeypatch.setattr(ver, "TIMES", 0)
     assert sorted(map(str, ver.history(df, F.col("v")).collect())) == few
     empty = spark.sql("SELECT '' AS customer_id, timestamp'2024-01-05' AS taken")
-    last = ver.history(df, F.col("v"), times=df.select("customer_id", "taken").unionByName(empty)).where("id = 'a'").agg(F.max("end_datetime")).first()[0]
+    last = ver.history(df, F.col("v"), times=df.select("customer_id", "taken").unionByName(empty)).where("id = 'a' AND customer_id = ''").agg(F.max("end_datetime")).first()[0]
     assert str(last) == "2024-01-04 23:59:59.999999"
 
 
