@@ -60,16 +60,16 @@ def _compare_value(v: Column, op: str, x: lang.Literal) -> Column:
         if x.kind == "number":
             equal = (kind == "number") & (v["num"] == x.num) & v["unit"].eqNullSafe(F.lit(x.unit))
         elif x.kind == "datetime":
-            equal = (kind == "datetime") & (v["ts"] == F.lit(x.text).cast("timestamp"))
+            equal = (kind == "datetime") & (v["ts"] == F.lit(x.stored).cast("timestamp"))
         else:
-            equal = (kind == x.kind) & (text == x.text)
+            equal = (kind == x.kind) & (text == x.stored)
         return v.isNotNull() & (F.coalesce(equal, F.lit(False)) if op == "==" else ~F.coalesce(equal, F.lit(False)))
     if x.kind == "number":
         held = _order(op, v["num"], F.lit(x.num))
     elif x.kind == "datetime":
-        held = _order(op, v["ts"], F.lit(x.text).cast("timestamp"))
+        held = _order(op, v["ts"], F.lit(x.stored).cast("timestamp"))
     else:
-        held = _order(op, text, F.lit(x.text))
+        held = _order(op, text, F.lit(x.stored))
     return F.coalesce((kind == x.kind) & held, F.lit(False))
 
 
@@ -89,19 +89,19 @@ def _compare_column(c: Column, kind: str, data: T.DataType, op: str, x: lang.Lit
             return c.isNotNull() if op == "!=" else F.lit(False)
         other = F.lit(x.num)
     elif kind == "bool":
-        other = F.lit(x.text == "true")
+        other = F.lit(x.stored == "true")
     elif kind in ("date", "datetime"):
-        other = F.lit(x.text).cast(data)
+        other = F.lit(x.stored).cast(data)
     elif kind == "list" and isinstance(data, T.ArrayType):
         if op not in ("==", "!="):
             return F.lit(False)
-        other = F.array(*[F.lit(v) for v in plain_values(x.text)]).cast(data)
+        other = F.array(*[F.lit(v) for v in plain_values(x.stored)]).cast(data)
     elif kind == "marker":
         return F.coalesce(c, F.lit(False)) if op == "==" else F.lit(False)
     elif kind == "xstr" and isinstance(data, T.BinaryType):
-        other = F.unhex(F.lit(x.text))
+        other = F.unhex(F.lit(x.stored))
     else:
-        other = F.lit(x.text)
+        other = F.lit(x.stored)
     return _order(op, c, other)  # null counts as false under and / or; the bare comparison reaches the scan
 
 
@@ -124,6 +124,7 @@ class _Plan:
         self.mapped = "tags" in entities.columns and isinstance(entities.schema["tags"].dataType, T.MapType)
         self.df, self.targets, self.tenant = entities, targets, tenant
         self.steps: dict[tuple[str, ...], str] = {}
+        self.values: dict[tuple[str, ...], str] = {}  # tag maps: the column that holds the value at the end of a path
         self.needed: dict[tuple[str, ...], set[str]] = {}
 
     def need(self, paths: list[tuple[str, ...]]) -> None:
@@ -147,11 +148,7 @@ class _Plan:
 
     def column(self, path: tuple[str, ...]) -> Column:
         if self.mapped:
-            if len(path) == 1:
-                return F.col("tags")[path[0]]
-            # another entity's tag, or where the step before is a dict, what that holds
-            held = self.column(path[:-1])
-            return F.coalesce(F.col(self.steps[path[:-1]])[path[-1]], kinds.decode_tagged(F.when(held["kind"] == "dict", F.get_json_object(held["str"], f"$.{path[-1]}"))))
+            return F.col("tags")[path[0]] if len(path) == 1 else F.col(self.values[path])
         if len(path) > 1 and self.nested(path[:-1]):
             return self.column(path[:-1])[path[-1]]
         if self.field(path) is None:
@@ -159,11 +156,15 @@ class _Plan:
         return F.col(f"`{path[0]}`") if len(path) == 1 else F.col(self.steps[path[:-1]])[path[-1]]
 
     def join(self) -> None:
-        """One left join for each distinct path prefix that is a reference."""
-        for prefix in sorted(self.needed, key=lambda p: (len(p), p)):
+        """One left join for each distinct path prefix that is a reference.
+
+        In tag maps whether a step goes to another entity or into a dict is each row's own: after the join every tag that is
+        asked of the step becomes a column, which the next step reads by name, so plans grow by the same amount each step.
+        """
+        for n, prefix in enumerate(sorted(self.needed, key=lambda p: (len(p), p))):
             if self.nested(prefix):
                 continue
-            name = "__" + "_".join(prefix)
+            name = f"__step{n}"
             source = self.column(prefix)
             keys = ["customer_id"] if self.tenant is None and "customer_id" in self.targets.columns and "customer_id" in self.df.columns else []
             needed = sorted(self.needed[prefix])
@@ -178,6 +179,13 @@ class _Plan:
                 held = held & (F.col(k) == F.col(f"{name}_{k}"))
             self.df = self.df.join(found, held, "left").drop(f"{name}_id", *[f"{name}_{k}" for k in keys])
             self.steps[prefix] = name
+            if self.mapped:
+                at = self.column(prefix)
+                for k, tag in enumerate(needed):
+                    inside = F.when(at["kind"] == "dict", kinds.bound(F.get_json_object(at["str"], f"$.{tag}"), kinds.decode_tagged))
+                    self.df = self.df.withColumn(f"{name}_{k}", F.coalesce(F.col(name)[tag], inside))
+                    self.values[(*prefix, tag)] = f"{name}_{k}"
+                self.df = self.df.drop(name)
 
     def condition(self, node: Node) -> Column:
         if isinstance(node, And):
@@ -190,7 +198,8 @@ class _Plan:
         if isinstance(node, Missing):
             return c.isNull()
         if self.mapped:
-            return _compare_value(c, node.op, node.literal)
+            compare = lambda v: _compare_value(v, node.op, node.literal)
+            return compare(c) if len(node.path) == 1 else kinds.bound(c, compare)
         field = self.field(node.path)
         if field is None:
             return F.lit(node.literal.kind == "null" and node.op == "==")

@@ -68,6 +68,22 @@ def test_where_in_both_forms(entities, text, ids):
         assert {r.id for r in filters.where(df, text).collect()} == ids, (text, df.columns)
 
 
+def test_plans_of_tag_map_paths_grow_by_the_same_amount_each_step(entities):
+    tags = both(entities)[1]
+    sizes = [len(filters.where(tags, "siteRef->" * k + 'geoCity == "Paris"')._jdf.queryExecution().analyzed().toString()) for k in range(1, 6)]
+    steps = [b - a for a, b in zip(sizes, sizes[1:], strict=False)]
+    assert max(steps) < 1.2 * min(steps) and max(sizes) < 200_000, sizes
+
+
+def test_paths_through_dicts_and_references_in_turn(spark):
+    text = kinds.string
+    rows = spark.createDataFrame([("a", "b", '{"x":{"y":"s:deep","r":"r:b"},"n":"n:2.000000 kW"}'), ("b", None, None), ("c", "a", '["s:x"]')], "id string, to string, d string")
+    tags = F.map_filter(F.create_map(F.lit("toRef"), kinds.ref(F.col("to")), F.lit("d"), F.when(F.col("d").startswith("["), kinds.value("list", F.col("d"))).otherwise(kinds.value("dict", F.col("d"))), F.lit("dis"), text(F.concat(F.lit("name "), "id"))), lambda k, v: v["str"].isNotNull())
+    df = rows.select("id", tags.cast(kinds.TAGS).alias("tags"))
+    for filter_text, ids in [('d->x->y == "deep"', {"a"}), ('d->x->r->dis == "name b"', {"a"}), ('toRef->d->x->r->dis == "name b"', {"c"}), ("d->n == 2kW", {"a"}), ("d->n > 1 and not d->x->z", {"a"}), ("toRef->d->n >= 2", {"c"}), ("not d->x->y", {"b", "c"})]:
+        assert {r.id for r in filters.where(df, filter_text).collect()} == ids, filter_text
+
+
 def test_limit_and_tenant(spark, entities):
     assert [r.id for r in filters.where(entities, "curVal", limit=2).collect()] == ["ahu", "lost"]
     df = entities.withColumn("customer_id", F.lit("a")).unionByName(entities.withColumn("customer_id", F.lit("b")).withColumn("geoCity", F.lit("Lyon")))
