@@ -37,6 +37,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name for a column of a step's own, which no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}".lower() in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def discard(df: DataFrame) -> None:
     """Removes the table of a frame that came from saved() and is not read again; other frames have none."""
     if "saved_path" not in vars(df):

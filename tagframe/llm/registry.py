@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, html_text, language_id, media_avi, minhash_dedup, mixing, quality, sentencepieces, token_counts, url_filters
+from . import embedding_dedup, fill_in_middle, hard_negatives, html_text, language_id, media_avi, minhash_dedup, mixing, quality, sentencepieces, token_counts, url_filters
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_media_avi": media_avi.query,
     "op9_sentencepieces": sentencepieces.query,
     "op10_token_counts": token_counts.query,
+    "op12_hard_negatives": hard_negatives.query,
+    "op13_fill_in_middle": fill_in_middle.query,
 }
 
 ORACLE_SQL = {
     "op3_url_filters": url_filters.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_fill_in_middle": fill_in_middle.ORACLE,
 }
