@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fill_in_middle, hard_negatives, html_text, language_id, media_avi, minhash_dedup, mixing, quality, sentencepieces, token_counts, url_filters
+from . import embedding_dedup, fill_in_middle, hard_negatives, html_text, language_id, media_avi, minhash_dedup, mixing, quality, sentencepieces, suffix_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_media_avi": media_avi.query,
     "op9_sentencepieces": sentencepieces.query,
     "op10_token_counts": token_counts.query,
+    "op11_suffix_dedup": suffix_dedup.query,
     "op12_hard_negatives": hard_negatives.query,
     "op13_fill_in_middle": fill_in_middle.query,
 }
