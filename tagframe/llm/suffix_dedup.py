@@ -19,9 +19,11 @@ import contextlib
 import math
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ SPREAD = LENGTH - HEAD + 1
 BUCKET = 8 << 20
 #: Entries that a task gathers before it sorts them, and the different stretches of one head among these beyond which
 #: they are asked for at once instead of going into a bucket. They change speed alone.
-ENTRIES, CONTEXTS = 1 << 20, 32
+ENTRIES, CONTEXTS = 1 << 18, 32
 BATCHES = 4
 NEW = ("n_bytes", "n_removed", "n_spans", "kept")
 #: Stands for a null doc_id: it comes last.
@@ -48,14 +50,29 @@ _SIZE = sum(w for _, w in _FIELDS)
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
+@lru_cache(8)
+def _powers(base: int, size: int) -> np.ndarray:
+    return powers(np.uint64(base), size)
+
+
+def _range_hashes(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each of some ranges of bytes, from one running sum."""
+    n = len(data)
+    size = 1 << max(16, n.bit_length())  # few different ones, so that their powers are made once
+    run = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _powers(int(BASE), size)[:n], out=run[1:])
+    return mixed((run[begin + sizes] - run[begin]) * _powers(int(UNDO), size)[begin] + sizes.astype(np.uint64))
+
+
 def head_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the HEAD bytes from each place on (of what there is, near the end)."""
     h, m = _BYTE[data], 1
     while m < HEAD:
         factor = np.uint64(pow(int(BASE), m, 1 << 64))
-        longer = h * factor
-        longer[:-m] += h[m:]
-        h, m = longer, 2 * m
+        ahead = h[m:].copy()
+        h *= factor
+        h[:-m] += ahead
+        m *= 2
     return mixed(h)
 
 
@@ -74,27 +91,19 @@ def least_of(h: np.ndarray) -> np.ndarray:
 def stretches(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """h, c, row, start (from the row's first byte) and windows of all stretches of texts laid out by utf8()."""
     n = len(data)
-    counts = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
-    rows = np.repeat(np.arange(len(counts)), counts)
-    before = np.cumsum(counts) - counts
-    starts = np.arange(len(rows)) - before[rows] + offsets[:-1][rows]
-    if not len(starts):
-        none = np.zeros(0, np.int64)
-        return {"h": none.astype(np.uint64), "c": none.astype(np.uint64), "row": none, "start": none, "windows": none}
-    least = least_of(head_hashes(data))[starts]
-    fresh = np.concatenate(([True], (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])))
-    first = np.flatnonzero(fresh)
-    at = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts))))
-    fresh = at % SPREAD == 0  # stretches of repeated heads are cut
-    first = np.flatnonzero(fresh)
-    windows = np.diff(np.append(first, len(starts)))
-    begin = starts[first]
-    end = begin + windows + LENGTH - 1
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(BASE, n), out=run[1:])
-    c = mixed((run[end] - run[begin]) * powers(UNDO, n)[begin] + windows.astype(np.uint64))
-    row = rows[first]
-    return {"h": least[first], "c": c, "row": row, "start": begin - offsets[row], "windows": windows}
+    least = least_of(head_hashes(data))
+    fresh = np.ones(n, bool)
+    np.not_equal(least[1:], least[:-1], out=fresh[1:])
+    fresh[offsets[:-1][offsets[:-1] < n]] = True
+    begin = np.flatnonzero(fresh)
+    row = np.searchsorted(offsets, begin, "right") - 1
+    windows = np.minimum(np.append(begin[1:], n), offsets[row + 1] - LENGTH + 1) - begin
+    begin, row, windows = begin[windows > 0], row[windows > 0], windows[windows > 0]
+    pieces = -(-windows // SPREAD)  # stretches of repeated heads are cut
+    at = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SPREAD
+    begin, row, windows = np.repeat(begin, pieces) + at, np.repeat(row, pieces), np.minimum(np.repeat(windows, pieces) - at, SPREAD)
+    c = _range_hashes(data, begin, windows + LENGTH - 1)
+    return {"h": least[begin], "c": c, "row": row, "start": begin - offsets[row], "windows": windows}
 
 
 def pack(e: dict[str, np.ndarray]) -> bytes:
@@ -170,7 +179,7 @@ def _arrays(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            for piece in slices([batch], "text"):
+            for piece in slices([batch], "text", 1 << 20):
                 data, offsets = utf8(piece["text"])
                 e = stretches(data, offsets)
                 row = e.pop("row")
@@ -276,27 +285,54 @@ class Levels:
 
 
 #: left has the bytes before the head from the last to the first; whole has all bytes of the windows.
-_SUFFIX = "doc bigint, t int, start bigint, windows int, at int, left binary, whole binary"
+_SUFFIX = "doc bigint, t int, starts array<bigint>, windows int, at int, left binary, whole binary"
+
+
+def _ranges(begin: np.ndarray, sizes: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """begin, begin + step, ... for each, one after the other, and where each begins and the last ends."""
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    return np.repeat(begin, sizes) + step * (np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes)), offsets
+
+
+def _binary(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, step: int = 1) -> pa.Array:
+    at, offsets = _ranges(begin, sizes, step)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[at]))])
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From texts with the stretches asked for: each place of a head, the windows whose first head it is, and the bytes around."""
+    """From texts with the stretches asked for: each place of a head, the windows whose first head it is, and the bytes around.
+
+    Places of one document with the same windows and bytes are one row.
+    """
     for batch in batches:
-        for piece in slices([batch], "text"):
-            out: list[list] = [[] for _ in range(7)]
-            for doc, t, text, asked in zip(piece["doc"].to_pylist(), piece["t"].to_pylist(), piece["text"].to_pylist(), piece["asked"].to_pylist(), strict=True):
-                data = text.encode()
-                for a in asked:
-                    start, windows = a["start"], a["windows"]
-                    h = head_hashes(np.frombuffer(data[start : start + windows + LENGTH - 1], np.uint8))[: windows + LENGTH - HEAD]
-                    first = np.lib.stride_tricks.sliding_window_view(h, SPREAD).argmin(axis=1) + np.arange(windows)
-                    cuts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
-                    for k, n in zip(cuts.tolist(), np.diff(np.append(cuts, windows)).tolist(), strict=True):
-                        at = int(first[k])
-                        for column, x in zip(out, (doc, t, start + k, n, at - k, data[start + k : start + at][::-1], data[start + k : start + k + n + LENGTH - 1]), strict=True):
-                            column.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], [x.split()[0] for x in _SUFFIX.split(", ")])
+        for piece in slices([batch], "text", 1 << 20):
+            data, offsets = utf8(piece["text"])
+            lists = piece["asked"]
+            asked = lists.flatten()
+            of = np.repeat(np.arange(piece.num_rows), pc.list_value_length(lists).to_numpy())
+            start, windows = asked.field("start").to_numpy(), asked.field("windows").to_numpy().astype(np.int64)
+            at, bounds = _ranges(offsets[:-1][of] + start, windows + LENGTH - 1)
+            near = data[at]  # the bytes of all stretches, one after the other
+            padded = np.concatenate((head_hashes(near), np.zeros(SPREAD, np.uint64)))
+            each, ends = _ranges(bounds[:-1], windows)  # where each window begins there
+            first = each + np.lib.stride_tricks.sliding_window_view(padded, SPREAD)[each].argmin(axis=1)
+            fresh = np.ones(len(each), bool)
+            np.not_equal(first[1:], first[:-1], out=fresh[1:])
+            fresh[ends[:-1]] = True
+            cut = np.flatnonzero(fresh)
+            n = np.diff(np.append(cut, len(each)))
+            begin, head, stretch = each[cut], first[cut], np.searchsorted(ends, cut, "right") - 1
+            content = _range_hashes(near, begin, n + LENGTH - 1) + (head - begin).astype(np.uint64)
+            places = start[stretch] + begin - bounds[:-1][stretch]
+            order = np.lexsort((places, content, of[stretch]))
+            new = np.ones(len(order), bool)
+            new[1:] = (content[order][1:] != content[order][:-1]) | (of[stretch][order][1:] != of[stretch][order][:-1])
+            kept = order[new]
+            row, left = of[stretch][kept], head[kept] - begin[kept]
+            starts = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new), len(order)), pa.int32()), pa.array(places[order]))
+            columns = [piece["doc"].take(pa.array(row)), piece["t"].take(pa.array(row)), starts, pa.array(n[kept].astype(np.int32)), pa.array(left.astype(np.int32))]
+            columns += [_binary(near, head[kept] - 1, left, -1), _binary(near, begin[kept], n[kept] + LENGTH - 1)]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SUFFIX.split(", ")])
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -343,9 +379,9 @@ def _pruned(suffixes: DataFrame) -> DataFrame:
 
     def reached(df: DataFrame, key) -> DataFrame:
         rows = df.withColumn("key", key)
-        return rows.repartitionByRange("key", "doc", "start").sortWithinPartitions("key", "doc", "start").mapInArrow(_reach, f"{_SUFFIX}, reach int")
+        return rows.repartitionByRange("key", "doc").sortWithinPartitions("key", "doc").mapInArrow(_reach, f"{_SUFFIX}, reach int")
 
-    # the window that begins at start has `at` bytes before the head; later ones have fewer, and more behind it
+    # the first window has `at` bytes before the head; later ones have fewer, and more behind it
     right = reached(suffixes, F.substring("whole", F.col("at") + 1, F.lit(2 * LENGTH)))
     right = right.withColumn("windows", F.least(F.col("windows"), F.col("reach") + F.col("at") - LENGTH + 1)).where("windows > 0").drop("reach")
     left = reached(right, F.concat(F.substring("whole", F.col("at") + 1, F.lit(HEAD)), F.col("left")))
@@ -359,13 +395,13 @@ def settled(docs: DataFrame, asked: DataFrame) -> DataFrame:
     suffixes = keyed(docs).join(lists, ["doc", "t"]).select("doc", "t", "text", "asked").mapInArrow(_suffixes, _SUFFIX)
     rows = _pruned(suffixes)
     each = rows.withColumn("k", F.explode(F.sequence(F.col("skip"), F.col("windows") - 1)))
-    each = each.select("doc", "t", (F.col("start") + F.col("k")).alias("start"), F.substring("whole", F.col("k") + 1, F.lit(LENGTH)).alias("window"))
+    each = each.select("doc", "t", "starts", "k", F.substring("whole", F.col("k") + 1, F.lit(LENGTH)).alias("window"))
     path = f"{shared_dir(docs.sparkSession)}/windows-{uuid.uuid4().hex}"
     with _tidy(docs.sparkSession):
         each.write.parquet(path)
     each = docs.sparkSession.read.schema(each.schema).parquet(path)
     least = each.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("window", "first")
-    return each.join(least, "window").where("doc > first").select("doc", "t", "start", F.lit(1).alias("windows"))
+    return each.join(least, "window").where("doc > first").select("doc", "t", F.explode(F.transform("starts", lambda x: x + F.col("k"))).alias("start"), F.lit(1).alias("windows"))
 
 
 _CUT = "n_removed bigint, n_spans bigint, kept binary"
