@@ -33,10 +33,10 @@ LENGTH, HEAD = 50, 16
 #: Positions of a head in a window; also the most windows of a stretch.
 SPREAD = LENGTH - HEAD + 1
 #: Bytes of text whose entries make up a bucket of an array: they bound what one task holds.
-BUCKET = 8 << 20
+BUCKET = 4 << 20
 #: Entries that a task gathers before it sorts them, and the different stretches of one head among these beyond which
 #: they are asked for at once instead of going into a bucket. They change speed alone.
-ENTRIES, CONTEXTS = 1 << 18, 32
+ENTRIES, CONTEXTS = 1 << 17, 32
 BATCHES = 4
 NEW = ("n_bytes", "n_removed", "n_spans", "kept")
 #: Stands for a null doc_id: it comes last.
@@ -214,20 +214,23 @@ def _met(tables: pa.Table) -> pa.Table:
 
 @contextlib.contextmanager
 def _tidy(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a job go when it is done; its result is in a table then."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
+    """Shuffle files of a job go when it is done, as its result is in a table then; Arrow batches are small, as rows hold texts or arrays."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    before = {name: spark.conf.get(name, None) for name in own}
     try:
-        spark.conf.set(name, "true")
+        for name, value in own.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def _stored(df: DataFrame, name: str) -> str:
+def _stored(df: DataFrame, name: str, *parts: str) -> str:
+    """Writes a table in the shared folder and gives its path; its row groups are small, as writers hold them."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     with _tidy(df.sparkSession):
-        df.write.partitionBy("kind").parquet(path)
+        df.write.option("parquet.block.size", 16 << 20).partitionBy(*parts).parquet(path)
     return path
 
 
@@ -258,14 +261,14 @@ class Levels:
 
         Batches may come in any order: of equal stretches always the one with the least document stays.
         """
-        batch = _stored(keyed(docs).mapInArrow(_arrays(self.buckets), _OUT), "arrays")
+        batch = _stored(keyed(docs).mapInArrow(_arrays(self.buckets), _OUT), "arrays", "kind")
         rank = 0
         while rank in self.levels:
             rank += 1
         arrays = self.rows(batch, _ENTRY).select("bucket", "entries", F.lit(True).alias("merges"))
         for r, path in self.levels.items():
             arrays = arrays.unionByName(self.rows(path, _ENTRY).select("bucket", "entries", F.lit(r < rank).alias("merges")))
-        merged = _stored(arrays.groupBy("bucket").applyInArrow(_met, _OUT), "level")
+        merged = _stored(arrays.groupBy("bucket").applyInArrow(_met, _OUT), "level", "kind")
         for old in [batch, *(self.levels.pop(r) for r in range(rank))]:
             _remove(self.spark, f"{old}/kind={_ENTRY}")
         self.levels[rank] = merged
@@ -315,7 +318,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = data[at]  # the bytes of all stretches, one after the other
             padded = np.concatenate((head_hashes(near), np.zeros(SPREAD, np.uint64)))
             each, ends = _ranges(bounds[:-1], windows)  # where each window begins there
-            first = each + np.lib.stride_tricks.sliding_window_view(padded, SPREAD)[each].argmin(axis=1)
+            first = each + np.lib.stride_tricks.sliding_window_view(padded, SPREAD).argmin(axis=1)[each]
             fresh = np.ones(len(each), bool)
             np.not_equal(first[1:], first[:-1], out=fresh[1:])
             fresh[ends[:-1]] = True
@@ -393,13 +396,12 @@ def settled(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(doc, t, start, windows) of single windows in what was asked for that a smaller document has too."""
     lists = asked.distinct().groupBy("doc", "t").agg(F.collect_list(F.struct("start", "windows")).alias("asked"))
     suffixes = keyed(docs).join(lists, ["doc", "t"]).select("doc", "t", "text", "asked").mapInArrow(_suffixes, _SUFFIX)
+    spark = docs.sparkSession
+    suffixes = spark.read.schema(suffixes.schema).parquet(_stored(suffixes, "suffixes"))  # sorted twice, and each sort looks at a sample first
     rows = _pruned(suffixes)
     each = rows.withColumn("k", F.explode(F.sequence(F.col("skip"), F.col("windows") - 1)))
     each = each.select("doc", "t", "starts", "k", F.substring("whole", F.col("k") + 1, F.lit(LENGTH)).alias("window"))
-    path = f"{shared_dir(docs.sparkSession)}/windows-{uuid.uuid4().hex}"
-    with _tidy(docs.sparkSession):
-        each.write.parquet(path)
-    each = docs.sparkSession.read.schema(each.schema).parquet(path)
+    each = spark.read.schema(each.schema).parquet(_stored(each, "windows"))
     least = each.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("window", "first")
     return each.join(least, "window").where("doc > first").select("doc", "t", F.explode(F.transform("starts", lambda x: x + F.col("k"))).alias("start"), F.lit(1).alias("windows"))
 
