@@ -6,12 +6,15 @@ Tag-map form has `id, tags`. A patch has one row per changed id: tags hold new v
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kinds
 from .grid import tag_hash
+from .matching import left_over
 
 GONE = "remove_"
 
@@ -77,8 +80,21 @@ def column_metadata_patch(left: T.StructType, right: T.StructType, remove: objec
     return out | {c: remove for c in a if c not in b}
 
 
+#: Scalars within the JSON of lists, dicts and grids: a quote inside a text has a backslash, so these begin no text's inside.
+_NUMBERS, _COORDS = r'(?<=[\[,:])"n:(-?\d[\d.eE+-]*)', r'(?<=[\[,:])"c:(-?[\d.]+),(-?[\d.]+)'
+_INSTANTS = r'(?<=[\[,:])("(?:t:\d{4}-\d\d-\d\dT|h:)\d\d:\d\d:\d\d)\.\d+'
+
+
+def _nested_alike(a: Column, b: Column, near: Callable[[Column, Column], Column]) -> Column:
+    """The same for JSON of nested values, however deep: equal but for numbers and coordinates, which are near, each to each."""
+    shape = lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, _NUMBERS, '"n:'), _COORDS, '"c:'), _INSTANTS, "$1")
+    figures = lambda s: F.concat(*[F.regexp_extract_all(s, F.lit(p), k) for p, k in ((_NUMBERS, 1), (_COORDS, 1), (_COORDS, 2))])
+    close = F.forall(F.zip_with(figures(a), figures(b), lambda x, y: near(x.cast("double"), y.cast("double"))), lambda ok: F.coalesce(ok, F.lit(False)))
+    return (a == b) | ((shape(a) == shape(b)) & close)
+
+
 def alike(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
-    """Approximate equality of two values: numbers and coordinates within a tolerance, instants and times by the second."""
+    """Approximate equality of two values: numbers and coordinates within a tolerance, instants and times by the second; lists, dicts and grids by all they hold."""
     seconds = lambda v: F.regexp_replace(v["str"], r"\.\d+$", "")
     at = lambda v, k: F.split(v["str"], ",")[k].cast("double")
     near = lambda x, y: F.abs(x - y) <= tolerance * 1.000001
@@ -88,6 +104,7 @@ def alike(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
         .when(same_kind & (a["kind"] == "number"), (near(a["num"], b["num"]) | a["num"].eqNullSafe(b["num"])) & a["unit"].eqNullSafe(b["unit"]))
         .when(same_kind & a["kind"].isin("datetime", "time"), seconds(a) == seconds(b))
         .when(same_kind & (a["kind"] == "coord"), near(at(a, 0), at(b, 0)) & near(at(a, 1), at(b, 1)))
+        .when(same_kind & a["kind"].isin("list", "dict", "grid"), _nested_alike(a["str"], b["str"], near))
         .otherwise(kinds.same(a, b))
     )
 
@@ -105,52 +122,27 @@ def mismatches(left: DataFrame, right: DataFrame, tolerance: float = 1e-6) -> Da
     return rows.where(F.col("lone") | ~alike(F.col("e.value.x"), F.col("e.value.y"), tolerance)).select("id", F.col("e.key").alias("tag"))
 
 
-def _each_with(lists: Column, items: Column) -> Column:
-    """Each list with each of the items at its end."""
-    return F.flatten(F.transform(lists, lambda done: F.transform(items, lambda c: F.concat(done, F.array(c)))))
-
-
 def same_rows(left: DataFrame, right: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Rows of either side without a partner on the other, for rows without id: (columns of right, side).
 
-    Partners have equal columns, but fractions may differ by the tolerance, and timestamps count by the second. Equal rows
-    match first, one to one. Of the others, those that are one another's nearest within the tolerance match;
-    candidates come from equal and neighbouring cells of that size, never from all pairs.
+    Partners have equal columns, but fractions may differ by the tolerance, and timestamps count by the second. As many
+    rows as can be have a partner, one to one; so there is a row on neither side just where the tables are the same. Null,
+    NaN and the infinities match their like.
     """
     fractions = [c for c in right.columns if isinstance(right.schema[c].dataType, T.FractionalType)]
     plain = lambda df: df.select(*[F.date_trunc("second", c).alias(c) if isinstance(df.schema[c].dataType, T.TimestampType) else F.col(c) for c in right.columns])
     a, b = plain(left), plain(right)
-    a, b = a.exceptAll(b), b.exceptAll(a)
     if not fractions:
-        return a.withColumn("side", F.lit("left")).unionByName(b.withColumn("side", F.lit("right")))
-    others = [c for c in right.columns if c not in fractions]
-
-    def counted(df: DataFrame, side: str) -> DataFrame:
-        """(key of what must be equal, x of fractions, cells, n), a row for each different one."""
-        x = F.array(*[F.col(c).cast("double") for c in fractions])
-        each = df.groupBy(*right.columns).agg(F.count("*").alias("n")).select(F.struct(*others).alias("k") if others else F.lit(0).alias("k"), F.struct(*fractions).alias("f"), x.alias("x"), "n")
-        # nulls, infinities and NaN are in cells of their own
-        cell = F.transform("x", lambda v: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.coalesce(v.cast("string"), F.lit("null"))).otherwise(F.floor(v / (2 * tolerance)).cast("string")))
-        return each.withColumn("cell", cell).withColumn("side", F.lit(side))
-
-    la, rb = counted(a, "left"), counted(b, "right")
-    # a left row is asked in its own cells and the neighbouring ones of each fraction
-    step = lambda c, d: F.when(c.rlike(r"^-?\d+$"), (c.cast("bigint") + d).cast("string"))
-    cells = F.array(F.array().cast("array<string>"))
-    for k in range(len(fractions)):
-        near = F.filter(F.array(F.col("cell")[k], step(F.col("cell")[k], -1), step(F.col("cell")[k], 1)), lambda c: c.isNotNull())
-        cells = _each_with(cells, near)
-    close = F.forall(F.zip_with("x", "y", lambda p, q: p.eqNullSafe(q) | (F.abs(p - q) <= tolerance)), lambda ok: F.coalesce(ok, F.lit(False)))
-    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.coalesce(F.when(p == q, 0.0).otherwise(F.abs(p - q)), F.lit(0.0))), F.lit(0.0), lambda s, v: F.greatest(s, F.when(F.isnan(v), 0.0).otherwise(v)))
-    met = la.select("k", F.col("f").alias("lf"), "x", F.col("n").alias("ln"), F.explode(cells).alias("cell")).join(rb.select("k", "cell", F.col("f").alias("rf"), F.col("x").alias("y"), F.col("n").alias("rn")), ["k", "cell"]).where(close)
-    met = met.select("k", "lf", "rf", "ln", "rn", apart.alias("d"))
-    best = lambda by, other: F.row_number().over(Window.partitionBy("k", by).orderBy("d", other))
-    pairs = met.withColumn("bl", best("lf", "rf")).withColumn("br", best("rf", "lf")).where("bl = 1 AND br = 1")
-    taken = pairs.select("k", F.col("lf").alias("f"), F.lit("left").alias("side"), F.least("ln", "rn").alias("m")).unionByName(pairs.select("k", F.col("rf").alias("f"), F.lit("right").alias("side"), F.least("ln", "rn").alias("m")))
-    both = la.select("k", "f", "n", "side").unionByName(rb.select("k", "f", "n", "side"))
-    left_ = both.join(taken, (both["k"].eqNullSafe(taken["k"])) & (both["f"].eqNullSafe(taken["f"])) & (both["side"] == taken["side"]), "left").select(both["k"], both["f"], both["side"], (both["n"] - F.coalesce(taken["m"], F.lit(0))).alias("n"))
-    out = left_.where("n > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return out.select(*[F.col(f"f.{c}").alias(c) if c in fractions else F.col(f"k.{c}").alias(c) for c in right.columns], "side")
+        return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    row, one = F.struct(*right.columns).alias("row"), F.lit(1).cast("bigint")
+    both = a.select(row, one.alias("l"), (one - 1).alias("r")).unionByName(b.select(row, (one - 1).alias("l"), one.alias("r")))
+    each = both.groupBy("row").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    x = [F.col(f"row.{c}").cast("double") for c in fractions]
+    special = [F.when(v.isNull(), "null").when(F.isnan(v) | (F.abs(v) == float("inf")), v.cast("string")) for v in x]
+    key = F.md5(F.to_json(F.struct(*[F.col(f"row.{c}").alias(f"k{k}") for k, c in enumerate(right.columns) if c not in fractions], *[s.alias(f"s{k}") for k, s in enumerate(special)])))
+    rows = each.select(key.alias("g"), *[F.when(s.isNull(), v).otherwise(0.0).alias(f"x{k}") for k, (s, v) in enumerate(zip(special, x, strict=True))], "l", "r", "row")
+    found = left_over(rows, len(fractions), tolerance).select("row", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("l").alias("n")), F.struct(F.lit("right").alias("side"), F.col("r").alias("n")))).alias("s"))
+    return found.where("s.n > 0").select("row.*", "s.side", F.explode(F.sequence(F.lit(1), F.col("s.n").cast("int"))).alias("_")).drop("_")
 
 
 def merged_sources(rows: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Grid files: Zinc, Trio, tagged JSON, Hayson and CSV, read in one scan per format and written in parallel.
 
-Readers give (file, id, tags). Scalars are decoded by expressions; Python splits Zinc and CSV files into cells and makes
-JSON of nested values. Writers give every part its own header, so each part is a grid file of its own, and a folder that
+Readers give (file, id, tags). Zinc, Trio and CSV files of any size are read by as many tasks as they have blocks. Scalars
+are decoded by expressions; Python splits records into cells and makes JSON of nested values. Writers give every part its own header, so each part is a grid file of its own, and a folder that
 is named like a grid file counts as one file, whose parts are in it.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kinds, nested, zinc
+from . import splits
 
 #: What a file's suffix says of its format.
 SUFFIXES = {".hayson.json": "hayson", ".zinc": "zinc", ".trio": "trio", ".json": "json", ".csv": "csv"}
@@ -46,6 +47,12 @@ def _texts(spark: SparkSession, path: str, name: str, all_files: bool = False) -
     return rows.select(grid_file(F.col("_metadata.file_path")).alias("file"), F.regexp_replace(F.ltrim("value"), f"^{BOM}", "").alias("text"))
 
 
+def _records(spark: SparkSession, path: str, name: str, all_files: bool = False) -> DataFrame:
+    """(file, header, record) of all files of a format, or of all files whatever their names."""
+    rows = splits.records(spark, path, name, None if all_files else format_of(F.col("file")) == name)
+    return rows.withColumn("file", grid_file(F.col("file")))
+
+
 def _entities(rows: DataFrame) -> DataFrame:
     """(file, tags) -> (file, id, tags): nulls left out, id by its name."""
     tags = F.map_filter("tags", lambda k, v: v.isNotNull())
@@ -85,58 +92,63 @@ def _csv(spark: SparkSession, path: str, file: Column) -> DataFrame:
 _CELLS = "file string, tags array<string>, cells array<string>"
 
 
-def _celled(split: Callable[[str], Iterator[tuple[list[str], list[str]]]]):
-    """A mapInArrow function over (file, text): (file, tags, cells) of each row that split gives of a text."""
+def _celled(columns: Callable[[list[str]], list[str]], split: Callable[[str], list[str]]):
+    """A mapInArrow function over (file, header, record): (file, tags, cells), as many cells as the header has columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = pa.list_(pa.string())
+        strings, known = pa.list_(pa.string()), (None, [])
         for batch in batches:
-            for file, text in zip(batch["file"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                rows = list(split(text))
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array([t for t, _ in rows], strings), pa.array([c for _, c in rows], strings)], ["file", "tags", "cells"])
+            names, cells = [], []
+            for header, record in zip(batch["header"].to_pylist(), batch["record"].to_pylist(), strict=True):
+                if header != known[0]:
+                    known = (header, columns(header))
+                names.append(known[1])
+                cells.append([*split(record), *[""] * len(known[1])][: len(known[1])])
+            yield pa.RecordBatch.from_arrays([batch["file"], pa.array(names, strings), pa.array(cells, strings)], ["file", "tags", "cells"])
 
     return run
 
 
-def _csv_rows(text: str) -> Iterator[tuple[list[str], list[str]]]:
-    rows = csv.reader(io.StringIO(text, newline=""))
-    names = [c.strip() for c in next(rows, [])]
-    for row in rows:
-        if row:
-            cells_ = [*row, *[""] * len(names)][: len(names)]
-            yield names, [nested.nested_json(c) if c[:1] in ("[", "{") or c.startswith("<<") else c for c in cells_]
+def _csv_cells(record: str) -> list[str]:
+    row = next(csv.reader(io.StringIO(record, newline="")), [])
+    return [nested.nested_json(c) if c[:1] in ("[", "{") or c.startswith("<<") else c for c in row]
+
+
+def _csv_names(header: list[str]) -> list[str]:
+    return [c.strip() for c in next(csv.reader(io.StringIO(header[0], newline="")), [])]
 
 
-def _zinc_rows(text: str) -> Iterator[tuple[list[str], list[str]]]:
-    for _, columns, rows in nested.grids(text):
-        names = [c["name"] for c in columns]
-        for row in rows:
-            yield names, [*row, *[""] * len(names)][: len(names)]
+def _zinc_cells(record: str) -> list[str]:
+    return [nested.nested_json(c) if c.lstrip()[:1] in ("[", "{", "<") else c for c in nested.split(record, ",")]
+
+
+def _zinc_names(header: list[str]) -> list[str]:
+    return [c["name"] for c in nested.header(header)[1]]
 
 
 def read_csv(spark: SparkSession, path: str, all_files: bool = False) -> DataFrame:
     """CSV, each file with its own header of tags, all in one scan. all_files: one header for all, read by Spark itself."""
     if all_files:
         return _csv(spark, path, grid_file(F.col("_metadata.file_path")))
-    rows = _texts(spark, path, "csv").mapInArrow(_celled(_csv_rows), _CELLS)
+    rows = _records(spark, path, "csv").mapInArrow(_celled(_csv_names, _csv_cells), _CELLS)
     return _entities(rows.select("file", F.transform_values(F.map_from_arrays("tags", "cells"), lambda k, v: zinc.decode_csv(v)).alias("tags")))
 
 
 def read_zinc(spark: SparkSession, path: str, all_files: bool = False) -> DataFrame:
     """Zinc: all grids of each file; nested lists, dicts and grids may go over lines."""
-    rows = _texts(spark, path, "zinc", all_files).mapInArrow(_celled(_zinc_rows), _CELLS)
+    rows = _records(spark, path, "zinc", all_files).mapInArrow(_celled(_zinc_names, _zinc_cells), _CELLS)
     return _entities(rows.select("file", F.transform_values(F.map_from_arrays("tags", "cells"), lambda k, v: zinc.decode_zinc(v)).alias("tags")))
 
 
 def zinc_columns(spark: SparkSession, path: str) -> DataFrame:
     """(file, tag, meta): the columns of each grid of Zinc files, with their metadata as JSON."""
 
-    def split(text: str) -> Iterator[tuple[list[str], list[str]]]:
-        for _, columns, _ in nested.grids(text):
-            yield [c["name"] for c in columns], [json.dumps({k: v for k, v in c.items() if k != "name"}, ensure_ascii=False, separators=(",", ":")) for c in columns]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(file, c["name"], json.dumps({k: v for k, v in c.items() if k != "name"}, ensure_ascii=False, separators=(",", ":"))) for file, text in zip(batch["file"].to_pylist(), batch["text"].to_pylist(), strict=True) for _, columns, _ in nested.grids(text) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.string()) for k in range(3)], ["file", "tag", "meta"])
 
-    rows = _texts(spark, path, "zinc").mapInArrow(_celled(split), _CELLS)
-    return rows.select("file", F.explode(F.map_from_arrays("tags", "cells")).alias("tag", "meta"))
+    return _texts(spark, path, "zinc").mapInArrow(run, "file string, tag string, meta string")
 
 
 def _trio_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,13 +159,13 @@ def _trio_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_trio(spark: SparkSession, path: str, all_files: bool = False) -> DataFrame:
     """Trio: `tag: value` lines, records between lines of dashes, bare tags as markers, indented lines continue a value.
 
-    Only files that hold nested values (`Zinc:` blocks, lists, dicts) go through Python, which makes JSON of these.
+    Python makes JSON of nested values (`Zinc:` blocks, lists, dicts); records without them only pass it once, to be found.
     """
-    texts = _texts(spark, path, "trio", all_files)
+    texts = _records(spark, path, "trio", all_files).select("file", F.col("record").alias("text"))
     has = F.col("text").rlike(r"(?m)^\w+:\s*(Zinc:\s*$|[\[{<])")
     texts = texts.where(~has).unionByName(texts.where(has).mapInArrow(_trio_texts, "file string, text string"))
     text = F.regexp_replace(F.regexp_replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), r"(?m)^//.*$", ""), r"\n[ \t]+", "\u0001")
-    records = texts.select("file", F.posexplode(F.split(text, r"(?m)^-+\s*$")).alias("record", "text")).where(F.col("text").rlike(r"\S"))
+    records = texts.select("file", text.alias("text")).where(F.col("text").rlike(r"\S"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     name = lambda x: F.trim(F.split(x, ":", 2)[0])
     rest = lambda x: F.when(x.contains(":"), F.trim(F.split(x, ":", 2)[1])).otherwise("M")

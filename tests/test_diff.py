@@ -85,3 +85,58 @@ def test_graph(spark):
     assert sorted((r.from_id, r.to_id) for r in graph.without_site_edges(links).collect()) == [("a", "e"), ("b", "s")]
     assert {r.id: r.degree for r in graph.degrees(links).collect()} == {"a": 2, "b": 1, "s": 2, "e": 1}
     assert [r.to_id for r in graph.dangling(links, spark.createDataFrame([("s",)], "id string")).collect()] == ["e"]
+
+
+def unmatched(left, right, tolerance):
+    """How many rows of each side the largest matching leaves, by plain augmenting paths."""
+    near = lambda a, b: all((p is None and q is None) or (p is not None and q is not None and (p == q or (isinstance(p, float) and isinstance(q, float) and abs(p - q) <= tolerance))) for p, q in zip(a, b))
+    taken = {}
+
+    def place(i, seen):
+        for j, b in enumerate(right):
+            if j not in seen and near(left[i], b):
+                seen.add(j)
+                if j not in taken or place(taken[j], seen):
+                    taken[j] = i
+                    return True
+        return False
+
+    n = sum(place(i, set()) for i in range(len(left)))
+    return len(left) - n, len(right) - n
+
+
+def test_a_matching_is_not_stopped_by_the_nearest(spark):
+    """Each nearest pair taken first would leave two rows; equal rows taken first would, too."""
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "x double")
+    assert diff.same_rows(frame([0.0, 9e-7]), frame([4e-7, 1.5e-6])).count() == 0
+    assert diff.same_rows(frame([1.0, 2.0]), frame([0.0, 1.0]), 1.0).count() == 0
+
+
+def test_matchings_are_as_large_as_can_be(spark):
+    rnd = random.Random(8)
+    for fractions, n in ((1, 60), (2, 40), (3, 30), (9, 25)):
+        grid_ = lambda: float(rnd.randint(0, 14 if fractions == 1 else 4)) / 2
+        rows = lambda: [(rnd.choice(["a", "b", None]), *(rnd.choice([None, float("nan")]) if rnd.random() < 0.02 else grid_() if k < 3 else rnd.choice([0.0, 0.5]) for k in range(fractions))) for _ in range(n)]
+        left, right = rows(), rows()
+        schema = "k string, " + ", ".join(f"x{k} double" for k in range(fractions))
+        got = diff.same_rows(spark.createDataFrame(left, schema).repartition(3), spark.createDataFrame(right, schema).repartition(3), 0.5).groupBy("side").count().collect()
+        plain = lambda t: [tuple("nan" if x != x else x for x in r) for r in t]
+        assert {r.side: r["count"] for r in got} == {s: c for s, c in zip(("left", "right"), unmatched(plain(left), plain(right), 0.5)) if c}, fractions
+
+
+def test_runs_go_on_over_the_limits_of_tasks(spark):
+    """One run of near values through all tasks, with one row too many on the left."""
+    n = 3000
+    left = spark.range(n + 1).select((F.col("id") / 10).alias("x"))
+    right = spark.range(n).select((F.col("id") / 10 + 0.05).alias("x"))
+    assert [r.side for r in diff.same_rows(left, right, 0.06).collect()] == ["left"]
+    assert diff.same_rows(left, left.union(left), 0.0).count() == n + 1
+
+
+def test_nested_values_are_alike(spark):
+    one = lambda kind, text: spark.range(1).select(F.lit("i").alias("id"), F.create_map(F.lit("t"), kinds.value(kind, F.lit(text)).cast(kinds.TAG_VALUE)).alias("tags"))
+    same = [('["n:1.000000 kW","s:a"]', '["n:1.0000005 kW","s:a"]'), ('{"a":{"b":["n:1.000000"]},"t":"t:2020-01-01T00:00:00.100000Z UTC"}', '{"a":{"b":["n:0.9999995"]},"t":"t:2020-01-01T00:00:00.900000Z UTC"}'), ('["c:1.000000,2.000000"]', '["c:1.000001,2.000000"]'), ("[]", "[]")]
+    other = [('["n:1.000000"]', '["n:1.100000"]'), ('["n:1.000000 kW"]', '["n:1.000000 W"]'), ('["n:1.000000"]', '["n:1.000000","n:1.000000"]'), ('{"a":"n:1.000000"}', '{"b":"n:1.000000"}'), ('["s:x,\\"n:1"]', '["s:x,\\"n:1.0000001"]'), ('["n:1.000000"]', '["s:1.000000"]')]
+    kind = lambda t: "dict" if t[0] == "{" else "list"
+    assert [diff.mismatches(one(kind(a), a), one(kind(b), b)).count() for a, b in same] == [0] * len(same)
+    assert [diff.mismatches(one(kind(a), a), one(kind(b), b)).count() for a, b in other] == [1] * len(other)
