@@ -44,7 +44,8 @@ LAST = (1 << 63) - 1
 
 _ENTRY, _GONE, _ASKED = 0, 1, 2
 _OUT = "kind int, bucket int, entries binary, doc bigint, t int, start bigint, windows int"
-#: Fields of an entry and their bytes. A set bit 7 of `windows` says that the head has very many stretches elsewhere.
+#: Fields of an entry and their bytes. In `windows`, bit 7 says that the head has very many stretches elsewhere, and bit 6
+#: that the entry has been asked for.
 _FIELDS = (("h", 6), ("c", 6), ("doc", 8), ("t", 3), ("start", 4), ("windows", 1))
 _SIZE = sum(w for _, w in _FIELDS)
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -151,7 +152,7 @@ def _batch(kind: int, **columns: object) -> pa.RecordBatch:
 
 def _placed(kind: int, e: dict[str, np.ndarray], which: np.ndarray) -> pa.RecordBatch:
     found = _taken(e, which)
-    return _batch(kind, doc=found["doc"], t=found["t"], start=found["start"], windows=found["windows"] & np.uint64(127))
+    return _batch(kind, doc=found["doc"], t=found["t"], start=found["start"], windows=found["windows"] & np.uint64(63))
 
 
 def _arrays(buckets: int):
@@ -205,7 +206,9 @@ def _met(tables: pa.Table) -> pa.Table:
     e = unpack(blobs)
     e["merges"] = np.repeat(merges, [len(b) // _SIZE for b in blobs])
     e, keep, multiple, _ = scan(e)
-    out = [_placed(_GONE, e, ~keep), _placed(_ASKED, e, keep & multiple)]
+    asks = keep & multiple & (e["windows"] & np.uint64(64) == 0)
+    out = [_placed(_GONE, e, ~keep), _placed(_ASKED, e, asks)]
+    e["windows"] = np.where(asks, e["windows"] | np.uint64(64), e["windows"])
     stays = keep & e["merges"]
     if stays.any():
         out.append(_batch(_ENTRY, bucket=[tables["bucket"][0].as_py()], entries=[pack(_taken(e, stays))]))
@@ -256,18 +259,19 @@ class Levels:
     def rows(self, path: str, kind: int) -> DataFrame:
         return self.spark.read.schema(_OUT).parquet(path).where(F.col("kind") == kind).drop("kind")
 
-    def add(self, docs: DataFrame) -> None:
+    def add(self, docs: DataFrame, last: bool = False) -> None:
         """Scans a batch of documents(doc_id, text, ...) against all levels, and merges it with those of ranks 0, 1, ... that exist.
 
-        Batches may come in any order: of equal stretches always the one with the least document stays.
+        Batches may come in any order: of equal stretches always the one with the least document stays. last: no other
+        batch will come, so nothing is merged.
         """
         batch = _stored(keyed(docs).mapInArrow(_arrays(self.buckets), _OUT), "arrays", "kind")
         rank = 0
         while rank in self.levels:
             rank += 1
-        arrays = self.rows(batch, _ENTRY).select("bucket", "entries", F.lit(True).alias("merges"))
+        arrays = self.rows(batch, _ENTRY).select("bucket", "entries", F.lit(not last).alias("merges"))
         for r, path in self.levels.items():
-            arrays = arrays.unionByName(self.rows(path, _ENTRY).select("bucket", "entries", F.lit(r < rank).alias("merges")))
+            arrays = arrays.unionByName(self.rows(path, _ENTRY).select("bucket", "entries", F.lit(r < rank and not last).alias("merges")))
         merged = _stored(arrays.groupBy("bucket").applyInArrow(_met, _OUT), "level", "kind")
         for old in [batch, *(self.levels.pop(r) for r in range(rank))]:
             _remove(self.spark, f"{old}/kind={_ENTRY}")
@@ -449,7 +453,7 @@ def repeats_removed(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     doc_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
         part = docs if low is None else docs.where(doc_id > int(low))
-        index.add((part if high is None else part.where(doc_id <= int(high))).select("doc_id", "text"))
+        index.add((part if high is None else part.where(doc_id <= int(high))).select("doc_id", "text"), last=high is None)
     index.close()
     covered = index.found(_GONE).unionByName(settled(docs.select("doc_id", "text"), index.found(_ASKED)))
     spans = covered.groupBy("doc", "t").agg(F.collect_list(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("end"))).alias("spans"))
