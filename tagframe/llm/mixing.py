@@ -4,9 +4,9 @@ Documents of a source form blocks of BLOCK_DOCS. With weight w (its share of the
 1, is released at floor((j - 1) / w) and due at ceil(j / w). Each slot takes the released block that is due first, so at
 every slot a source has had its share of the blocks so far to within less than one block.
 
-Weights are whole numbers, so a schedule repeats after as many slots as they add up to. One such period is laid out once
-(a table of that many rows, a bound that does not depend on the documents); a block's slot follows by arithmetic. Where
-a source has no block left, a new phase begins in which the others share the slots by their weights. Numbering a
+Weights are whole numbers, so a schedule repeats after as many slots as they add up to, once a factor that all share is
+taken out. One such period is laid out once, and no more of it than there are blocks left; a block's slot follows by
+arithmetic. Where a source has no block left, a new phase begins in which the others share the slots by their weights. Numbering a
 source's documents takes one count per (source, shard), so no source is ever sorted or numbered in one task.
 
 Sources beyond the SOURCES largest are the leaves of a binary tree, in which two neighbours share the slots of their
@@ -17,6 +17,8 @@ top. With two streams the slots follow by arithmetic alone, so nothing of this i
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_left
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,18 +29,19 @@ from pyspark.sql import Window
 from .common import saved, table
 
 BLOCK_DOCS = 8
+NEW = ("stream", "block", "phase", "release", "due", "slot", "place")
 #: Documents a shard holds about; sources that one period is laid out for when no weights are given, the others are
 #: nested; the stream of null sources, and of sources without a given weight; steps of weights.
 SHARD_DOCS, SOURCES, OTHERS, STEPS = 2_000, 256, "\0others", 20
 
 
-def period(weights: Mapping[str, int]) -> list[tuple[str, int]]:
-    """(source, number of its block) for each slot of one period: earliest deadline first among released blocks."""
+def period(weights: Mapping[str, int], slots: int | None = None) -> list[tuple[str, int]]:
+    """(source, number of its block) for each slot of one period, or of its first slots: earliest deadline first among released blocks."""
     total = sum(weights.values())
     waiting = [(0, -(-total // w), s, 1) for s, w in weights.items()]  # release, deadline, source, number
     heapq.heapify(waiting)
     ready, out = [], []
-    for slot in range(total):
+    for slot in range(total if slots is None else min(slots, total)):
         while waiting and waiting[0][0] <= slot:
             _, due, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due, s, j))
@@ -51,23 +54,26 @@ def period(weights: Mapping[str, int]) -> list[tuple[str, int]]:
 
 
 def phases(blocks: Mapping[str, int], weights: Mapping[str, int]) -> list[dict]:
-    """For each phase: first slot, length of its period, and for each source the period's slots, blocks before it, blocks in it.
+    """For each phase: first slot, length of its period, and for each source the period's slots as far as they are needed, blocks before it, blocks in it, weight.
 
     blocks: how many blocks each source has. A phase ends with the slot in which a source places its last block.
     """
     left = {s: n for s, n in blocks.items() if n}
     done, start, out = dict.fromkeys(left, 0), 0, []
     while left:
-        active = {s: weights[s] for s in left}
+        factor = math.gcd(*(weights[s] for s in left))
+        active = {s: weights[s] // factor for s in left}
         slots: dict[str, list[int]] = {s: [] for s in active}
-        plan = period(active)
-        for at, (s, _) in enumerate(plan):
+        size = sum(active.values())
+        # a source is never a block ahead of its share, so one has run out by then
+        needed = min(-(-left[s] * size // active[s]) for s in left)
+        for at, (s, _) in enumerate(period(active, needed)):
             slots[s].append(at)
-        size = len(plan)
-        last = min((left[s] - 1) // active[s] * size + slots[s][(left[s] - 1) % active[s]] for s in left) + 1
+        ends = [(left[s] - 1) // active[s] * size + slots[s][(left[s] - 1) % active[s]] for s in left if (left[s] - 1) % active[s] < len(slots[s])]
+        last = min(ends) + 1
         rounds, rest = divmod(last, size)
-        here = {s: min(left[s], rounds * active[s] + sum(x < rest for x in slots[s])) for s in left}
-        out.append({"start": start, "size": size, "sources": {s: (slots[s], done[s], here[s]) for s in left}})
+        here = {s: min(left[s], rounds * active[s] + bisect_left(slots[s], rest)) for s in left}
+        out.append({"start": start, "size": size, "sources": {s: (slots[s], done[s], here[s], active[s]) for s in left}})
         for s, n in here.items():
             done[s] += n
             left[s] -= n
@@ -116,8 +122,9 @@ def mixed_order(docs: DataFrame, weights: Mapping[str, int] | None = None, block
     doc_id, of those without one by that of their place in docs. release and due count slots of the phase; those of a nested source count slots that it shares with its
     neighbour, and its phase is 0. Columns of docs that clash are replaced; no rows give no rows.
     """
-    new = ("stream", "block", "phase", "release", "due", "slot", "place")
-    docs = docs.drop(*new)
+    docs = docs.drop(*NEW)
+    named_as = docs.columns
+    docs = docs.toDF(*[c if c in ("doc_id", "source") else f"column {k}" for k, c in enumerate(named_as)])  # the steps' own names are free
     spark, others, pool = docs.sparkSession, 1, None
     if weights is not None and any(w != int(w) or w < 1 for w in weights.values()):
         raise ValueError("weights are whole numbers from 1 on; leave out the rows of a source that is to have no share")
@@ -147,30 +154,35 @@ def mixed_order(docs: DataFrame, weights: Mapping[str, int] | None = None, block
     shards = {s: max(1, -(-n // SHARD_DOCS)) for s, n in counts.items()}
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
     plan = phases(blocks, {**weights, OTHERS: others})
-    laid = [(k, p["start"], p["size"], before, count, len(slots), s, slots) for k, p in enumerate(plan) for s, (slots, before, count) in p["sources"].items()]
-    sizes = F.broadcast(spark.createDataFrame(list(shards.items()), "stream string, shards bigint"))
-    steps = spark.createDataFrame(laid, _PHASES)
-    if pool is None:
-        steps = F.broadcast(steps.withColumn("path", F.array().cast(_PATH)))
-    else:
+    laid = [(k, p["start"], p["size"], before, count, weight, s, slots) for k, p in enumerate(plan) for s, (slots, before, count, weight) in p["sources"].items()]
+    sizes = spark.createDataFrame(list(shards.items()), "stream string, shards bigint")
+    steps = spark.createDataFrame(laid, _PHASES).withColumn("path", F.array().cast(_PATH))
+    tree = None
+    if pool is not None:
         a, n = sum(w for s, w in {**weights, OTHERS: others}.items() if s in counts), sum(blocks.values())
         b, m = pool.agg(F.sum("weight"), F.sum("blocks")).first()
         last = lambda right, w, left: F.array(F.struct(F.lit(0), F.lit(right), F.lit(w), F.lit(a + b), F.lit(left))).cast(_PATH)
         tree = nested(pool.select("stream", "weight", "blocks"))
         tree = tree.select(*(F.lit(0).cast("bigint").alias(c) for c in ("phase", "start")), F.col("path")[0].total.alias("size"), F.lit(0).cast("bigint").alias("before"), F.col("blocks").alias("count"), F.col("path")[0].weight.alias("weight"), "stream", F.lit(None).cast("array<bigint>").alias("slots"), F.concat("path", last(True, b, n)).alias("path"))
-        steps = steps.withColumn("path", last(False, a, m)).unionByName(saved(tree, "tree"))
-        sizes = sizes.unionByName(pool.select("stream", F.ceil(F.col("n") / SHARD_DOCS).alias("shards")))
+        steps, tree = steps.withColumn("path", last(False, a, m)), saved(tree, "tree")
+        pool = pool.select("stream", F.ceil(F.col("n") / SHARD_DOCS).alias("shards"))
+    laid_out = F.broadcast(spark.createDataFrame([(x,) for x in counts], "stream string"))
 
-    placed = named.join(sizes, "stream").withColumn("_shard", F.pmod("_h", "shards"))
+    def joined(rows: DataFrame, own: DataFrame, nested_: DataFrame | None) -> DataFrame:
+        """The streams that are laid out, the largest among them, stay where they are; only rows of smaller ones are shuffled by stream."""
+        out = rows.join(F.broadcast(own), "stream")
+        return out if nested_ is None else out.unionByName(rows.join(laid_out, "stream", "left_anti").join(nested_, "stream"))
+
+    placed = joined(named, sizes, pool).withColumn("_shard", F.pmod("_h", "shards"))
     each = placed.groupBy("stream", "_shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("stream").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     offset = each.select("stream", "_shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = F.row_number().over(Window.partitionBy("stream", "_shard").orderBy("_h", "doc_id"))
     nth = placed.withColumn("_n", within).join(offset, ["stream", "_shard"]).withColumn("_n", F.col("_n") + F.col("offset") - 1)
     nth = nth.withColumn("block", F.floor(F.col("_n") / block_docs)).withColumn("place", (F.col("_n") % block_docs).cast("int"))
-    slot = nth.join(steps, "stream").where("block >= before AND block < before + count")
+    slot = joined(nth, steps, tree).where("block >= before AND block < before + count")
     j = F.col("block") - F.col("before")
-    return slot.select(
+    out = slot.select(
         *[c for c in docs.columns if c != "_row"],
         "stream",
         "block",
@@ -180,6 +192,7 @@ def mixed_order(docs: DataFrame, weights: Mapping[str, int] | None = None, block
         shared_slot(F.coalesce(F.col("start") + F.floor(j / F.col("weight")) * F.col("size") + F.expr("slots[cast((block - before) % weight AS int)]"), F.col("block")), "path").alias("slot"),
         "place",
     )
+    return out.toDF(*named_as, *NEW)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

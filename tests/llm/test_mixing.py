@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,10 +25,10 @@ def test_every_block_has_one_slot():
         blocks = {s: rnd.randint(0, 50) for s in "abcd"}
         seen = {}
         for p in mixing.phases(blocks, weights):
-            for s, (slots, before, n) in p["sources"].items():
+            for s, (slots, before, n, weight) in p["sources"].items():
                 for b in range(before, before + n):
                     j = b - before
-                    seen[p["start"] + j // len(slots) * p["size"] + slots[j % len(slots)]] = (s, b)
+                    seen[p["start"] + j // weight * p["size"] + slots[j % weight]] = (s, b)
         assert sorted(seen) == list(range(sum(blocks.values())))
         assert sorted(seen.values()) == sorted((s, b) for s in blocks for b in range(blocks[s]))
 
@@ -111,3 +112,32 @@ def test_rows_without_id_are_dealt_over_shards(spark, monkeypatch):
     out = mixing.mixed_order(df)
     assert out.columns[:2] == ["doc_id", "source"] and "_row" not in out.columns
     assert sorted((r.slot, r.place) for r in out.collect()) == [(k // 8, k % 8) for k in range(1000)]
+
+
+def test_great_weights_are_not_laid_out_beyond_the_blocks(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    weights = {"a": 1_500_000, "b": 1_500_001}
+    began = time.time()
+    assert len(mixing.phases({"a": 250, "b": 250}, weights)) <= 2 and time.time() - began < 1
+    order = [r.source for r in mixing.mixed_order(df, weights).where("place = 0").orderBy("slot").collect()]
+    assert len(order) == 500 and all(abs(order[: k + 1].count("a") - (k + 1) / 2) < 1 for k in range(len(order)))
+    share = {"a": 6_000_000, "b": 2_000_000, "c": 4_000_000}
+    assert [p["size"] for p in mixing.phases({"a": 10**9, "b": 10**9, "c": 10**9}, share)] == [6, 3, 1]
+
+
+def test_columns_that_clash_stay(spark, monkeypatch):
+    names = ["size", "weight", "count", "before", "start", "path", "slots", "shards", "offset", "_h", "_n", "_shard", "_row", "n", "column 3", "others", "shares"]
+    rows = [(i, None if i % 5 == 0 else f"s{i % 4}", *range(len(names))) for i in range(60)] + [(None, "s1", *range(len(names)))]
+    df = spark.createDataFrame(rows, ["doc_id", "source", *names])
+    for most in (256, 2):
+        monkeypatch.setattr(mixing, "SOURCES", most)
+        out = mixing.mixed_order(df)
+        assert out.columns == ["doc_id", "source", *names, *mixing.NEW]
+        got = out.collect()
+        assert len(got) == len(rows) and all([r[c] for c in names] == list(range(len(names))) for r in got)
+
+
+def test_a_thousand_sources_of_few_blocks(spark):
+    df = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 1000).alias("source"))
+    out = mixing.mixed_order(df).select("slot", "place").distinct().count()
+    assert out == 24_000
