@@ -401,13 +401,19 @@ def settled(docs: DataFrame, asked: DataFrame) -> DataFrame:
     lists = asked.distinct().groupBy("doc", "t").agg(F.collect_list(F.struct("start", "windows")).alias("asked"))
     suffixes = keyed(docs).join(lists, ["doc", "t"]).select("doc", "t", "text", "asked").mapInArrow(_suffixes, _SUFFIX)
     spark = docs.sparkSession
-    suffixes = spark.read.schema(suffixes.schema).parquet(_stored(suffixes, "suffixes"))  # sorted twice, and each sort looks at a sample first
+    sorted_twice = _stored(suffixes, "suffixes")  # and each sort looks at a sample first
+    suffixes = spark.read.schema(suffixes.schema).parquet(sorted_twice)
     rows = _pruned(suffixes)
     each = rows.withColumn("k", F.explode(F.sequence(F.col("skip"), F.col("windows") - 1)))
     each = each.select("doc", "t", "starts", "k", F.substring("whole", F.col("k") + 1, F.lit(LENGTH)).alias("window"))
-    each = spark.read.schema(each.schema).parquet(_stored(each, "windows"))
+    windows = _stored(each, "windows")
+    _remove(spark, sorted_twice)
+    each = spark.read.schema(each.schema).parquet(windows)
     least = each.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("window", "first")
-    return each.join(least, "window").where("doc > first").select("doc", "t", F.explode(F.transform("starts", lambda x: x + F.col("k"))).alias("start"), F.lit(1).alias("windows"))
+    found = each.join(least, "window").where("doc > first").select("doc", "t", F.explode(F.transform("starts", lambda x: x + F.col("k"))).alias("start"), F.lit(1).alias("windows"))
+    out = spark.read.schema(found.schema).parquet(_stored(found, "settled"))
+    _remove(spark, windows)
+    return out
 
 
 _CUT = "n_removed bigint, n_spans bigint, kept binary"
