@@ -7,6 +7,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import kinds
 from ..functions.ranges import period_lists
@@ -181,6 +182,66 @@ def java_pattern(pattern: str) -> str:
     return out
 
 
+def _in_period(df: DataFrame, keys: Mapping, start: dt.datetime, end: dt.datetime) -> DataFrame:
+    """The partitions of a table by year, month and day (keys: year_col, month_col, day_col) that a period touches."""
+    parts = {n: F.col(keys[n]).cast("int") if df.schema[keys[n]].dataType.typeName() == "string" else F.col(keys[n]) for n in ("year_col", "month_col", "day_col") if keys.get(n)}
+    for name, values in zip(("year_col", "month_col", "day_col"), period_lists(start, end), strict=True):
+        if name in parts:
+            df = df.where(parts[name].isin(values))
+    if len(parts) == 3:  # of the days that the lists make together, those of the period
+        number = parts["year_col"] * 10_000 + parts["month_col"] * 100 + parts["day_col"]
+        df = df.where(number.between(int(start.strftime("%Y%m%d")), int(end.strftime("%Y%m%d"))))
+    return df
+
+
+#: What describes a point's place in the lake: the table, fixed partition keys, and the rest as read_lake() takes it.
+LAKE = "id string, path string, partition_keys map<string, string>, date_part_keys map<string, string>, hs_value_column map<string, string>, hs_date_column map<string, string>"
+
+
+def read_lake_all(described: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
+    """(id, ts, val) of all points that `described` (columns of LAKE) names, in [start, end): one scan for each table.
+
+    Points of a table that are read alike are one join on its partition keys, so their rows prune the scan while it
+    runs, and the period prunes it before. Values are TAG_VALUE: one column by its type, several as a dict. The different
+    tables and ways to read them, not the points, are listed on the driver.
+    """
+    spark, how = described.sparkSession, ["path", "date_part_keys", "hs_value_column", "hs_date_column"]
+    text = lambda c: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))
+    way = F.sha2(F.concat_ws("|", "path", *[text(c) for c in how[1:]], F.array_join(F.array_sort(F.map_keys("partition_keys")), ",")), 256)
+    rows, out = described.withColumn("_way", way), None
+    for r in rows.groupBy("_way").agg(*[F.first(c).alias(c) for c in (*how, "partition_keys")]).collect():
+        table = _in_period(spark.read.parquet(r.path), r.date_part_keys or {}, start, end)
+        keys = sorted(r.partition_keys or {})
+        mine = rows.where(F.col("_way") == r._way).select("id", *[F.col("partition_keys")[k].alias(f"_{k}") for k in keys])
+        held = F.lit(True)
+        for k in keys:
+            held = held & (table[k] == mine[f"_{k}"].cast(table.schema[k].dataType))
+        met = table.join(mine, held) if keys else table.withColumn("_one", F.lit(1)).join(mine.withColumn("_one", F.lit(1)), "_one")  # a table of one point
+        one = lake_values(met, {"hs_value_column": r.hs_value_column, "hs_date_column": r.hs_date_column}, "id")
+        one = one.where((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")))
+        one = one.withColumn("val", _tagged(one.schema["val"].dataType)).select("id", "ts", "val").distinct()
+        out = one if out is None else out.unionByName(one)
+    return spark.createDataFrame([], described.select("id").schema).select("id", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast(kinds.TAG_VALUE).alias("val")) if out is None else out
+
+
+def _tagged(kind: T.DataType, c: str = "val") -> Column:
+    """A typed value as TAG_VALUE; a struct as a dict, without the fields that are null."""
+
+    def one(v: Column, t: T.DataType) -> Column:
+        if isinstance(t, T.NumericType):
+            return kinds.number(v)
+        if isinstance(t, T.BooleanType):
+            return F.when(v.isNotNull(), kinds.value("bool", v.cast("string"), num=v.cast("double")))
+        if isinstance(t, T.DateType):
+            return F.when(v.isNotNull(), kinds.value("date", v.cast("string")))
+        return kinds.datetime(v) if isinstance(t, T.TimestampType) else kinds.string(v.cast("string"))
+
+    if not isinstance(kind, T.StructType):
+        return one(F.col(c), kind)
+    there = F.map_filter(F.map_from_arrays(F.array(*[F.lit(f.name) for f in sorted(kind, key=lambda f: f.name)]), F.array(*[kinds.encode_tagged(one(F.col(c)[f.name], f.dataType)) for f in sorted(kind, key=lambda f: f.name)])), lambda k, v: v.isNotNull())
+    return kinds.value("dict", F.to_json(there))
+
+
 def read_lake(spark: SparkSession, path: str, spec: Mapping, start: dt.datetime, end: dt.datetime) -> DataFrame:
     """Distinct points in [start, end) of a lake table that partitions by fixed keys and by year, month and day.
 
@@ -191,24 +252,17 @@ def read_lake(spark: SparkSession, path: str, spec: Mapping, start: dt.datetime,
     for part in filter(None, spec.get("partition_keys", "").split("/")):
         k, v = part.split("=", 1)
         df = df.where(F.col(k) == F.lit(v.strip("'")).cast(df.schema[k].dataType))
-    keys = spec.get("date_part_keys", {})
-    parts = {n: F.col(keys[n]).cast("int") if df.schema[keys[n]].dataType.typeName() == "string" else F.col(keys[n]) for n in ("year_col", "month_col", "day_col") if keys.get(n)}
-    for name, values in zip(("year_col", "month_col", "day_col"), period_lists(start, end), strict=True):
-        if name in parts:
-            df = df.where(parts[name].isin(values))
-    if len(parts) == 3:  # of the days that the lists make together, those of the period
-        number = parts["year_col"] * 10_000 + parts["month_col"] * 100 + parts["day_col"]
-        df = df.where(number.between(int(start.strftime("%Y%m%d")), int(end.strftime("%Y%m%d"))))
+    df = _in_period(df, spec.get("date_part_keys", {}), start, end)
     return lake_values(df, spec).where((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp"))).distinct()
 
 
-def lake_values(rows: DataFrame, spec: Mapping) -> DataFrame:
-    """(ts, val): one value column as it is, several as a struct; times parsed by their pattern and cut to the second."""
+def lake_values(rows: DataFrame, spec: Mapping, *keep: str) -> DataFrame:
+    """(columns to keep, ts, val): one value column as it is, several as a struct; times parsed by their pattern and cut to the second."""
     (column, pattern), *_ = spec["hs_date_column"].items()
     parsed = F.to_timestamp(column, java_pattern(pattern)) if rows.schema[column].dataType.typeName() == "string" else F.col(column).cast("timestamp")
     types = {"float": "double", "int": "bigint", "number": "double", "bool": "boolean", "str": "string", "date": "date", "datetime": "timestamp"}
     values = [F.col(c).try_cast(types.get(t.lower(), "string")).alias(c) for c, t in spec["hs_value_column"].items()]
-    return rows.select(F.date_trunc("second", parsed).alias("ts"), (values[0] if len(values) == 1 else F.struct(*values)).alias("val"))
+    return rows.select(*keep, F.date_trunc("second", parsed).alias("ts"), (values[0] if len(values) == 1 else F.struct(*values)).alias("val"))
 
 
 def import_files(entities: DataFrame, files: DataFrame) -> DataFrame:

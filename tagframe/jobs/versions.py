@@ -146,6 +146,42 @@ def at_each_time(events: DataFrame, versions: DataFrame, time: str = "ts", keys:
     return events.join(v, held, "left").drop(*[v[k] for k in keys])
 
 
+#: Events of a key from which its time is cut into buckets, and the share of all events; so there are at most 1,000 such keys.
+HOT, HOTS = 100_000, 1_000
+
+
+def at_each_time_in_buckets(events: DataFrame, versions: DataFrame, time: str = "ts", keys: tuple[str, ...] = ("id",), hot: int = HOT) -> DataFrame:
+    """The same as at_each_time, where a key may hold any share of the events: its time is cut into buckets of about `hot` events.
+
+    A hot key's versions go into every bucket that they overlap, and events meet them by key and bucket, so the key is
+    dealt over as many tasks as it has buckets. Other keys have one bucket. The times of hot keys are one row each, and at
+    most HOTS, so they are copied to the tasks.
+    """
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    total = events.count()
+    each = events.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(us(time)).alias("_lo"), F.max(us(time)).alias("_hi"))
+    size = max(hot, total // HOTS)
+    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / size)))
+    cut = F.broadcast(each.where(F.col("_n") > size).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_lo", "_hi", width.cast("bigint").alias("_width")))
+
+    def with_cut(df: DataFrame) -> DataFrame:
+        held = F.lit(True)
+        for i, k in enumerate(keys):
+            held = held & (df[k] == cut[f"_k{i}"])
+        return df.join(cut, held, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+    bucket = lambda at: F.coalesce(F.floor((F.least(F.greatest(at, F.col("_lo")), F.col("_hi")) - F.col("_lo")) / F.col("_width")), F.lit(0))
+    asked = with_cut(events).withColumn("_bucket", bucket(us(time))).drop("_lo", "_hi", "_width")
+    v = versions.drop(*[c for c in KEYS if c not in keys and c in versions.columns])
+    there = with_cut(v).where(F.col("_lo").isNull() | (us("start_datetime") <= F.col("_hi")) & (us("end_datetime") >= F.col("_lo")))
+    there = there.withColumn("_bucket", F.explode(F.sequence(bucket(us("start_datetime")), bucket(us("end_datetime"))))).drop("_lo", "_hi", "_width")
+    held = asked["_bucket"] == there["_bucket"]
+    for k in keys:
+        held = held & (asked[k] == there[k])
+    held = held & (there["start_datetime"] <= asked[time]) & (asked[time] <= there["end_datetime"])
+    return asked.join(there, held, "left").drop(asked["_bucket"], there["_bucket"], *[there[k] for k in keys])
+
+
 def at_each_time_by_window(events: DataFrame, versions: DataFrame, value: str, time: str = "ts", keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """The same for one value column by union and window, where a key has very many versions and events."""
     there = versions.select(*keys, F.col("start_datetime").alias(time), F.lit(0).alias("_kind"), F.struct(F.col(value), F.col("end_datetime")).alias("_v"))

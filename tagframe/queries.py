@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import model
-from .functions import kinds, ranges, tz, units
+from .functions import kinds, ranges, tz, units, zinc
 from .jobs import series as ts
+from .jobs import stored
 from .jobs import versions as ver
 from .model import ENTITIES_SQL, SECOND_SQL, SERIES_SQL, SNAPSHOTS_SQL, STATES_SQL, tags_sql
 from .operators import diff, filters, graph, grid
 from .sources import formats
 from .sources.shared import shared_path
-from .streaming import live
+from .streaming import live, state
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -727,3 +728,246 @@ def stream_watch(spark, d):
     subs = c.select(F.concat(F.lit("w"), (F.col("c_custkey") % 2).cast("string")).alias("watch"), F.concat(F.lit("point-"), F.col("c_custkey").cast("string")).alias("id"), F.lit(1e9).alias("lease_s"))
     points = spark.readStream.schema("id string, ts timestamp, val double").option("maxFilesPerTrigger", 1).parquet(path)
     return _ran(live.watch(points, subs, delay="3650 days"), "watch", "update").select("watch", "id", us("ts"), "val")
+
+
+# what is changed in place, and what else has no query above
+
+
+@query("approximate_nested", "SELECT event_id::VARCHAR AS id, 'props' AS tag FROM events WHERE event_id % 5 = 0 UNION ALL SELECT event_id::VARCHAR, 'pair' FROM events WHERE event_id % 7 = 0")
+def approximate_nested(spark, d):
+    """Dicts and lists whose numbers are a little off are alike; those a hundredth off, or with another text, are not."""
+    e = _event_tags(spark, d)
+    k = F.get_json_object(F.col("tags")["props"]["str"], "$.k")
+    number = F.substring(k, 3, 30).cast("double") + F.when(F.col("event_id") % 5 == 0, 0.01).otherwise(4e-7)
+    props = F.replace(F.col("tags")["props"]["str"], F.concat(F.lit('"'), k, F.lit('"')), F.concat(F.lit('"n:'), F.format_string("%.7f", number), F.lit('"')))
+    pair = F.when(F.col("event_id") % 7 == 0, F.replace(F.col("tags")["pair"]["str"], F.lit('"s:'), F.lit('"s:un'))).otherwise(F.col("tags")["pair"]["str"])
+    other = e.select("id", F.create_map(F.lit("props"), kinds.value("dict", props), F.lit("pair"), kinds.value("list", pair), F.lit("type"), F.col("tags")["type"]).cast(kinds.TAGS).alias("tags"))
+    return diff.mismatches(e.select("id", "tags"), other)
+
+
+@query(
+    "version_patch_chain",
+    f"""WITH {STATES_SQL}, n AS (SELECT 'customer-' || c_custkey AS id, k, TIMESTAMP '{_NOW}' + to_days(k::INTEGER) AS tm, c_custkey % 7 = k AS gone FROM customer, (VALUES (1), (2), (3)) v(k) WHERE c_custkey % (k + 1) = 0),
+o AS (SELECT * FROM versions WHERE end_datetime = TIMESTAMP '9999-12-31 23:59:59'), f AS (SELECT id, min(tm) AS tm FROM n GROUP BY id),
+e AS (SELECT *, lead(tm) OVER w AS nx, coalesce(max(gone::INT) OVER (PARTITION BY id ORDER BY tm ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM n WINDOW w AS (PARTITION BY id ORDER BY tm)),
+r AS (SELECT id, start_datetime AS s, end_datetime AS t, status, priority FROM versions WHERE end_datetime < TIMESTAMP '9999-12-31 23:59:59'
+UNION ALL SELECT o.id, start_datetime, coalesce(f.tm - INTERVAL 1 MICROSECOND, end_datetime), status, priority FROM o LEFT JOIN f ON o.id = f.id
+UNION ALL SELECT e.id, e.tm, coalesce(nx - INTERVAL 1 MICROSECOND, TIMESTAMP '9999-12-31 23:59:59'), 'P' || k, CASE WHEN ended = 0 THEN o.priority END FROM e LEFT JOIN o ON e.id = o.id WHERE NOT gone)
+SELECT id, epoch_us(s) AS start_datetime, epoch_us(t) AS end_datetime, status, priority FROM r""",
+)
+def version_patch_chain(spark, d):
+    """Three patches of a stored table of versions, folded in one merge, which is then asked for again."""
+    path = shared_path(spark, "versions")
+    stored.create_versions(_versions(spark, d), path)
+    c, patches = model.table(spark, d, "customer"), None
+    for k in (1, 2, 3):
+        at = F.lit(_NOW).cast("timestamp") + F.expr(f"INTERVAL {k} DAYS")
+        one = c.where(F.col("c_custkey") % (k + 1) == 0).select(F.lit("").alias("customer_id"), F.concat(F.lit("customer-"), "c_custkey").alias("id"), at.alias("at"), F.lit(f"P{k}").alias("status"), (F.col("c_custkey") % 7 == k).alias("gone"))
+        patches = one if patches is None else patches.unionByName(one)
+    for _ in range(2):
+        stored.merge_patches(patches, path, 1, F.col("gone"))
+    return stored.read_versions(spark, path).select("id", us("start_datetime"), us("end_datetime"), "status", "priority")
+
+
+@query(
+    "series_writes",
+    """WITH p AS (SELECT 'point-' || user_id AS id, ts, max(value) AS val, min(event_id % 4) AS part FROM events GROUP BY user_id, ts),
+a AS (SELECT id, ts, val FROM p WHERE part IN (0, 1)),
+u AS (SELECT id, ts, val + 1000 AS val FROM p WHERE part = 1 AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'),
+b AS (SELECT * FROM u UNION ALL SELECT * FROM a WHERE (id, ts) NOT IN (SELECT (id, ts) FROM u)),
+n AS (SELECT id, ts, val FROM p WHERE part = 2 AND ts >= TIMESTAMP '2024-01-12' AND ts < TIMESTAMP '2024-01-15'), w AS (SELECT id, min(ts) AS lo, max(ts) AS hi FROM n GROUP BY id),
+c AS (SELECT b.* FROM b LEFT JOIN w ON b.id = w.id WHERE lo IS NULL OR ts < lo OR ts > hi UNION ALL SELECT * FROM n),
+f AS (SELECT id, min(ts) AS first FROM c GROUP BY id),
+s AS (SELECT id, ts - to_days(3) AS ts, val FROM p WHERE part = 3)
+SELECT id, epoch_us(ts) AS ts, val FROM c UNION ALL SELECT s.id, epoch_us(s.ts), s.val FROM s LEFT JOIN f ON s.id = f.id WHERE first IS NULL OR s.ts < first""",
+)
+def series_writes(spark, d):
+    """A stored series: points written twice, a period replaced, older points put before it, and a late repeat of the first batch."""
+    path = shared_path(spark, "series")
+    p = model.series(spark, d).groupBy("customer_id", "id", "ts").agg(F.max("val").alias("val"), F.min(F.col("event_id") % 4).alias("part"))
+    part = lambda k: p.where(F.col("part") == k).drop("part")
+    between = lambda df, a, b: df.where((F.col("ts") >= F.lit(a).cast("timestamp")) & (F.col("ts") < F.lit(b).cast("timestamp")))
+    stored.create_series(part(0).unionByName(part(1)), path)
+    newer = between(part(1), "2024-01-10", "2024-01-20").withColumn("val", F.col("val") + 1000)
+    stored.write_points(newer, path, 1)
+    stored.replace_period(between(part(2), "2024-01-12", "2024-01-15"), path, 2)
+    stored.write_points(newer, path, 1)
+    stored.prepend_older(part(3).withColumn("ts", F.col("ts") - F.expr("INTERVAL 3 DAYS")), path, 3)
+    return stored.read_series(spark, path).select("id", us("ts"), "val")
+
+
+@query("point_in_time_buckets", _AT)
+def point_in_time_buckets(spark, d):
+    """The same where points of many events have their time cut into buckets."""
+    return ver.at_each_time_in_buckets(_ships(spark, d), _versions(spark, d), hot=20).select("l_orderkey", "l_linenumber", "status")
+
+
+@query(
+    "lake_read_all",
+    """WITH e AS (SELECT user_id % 5 AS site, date_trunc('second', ts) AS ts, round(value, 6) AS val, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND date_trunc('second', ts) < TIMESTAMP '2024-01-12')
+SELECT DISTINCT 'meter-' || site AS id, epoch_us(ts) AS ts, val, NULL AS kind FROM e WHERE site <> 3 UNION ALL SELECT DISTINCT 'station-' || site, epoch_us(ts), val, event_type FROM e WHERE site <> 3""",
+)
+def lake_read_all(spark, d):
+    """Points in two tables of a lake, one with a single value column and one with two, each read once for all its points."""
+    import datetime as dt
+
+    path = shared_path(spark, "lakes")
+    e = model.table(spark, d, "events").select((F.col("user_id") % 5).alias("site"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), "value", "event_type", F.year("ts").alias("year"), F.month("ts").alias("month"), F.dayofmonth("ts").alias("day"))
+    parts = ["site", "year", "month", "day"]
+    for name, rows in (("meters", e.drop("event_type")), ("stations", e)):
+        rows.repartition(*parts).write.partitionBy(*parts).parquet(f"{path}/{name}")
+    days = {"year_col": "year", "month_col": "month", "day_col": "day"}
+    rows = [(f"{kind}-{k}", f"{path}/{kind}s", {"site": str(k)}, days, {"value": "float"} if kind == "meter" else {"value": "float", "event_type": "str"}, {"time": "%Y-%m-%d %H:%M:%S"}) for kind in ("meter", "station") for k in range(5) if k != 3]
+    out = ts.read_lake_all(spark.createDataFrame(rows, ts.LAKE), dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 12))
+    inside = lambda k: kinds.decode_tagged(F.get_json_object("val.str", f"$.{k}"))
+    return out.select("id", us("ts"), F.coalesce("val.num", inside("value")["num"]).alias("val"), inside("event_type")["str"].alias("kind"))
+
+
+@query(
+    "zone_of_offset",
+    """WITH o AS (SELECT o_orderkey, o_orderdate::TIMESTAMP + to_hours((o_orderkey % 24)::INTEGER) AS ts, make_date(year(o_orderdate), 4, 1) AS a, make_date(year(o_orderdate), 10, 31) AS b FROM orders),
+r AS (SELECT *, CASE WHEN ts >= (a + ((7 - dayofweek(a)) % 7)::INTEGER)::TIMESTAMP + INTERVAL 7 HOURS AND ts < (b - dayofweek(b)::INTEGER)::TIMESTAMP + INTERVAL 6 HOURS THEN -14400 ELSE -18000 END AS off FROM o)
+SELECT o_orderkey, off AS given, off AS found FROM r""",
+)
+def zone_of_offset(spark, d):
+    """New York's offset, in and out of summer time, and that of the zone which is found for it."""
+    o = model.table(spark, d, "orders").select("o_orderkey", F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + (F.col("o_orderkey") % 24) * 3600).alias("ts"))
+    offset = lambda zone: (F.unix_seconds(tz.local_time(F.col("ts"), zone)) - F.unix_seconds("ts")).cast("int")
+    named = tz.with_full_zone(tz.with_zone_of_offset(o.withColumn("given", offset(F.lit("America/New_York"))), "ts", "given"), "tz_short")
+    return named.select("o_orderkey", "given", offset(F.col("tz_full")).alias("found"))
+
+
+def _dealt(path: str, rows: DataFrame, time: str, like: DataFrame) -> None:
+    """Writes rows as four files, by the quarters of the days of `like`, for a stream that reads them one after the other."""
+    days = like.select(F.to_date(time if time in like.columns else "ts").alias("day")).distinct()  # one row for each day
+    days = days.withColumn("batch", F.ntile(4).over(Window.orderBy("day")))
+    for batch in range(1, 5):
+        rows.withColumn("day", F.to_date(time)).join(days.where(F.col("batch") == batch), "day", "left_semi").drop("day").coalesce(1).write.mode("append").parquet(path)
+
+
+@query(
+    "stream_point_levels",
+    """WITH w AS (SELECT user_id AS id, 1 + event_id % 3 AS level, CASE WHEN event_id % 11 <> 0 THEN value END AS val, ts AS tm, CASE WHEN event_id % 2 = 0 THEN ts + to_seconds(3600 * (1 + event_id % 40)) + INTERVAL 1 MICROSECOND END AS until
+  FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1),
+v AS (SELECT *, lead(tm) OVER (PARTITION BY id, level ORDER BY tm) AS nx FROM w),
+h AS (SELECT id, level, val, tm AS s, least(coalesce(nx, TIMESTAMP '9999-01-01'), coalesce(until, TIMESTAMP '9999-01-01')) AS e FROM v WHERE val IS NOT NULL),
+t AS (SELECT id, tm AS t FROM w UNION SELECT id, until FROM w WHERE until < (SELECT max(tm) FROM w) AND val IS NOT NULL),
+f AS (SELECT t.id, t.t, arg_min(h.level, h.level) AS level, arg_min(h.val, h.level) AS val FROM t LEFT JOIN h ON t.id = h.id AND h.s <= t.t AND t.t < h.e GROUP BY t.id, t.t),
+g AS (SELECT *, row_number() OVER p AS n, lag(level) OVER p AS pl, lag(val) OVER p AS pv FROM f WINDOW p AS (PARTITION BY id ORDER BY t))
+SELECT 'point-' || id AS id, epoch_us(t) AS "at", level::INTEGER AS level, val FROM g WHERE (n = 1 AND level IS NOT NULL) OR (n > 1 AND (level IS DISTINCT FROM pl OR val IS DISTINCT FROM pv))""",
+)
+def stream_point_levels(spark, d):
+    """Every change of the value in force, from writes that come in four batches and from durations that end."""
+    path = shared_path(spark, "writes")
+    e = model.table(spark, d, "events")
+    e = e.withColumn("_n", F.row_number().over(Window.partitionBy("user_id", "ts").orderBy("event_id"))).where("_n = 1")
+    writes = e.select(F.concat(F.lit("point-"), F.col("user_id").cast("string")).alias("id"), (F.col("event_id") % 3 + 1).cast("int").alias("level"), F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("val"), F.lit("u").alias("who"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_id") % 2 == 0, 3600 * (1 + F.col("event_id") % 40) + F.lit(1e-6)).alias("duration_s"))
+    _dealt(path, writes, "at", writes)
+    stream = spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _ran(state.priority_arrays(stream), "levels", "append").select("id", us("at"), "level", "val")
+
+
+@query(
+    "stream_watch_leases",
+    """WITH p AS (SELECT user_id AS id, ts, max(round(value / 25)) AS val FROM events GROUP BY user_id, ts),
+s AS (SELECT DISTINCT user_id AS id, 'w' || (user_id % 3) AS watch, TIMESTAMP '2024-01-05' + to_hours((user_id % 5)::INTEGER) AS s, CASE WHEN user_id % 2 = 0 THEN TIMESTAMP '2024-01-12' END AS r, CASE WHEN user_id % 7 = 0 THEN TIMESTAMP '2024-01-18' END AS u FROM events),
+a AS (SELECT *, least(coalesce(u, TIMESTAMP '9999-01-01'), coalesce(r, s) + to_days(10)) AS e FROM s),
+c AS (SELECT *, lag(val) OVER (PARTITION BY id ORDER BY ts) AS before FROM p)
+SELECT watch, 'point-' || a.id AS id, epoch_us(max(ts)) AS ts, arg_max(val, ts) AS val, 'sub' AS reason FROM a JOIN p ON a.id = p.id AND ts <= s GROUP BY watch, a.id
+UNION ALL SELECT watch, 'point-' || a.id, epoch_us(max(ts)), arg_max(val, ts), 'refresh' FROM a JOIN p ON a.id = p.id AND ts <= r GROUP BY watch, a.id
+UNION ALL SELECT watch, 'point-' || a.id, epoch_us(ts), val, 'change' FROM a JOIN c ON a.id = c.id AND ts > s AND ts <= e AND before IS DISTINCT FROM val""",
+)
+def stream_watch_leases(spark, d):
+    """Watches of all points that subscribe, are refreshed, run out after their lease or are ended, in four batches."""
+    path, e = shared_path(spark, "watches"), model.table(spark, d, "events")
+    name = F.concat(F.lit("point-"), F.col("user_id").cast("string"))
+    points = e.select(name.alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") / 25).alias("val")).groupBy("id", "ts").agg(F.max("val").alias("val"))
+    users = e.select("user_id").distinct()
+    at = lambda day: F.lit(f"2024-01-{day}").cast("timestamp")
+    event = lambda rows, kind, when: rows.select(name.alias("id"), when.alias("at"), F.lit(kind).alias("kind"), F.concat(F.lit("w"), (F.col("user_id") % 3).cast("string")).alias("watch"), F.lit(864_000.0).alias("lease_s"))
+    asked = event(users, "sub", F.timestamp_seconds(F.unix_seconds(at("05")) + F.col("user_id") % 5 * 3600))
+    asked = asked.unionByName(event(users.where("user_id % 2 = 0"), "refresh", at("12"))).unionByName(event(users.where("user_id % 7 = 0"), "unsub", at("18")))
+    _dealt(f"{path}/points", points, "ts", points)
+    _dealt(f"{path}/asked", asked, "at", points)
+    read = lambda part, df: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/{part}")
+    return _ran(state.watches(read("points", points), read("asked", asked)), "given", "append").select("watch", "id", us("ts"), "val", "reason")
+
+
+# readers, kinds and helpers
+
+
+@query("snapshot_newest", "SELECT 'town-' || (c_custkey % 5) AS name, max(TIMESTAMP '2024-01-01' + to_days((c_custkey % 60)::INTEGER)) AS version FROM customer WHERE TIMESTAMP '2024-01-01' + to_days((c_custkey % 60)::INTEGER) <= TIMESTAMP '2024-02-10' GROUP BY 1")
+def snapshot_newest(spark, d):
+    """Of many dated files of each name the newest up to a date."""
+    c = model.table(spark, d, "customer")
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 60).cast("int")), "yyyy-MM-dd")
+    files = c.select(F.concat(F.lit("s3://b/town-"), (F.col("c_custkey") % 5).cast("string"), F.lit("-"), day, F.lit(".zinc.gz")).alias("path"), F.lit("2000-01-01").cast("timestamp").alias("modified"))
+    return ver.newest_snapshot(files, "2024-02-10 00:00:00").select("name", "version")
+
+
+@query("filter_compiled", "SELECT c_custkey AS id FROM customer WHERE c_acctbal > 100 AND c_mktsegment <> 'BUILDING' OR c_name = 'Customer#000000007'")
+def filter_compiled(spark, d):
+    """A filter as one boolean column, within other conditions."""
+    c = model.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("dis"), F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("segment"))
+    return c.where(filters.compile_filter('acctbal > 100 and segment != "BUILDING"', c) | filters.compile_filter('dis == "Customer#000000007"', c)).select("id")
+
+
+@query("patch_metadata", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'b' END AS changed, CASE WHEN c_custkey % 5 = 0 THEN 'yes' ELSE 'no' END AS dropped FROM customer")
+def patch_metadata(spark, d):
+    """What changed between two metadata maps of each row, as a patch: new values, and REMOVE for what is gone."""
+    c = model.table(spark, d, "customer")
+    text = lambda x: kinds.string(F.lit(x))
+    left = c.select(F.col("c_custkey").cast("string").alias("id"), F.create_map(F.lit("dis"), text("a"), F.lit("old"), text("x")).cast(kinds.TAGS).alias("tags"))
+    right = c.select(F.col("c_custkey").cast("string").alias("id"), F.map_filter(F.create_map(F.lit("dis"), F.when(F.col("c_custkey") % 3 == 0, text("b")).otherwise(text("a")), F.lit("old"), F.when(F.col("c_custkey") % 5 != 0, text("x"))), lambda k, v: v.isNotNull()).cast(kinds.TAGS).alias("tags"))
+    patch = diff.patch_of(left, right)
+    out = left.select("id").join(patch, "id", "left")
+    return out.select(F.col("id").cast("bigint").alias("id"), F.col("tags")["dis"]["str"].alias("changed"), F.when(F.col("tags")["old"]["kind"] == "remove", "yes").otherwise("no").alias("dropped"))
+
+
+@query("zinc_escapes", "SELECT l_orderkey, l_linenumber, l_shipmode || ' \"' || chr(10) || '\\' || l_linestatus || '$é' AS text FROM lineitem")
+def zinc_escapes(spark, d):
+    """Texts with quotes, line ends, backslashes and letters beyond ASCII, to Zinc and back."""
+    li = model.table(spark, d, "lineitem")
+    text = F.concat("l_shipmode", F.lit(' "\n\\'), "l_linestatus", F.lit("$é"))
+    return li.select("l_orderkey", "l_linenumber", zinc.decode_zinc(zinc.encode_zinc(kinds.string(text)))["str"].alias("text"))
+
+
+@query("coordinates", "SELECT c_custkey, round(c_acctbal % 90, 6) AS lat, round(c_custkey % 180, 6)::DOUBLE AS lng FROM customer")
+def coordinates(spark, d):
+    """Latitude and longitude, to Zinc and back, with six digits."""
+    c = model.table(spark, d, "customer")
+    v = kinds.value("coord", kinds.coord_text(F.col("c_acctbal") % 90, (F.col("c_custkey") % 180).cast("double")))
+    back = kinds.typed(zinc.decode_zinc(zinc.encode_zinc(v)), "coord")
+    return c.select("c_custkey", F.round(back["lat"], 6).alias("lat"), F.round(back["lng"], 6).alias("lng"))
+
+
+@query("files_compressed", "SELECT 'customer-' || c_custkey AS id, c_name AS dis, c_acctbal AS acctbal FROM customer")
+def files_compressed(spark, d):
+    """A compressed CSV file that begins with a mark of its byte order."""
+    path = f"{shared_path(spark, 'packed')}/town.csv"
+    c = model.table(spark, d, "customer")
+    lines = c.select(F.concat(F.lit("@customer-"), F.col("c_custkey").cast("string"), F.lit(","), "c_name", F.lit(","), F.col("c_acctbal").cast("string")).alias("value"))
+    head = spark.range(1).select(F.lit("\ufeffid,dis,acctbal").alias("value"))
+    head.unionByName(lines).coalesce(1).sortWithinPartitions(F.col("value").startswith("@")).write.option("compression", "gzip").text(path)
+    back = formats.read_csv(spark, path)
+    return back.select("id", F.col("tags")["dis"]["str"].alias("dis"), F.col("tags")["acctbal"]["num"].alias("acctbal"))
+
+
+@query("relational_json", "SELECT 'customer-' || c_custkey AS id, c_name AS dis, round(c_acctbal, 6) AS acctbal, 'nation-' || c_nationkey AS nation FROM customer")
+def relational_json(spark, d):
+    """A table whose rows hold entities as JSON, as a database gives them."""
+    c = model.table(spark, d, "customer")
+    fields = [F.lit('{"id":"r:customer-'), F.col("c_custkey").cast("string"), F.lit('","dis":"s:'), F.col("c_name"), F.lit('","acctbal":"n:'), F.format_string("%.6f", "c_acctbal"), F.lit('","nationRef":"r:nation-'), F.col("c_nationkey").cast("string"), F.lit('"}')]
+    t = formats.entities_from_json(c.select(F.concat(*fields).alias("entity")))
+    return t.select(F.col("tags")["id"]["str"].alias("id"), F.col("tags")["dis"]["str"].alias("dis"), F.col("tags")["acctbal"]["num"].alias("acctbal"), F.col("tags")["nationRef"]["str"].alias("nation"))
+
+
+@query("files_by_blocks", f"WITH {ENTITIES_SQL} SELECT id, dis, acctbal FROM entities WHERE customer OR supplier")
+def files_by_blocks(spark, d):
+    """All entities in one Zinc file, with texts over lines, which is read in many blocks."""
+    path = f"{shared_path(spark, 'large')}/town.zinc"
+    e = model.entities(spark, d).where("customer OR supplier")
+    tags = F.create_map(F.lit("id"), kinds.ref(F.col("id")), F.lit("dis"), kinds.string(F.col("dis")), F.lit("doc"), kinds.value("list", F.concat(F.lit('["s:a, ['), F.col("id"), F.lit('","n:1.000000"]'))), F.lit("acctbal"), kinds.number(F.col("acctbal")))
+    formats.write_grids(e.select("id", F.map_filter(tags, lambda k, v: v.isNotNull()).cast(kinds.TAGS).alias("tags")).coalesce(1), path, "zinc", ["id", "dis", "doc", "acctbal"], with_nested=True)
+    back = formats.read_zinc(spark, path)
+    return back.where(F.col("tags")["doc"]["kind"] == "list").select("id", F.col("tags")["dis"]["str"].alias("dis"), F.col("tags")["acctbal"]["num"].alias("acctbal"))

@@ -58,7 +58,7 @@ class Levels:
         before = self.in_force()
         for level, val, who, duration in rows:
             if level not in self.held or self.held[level][2] <= at:
-                self.held[level] = (val, who, at, None if duration is None or val is None else at + duration * 1_000_000)
+                self.held[level] = (val, who, at, None if duration is None or val is None else at + round(duration * 1_000_000))
         if self.in_force() != before:
             yield at, *self.in_force()
 
@@ -92,7 +92,7 @@ class _PriorityArrays(StatefulProcessor):
         whole = pd.concat(list(rows))
         null = lambda v: None if pd.isna(v) else v
         for at, group in whole.sort_values(["at_us", "seq"], kind="stable").groupby("at_us"):
-            found += levels.write(int(at), [(int(r.level), null(r.val), null(r.who), None if pd.isna(r.duration_s) else int(r.duration_s)) for r in group.itertuples()])
+            found += levels.write(int(at), [(int(r.level), null(r.val), null(r.who), null(r.duration_s)) for r in group.itertuples()])
         self._store(levels, known)
         yield from self._out(key, found)
 
