@@ -924,11 +924,11 @@ def patch_metadata(spark, d):
     return out.select(F.col("id").cast("bigint").alias("id"), F.col("tags")["dis"]["str"].alias("changed"), F.when(F.col("tags")["old"]["kind"] == "remove", "yes").otherwise("no").alias("dropped"))
 
 
-@query("zinc_escapes", "SELECT l_orderkey, l_linenumber, l_shipmode || ' \"' || chr(10) || '\\' || l_linestatus || '$é' AS text FROM lineitem")
+@query("zinc_escapes", "SELECT l_orderkey, l_linenumber, l_returnflag || ' \"' || chr(10) || '\\' || l_linestatus || '$é' AS text FROM lineitem")
 def zinc_escapes(spark, d):
     """Texts with quotes, line ends, backslashes and letters beyond ASCII, to Zinc and back."""
     li = model.table(spark, d, "lineitem")
-    text = F.concat("l_shipmode", F.lit(' "\n\\'), "l_linestatus", F.lit("$é"))
+    text = F.concat("l_returnflag", F.lit(' "\n\\'), "l_linestatus", F.lit("$é"))
     return li.select("l_orderkey", "l_linenumber", zinc.decode_zinc(zinc.encode_zinc(kinds.string(text)))["str"].alias("text"))
 
 
