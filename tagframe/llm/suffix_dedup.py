@@ -89,6 +89,15 @@ def least_of(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _first_least(h: np.ndarray) -> np.ndarray:
+    """How far the first of the least of the SPREAD places from each place on is; in runs, as each looks at SPREAD times its places."""
+    padded, out = np.concatenate((h, np.full(SPREAD, np.iinfo(np.uint64).max, np.uint64))), np.empty(len(h), np.int64)
+    for start in range(0, len(h), 1 << 15):
+        end = min(len(h), start + (1 << 15))
+        out[start:end] = np.lib.stride_tricks.sliding_window_view(padded[start : end + SPREAD - 1], SPREAD).argmin(axis=1)
+    return out
+
+
 def stretches(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """h, c, row, start (from the row's first byte) and windows of all stretches of texts laid out by utf8()."""
     n = len(data)
@@ -320,9 +329,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, windows = asked.field("start").to_numpy(), asked.field("windows").to_numpy().astype(np.int64)
             at, bounds = _ranges(offsets[:-1][of] + start, windows + LENGTH - 1)
             near = data[at]  # the bytes of all stretches, one after the other
-            padded = np.concatenate((head_hashes(near), np.zeros(SPREAD, np.uint64)))
             each, ends = _ranges(bounds[:-1], windows)  # where each window begins there
-            first = each + np.lib.stride_tricks.sliding_window_view(padded, SPREAD).argmin(axis=1)[each]
+            first = each + _first_least(head_hashes(near))[each]
             fresh = np.ones(len(each), bool)
             np.not_equal(first[1:], first[:-1], out=fresh[1:])
             fresh[ends[:-1]] = True
