@@ -234,11 +234,22 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(size), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
+def _decoded(files: list[bytes]) -> list[tuple[np.ndarray | None, str | None]]:
+    """The frames of each file; of one that cannot be read, why not."""
+    try:
+        return [(frames, None) for frames in decode_column(files)]
+    except (ValueError, IndexError, struct.error) as e:
+        return [(None, str(e) or type(e).__name__)] if len(files) == 1 else [x for f in files for x in _decoded([f])]
+
+
 def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "media", 1 << 20):
         files = batch["media"].to_pylist()
         ids, n_bytes, rows = batch["doc_id"].to_pylist(), batch["n_bytes"].to_pylist(), []
-        for i, n, media, frames in zip(ids, n_bytes, files, decode_column(files), strict=True):
+        for i, n, media, (frames, reason) in zip(ids, n_bytes, files, _decoded(files), strict=True):
+            if frames is None:
+                rows.append({"doc_id": i, "n_bytes": n, "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "reason": reason})
+                continue
             payload, cuts = frames.tobytes(), shots(frames)
             rows.append(
                 {
@@ -257,9 +268,9 @@ def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _CLIP_ARROW = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())]
-    + [("clips", pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())])))]
+    + [("clips", pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]))), ("reason", pa.string())]
 )
-CLIP_SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, clips array<struct<clip:int,first_frame:int,frames:int,start_s:double,end_s:double>>"
+CLIP_SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, clips array<struct<clip:int,first_frame:int,frames:int,start_s:double,end_s:double>>, reason string"
 
 
 def store_media(docs: DataFrame) -> DataFrame:
@@ -273,7 +284,7 @@ def store_media(docs: DataFrame) -> DataFrame:
 def read_media(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media -> the payload's and file's digests, and the shots as an array of timed clips.
 
-    Rows whose media is null give no row; bytes that are no such AVI file are an error.
+    Rows whose media is null give no row. Bytes that are no such AVI file have no payload and no clips, but a reason.
     """
     return media.select("doc_id", "n_bytes", "media").where("media IS NOT NULL").mapInArrow(_clips, CLIP_SCHEMA)
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hub_join
+from .common import hub_join, saved
 
 #: Urls of one host prefix that one sweep takes before a further one is opened.
 URLS_A_SWEEP = 2_000
@@ -44,6 +44,9 @@ def _top(rule: Column, verdict: Column, size: Column) -> Column:
     return F.struct(rule.alias("rule"), verdict.alias("verdict"), size.alias("size"))
 
 
+NEW = ("host", "path", "rule", "verdict")
+
+
 def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """Adds host, path, rule and verdict to every row of urls.
 
@@ -52,8 +55,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
     unparsable urls have empty host and path, no rule and the default verdict. Repeated rows stay repeated; columns of
     urls that clash with the new names are replaced; empty tables give empty results.
     """
-    keep = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    pages = urls.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    named_as = [c for c in urls.columns if c not in NEW]
+    keep = [f"column {k}" for k in range(len(named_as))]  # the steps' own names are free
+    pages = urls.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(named_as, keep, strict=True)], host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
 
     known = (
         rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
@@ -85,11 +89,13 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
     sweep = Window.partitionBy("prefix", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     met = marks.unionByName(asked).withColumn("top", F.last("top", ignorenulls=True).over(sweep)).where("kind = 1 AND top.rule IS NOT NULL")
     best = met.groupBy("host", "path").agg(F.max_by("top", F.struct(F.col("top.size"), F.length("prefix"))).alias("top"), F.first("urls").alias("urls"))
+    best = saved(best, "judged")  # hub_join reads it three times
     # urls that very many rows have, and rows without a host, are never gathered by their key
     key = F.struct("host", "path").alias("key")
     judged = hub_join(pages.where("host <> ''").select("*", key), best.select(key, "top", "urls"), "key", "urls", "left")
     out = (*keep, "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict"))
-    return judged.select(*out).unionByName(pages.where("host = ''").select(*keep, "host", "path", nothing.alias("rule"), F.lit(default).alias("verdict")))
+    judged = judged.select(*out).unionByName(pages.where("host = ''").select(*keep, "host", "path", nothing.alias("rule"), F.lit(default).alias("verdict")))
+    return judged.toDF(*named_as, *NEW)
 
 
 #: The rules of the registered query: host, path, verdict.

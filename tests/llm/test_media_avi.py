@@ -52,3 +52,12 @@ def test_frames(docs, no_docs):
     assert rows[1].media_sha256 == rows[2].media_sha256
     assert a.timed_clips(a.store_media(docs)).where("end_s <= start_s").count() == 0
     assert a.store_media(docs).count() == docs.count() and a.read_media(a.store_media(no_docs)).count() == 0
+
+
+def test_files_that_cannot_be_read_have_a_reason(spark):
+    good = a.store_media(spark.createDataFrame([(1, "some text " * 50)], "doc_id bigint, text string")).first()
+    rows = [(1, good.n_bytes, good.media), (2, 5, b"no avi"), (3, 5, bytes(good.media[:12])), (4, 5, bytes(good.media).replace(b"\xff\xd8", b"\xff\xd9")), (5, 5, bytes(good.media[:-40]))]
+    out = {r.doc_id: r for r in a.read_media(spark.createDataFrame(rows, "doc_id bigint, n_bytes bigint, media binary")).collect()}
+    assert out[1].reason is None and out[1].payload_sha256 and len(out) == 5
+    assert out[2].reason and out[2].payload_sha256 is None and out[2].clips is None and out[4].reason
+    assert {r.doc_id for r in a.timed_clips(spark.createDataFrame(rows[:2], "doc_id bigint, n_bytes bigint, media binary")).collect()} == {1}

@@ -52,3 +52,11 @@ def test_no_python_in_the_plan(spark):
     df = spark.range(5).select(F.lit("http://a.com/en/").alias("url"))
     plan = u.judge_urls(df, u.rules_table(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_that_clash_stay(spark):
+    names = ["key", "top", "prefix", "urls", "salt", "at", "kind", "sweeps", "column 0", "size"]
+    df = spark.createDataFrame([("http://a.example.com/en/71", *range(10)), (None, *range(10))], ["url", *names]).withColumn("host", F.lit(1))
+    out = u.judge_urls(df, u.rules_table(spark))
+    assert out.columns == ["url", *names, *u.NEW]
+    assert sorted((r.verdict, r.rule or "", *[r[c] for c in names]) for r in out.collect()) == [("allow", "", *range(10)), ("allow", "example.com/en/7", *range(10))]
