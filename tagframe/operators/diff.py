@@ -148,14 +148,16 @@ def same_rows(left: DataFrame, right: DataFrame, tolerance: float = 1e-6) -> Dat
 def merged_sources(rows: DataFrame) -> DataFrame:
     """(source, id, tags) of several sources -> (id, tags, sources): equal tags once, conflicting ones as `tag^source`.
 
-    One shuffle, by id: an id has as many rows as there are sources, and its tags are compared where these meet.
+    One shuffle, by id: tags are grouped by name, and then again by entity, where the rows of an id already are.
     """
-    found = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("source", F.map_entries("tags").alias("entries")))).alias("all"))
+    each = rows.repartition("id").select("id", "source", F.explode_outer(F.map_entries("tags")).alias("e"))
+    having = F.array_sort(F.collect_list(F.when(F.col("e.value").isNotNull(), F.struct("source", F.col("e.value").alias("value")))))
+    tags = each.groupBy("id", F.col("e.key").alias("tag")).agg(having.alias("having"), F.collect_set("source").alias("sources"))
     key = lambda v: F.struct(v.kind.alias("kind"), v.str.alias("str"))
-    tags = F.array_distinct(F.flatten(F.transform("all", lambda s: F.transform(s.entries, lambda e: e.key))))
-    having = lambda t: F.filter(F.transform("all", lambda s: F.struct(s.source.alias("source"), F.get(F.filter(s.entries, lambda e: e.key == t), F.lit(0)).value.alias("value"))), lambda x: x.value.isNotNull())
     entry = lambda name, v: F.struct(name.alias("key"), v.alias("value"))
-    split = lambda t, h: F.when(F.size(F.array_distinct(F.transform(h, lambda x: key(x.value)))) == 1, F.array(entry(t, F.get(h, F.lit(0)).value))).otherwise(F.transform(h, lambda x: entry(F.concat(t, F.lit("^"), x.source), x.value)))
-    kept = found.select("id", F.transform(tags, lambda t: F.struct(t.alias("tag"), having(t).alias("having"))).alias("each"), F.array_distinct(F.transform("all", lambda s: s.source)).alias("sources"))
-    entries = F.flatten(F.transform(F.filter("each", lambda x: F.size(x.having) > 0), lambda x: split(x.tag, x.having)))
-    return kept.select("id", F.map_from_entries(entries).alias("tags"), "sources")
+    tag, first = F.col("tag"), F.get("having", F.lit(0))
+    alike_ = F.forall("having", lambda x: key(x.value).eqNullSafe(key(first.value)))
+    entries = F.when(alike_, F.array(entry(tag, first.value))).otherwise(F.transform("having", lambda x: entry(F.concat(tag, F.lit("^"), x.source), x.value)))
+    found = tags.select("id", "sources", F.when(tag.isNotNull() & (F.size("having") > 0), entries).alias("entries"))
+    out = found.groupBy("id").agg(F.map_from_entries(F.flatten(F.collect_list("entries"))).alias("tags"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+    return out.select("id", F.col("tags").cast(kinds.TAGS).alias("tags"), "sources")
