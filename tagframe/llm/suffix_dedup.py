@@ -89,12 +89,11 @@ def least_of(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _first_least(h: np.ndarray) -> np.ndarray:
-    """How far the first of the least of the SPREAD places from each place on is; in runs, as each looks at SPREAD times its places."""
-    padded, out = np.concatenate((h, np.full(SPREAD, np.iinfo(np.uint64).max, np.uint64))), np.empty(len(h), np.int64)
-    for start in range(0, len(h), 1 << 15):
-        end = min(len(h), start + (1 << 15))
-        out[start:end] = np.lib.stride_tricks.sliding_window_view(padded[start : end + SPREAD - 1], SPREAD).argmin(axis=1)
+def _first_least(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How far the first of the least of the SPREAD places from each of some places on is; in runs, as SPREAD hashes of each are laid out."""
+    view, out = np.lib.stride_tricks.sliding_window_view(np.append(h, np.zeros(SPREAD, np.uint64)), SPREAD), np.empty(len(at), np.int64)
+    for start in range(0, len(at), 1 << 14):
+        out[start : start + (1 << 14)] = view[at[start : start + (1 << 14)]].argmin(axis=1)
     return out
 
 
@@ -330,7 +329,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, bounds = _ranges(offsets[:-1][of] + start, windows + LENGTH - 1)
             near = data[at]  # the bytes of all stretches, one after the other
             each, ends = _ranges(bounds[:-1], windows)  # where each window begins there
-            first = each + _first_least(head_hashes(near))[each]
+            first = each + _first_least(head_hashes(near), each)
             fresh = np.ones(len(each), bool)
             np.not_equal(first[1:], first[:-1], out=fresh[1:])
             fresh[ends[:-1]] = True
@@ -364,29 +363,39 @@ def _common(a: bytes, b: bytes) -> int:
     return low
 
 
+def _common_to_next(keys: pa.Array) -> np.ndarray:
+    """The length of the longest common prefix of each key, but for the last, with the next one."""
+    offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
+    data, sizes = np.frombuffer(keys.buffers()[2] or b"", np.uint8), np.diff(offsets)
+    width = max(1, int(sizes.max()))
+    places = offsets[:-1, None] + np.arange(width)
+    bytes_ = np.append(data, np.zeros(1, np.uint8))[np.minimum(places, len(data))]
+    differ = bytes_[1:] != bytes_[:-1]
+    first = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return np.minimum(first, np.minimum(sizes[1:], sizes[:-1]))
+
+
 def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds to sorted keys the longest common prefix with a neighbour; the first and the last row of a task, whose other neighbour is elsewhere, have their whole length."""
     waiting, before = None, 1 << 30
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch["key"].to_pylist()
-        to_next = [_common(a, b) for a, b in zip(keys, keys[1:], strict=False)]
+        to_next = _common_to_next(batch["key"])
         if waiting is not None:
-            link = _common(waiting["key"][0].as_py(), keys[0])
-            yield _with_reach(waiting, [max(before, link)])
+            link = _common(waiting["key"][0].as_py(), batch["key"][0].as_py())
+            yield _with_reach(waiting, np.array([max(before, link)]))
             before = link
-        reach = [max(a, b) for a, b in zip([before, *to_next], to_next, strict=False)]
         if batch.num_rows > 1:
-            yield _with_reach(batch.slice(0, batch.num_rows - 1), reach)
-            before = to_next[-1]
+            yield _with_reach(batch.slice(0, batch.num_rows - 1), np.maximum(np.append(before, to_next[:-1]), to_next))
+            before = int(to_next[-1])
         waiting = batch.slice(batch.num_rows - 1)
     if waiting is not None:
-        yield _with_reach(waiting, [1 << 30])
+        yield _with_reach(waiting, np.array([1 << 30]))
 
 
-def _with_reach(batch: pa.RecordBatch, reach: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names if c != "key"), pa.array([min(x, 1 << 30) for x in reach], pa.int32())], [*(c for c in batch.schema.names if c != "key"), "reach"])
+def _with_reach(batch: pa.RecordBatch, reach: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names if c != "key"), pa.array(np.minimum(reach, 1 << 30).astype(np.int32))], [*(c for c in batch.schema.names if c != "key"), "reach"])
 
 
 def _pruned(suffixes: DataFrame) -> DataFrame:
@@ -466,8 +475,12 @@ def repeats_removed(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     bounds = sorted(set(docs.select(F.col("doc_id").cast("bigint")).stat.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 and size else []
     doc_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        part = docs if low is None else docs.where(doc_id > int(low))
-        index.add((part if high is None else part.where(doc_id <= int(high))).select("doc_id", "text"), last=high is None)
+        part = docs.select("doc_id", "text")  # the bare column is compared, so that parts of files are skipped
+        if high is None and low is not None:
+            part = part.where((F.col("doc_id") > int(low)) | F.col("doc_id").isNull())
+        elif high is not None:
+            part = part.where(F.col("doc_id") <= int(high)) if low is None else part.where((F.col("doc_id") > int(low)) & (F.col("doc_id") <= int(high)))
+        index.add(part, last=high is None)
     index.close()
     covered = index.found(_GONE).unionByName(settled(docs.select("doc_id", "text"), index.found(_ASKED)))
     spans = covered.groupBy("doc", "t").agg(F.collect_list(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("end"))).alias("spans"))
