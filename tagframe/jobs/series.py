@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import kinds
 from ..functions.ranges import period_lists
+from ..sources.shared import shared_path
 
 
 def read(series: DataFrame, start: Column | str | None = None, end: Column | str | None = None, version: str | None = None, ids: list[str] | DataFrame | None = None) -> DataFrame:
@@ -99,6 +100,23 @@ def newest_first(series: DataFrame) -> DataFrame:
     return series.orderBy("id", "source", F.desc("ts"))
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Sorted rows with their place in that order, from 0: the rows of the parts before, and the place within the part.
+
+    Rows are written once: a part must hold the same rows where it is counted and where its rows get their places, and a
+    second sort may cut its ranges elsewhere.
+    """
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "placed")
+    numbered = rows.withColumn("_n", F.monotonically_increasing_id())
+    numbered.write.parquet(path)
+    part = F.shiftright("_n", 33).alias("_p")
+    stored = spark.read.schema(numbered.schema).parquet(path).withColumn("_p", part)
+    sizes = stored.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # one row a part
+    ahead = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_a"))
+    return stored.join(F.broadcast(ahead), "_p").withColumn("place", F.col("_a") + F.expr("_n & 8589934591")).drop("_p", "_n", "_a")
+
+
 #: The store's column for each kind.
 STORE_TYPES = {"str": "VARCHAR", "uri": "VARCHAR", "bin": "VARCHAR", "ref": "VARCHAR", "coord": "VARCHAR", "xstr": "VARCHAR", "number": "DOUBLE", "bool": "BOOLEAN", "marker": "BOOLEAN", "na": "BOOLEAN", "remove": "BOOLEAN", "null": "BOOLEAN", "date": "BIGINT", "time": "BIGINT", "datetime": "BIGINT"}
 _ORDINAL = 719163  # days from 0001-01-01, counted as 1, to 1970-01-01

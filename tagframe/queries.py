@@ -498,12 +498,7 @@ def series_sources(spark, d):
     """All points with their place in the order for display."""
     s = model.series(spark, d)
     rows = ts.newest_first(ts.from_sources(even=s.where("event_id % 2 = 0"), odd=s.where("event_id % 2 = 1"))).select("id", "event_id", "source")
-    # a number that only the order of the rows gives: those of the parts before, and the place within the part
-    placed = rows.withColumn("_n", F.monotonically_increasing_id())
-    part, within = F.shiftright("_n", 33), F.expr("_n & 8589934591")
-    sizes = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))
-    ahead = sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_a"))  # one row a part
-    return placed.withColumn("_p", part).join(ahead, "_p").select("id", "event_id", "source", (F.col("_a") + within).alias("place"))
+    return ts.placed(rows).select("id", "event_id", "source", "place")
 
 
 @query(

@@ -163,3 +163,16 @@ def test_snapshot_times_few_or_many(spark, monkeypatch):
 def test_purge_keeps_rows_without_tenant(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "customer_id string")
     assert {r.customer_id for r in ver.purged(df, "a").collect()} == {"b", None}
+
+
+def test_places_of_sorted_rows_in_several_parts(spark):
+    from tagframe import queries
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many parts as there are ranges
+    try:
+        rows = queries.QUERIES["series_sources"](spark, "/root/testdata/sf0.01").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    at = {r.event_id: r.ts for r in spark.read.parquet("/root/testdata/sf0.01/events.parquet").collect()}
+    newest = sorted(sorted(rows, key=lambda r: at[r.event_id], reverse=True), key=lambda r: (r.id, r.source))
+    assert len(rows) == len(at) and [r.place for r in newest] == list(range(len(rows)))
