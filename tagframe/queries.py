@@ -691,15 +691,27 @@ def _stream(spark, d):
     return e.select(F.concat(F.lit("point-"), F.col("user_id").cast("string")).alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("val"))
 
 
-def _ran(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what is there now, into a table that keeps every row given out."""
+def _ran(df: DataFrame, name: str, mode: str, feeds: tuple = (lambda: None,)) -> DataFrame:
+    """Runs a stream over what is there now, into a table that keeps every row given out; with feeds, anew after each of them."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     store = lambda batch, n: batch.write.mode("append").parquet(f"{path}/rows")
-    q = df.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    for k, feed in enumerate(feeds, 1):
+        feed()
+        # what ends between two feeds is found with the next one's rows
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(k == len(feeds)).lower())
+        q = df.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     return spark.read.schema(df.schema).parquet(f"{path}/rows")
 
 
+def _fed(path: str, rows: DataFrame, each: list) -> tuple:
+    """A new folder for a stream, and what adds to it the rows of each condition in turn, as many files as there are tasks."""
+    rows.sparkSession.createDataFrame([], rows.schema).write.parquet(path)
+    columns = [c for c in rows.columns if c != "batch"]
+    return tuple(lambda k=k: rows.where(k).select(*columns).write.mode("append").parquet(path) for k in each)
+
+
 @query("stream_his_write", "SELECT 'point-' || user_id AS id, epoch_us(ts) AS ts, arg_max(value, value) AS val FROM events GROUP BY user_id, ts")
 def stream_his_write(spark, d):
     return _ran(live.his_write(_stream(spark, d), "3650 days"), "his", "append").select("id", us("ts"), "val")
@@ -717,12 +729,12 @@ def stream_watch(spark, d):
     """Only what changed since the batch before, in four batches."""
     path = shared_path(spark, "watched")
     e = model.table(spark, d, "events")
-    for batch in range(4):
-        e.where(F.col("event_id") % 4 == batch).select(F.concat(F.lit("point-"), F.col("user_id").cast("string")).alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") / 25).alias("val")).coalesce(1).write.mode("append").parquet(path)
+    rows = e.select(F.concat(F.lit("point-"), F.col("user_id").cast("string")).alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") / 25).alias("val"), (F.col("event_id") % 4).alias("batch"))
+    feeds = _fed(path, rows, [F.col("batch") == k for k in range(4)])
     c = model.table(spark, d, "customer")
     subs = c.select(F.concat(F.lit("w"), (F.col("c_custkey") % 2).cast("string")).alias("watch"), F.concat(F.lit("point-"), F.col("c_custkey").cast("string")).alias("id"), F.lit(1e9).alias("lease_s"))
-    points = spark.readStream.schema("id string, ts timestamp, val double").option("maxFilesPerTrigger", 1).parquet(path)
-    return _ran(live.watch(points, subs, delay="3650 days"), "watch", "update").select("watch", "id", us("ts"), "val")
+    points = spark.readStream.schema("id string, ts timestamp, val double").parquet(path)
+    return _ran(live.watch(points, subs, delay="3650 days"), "watch", "update", feeds).select("watch", "id", us("ts"), "val")
 
 
 # what is changed in place, and what else has no query above
@@ -832,12 +844,14 @@ def zone_of_offset(spark, d):
     return named.select("o_orderkey", "given", offset(F.col("tz_full")).alias("found"))
 
 
-def _dealt(path: str, rows: DataFrame, time: str, like: DataFrame) -> None:
-    """Writes rows as four files, by the quarters of the days of `like`, for a stream that reads them one after the other."""
+def _dealt(path: str, rows: DataFrame, time: str, like: DataFrame) -> tuple:
+    """Rows in four batches, by the quarters of the days of `like`, as feeds of a stream that reads one after the other."""
+    spark = rows.sparkSession
     days = like.select(F.to_date(time if time in like.columns else "ts").alias("day")).distinct()  # one row for each day
     days = days.withColumn("batch", F.ntile(4).over(Window.orderBy("day")))
-    for batch in range(1, 5):
-        rows.withColumn("day", F.to_date(time)).join(days.where(F.col("batch") == batch), "day", "left_semi").drop("day").coalesce(1).write.mode("append").parquet(path)
+    dealt = rows.withColumn("day", F.to_date(time)).join(F.broadcast(days), "day").drop("day")
+    dealt.write.partitionBy("batch").parquet(f"{path}-all")  # made once, for all batches
+    return _fed(path, spark.read.schema(dealt.schema).parquet(f"{path}-all"), [F.col("batch") == k for k in range(1, 5)])
 
 
 @query(
@@ -857,9 +871,9 @@ def stream_point_levels(spark, d):
     e = model.table(spark, d, "events")
     e = e.withColumn("_n", F.row_number().over(Window.partitionBy("user_id", "ts").orderBy("event_id"))).where("_n = 1")
     writes = e.select(F.concat(F.lit("point-"), F.col("user_id").cast("string")).alias("id"), (F.col("event_id") % 3 + 1).cast("int").alias("level"), F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("val"), F.lit("u").alias("who"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_id") % 2 == 0, 3600 * (1 + F.col("event_id") % 40) + F.lit(1e-6)).alias("duration_s"))
-    _dealt(path, writes, "at", writes)
-    stream = spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return _ran(state.priority_arrays(stream), "levels", "append").select("id", us("at"), "level", "val")
+    feeds = _dealt(path, writes, "at", writes)
+    stream = spark.readStream.schema(writes.schema).parquet(path)
+    return _ran(state.priority_arrays(stream), "levels", "append", feeds).select("id", us("at"), "level", "val")
 
 
 @query(
@@ -882,10 +896,10 @@ def stream_watch_leases(spark, d):
     event = lambda rows, kind, when: rows.select(name.alias("id"), when.alias("at"), F.lit(kind).alias("kind"), F.concat(F.lit("w"), (F.col("user_id") % 3).cast("string")).alias("watch"), F.lit(864_000.0).alias("lease_s"))
     asked = event(users, "sub", F.timestamp_seconds(F.unix_seconds(at("05")) + F.col("user_id") % 5 * 3600))
     asked = asked.unionByName(event(users.where("user_id % 2 = 0"), "refresh", at("12"))).unionByName(event(users.where("user_id % 7 = 0"), "unsub", at("18")))
-    _dealt(f"{path}/points", points, "ts", points)
-    _dealt(f"{path}/asked", asked, "at", points)
-    read = lambda part, df: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/{part}")
-    return _ran(state.watches(read("points", points), read("asked", asked)), "given", "append").select("watch", "id", us("ts"), "val", "reason")
+    given, told = _dealt(f"{path}/points", points, "ts", points), _dealt(f"{path}/asked", asked, "at", points)
+    feeds = tuple(lambda p=p, a=a: (p(), a()) for p, a in zip(given, told, strict=True))
+    read = lambda part, df: spark.readStream.schema(df.schema).parquet(f"{path}/{part}")
+    return _ran(state.watches(read("points", points), read("asked", asked)), "given", "append", feeds).select("watch", "id", us("ts"), "val", "reason")
 
 
 # readers, kinds and helpers

@@ -1,17 +1,19 @@
 """Watches and point writes as keyed state with timers, in the time of the events.
 
-What a key does with its rows is a plain class that takes steps in the order of time (Watched, Levels); the processors
-keep its fields in state and set timers for the leases and durations that end next. State of these jobs needs the RocksDB
-provider, which with_state() sets for the session.
+What a key does with its rows is a plain class that takes steps in the order of time (Watched, Levels). Keys are dealt to
+buckets: the state of a bucket holds the fields of all its keys as one value, with one timer for the lease or duration that
+ends first among them, as a call for each key, and for each of its ends, costs far more than the steps do. State of these
+jobs needs the RocksDB provider, which with_state() sets for the session.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,9 +25,74 @@ def with_state(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Into how many buckets keys are dealt. A batch reads and writes the whole state of the buckets that it touches.
+BUCKETS = 512
+
+
+def bucket(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
 def _ms(us: int) -> int:
     """The first millisecond that is not before a time in microseconds."""
-    return math.ceil(us / 1000)
+    return -(-us // 1000)
+
+
+def _null(v: object) -> object:
+    return None if v is None or v != v else v
+
+
+class _Bucket(StatefulProcessor):
+    """The keys of a bucket: what each holds, by its id. rows and ended are the steps of a kind of key."""
+
+    order: tuple[str, ...] = ()  # of the rows of a batch
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("held", "held binary, timer bigint")
+
+    def rows(self, held: dict, rows: pd.DataFrame) -> pd.DataFrame | None:
+        """Takes sorted rows; gives out what they make."""
+        raise NotImplementedError
+
+    def ended(self, held: dict, at: int) -> pd.DataFrame | None:
+        """Ends what ends up to a time in microseconds."""
+        raise NotImplementedError
+
+    def due(self, held: dict) -> int | None:
+        """When (in milliseconds) something of a key ends next."""
+        raise NotImplementedError
+
+    def _load(self) -> tuple[dict, int | None]:
+        if not self.state.exists():
+            return {}, None
+        held, timer = self.state.get()
+        return pickle.loads(bytes(held)), _null(timer)
+
+    def _store(self, held: dict, timer: int | None) -> None:
+        due = self.due(held)
+        if due is not None and (timer is None or due < timer):  # an earlier timer than needed does no harm
+            self.handle.registerTimer(due)
+            timer = due
+        self.state.update((pickle.dumps(held), timer))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, timer = self._load()
+        whole = pd.concat(list(rows))
+        out = self.rows(held, whole[whole["at_us"].notna()].sort_values(list(self.order), kind="stable"))
+        self._store(held, timer)
+        if out is not None:
+            yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, _ = self._load()
+        out = self.ended(held, max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000)
+        self._store(held, None)
+        if out is not None:
+            yield out
+
+    def close(self) -> None:
+        pass
 
 
 class Levels:
@@ -66,45 +133,36 @@ class Levels:
 _IN_FORCE = "id string, at timestamp, level int, val double, who string"
 
 
-class _PriorityArrays(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.levels = handle.getMapState("levels", "level int", "val double, who string, at bigint, until bigint")
-
-    def _load(self) -> Levels:
-        return Levels({k[0]: tuple(v) for k, v in self.levels.iterator()})
+class _PriorityArrays(_Bucket):
+    order = ("id", "at_us", "seq")
 
-    def _store(self, levels: Levels, known: dict) -> None:
-        for k, w in levels.held.items():
-            if known.get(k) != w:
-                self.levels.updateValue((k,), w)
-                if w[3] is not None:
-                    self.handle.registerTimer(_ms(w[3]))
+    def _out(self, found: list[tuple]) -> pd.DataFrame | None:
+        if not found:
+            return None
+        id, at, level, val, who = zip(*found, strict=True)
+        return pd.DataFrame({"id": pd.Series(id, dtype=object), "at": pd.to_datetime(pd.Series(at, dtype="int64"), unit="us"), "level": pd.array(level, "Int32"), "val": pd.array(val, "Float64"), "who": pd.Series(who, dtype=object)})
 
-    def _out(self, key: tuple, found: list[tuple]) -> Iterator[pd.DataFrame]:
-        if found:
-            at, level, val, who = zip(*found, strict=True)
-            yield pd.DataFrame({"id": [key[0]] * len(at), "at": pd.to_datetime(pd.Series(at, dtype="int64"), unit="us"), "level": pd.array(level, "Int32"), "val": pd.array(val, "Float64"), "who": pd.Series(who, dtype=object)})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        levels, found = self._load(), []
-        known = dict(levels.held)
-        whole = pd.concat(list(rows))
-        null = lambda v: None if pd.isna(v) else v
-        for at, group in whole.sort_values(["at_us", "seq"], kind="stable").groupby("at_us"):
-            found += levels.write(int(at), [(int(r.level), null(r.val), null(r.who), null(r.duration_s)) for r in group.itertuples()])
-        self._store(levels, known)
-        yield from self._out(key, found)
+    def rows(self, held: dict, rows: pd.DataFrame) -> pd.DataFrame | None:
+        found = []
+        each = zip(*[rows[c].tolist() for c in ("id", "at_us", "level", "val", "who", "duration_s")], strict=True)
+        for id, writes in itertools.groupby(each, key=lambda r: r[0]):
+            levels = Levels(held.get(id))
+            for at, group in itertools.groupby(writes, key=lambda r: r[1]):
+                found += [(id, *f) for f in levels.write(int(at), [(int(r[2]), _null(r[3]), _null(r[4]), _null(r[5])) for r in group])]
+            held[id] = levels.held
+        return self._out(found)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        levels = self._load()
-        known = dict(levels.held)
-        found = list(levels.until(expiredTimerInfo.getExpiryTimeInMs() * 1000, included=True))
-        self._store(levels, known)
-        yield from self._out(key, found)
+    def ended(self, held: dict, at: int) -> pd.DataFrame | None:
+        found = []
+        for id, levels in held.items():
+            now = Levels(levels)
+            found += [(id, *f) for f in now.until(at, included=True)]
+            held[id] = now.held
+        return self._out(found)
 
-    def close(self) -> None:
-        pass
+    def due(self, held: dict) -> int | None:
+        ends = [w[3] for levels in held.values() for w in levels.values() if w[3] is not None]
+        return _ms(min(ends)) if ends else None
 
 
 def priority_arrays(writes: DataFrame, delay: str = "0 seconds") -> DataFrame:
@@ -115,7 +173,7 @@ def priority_arrays(writes: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """
     with_state(writes.sparkSession)
     rows = writes.withColumns({"at_us": F.unix_micros("at"), "seq": F.xxhash64("level", "val", "who")}).withWatermark("at", delay)
-    return rows.groupBy("id").transformWithStateInPandas(_PriorityArrays(), _IN_FORCE, "append", "eventTime")
+    return rows.withColumn("bucket", bucket("id")).groupBy("bucket").transformWithStateInPandas(_PriorityArrays(), _IN_FORCE, "append", "eventTime")
 
 
 class Watched:
@@ -157,45 +215,31 @@ class Watched:
 _GIVEN = "watch string, id string, ts timestamp, val double, reason string"
 
 
-class _Watches(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.value = handle.getValueState("value", "ts bigint, val double")
-        self.watches = handle.getMapState("watches", "watch string", "until bigint, lease bigint, given boolean, val double")
-
-    def _load(self) -> Watched:
-        return Watched(tuple(self.value.get()) if self.value.exists() else None, {k[0]: tuple(v) for k, v in self.watches.iterator()})
-
-    def _store(self, now: Watched, known: dict) -> None:
-        if now.value:
-            self.value.update(now.value)
-        for w in known.keys() - now.watches.keys():
-            self.watches.removeKey((w,))
-        for w, v in now.watches.items():
-            if known.get(w) != v:
-                self.watches.updateValue((w,), v)
-                self.handle.registerTimer(_ms(v[0]) + 1)
+class _Watches(_Bucket):
+    order = ("id", "at_us", "seq", "watch")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now, out = self._load(), []
-        known = dict(now.watches)
-        null = lambda v: None if pd.isna(v) else v
-        for r in pd.concat(list(rows)).sort_values(["at_us", "seq", "watch"], kind="stable").itertuples():
-            out += now.step(int(r.at_us), r.kind, null(r.watch), null(r.val), null(r.lease_s))
-        self._store(now, known)
-        if out:
-            watch, ts, val, reason = zip(*out, strict=True)
-            yield pd.DataFrame({"watch": watch, "id": [key[0]] * len(ts), "ts": pd.to_datetime(pd.Series(ts, dtype="int64"), unit="us"), "val": pd.array(val, "Float64"), "reason": reason})
+    def rows(self, held: dict, rows: pd.DataFrame) -> pd.DataFrame | None:
+        out = []
+        each = zip(*[rows[c].tolist() for c in ("id", "at_us", "kind", "watch", "val", "lease_s")], strict=True)
+        for id, steps in itertools.groupby(each, key=lambda r: r[0]):
+            now = Watched(*held.get(id, ()))
+            for _, at, kind, watch, val, lease_s in steps:
+                out += [(id, *g) for g in now.step(int(at), kind, _null(watch), _null(val), _null(lease_s))]
+            held[id] = (now.value, now.watches)
+        if not out:
+            return None
+        id, watch, ts, val, reason = zip(*out, strict=True)
+        return pd.DataFrame({"watch": watch, "id": pd.Series(id, dtype=object), "ts": pd.to_datetime(pd.Series(ts, dtype="int64"), unit="us"), "val": pd.array(val, "Float64"), "reason": reason})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = self._load()
-        known = dict(now.watches)
-        now.until(expiredTimerInfo.getExpiryTimeInMs() * 1000)
-        self._store(now, known)
-        return iter(())
+    def ended(self, held: dict, at: int) -> None:
+        for id, fields in held.items():
+            now = Watched(*fields)
+            now.until(at)
+            held[id] = (now.value, now.watches)
 
-    def close(self) -> None:
-        pass
+    def due(self, held: dict) -> int | None:
+        ends = [v[0] for _, watches in held.values() for v in watches.values()]
+        return _ms(min(ends)) + 1 if ends else None
 
 
 #: The order of events of one time.
@@ -215,4 +259,4 @@ def watches(points: DataFrame, events: DataFrame, delay: str = "0 seconds") -> D
     e = events.select("id", "at", "kind", "watch", none("double").alias("val"), F.col("lease_s").cast("double").alias("lease_s"))
     seq = F.array_position(F.array(*[F.lit(k) for k in _ORDER]), F.col("kind")).cast("int")
     rows = p.unionByName(e).withColumns({"at_us": F.unix_micros("at"), "seq": seq}).withWatermark("at", delay)
-    return rows.groupBy("id").transformWithStateInPandas(_Watches(), _GIVEN, "append", "eventTime")
+    return rows.withColumn("bucket", bucket("id")).groupBy("bucket").transformWithStateInPandas(_Watches(), _GIVEN, "append", "eventTime")

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tagframe.streaming import state
@@ -83,3 +84,51 @@ def test_watches_subscribe_refresh_expire_and_unsubscribe(spark, tmp_path):
     got = ran(state.watches(points, events), path, "g")
     rows = sorted((r.watch, r.id, int((r.ts - at(spark, 0)).total_seconds()), r.val, r.reason) for r in got)
     assert rows == [("w1", "x", 0, 1.0, "sub"), ("w1", "x", 14, 2.0, "change"), ("w1", "x", 14, 2.0, "refresh"), ("w1", "x", 45, 3.0, "change"), ("w2", "x", 0, 1.0, "sub"), ("w2", "x", 14, 2.0, "change"), ("w3", "y", 46, 1.0, "change")]
+
+
+def test_a_bucket_keeps_its_keys_as_one_value_with_one_timer():
+    class Held:
+        value, updates = None, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value, self.updates = value, self.updates + 1
+
+    class Handle:
+        timers = []
+
+        def getValueState(self, *_):
+            return held
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 10_000
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    held, array = Held(), state._PriorityArrays()
+    array.init(Handle())
+    rows = pd.DataFrame([(f"p{k}", k * 1000, 0, 5, float(k), "u", 1 + k % 3) for k in range(100)], columns=["id", "at_us", "seq", "level", "val", "who", "duration_s"])
+    out = pd.concat(array.handleInputRows((0,), iter([rows[50:], rows[:50]]), Now()))
+    assert sorted(out["id"]) == sorted(rows["id"]) and (held.updates, Handle.timers) == (1, [1000])
+    ended = pd.concat(array.handleExpiredTimer((0,), Now(), Now()))
+    assert len(ended) == 100 and ended["level"].isna().all() and (held.updates, Handle.timers) == (2, [1000])
+
+
+def test_batches_of_a_stream_are_made_by_all_tasks(spark, tmp_path):
+    from tagframe import queries
+
+    days = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") % 8 * 86400)
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("id"), days.alias("ts")).repartition(4)
+    files = lambda: spark.read.parquet(f"{tmp_path}/points").groupBy(F.input_file_name()).count().collect()
+    for k, feed in enumerate(queries._dealt(f"{tmp_path}/points", rows, "ts", rows), 1):
+        feed()
+        assert sum(r["count"] for r in files()) == 1000 * k and len(files()) > k
