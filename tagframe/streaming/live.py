@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..jobs.series import last_per_level
+from .state import bucket
 
 
 def his_write(points: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -19,21 +21,30 @@ def his_write(points: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def _changes(refresh: bool) -> Callable:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held = pickle.loads(bytes(state.get[0])) if state.exists else {}  # (watch, id): (ts, val, end of the lease in ms)
+        now, came, out = state.getCurrentWatermarkMs(), set(), []
+        rows = [] if state.hasTimedOut else list(frames)
+        if rows:
+            new = pd.concat(rows, ignore_index=True)
+            new = new[new["ts"].notna()].sort_values("ts", ascending=False, kind="stable").drop_duplicates(["watch", "id"])
+            us = new["ts"].astype("datetime64[us]").astype("int64")
+            for k, at, last, lease in zip(zip(new["watch"], new["id"], strict=True), us.tolist(), new["val"].tolist(), new["lease_s"].tolist(), strict=True):
+                old = held.get(k)
+                ts, val = (at, last) if old is None or at > old[0] else old[:2]
+                held[k] = (ts, val, int(ts / 1000 + lease * 1000))
+                came.add(k)
+                if refresh or old is None or val != old[1]:
+                    out.append((*k, ts, val))
+        for k in [k for k, v in held.items() if v[2] < now and k not in came]:
+            del held[k]
+        if held:
+            state.update((pickle.dumps(held),))
+            state.setTimeoutTimestamp(max(now + 1, min(v[2] for v in held.values())))
+        elif state.exists:
             state.remove()
-            return
-        old_ts, old_val = state.get if state.exists else (None, None)
-        ts, val, lease = old_ts, old_val, 60.0
-        for f in frames:
-            last = f.loc[f["ts"].idxmax()]
-            lease = float(f["lease_s"].max())
-            at = pd.Timestamp(last["ts"])
-            if ts is None or at > pd.Timestamp(ts):
-                ts, val = at, float(last["val"])
-        state.update((ts, val))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(pd.Timestamp(ts).timestamp() * 1000 + lease * 1000)))
-        if refresh or old_ts is None or val != old_val:
-            yield pd.DataFrame({"watch": [key[0]], "id": [key[1]], "ts": [ts], "val": [val]})
+        if out:
+            watch, id, ts, val = zip(*out, strict=True)
+            yield pd.DataFrame({"watch": watch, "id": id, "ts": pd.to_datetime(pd.Series(ts, dtype="int64"), unit="us"), "val": val})
 
     return run
 
@@ -42,11 +53,11 @@ def watch(points: DataFrame, subscriptions: DataFrame, refresh: bool = False, de
     """For each watch and subscribed id the newest value, given out where it differs from what was given out before.
 
     subscriptions(watch, id, lease_s) is static; a watch's state goes when its lease passes in the points' time without
-    points. refresh gives out every newest value. State holds one value for each (watch, id), and ids are dealt over all
-    tasks.
+    points. refresh gives out every newest value. State holds one value for each (watch, id), in buckets that are dealt over
+    all tasks, as one call for each of them costs far more than the comparison.
     """
     met = points.select("id", "ts", "val").withWatermark("ts", delay).join(subscriptions, "id")
-    return met.groupBy("watch", "id").applyInPandasWithState(_changes(refresh), "watch string, id string, ts timestamp, val double", "ts timestamp, val double", "update", GroupStateTimeout.EventTimeTimeout)
+    return met.withColumn("bucket", bucket("watch", "id")).groupBy("bucket").applyInPandasWithState(_changes(refresh), "watch string, id string, ts timestamp, val double", "held binary", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def point_write_batch(table: Callable[[], DataFrame], store: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
