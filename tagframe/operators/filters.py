@@ -174,7 +174,9 @@ class _Plan:
             else:
                 tags = [t for t in needed if t in self.targets.columns]
                 found = self.targets.select(F.col("id").alias(f"{name}_id"), F.struct(F.lit(True).alias("__there"), *[F.col(f"`{t}`") for t in tags]).alias(name), *[F.col(k).alias(f"{name}_{k}") for k in keys])
-            held = source.cast("string") == F.col(f"{name}_id")
+            # rows without a reference would all go to one task: each gets a key of its own, which is no id's
+            lone = F.xxhash64("id").cast("string") if "id" in self.df.columns else F.lit("")
+            held = F.coalesce(F.concat(F.lit("+"), source.cast("string")), F.concat(F.lit("-"), lone)) == F.concat(F.lit("+"), F.col(f"{name}_id").cast("string"))
             for k in keys:
                 held = held & (F.col(k) == F.col(f"{name}_{k}"))
             self.df = self.df.join(found, held, "left").drop(f"{name}_id", *[f"{name}_{k}" for k in keys])

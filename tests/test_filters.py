@@ -166,3 +166,17 @@ def test_random_filters_against_an_interpreter(spark):
     for text in texts:
         node = lang.parse(text)
         assert {r.id for r in filters.where(df, text).collect()} == {r["id"] for r in rows if interpret(node, r, table)}, text
+
+
+def test_rows_without_a_reference_are_spread_over_tasks(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")
+    for name, value in zip(names, ("-1", "false"), strict=True):
+        spark.conf.set(name, value)
+    try:
+        held = F.concat(F.lit('{"k":"n:'), F.col("id").cast("string"), F.lit('.000000"}'))
+        rows = spark.range(400).select(F.col("id").cast("string").alias("id"), F.create_map(F.lit("props"), kinds.value("dict", held)).cast(kinds.TAGS).alias("tags"))
+        sizes = filters.where(rows, "props->k >= 0").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert sum(r["count"] for r in sizes) == 400 and max(r["count"] for r in sizes) < 200
