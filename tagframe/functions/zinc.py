@@ -103,8 +103,14 @@ def encode_csv(v: Column) -> Column:
 
 def decode_hayson(json: Column) -> Column:
     """JSON text of one value: a bare scalar, an array, an object, or an object with `_kind`."""
+    get = lambda k: F.when(json.contains("_kind"), F.get_json_object(json, f"$.{k}"))
+    fields = F.struct(json.alias("json"), F.lower(get("_kind")).alias("kind"), get("val").alias("val"))
+    return kinds.bound(fields, _hayson)
+
+
+def _hayson(fields: Column) -> Column:
+    json, kind, val = fields["json"], fields["kind"], fields["val"]
     get = lambda k: F.get_json_object(json, f"$.{k}")
-    kind, val = F.lower(get("_kind")), get("val")
     special = F.when(val == "INF", float("inf")).when(val == "-INF", float("-inf")).when(val == "NaN", float("nan"))
     num = F.coalesce(special, val.try_cast("double"))
     encoding = F.lower(get("type"))

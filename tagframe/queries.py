@@ -605,10 +605,13 @@ def graph_site_edges(spark, d):
 # files and streams
 
 
+_PART = 50_000  # entities, or points, of a part of a file
+
+
 def _file_round_trip(name: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         path, tags = shared_path(spark, f"grids-{name}"), ["id", "dis", "customer", "supplier", "nationRef", "acctbal", "mktsegment"]
-        e = model.entities(spark, d).where("customer OR supplier")
+        e = formats.spread(model.entities(spark, d).where("customer OR supplier"), _PART, "id")
         rows = grid.to_tags(filters.of_kind(e.withColumn("key", F.col("id")).withColumn("id", F.col("id")), id="ref"), "key", values={"id": kinds.ref(F.col("id"), F.col("dis"))})
         formats.write_grids(rows, path, name, tags)
         back = formats.READERS[name](spark, path, all_files=True)

@@ -63,7 +63,7 @@ def read_json(spark: SparkSession, path: str, all_files: bool = False, hayson: b
     """Tagged JSON, or Hayson: {meta, cols, rows: [{tag: value}]}. all_files: whatever their suffix, here and below."""
     rows = _texts(spark, path, "hayson" if hayson else "json", all_files)
     parsed = rows.select("file", F.explode(F.from_json("text", "rows ARRAY<MAP<STRING, STRING>>").rows).alias("row"))
-    decode = (lambda k, v: zinc.decode_hayson(_requoted(v))) if hayson else (lambda k, v: kinds.decode_tagged(v))
+    decode = (lambda k, v: kinds.bound(_requoted(v), zinc.decode_hayson)) if hayson else (lambda k, v: kinds.decode_tagged(v))
     return _entities(parsed.select("file", F.transform_values("row", decode).alias("tags")))
 
 
@@ -250,6 +250,21 @@ def write_grids(entities: DataFrame, path: str, name: str, tags: list[str], mode
     _framed(lines(entities, name, tags, with_nested), head, foot, joint).write.mode(mode).text(path)
 
 
+#: Rows of a part, at least, on the average.
+LEAST = 1_000
+
+
+def spread(entities: DataFrame, most: int, *keys: str) -> DataFrame:
+    """Deals entities to parts to be written: four for each core, and more where one would hold over `most` rows.
+
+    Encoding and reading cost far more than a shuffle, and small tables come in one or two tasks. Parts well below a core's
+    share are read as one block each, in one pass, and a part of JSON is held as one row.
+    """
+    n = entities.count()
+    parts = max(4 * entities.sparkSession.sparkContext.defaultParallelism, -(-n // most))
+    return entities.repartition(max(1, min(parts, n // LEAST)), *keys)
+
+
 def write_tables(path: str, entities: DataFrame | None = None, metadata: DataFrame | None = None, series: DataFrame | None = None, mode: str = "overwrite") -> None:
     """The three-table layout as parquet: entities by tenant, metadata, series by day."""
     if entities is not None:

@@ -136,3 +136,19 @@ def test_tables(spark, entities, tmp_path):
     assert formats.read_table(spark, str(tmp_path), "series").where("day = '1970-01-03'").count() == 1
     rows = spark.createDataFrame([("a", '{"id":"r:a","n":"n:1.0","x":null}')], "id string, entity string")
     assert formats.entities_from_json(rows).first().tags.keys() == {"id", "n"}
+
+
+def test_entities_are_spread_over_parts_before_they_are_written(spark, tmp_path):
+    from tagframe import queries
+    from tagframe.sources import formats
+
+    rows = spark.range(8_000).select(F.col("id").cast("string").alias("id")).coalesce(1)
+    assert formats.spread(rows, 50_000, "id").rdd.getNumPartitions() == 8 and formats.spread(rows.limit(10), 50_000, "id").rdd.getNumPartitions() == 1
+    assert formats.spread(rows, 100, "id").rdd.getNumPartitions() == 8  # never under LEAST rows
+    files, made = [], formats.write_grids
+    try:
+        formats.write_grids = lambda entities, path, *more, **named: (made(entities, path, *more, **named), files.append(len(spark.read.text(path, wholetext=True).collect())))
+        back = queries.QUERIES["files_hayson"](spark, "/root/testdata/sf0.1")
+    finally:
+        formats.write_grids = made
+    assert files[0] >= 10 and back.count() == 16_000
