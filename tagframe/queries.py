@@ -631,7 +631,7 @@ def files_nested(spark, d):
     path = f"{shared_path(spark, 'nested')}/town.zinc"
     e = model.table(spark, d, "events")
     row = F.concat(F.lit('{"ts":"t:'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('Z UTC","val":"n:'), F.format_string("%.6f", "value"), F.lit('","pair":["n:'), (F.col("user_id") % 5).cast("string"), F.lit('.000000","s:'), "event_type", F.lit('"]}'))
-    rows = e.groupBy("user_id").agg(F.array_join(F.collect_list(row), ",").alias("rows"))
+    rows = formats.spread(e, _PART, "user_id").groupBy("user_id").agg(F.array_join(F.collect_list(row), ",").alias("rows"))
     text = F.concat(F.lit('{"meta":{"ver":"3.0"},"cols":[{"name":"ts"},{"name":"val"},{"name":"pair"}],"rows":['), "rows", F.lit("]}"))
     name = F.concat(F.lit("point-"), F.col("user_id").cast("string"))
     tags = F.create_map(F.lit("id"), kinds.ref(name), F.lit("history"), kinds.value("grid", text))
