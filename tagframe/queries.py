@@ -658,6 +658,7 @@ def snapshot_import(spark, d):
     tags = ["id", "dis", "acctbal", "nationRef", "regionRef", "mktsegment", *model.MARKERS, "hisURI"]
     uri = F.when(F.col("id").startswith("region-"), F.map_from_arrays(F.array(F.lit("hisURI")), F.array(kinds.value("uri", F.concat(F.lit("his-"), F.regexp_extract("id", r"(\d+)$", 1), F.lit(".csv"))))))
     with_id = lambda df: df.withColumn("tags", F.map_concat("tags", F.create_map(F.lit("id"), kinds.ref(F.col("id"))), F.coalesce(uri, F.create_map().cast(kinds.TAGS))))
+    a, b = formats.spread(a, _PART, "id"), formats.spread(b, _PART, "id")
     formats.write_grids(with_id(a), f"{path}/town-2024-01-01.zinc", "zinc", tags)
     formats.write_grids(with_id(b), f"{path}/town-2024-02-01.hayson.json", "hayson", tags)
     e = model.table(spark, d, "events").withColumn("u", F.col("user_id") % 5)
