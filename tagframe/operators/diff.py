@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import kinds
 from .grid import tag_hash
-from .matching import left_over
+from .matching import unmatched
 
 GONE = "remove_"
 
@@ -134,15 +134,7 @@ def same_rows(left: DataFrame, right: DataFrame, tolerance: float = 1e-6) -> Dat
     a, b = plain(left), plain(right)
     if not fractions:
         return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
-    row, one = F.struct(*right.columns).alias("row"), F.lit(1).cast("bigint")
-    both = a.select(row, one.alias("l"), (one - 1).alias("r")).unionByName(b.select(row, (one - 1).alias("l"), one.alias("r")))
-    each = both.groupBy("row").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    x = [F.col(f"row.{c}").cast("double") for c in fractions]
-    special = [F.when(v.isNull(), "null").when(F.isnan(v) | (F.abs(v) == float("inf")), v.cast("string")) for v in x]
-    key = F.md5(F.to_json(F.struct(*[F.col(f"row.{c}").alias(f"k{k}") for k, c in enumerate(right.columns) if c not in fractions], *[s.alias(f"s{k}") for k, s in enumerate(special)])))
-    rows = each.select(key.alias("g"), *[F.when(s.isNull(), v).otherwise(0.0).alias(f"x{k}") for k, (s, v) in enumerate(zip(special, x, strict=True))], "l", "r", "row")
-    found = left_over(rows, len(fractions), tolerance).select("row", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("l").alias("n")), F.struct(F.lit("right").alias("side"), F.col("r").alias("n")))).alias("s"))
-    return found.where("s.n > 0").select("row.*", "s.side", F.explode(F.sequence(F.lit(1), F.col("s.n").cast("int"))).alias("_")).drop("_")
+    return unmatched(a, b, fractions, tolerance)
 
 
 def merged_sources(rows: DataFrame) -> DataFrame:

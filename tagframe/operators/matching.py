@@ -1,6 +1,10 @@
 """Maximum matching of rows of two sides whose fractions differ by no more than a tolerance.
 
-Rows fall into groups that no match can leave: rows of one key, sorted by one fraction, are cut wherever two neighbours are
+Fractions are cut into cells, and one grouping by the other columns and the cells settles most of them: those where no row
+is near a border, so that none has a partner elsewhere, and each side has one value, or all are near each other and as many
+on both sides. The rows of the other cells are a smaller matching of their own.
+
+These fall into groups that no match can leave: rows of one key, sorted by one fraction, are cut wherever two neighbours are
 further apart than the tolerance, and so on with the next fraction. The cuts come from one range sort for each fraction;
 what a task cannot know, whether its first row goes on with the last group of the task before, is settled by one
 row for each task. A group of one fraction is matched by a sweep, one of several by augmenting paths.
@@ -11,15 +15,22 @@ from __future__ import annotations
 import itertools
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import shared_path
 
+#: Tolerances a side of a cell; no round number, as round values would gather at the borders.
+CELL = 618.0339887498949
+#: In cells of higher numbers, a double says too little about how far a value is from the border.
+FAR = 2.0**43
+
 
 def _cut(tolerance: float):
     """Numbers the runs of a sorted task: rows (g, x, ...) gain task, run, and whether the run is the task's first."""
@@ -212,3 +223,88 @@ def left_over(rows: DataFrame, fractions: int, tolerance: float) -> DataFrame:
         rows = grouped(rows.withColumn("x", F.col(f"x{k}")), tolerance).drop("x")
     kinds = rows.select("l", "r", "row").schema
     return rows.repartition("g").sortWithinPartitions("g", "x0").mapInArrow(_left_over(fractions, tolerance), kinds)
+
+
+def _special(v: Column) -> Column:
+    """What a fraction is if it is not finite."""
+    return F.when(v.isNull(), "null").when(F.isnan(v) | (F.abs(v) == float("inf")), v.cast("string"))
+
+
+def _placed(df: DataFrame, plain: list[str], fractions: list[str], tolerance: float, left: int) -> DataFrame:
+    """(row, k0, ..., f0, ..., s0, ..., c0, ..., near, l, r) of one side: other columns, fractions, what is not finite, cells.
+
+    Lists, maps and structs are compared as JSON. near: another row within the tolerance may be in another cell.
+    """
+    width = CELL * tolerance if tolerance > 0 else 1.0
+    margin = 2 * max(tolerance, 0.0) / width
+    nested = lambda c: isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))
+    keys = [(F.to_json(F.struct(c)) if nested(c) else F.col(c)).alias(f"k{i}") for i, c in enumerate(plain)]
+    x = [F.col(c).cast("double") for c in fractions]
+    out = df.select(F.struct(*df.columns).alias("row"), *keys, *[F.col(c).alias(f"f{i}") for i, c in enumerate(fractions)], *[_special(v).alias(f"s{i}") for i, v in enumerate(x)])
+    near = F.lit(False)
+    for i in range(len(fractions)):
+        at = F.when(F.col(f"s{i}").isNull(), F.col(f"f{i}").cast("double") / width).otherwise(0.5)
+        off = at - F.floor(at)
+        near = near | (F.col(f"s{i}").isNull() & ((F.abs(at) > FAR) | (off < margin) | (off > 1 - margin)))
+        out = out.withColumn(f"c{i}", F.floor(at))
+    return out.select("*", near.alias("near"), F.lit(left).cast("bigint").alias("l"), F.lit(1 - left).cast("bigint").alias("r"))
+
+
+def _cells(each: DataFrame, by: list[str], fractions: int, whole: bool, tolerance: float) -> DataFrame:
+    """(by, near, l, r, left0, ..., right0, ..., close, whole) of cells that are not settled without a rest.
+
+    l and r count the rows of both sides. close: all rows are within the tolerance of each other. whole: the rows of a side
+    are one row, whose fractions are left0, ... or right0, ...
+    """
+    sides, named = (("left", "l"), ("right", "r")), range(fractions)
+    values = [f(F.when(F.col(n) > 0, F.col(f"f{i}"))).alias(f"{side}{to}{i}") for i in named for side, n in sides for f, to in ((F.min, ""), (F.max, "_to"))]
+    cells = each.groupBy(*by).agg(F.max("near").alias("near"), F.sum("l").alias("l"), F.sum("r").alias("r"), *values)
+    spread = [F.greatest(f"left_to{i}", f"right_to{i}").cast("double") - F.least(f"left{i}", f"right{i}").cast("double") for i in named]
+    close = reduce(and_, [F.col(f"s{i}").isNotNull() | (v <= max(tolerance, 0.0)) for i, v in enumerate(spread)])
+    one = reduce(and_, [F.col(f"{side}{i}").eqNullSafe(F.col(f"{side}_to{i}")) for i in named for side, _ in sides], F.lit(whole))
+    out = cells.select("*", close.alias("close"), one.alias("whole")).drop(*[f"{side}_to{i}" for i in named for side, _ in sides])
+    return out.where(F.col("near") | (F.col("l") != F.col("r")) | ~F.col("close"))
+
+
+def unmatched(a: DataFrame, b: DataFrame, fractions: list[str], tolerance: float) -> DataFrame:
+    """(columns, side): what a maximum matching of two tables of the same columns leaves of both.
+
+    Cells with a rest are written once. They keep their rows with them if each side has one, and no column is nested; only
+    rows of the others are read again.
+    """
+    spark, columns = a.sparkSession, b.columns
+    plain = [c for c in columns if c not in fractions]
+    each = _placed(a, plain, fractions, tolerance, 1).unionByName(_placed(b, plain, fractions, tolerance, 0))
+    by = [*[f"k{i}" for i in range(len(plain))], *[f"{c}{i}" for c in "sc" for i in range(len(fractions))]]
+    kept = all(each.schema[f"k{i}"].dataType == each.schema["row"].dataType[c].dataType for i, c in enumerate(plain))
+    found, path = _cells(each, by, len(fractions), kept, tolerance), shared_path(spark, "cells")
+    found.write.parquet(path)
+    cells = spark.read.schema(found.schema).parquet(path)
+    kinds = {(r.near, r.whole) for r in cells.select("near", "whole").distinct().collect()}
+
+    def sided(df: DataFrame, left: Column, right: Column) -> DataFrame:
+        """(row, side, n) of cells that keep their rows with them."""
+        row = lambda side: F.struct(*[F.col(f"{side}{fractions.index(c)}" if c in fractions else f"k{plain.index(c)}").alias(c) for c in columns]).alias("row")
+        of = lambda side, n: F.struct(row(side), F.lit(side).alias("side"), n.alias("n"))
+        return df.select(F.explode(F.array(of("left", left), of("right", right))).alias("e")).select("e.*").where("n > 0")
+
+    met = F.when(F.col("close"), F.least("l", "r")).otherwise(0)
+    none = each.where(F.lit(False)).select("row", F.lit("left").alias("side"), F.col("l").alias("n"))
+    out = sided(cells.where(F.col("whole") & ~F.col("near")), F.col("l") - met, F.col("r") - met) if kept else none
+    rest = []
+    if (True, True) in kinds:
+        n = lambda side: F.when(F.col("side") == side, F.col("n")).otherwise(0)
+        rest.append(sided(cells.where(F.col("whole") & F.col("near")), F.col("l"), F.col("r")).select("row", n("left").alias("l"), n("right").alias("r")))
+    if not all(one for _, one in kinds):
+        several = cells.where(~F.col("whole")).select(*[F.col(c).alias(f"in_{c}") for c in by])
+        rest.append(each.join(several, reduce(and_, [F.col(c).eqNullSafe(F.col(f"in_{c}")) for c in by]), "left_semi").select("row", "l", "r"))
+    if rest:
+        found = reduce(DataFrame.unionByName, rest).groupBy("row").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+        x = [F.col(f"row.{c}").cast("double") for c in fractions]
+        special = [_special(v) for v in x]
+        text = [F.col(f"row.{c}").cast("string") if isinstance(b.schema[c].dataType, T.TimestampNTZType) else F.col(f"row.{c}") for c in plain]
+        key = F.md5(F.to_json(F.struct(*[v.alias(f"k{i}") for i, v in enumerate(text)], *[v.alias(f"s{i}") for i, v in enumerate(special)])))
+        rows = found.select(key.alias("g"), *[F.when(s.isNull(), v).otherwise(0.0).alias(f"x{i}") for i, (s, v) in enumerate(zip(special, x, strict=True))], "l", "r", "row")
+        each_side = F.array(*[F.struct(F.lit(side).alias("side"), F.col(n).alias("n")) for side, n in (("left", "l"), ("right", "r"))])
+        out = out.unionByName(left_over(rows, len(fractions), tolerance).select("row", F.explode(each_side).alias("s")).select("row", "s.*").where("n > 0"))
+    return out.select("row.*", "side", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_")).drop("_")

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tagframe.functions import kinds
-from tagframe.operators import diff, graph, grid
+from tagframe.operators import diff, graph, grid, matching
 
 
 def table(spark, rows):
@@ -133,6 +133,44 @@ def test_runs_go_on_over_the_limits_of_tasks(spark):
     assert diff.same_rows(left, left.union(left), 0.0).count() == n + 1
 
 
+def test_rows_with_a_cell_of_their_own_are_not_sorted(spark, monkeypatch):
+    """Pairs and lone rows are settled by the grouping; only the few near a border are sorted and go to Python."""
+    sorted_, grouped, n = [], matching.grouped, 20_000
+    monkeypatch.setattr(matching, "grouped", lambda rows, tolerance: sorted_.append(rows.count()) or grouped(rows, tolerance))
+    left = spark.range(n).select("id", (F.col("id") / 100).alias("x"))
+    right = left.where("id % 7 <> 3").withColumn("x", F.when(F.col("id") % 7 == 2, F.col("x") + 0.01).otherwise(F.col("x") + 5e-7))
+    got = {r.side: r["count"] for r in diff.same_rows(left, right).groupBy("side").count().collect()}
+    twos, threes = sum(k % 7 == 2 for k in range(n)), sum(k % 7 == 3 for k in range(n))
+    assert got == {"left": twos + threes, "right": twos}
+    assert sum(sorted_) < n / 50
+
+
+def test_cells_lose_no_partner(spark):
+    """Values at the borders of cells, far out, not finite and in copies, and as many partners as there can be."""
+    rnd, side = random.Random(3), matching.CELL
+    places = [k * side + d for k in (-3, 0, 1, 700) for d in (-1.2, -0.7, -0.1, 0.0, 0.2, 0.9, 1.6, 300.0, 300.9)] + [2.0**52, 2.0**52 + 1, 1e300, -1e300, -0.0, None, float("nan"), float("inf"), float("-inf")]
+    rows = lambda n: [(rnd.choice(["a", None]), rnd.choice(places)) for _ in range(n)]
+    left, right = rows(150), rows(140)
+    frame = lambda t: spark.createDataFrame(t, "k string, x double")
+    got = diff.same_rows(frame(left), frame(right), 1.0).collect()
+    plain = lambda t: [tuple("nan" if x != x else str(x) if x in (float("inf"), float("-inf")) else x for x in r) for r in t]
+    assert tuple(sum(r.side == s for r in got) for s in ("left", "right")) == unmatched(plain(left), plain(right), 1.0)
+    for s, t in (("left", left), ("right", right)):
+        found = [str((r.k, r.x + 0.0 if r.x is not None else None)) for r in got if r.side == s]
+        given = [str((k, x + 0.0 if x is not None else None)) for k, x in t]
+        assert all(found.count(v) <= given.count(v) for v in found)
+
+
+def test_cells_keep_the_types_of_rows(spark):
+    """Lists beside decimals, floats and times without zone; rows come back as they were."""
+    table = lambda t: spark.createDataFrame(t, "tags string, n string, f string, at string").selectExpr("split(tags, ' ') tags", "cast(n as decimal(20,8)) n", "cast(f as float) f", "cast(at as timestamp_ntz) at")
+    left = table([("a b", "1.0", "0.5", "2020-01-01 00:00:00.000001"), ("a b", "1.0", "0.5", "2020-01-01 00:00:00.000002"), ("c", "7.0", None, None), ("c", "7.0", None, None)])
+    right = table([("a b", "1.0000005", "0.5", "2020-01-01 00:00:00.000001"), ("c", "7.0000005", None, None), ("c", "8.0", None, None)])
+    got = diff.same_rows(left, right)
+    assert got.columns == [*right.columns, "side"] and [got.schema[c].dataType.simpleString() for c in right.columns] == [f.dataType.simpleString() for f in right.schema]
+    assert sorted((r.side, r.tags, float(r.n), r.f, r["at"] and r["at"].microsecond) for r in got.collect()) == [("left", ["a", "b"], 1.0, 0.5, 2), ("left", ["c"], 7.0, None, None), ("right", ["c"], 8.0, None, None)]
+
+
 def test_nested_values_are_alike(spark):
     one = lambda kind, text: spark.range(1).select(F.lit("i").alias("id"), F.create_map(F.lit("t"), kinds.value(kind, F.lit(text)).cast(kinds.TAG_VALUE)).alias("tags"))
     same = [('["n:1.000000 kW","s:a"]', '["n:1.0000005 kW","s:a"]'), ('{"a":{"b":["n:1.000000"]},"t":"t:2020-01-01T00:00:00.100000Z UTC"}', '{"a":{"b":["n:0.9999995"]},"t":"t:2020-01-01T00:00:00.900000Z UTC"}'), ('["c:1.000000,2.000000"]', '["c:1.000001,2.000000"]'), ("[]", "[]")]
