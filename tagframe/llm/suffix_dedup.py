@@ -5,8 +5,10 @@ places. Neighbouring windows with one head are a stretch. A suffix array here is
 at heads, ordered by the hash of the head, each with a hash of its stretch, its document and its place. New documents
 come in batches. A batch gets such an array, which is scanned together with those of the levels before it: of equal
 stretches the one with the least document stays in the index, and the others are known to be covered. Where one head has
-different stretches, a long match may still reach into them, so these few are asked for. Levels of equal size merge, so
-an entry is merged as often as the number of batches has binary digits.
+different stretches, a long match may still reach into them. A window holds its head and the SIDE bytes to one side of it,
+so only stretches that have these on one side in common with another one are asked for. Levels of equal size merge, so an
+entry is merged as often as the number of batches has binary digits. Arrays are scanned part by part, so that only a part
+of them is shuffled at a time.
 
 What was asked for is looked up in the texts and settled exactly: these suffixes are sorted by their bytes, the longest
 common prefixes with the neighbours say which windows can match at all (the same to the left), and windows that are left
@@ -32,12 +34,16 @@ from .common import BASE, UNDO, free_name, mixed, powers, shared_dir, slices, ta
 LENGTH, HEAD = 50, 16
 #: Positions of a head in a window; also the most windows of a stretch.
 SPREAD = LENGTH - HEAD + 1
+#: Bytes on one side of a head at least, in every window.
+SIDE = (LENGTH - HEAD) // 2
 #: Bytes of text whose entries make up a bucket of an array: they bound what one task holds.
 BUCKET = 4 << 20
 #: Entries that a task gathers before it sorts them, and the different stretches of one head among these beyond which
 #: they are asked for at once instead of going into a bucket. They change speed alone.
 ENTRIES, CONTEXTS = 1 << 17, 32
 BATCHES = 4
+#: Parts that the buckets are dealt to, one after the other, and the least buckets of one.
+PARTS, LEAST = 8, 16
 NEW = ("n_bytes", "n_removed", "n_spans", "kept")
 #: Stands for a null doc_id: it comes last.
 LAST = (1 << 63) - 1
@@ -45,8 +51,9 @@ LAST = (1 << 63) - 1
 _ENTRY, _GONE, _ASKED = 0, 1, 2
 _OUT = "kind int, bucket int, entries binary, doc bigint, t int, start bigint, windows int"
 #: Fields of an entry and their bytes. In `windows`, bit 7 says that the head has very many stretches elsewhere, and bit 6
-#: that the entry has been asked for.
-_FIELDS = (("h", 6), ("c", 6), ("doc", 8), ("t", 3), ("start", 4), ("windows", 1))
+#: that the entry has been asked for. `l` and `r` are hashes of the head with the SIDE bytes before and behind it (0: the
+#: stretch has fewer there; both 0: the head comes again in the stretch, so its windows have it at several places).
+_FIELDS = (("h", 6), ("c", 6), ("l", 3), ("r", 3), ("doc", 8), ("t", 3), ("start", 4), ("windows", 1))
 _SIZE = sum(w for _, w in _FIELDS)
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 
@@ -56,13 +63,21 @@ def _powers(base: int, size: int) -> np.ndarray:
     return powers(np.uint64(base), size)
 
 
-def _range_hashes(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A hash of each of some ranges of bytes, from one running sum."""
-    n = len(data)
-    size = 1 << max(16, n.bit_length())  # few different ones, so that their powers are made once
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(int(BASE), size)[:n], out=run[1:])
-    return mixed((run[begin + sizes] - run[begin]) * _powers(int(UNDO), size)[begin] + sizes.astype(np.uint64))
+def _running(data: np.ndarray) -> np.ndarray:
+    """The running sum that hashes of ranges are cut out of."""
+    run = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _powers(int(BASE), _size(len(data)))[: len(data)], out=run[1:])
+    return run
+
+
+def _size(n: int) -> int:
+    return 1 << max(16, n.bit_length())  # few different ones, so that their powers are made once
+
+
+def _range_hashes(run: np.ndarray, begin: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+    """A hash of each of some ranges of bytes, from their running sum."""
+    undo = _powers(int(UNDO), _size(len(run) - 1))[begin]
+    return mixed((run[begin + sizes] - run[begin]) * undo + np.asarray(sizes).astype(np.uint64))
 
 
 def head_hashes(data: np.ndarray) -> np.ndarray:
@@ -98,9 +113,10 @@ def _first_least(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """h, c, row, start (from the row's first byte) and windows of all stretches of texts laid out by utf8()."""
+    """h, c, l, r, row, start (from the row's first byte) and windows of all stretches of texts laid out by utf8()."""
     n = len(data)
-    least = least_of(head_hashes(data))
+    hashes = head_hashes(data)
+    least = least_of(hashes)
     fresh = np.ones(n, bool)
     np.not_equal(least[1:], least[:-1], out=fresh[1:])
     fresh[offsets[:-1][offsets[:-1] < n]] = True
@@ -111,12 +127,19 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     pieces = -(-windows // SPREAD)  # stretches of repeated heads are cut
     at = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SPREAD
     begin, row, windows = np.repeat(begin, pieces) + at, np.repeat(row, pieces), np.minimum(np.repeat(windows, pieces) - at, SPREAD)
-    c = _range_hashes(data, begin, windows + LENGTH - 1)
-    return {"h": least[begin], "c": c, "row": row, "start": begin - offsets[row], "windows": windows}
+    run, sizes = _running(data), windows + LENGTH - 1
+    at = _first_least(hashes, begin)
+    once = at == _first_least(hashes, begin + windows - 1) + windows - 1
+    before, behind = once & (at >= SIDE), once & (at + HEAD + SIDE <= sizes)
+    l, r = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.uint64)
+    for out, which, places in ((l, before, begin + at - SIDE), (r, behind, begin + at)):
+        out[which] = np.maximum(_range_hashes(run, places[which], HEAD + SIDE) >> np.uint64(40), np.uint64(1))
+    return {"h": least[begin], "c": _range_hashes(run, begin, sizes), "l": l, "r": r, "row": row, "start": begin - offsets[row], "windows": windows}
 
 
 def pack(e: dict[str, np.ndarray]) -> bytes:
-    """Entries as bytes, place by place, so that places which are mostly zero take no room once compressed."""
+    """Entries as bytes, place by place, so that places which are mostly zero take no room once compressed; of h, the steps from one to the next."""
+    e = {**e, "h": np.diff(e["h"], prepend=np.uint64(0))}
     return b"".join(np.ascontiguousarray(e[name].astype(np.int64 if name == "doc" else np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes() for name, width in _FIELDS)
 
 
@@ -129,6 +152,8 @@ def unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
         for name, width in _FIELDS:
             out[name][done : done + n, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T
             at += n * width
+        h = out["h"][done : done + n].view(np.uint64)
+        np.bitwise_and(np.cumsum(h, axis=0), np.uint64((1 << 48) - 1), out=h)
         done += n
     return {name: a.view(np.int64 if name == "doc" else np.uint64).ravel() for name, a in out.items()}
 
@@ -137,8 +162,8 @@ def _taken(e: dict[str, np.ndarray], which: np.ndarray) -> dict[str, np.ndarray]
     return {k: v[which] for k, v in e.items()}
 
 
-def scan(e: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Entries in the order of the array; which of them stay; which have a head with different stretches; of how many."""
+def scan(e: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Entries in the order of the array; which of them stay; how many different stretches their head has."""
     e = _taken(e, np.lexsort((e["doc"], e["c"], e["h"])))
     n = len(e["h"])
     head = np.concatenate(([True], e["h"][1:] != e["h"][:-1]))[:n]
@@ -146,8 +171,28 @@ def scan(e: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, n
     least = e["doc"][np.flatnonzero(content)][np.cumsum(content) - 1] if n else e["doc"]
     at = np.flatnonzero(head)
     contexts = np.add.reduceat(content.astype(np.int64), at)[np.cumsum(head) - 1] if n else np.zeros(0, np.int64)
-    marked = np.logical_or.reduceat(e["windows"] >= 128, at)[np.cumsum(head) - 1] if n else np.zeros(0, bool)
-    return e, e["doc"] == least, (contexts > 1) | marked, contexts
+    return e, e["doc"] == least, contexts
+
+
+def meeting(e: dict[str, np.ndarray], contexts: np.ndarray) -> np.ndarray:
+    """Which of scanned entries may have a window in common with a different stretch of their head, here or elsewhere."""
+    out = np.zeros(len(contexts), bool)
+    if not len(out):
+        return out
+    head = np.concatenate(([True], e["h"][1:] != e["h"][:-1]))
+    of, marked = np.cumsum(head) - 1, e["windows"] >= 128
+    any_in_head = lambda which: np.logical_or.reduceat(which, np.flatnonzero(head))[of]
+    # where the head comes again, or where others are not here, the sides do not tell
+    out |= any_in_head(marked) | (contexts > 1) & any_in_head((e["l"] == 0) & (e["r"] == 0))
+    which = np.flatnonzero((contexts > 1) & ~out)
+    for side in ("l", "r"):
+        at = which[e[side][which] != 0]
+        at = at[np.lexsort((e["c"][at], e[side][at], of[at]))]
+        new = np.concatenate(([True], (of[at][1:] != of[at][:-1]) | (e[side][at][1:] != e[side][at][:-1])))[: len(at)]
+        first, ends = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(at))
+        differ = e["c"][at[first]] != e["c"][at[ends - 1]] if len(at) else new
+        out[at[np.repeat(differ, ends - first)] if len(at) else at] = True
+    return out
 
 
 def _batch(kind: int, **columns: object) -> pa.RecordBatch:
@@ -168,7 +213,7 @@ def _arrays(buckets: int):
 
     def settled(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         e = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-        e, keep, _, contexts = scan(e)
+        e, keep, contexts = scan(e)
         yield _placed(_GONE, e, ~keep)
         many = keep & (contexts > CONTEXTS)
         marks = np.zeros(len(many), bool)
@@ -178,8 +223,7 @@ def _arrays(buckets: int):
         yield _placed(_ASKED, e, many & ~marks)
         e["windows"] = np.where(marks, e["windows"] | np.uint64(128), e["windows"])
         e = _taken(e, keep & (~many | marks))
-        e["bucket"] = e["bucket"].astype(np.int64)
-        e = _taken(e, np.argsort(e["bucket"], kind="stable"))
+        e["bucket"] = e["bucket"].astype(np.int64)  # these follow the order of h
         at = np.flatnonzero(np.concatenate(([True], e["bucket"][1:] != e["bucket"][:-1]))[: len(e["bucket"])])
         ends = np.append(at[1:], len(e["bucket"]))
         if len(at):
@@ -193,7 +237,8 @@ def _arrays(buckets: int):
                 e = stretches(data, offsets)
                 row = e.pop("row")
                 e["doc"], e["t"] = piece["doc"].to_numpy()[row], piece["t"].to_numpy()[row].astype(np.uint64)
-                e["bucket"], e["h"], e["c"] = e["h"] % np.uint64(buckets), e["h"] >> np.uint64(16), e["c"] >> np.uint64(16)
+                even = mixed(e["h"])  # the least of many are small
+                e["bucket"], e["h"], e["c"] = (even >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), even >> np.uint64(16), e["c"] >> np.uint64(16)
                 e["windows"], e["start"] = e["windows"].astype(np.uint64), e["start"].astype(np.uint64)
                 if len(row):
                     parts.append(e)
@@ -213,8 +258,8 @@ def _met(tables: pa.Table) -> pa.Table:
     blobs = tables["entries"].to_pylist()
     e = unpack(blobs)
     e["merges"] = np.repeat(merges, [len(b) // _SIZE for b in blobs])
-    e, keep, multiple, _ = scan(e)
-    asks = keep & multiple & (e["windows"] & np.uint64(64) == 0)
+    e, keep, contexts = scan(e)
+    asks = keep & meeting(e, contexts) & (e["windows"] & np.uint64(64) == 0)
     out = [_placed(_GONE, e, ~keep), _placed(_ASKED, e, asks)]
     e["windows"] = np.where(asks, e["windows"] | np.uint64(64), e["windows"])
     stays = keep & e["merges"]
@@ -237,11 +282,14 @@ def _tidy(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def _stored(df: DataFrame, name: str, *parts: str) -> str:
-    """Writes a table in the shared folder and gives its path; its row groups are small, as writers hold them."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored(df: DataFrame, path: str, *parts: str) -> str:
+    """Adds rows to a table in the shared folder and gives its path; its row groups are small, as writers hold them."""
     with _tidy(df.sparkSession):
-        df.write.option("parquet.block.size", 16 << 20).partitionBy(*parts).parquet(path)
+        df.write.mode("append").option("parquet.block.size", 16 << 20).partitionBy(*parts).parquet(path)
     return path
 
 
@@ -260,12 +308,15 @@ class Levels:
     """The index family: tables of arrays, one for each binary digit that the number of batches has."""
 
     def __init__(self, spark: SparkSession, buckets: int):
-        self.spark, self.buckets = spark, buckets
+        self.spark, self.buckets, self.parts = spark, buckets, max(1, min(PARTS, buckets // LEAST))
         self.levels: dict[int, str] = {}  # rank to path
         self.paths: list[str] = []
 
     def rows(self, path: str, kind: int) -> DataFrame:
-        return self.spark.read.schema(_OUT).parquet(path).where(F.col("kind") == kind).drop("kind")
+        return self.spark.read.schema(f"{_OUT}, part int").parquet(path).where(F.col("kind") == kind).drop("kind")
+
+    def stored(self, rows: DataFrame, path: str) -> str:
+        return _stored(rows.withColumn("part", F.coalesce(F.col("bucket") % self.parts, F.lit(0))), path, "kind", "part")
 
     def add(self, docs: DataFrame, last: bool = False) -> None:
         """Scans a batch of documents(doc_id, text, ...) against all levels, and merges it with those of ranks 0, 1, ... that exist.
@@ -273,16 +324,21 @@ class Levels:
         Batches may come in any order: of equal stretches always the one with the least document stays. last: no other
         batch will come, so nothing is merged.
         """
-        batch = _stored(keyed(docs).mapInArrow(_arrays(self.buckets), _OUT), "arrays", "kind")
+        batch = self.stored(keyed(docs).mapInArrow(_arrays(self.buckets), _OUT), _path(self.spark, "arrays"))
         rank = 0
         while rank in self.levels:
             rank += 1
-        arrays = self.rows(batch, _ENTRY).select("bucket", "entries", F.lit(not last).alias("merges"))
-        for r, path in self.levels.items():
-            arrays = arrays.unionByName(self.rows(path, _ENTRY).select("bucket", "entries", F.lit(r < rank and not last).alias("merges")))
-        merged = _stored(arrays.groupBy("bucket").applyInArrow(_met, _OUT), "level", "kind")
-        for old in [batch, *(self.levels.pop(r) for r in range(rank))]:
-            _remove(self.spark, f"{old}/kind={_ENTRY}")
+        merged = _path(self.spark, "level")
+        for part in range(self.parts):
+            of = lambda path, merges: self.rows(path, _ENTRY).where(F.col("part") == part).select("bucket", "entries", F.lit(merges).alias("merges"))  # noqa: B023, E731
+            arrays = of(batch, not last)
+            for r, path in self.levels.items():
+                arrays = arrays.unionByName(of(path, r < rank and not last))
+            self.stored(arrays.groupBy("bucket").applyInArrow(_met, _OUT), merged)
+            for old in [batch, *(path for r, path in self.levels.items() if r < rank or last)]:
+                _remove(self.spark, f"{old}/kind={_ENTRY}/part={part}")
+        for r in range(rank):
+            self.levels.pop(r)
         self.levels[rank] = merged
         self.paths += [batch, merged]
 
@@ -336,7 +392,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.flatnonzero(fresh)
             n = np.diff(np.append(cut, len(each)))
             begin, head, stretch = each[cut], first[cut], np.searchsorted(ends, cut, "right") - 1
-            content = _range_hashes(near, begin, n + LENGTH - 1) + (head - begin).astype(np.uint64)
+            content = _range_hashes(_running(near), begin, n + LENGTH - 1) + (head - begin).astype(np.uint64)
             places = start[stretch] + begin - bounds[:-1][stretch]
             order = np.lexsort((places, content, of[stretch]))
             new = np.ones(len(order), bool)
@@ -418,17 +474,17 @@ def settled(docs: DataFrame, asked: DataFrame) -> DataFrame:
     lists = asked.distinct().groupBy("doc", "t").agg(F.collect_list(F.struct("start", "windows")).alias("asked"))
     suffixes = keyed(docs).join(lists, ["doc", "t"]).select("doc", "t", "text", "asked").mapInArrow(_suffixes, _SUFFIX)
     spark = docs.sparkSession
-    sorted_twice = _stored(suffixes, "suffixes")  # and each sort looks at a sample first
+    sorted_twice = _stored(suffixes, _path(spark, "suffixes"))  # and each sort looks at a sample first
     suffixes = spark.read.schema(suffixes.schema).parquet(sorted_twice)
     rows = _pruned(suffixes)
     each = rows.withColumn("k", F.explode(F.sequence(F.col("skip"), F.col("windows") - 1)))
     each = each.select("doc", "t", "starts", "k", F.substring("whole", F.col("k") + 1, F.lit(LENGTH)).alias("window"))
-    windows = _stored(each, "windows")
+    windows = _stored(each, _path(spark, "windows"))
     _remove(spark, sorted_twice)
     each = spark.read.schema(each.schema).parquet(windows)
     least = each.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("window", "first")
     found = each.join(least, "window").where("doc > first").select("doc", "t", F.explode(F.transform("starts", lambda x: x + F.col("k"))).alias("start"), F.lit(1).alias("windows"))
-    out = spark.read.schema(found.schema).parquet(_stored(found, "settled"))
+    out = spark.read.schema(found.schema).parquet(_stored(found, _path(spark, "settled")))
     _remove(spark, windows)
     return out
 

@@ -102,6 +102,58 @@ def test_every_window_is_in_one_stretch_with_its_head():
     assert (back["doc"] == -e["row"] - 1).all() and (back["start"] == e["start"]).all() and (back["windows"] == e["windows"]).all()
 
 
+def scanned(texts):
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    e = s.stretches(data, np.cumsum([0, *map(len, texts)]))
+    e, _, contexts = s.scan({k: v.astype(np.int64 if k in ("row", "start") else np.uint64) for k, v in {**e, "doc": e["row"]}.items()})
+    return e, contexts
+
+
+def test_different_stretches_with_a_common_window_are_asked_for():
+    rnd = random.Random(6)
+    prose = lambda n, letters: bytes(rnd.choice(letters) for _ in range(n))
+    shared = [prose(rnd.randint(50, 90), b"abcdefgh") for _ in range(20)] + [b"ab" * 40, b"q" * 70, b"word " * 15]
+    texts = [prose(rnd.randint(0, 60), b"abcdefgh") + rnd.choice(shared) + prose(rnd.randint(0, 60), b"ab") for _ in range(200)]
+    e, contexts = scanned(texts)
+    asked = s.meeting(e, contexts)
+    seen = {}
+    for k, (row, start, windows) in enumerate(zip(e["row"], e["start"], e["windows"].astype(int))):
+        for w in range(start, start + windows):
+            seen.setdefault(texts[row][w : w + L], {})[e["c"][k]] = k
+    met = {k for found in seen.values() if len(found) > 1 for k in found.values()}
+    assert len(met) > 100 and asked[list(met)].all()
+
+
+def test_stretches_that_share_little_more_than_a_head_are_not_asked_for(spark):
+    rnd = random.Random(7)
+    prose = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    phrases = [prose(24) for _ in range(30)]
+    rows = [(i, prose(60) + phrases[i % 30] + prose(60)) for i in range(300)]
+    _, contexts = scanned([t.encode() for _, t in rows])
+    assert (contexts > 5).sum() > 50
+    index = s.Levels(spark, 8)
+    index.add(spark.createDataFrame(rows, "doc_id bigint, text string"), last=True)
+    assert index.found(s._ASKED).count() == 0
+
+
+def test_arrays_go_part_by_part(spark, monkeypatch):
+    monkeypatch.setattr(s, "LEAST", 2)
+    df = spark.createDataFrame(corpus(8, 60), "doc_id bigint, text string")
+    index, most = s.Levels(spark, 8), []
+    met = index.rows
+
+    def counted(path, kind):
+        out = met(path, kind)
+        if kind == s._ENTRY:
+            most.append((out.count(), out.select("part").distinct().count()))
+        return out
+
+    monkeypatch.setattr(index, "rows", counted)
+    index.add(df.where("doc_id % 2 = 0"))
+    index.add(df.where("doc_id % 2 = 1"), last=True)
+    assert [parts for _, parts in most] == [4, 3, 2, 1] + [4, 4, 3, 3, 2, 2, 1, 1]  # those that were scanned are gone
+
+
 @pytest.mark.parametrize("keys", [[b"a"], [b"ab", b"abc", b"abd", b"x", b"x"], [b"", b"a"] * 3])
 def test_reach_is_the_longest_common_prefix_with_a_neighbour(keys):
     import pyarrow as pa
