@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, UNDO, free_name, mixed, powers, shared_dir, slices, table, utf8
+from .common import BASE, UNDO, discard, free_name, mixed, powers, shared_dir, slices, table, utf8
 
 LENGTH, HEAD = 50, 16
 #: Positions of a head in a window; also the most windows of a stretch.
@@ -354,6 +354,12 @@ class Levels:
             _remove(self.spark, f"{path}/kind={_ENTRY}")
         self.levels = {}
 
+    def forget(self) -> None:
+        """Removes what the arrays have found."""
+        for path in self.paths:
+            _remove(self.spark, path)
+        self.paths = []
+
 
 #: left has the bytes before the head from the last to the first; whole has all bytes of the windows.
 _SUFFIX = "doc bigint, t int, starts array<bigint>, windows int, at int, left binary, whole binary"
@@ -484,11 +490,40 @@ def settled(docs: DataFrame, asked: DataFrame) -> DataFrame:
     each = spark.read.schema(each.schema).parquet(windows)
     least = each.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("window", "first")
     found = each.join(least, "window").where("doc > first").select("doc", "t", F.explode(F.transform("starts", lambda x: x + F.col("k"))).alias("start"), F.lit(1).alias("windows"))
-    out = spark.read.schema(found.schema).parquet(_stored(found, _path(spark, "settled")))
+    path = _stored(found, _path(spark, "settled"))
+    out = spark.read.schema(found.schema).parquet(path)
+    out.saved_path = path
     _remove(spark, windows)
     return out
 
 
+_SPANS = "doc bigint, t int, spans array<struct<start: bigint, end: bigint>>"
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (doc, t, covered), where covered has start << 6 | windows of stretches in any order, the maximal spans of bytes."""
+    for batch in batches:
+        lists = batch["covered"]
+        of, packed = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
+        start = packed >> 6
+        end = start + (packed & 63) + LENGTH - 1
+        row = int(end.max(initial=0)) + 1  # rows are laid out one after the other
+        order = np.argsort(start + of * row, kind="stable")
+        start, reach = (start + of * row)[order], np.maximum.accumulate((end + of * row)[order])
+        cut = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1]))[: len(start)])
+        start, end = start[cut], reach[np.append(cut[1:], len(start))[: len(cut)] - 1]
+        offsets = np.searchsorted(start, np.arange(batch.num_rows + 1) * row)
+        spans = pa.StructArray.from_arrays([pa.array(start % row), pa.array(end % row)], ["start", "end"])
+        yield pa.RecordBatch.from_arrays([batch["doc"], batch["t"], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)], ["doc", "t", "spans"])
+
+
+def spans_of(covered: DataFrame) -> DataFrame:
+    """(doc, t, spans) of covered(doc, t, start, windows), as a table, so that texts are not shuffled beside all that is covered."""
+    packed = F.shiftleft(F.col("start"), 6).bitwiseOR(F.col("windows").cast("bigint"))
+    spans = covered.groupBy("doc", "t").agg(F.collect_list(packed).alias("covered")).mapInArrow(_joined, _SPANS)
+    return covered.sparkSession.read.schema(_SPANS).parquet(_stored(spans, _path(covered.sparkSession, "spans")))
+
+
 _CUT = "n_removed bigint, n_spans bigint, kept binary"
 
 
@@ -538,8 +573,10 @@ def repeats_removed(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             part = part.where(F.col("doc_id") <= int(high)) if low is None else part.where((F.col("doc_id") > int(low)) & (F.col("doc_id") <= int(high)))
         index.add(part, last=high is None)
     index.close()
-    covered = index.found(_GONE).unionByName(settled(docs.select("doc_id", "text"), index.found(_ASKED)))
-    spans = covered.groupBy("doc", "t").agg(F.collect_list(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("end"))).alias("spans"))
+    matches = settled(docs.select("doc_id", "text"), index.found(_ASKED))
+    spans = spans_of(index.found(_GONE).unionByName(matches))
+    discard(matches)
+    index.forget()
     doc, t, found, out = (free_name(docs, c) for c in ("doc", "t", "spans", "out"))
     rows = docs.drop(*[c for c in NEW if c in docs.columns])
     text = F.coalesce(F.col("text"), F.lit(""))

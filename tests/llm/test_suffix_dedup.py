@@ -167,6 +167,17 @@ def test_reach_is_the_longest_common_prefix_with_a_neighbour(keys):
         assert got[1:-1] == inner and len(got) == len(keys) and got[0] > 1000 and got[-1] > 1000
 
 
+def test_covered_stretches_are_joined_to_spans(spark):
+    rnd = random.Random(9)
+    rows = [(d, 1, rnd.randrange(900), rnd.randint(1, s.SPREAD)) for d in range(5) for _ in range(4 * d + 1)] + [(7, 1, k, 1) for k in range(300)]
+    out = {r.doc: [tuple(x) for x in r.spans] for r in s.spans_of(spark.createDataFrame(rows, "doc bigint, t int, start bigint, windows int")).collect()}
+    for d in {r[0] for r in rows}:
+        gone = {k for doc, _, a, n in rows if doc == d for k in range(a, a + n + L - 1)}
+        assert [k for a, b in out[d] for k in range(a, b)] == sorted(gone)
+        assert all(b < a for (_, b), (a, _) in zip(out[d], out[d][1:]))
+    assert out[7] == [(0, 349)]
+
+
 def test_few_or_no_rows(spark, docs, no_docs):
     assert s.repeats_removed(no_docs).count() == 0
     out = s.repeats_removed(docs.withColumn("kept", F.lit(1)).withColumn("t", F.lit(2)))
